@@ -21,12 +21,27 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stacklore.llm.pii import find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklore.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklore.llm.secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklore.llm.neardup import near_duplicates
 
