@@ -21,6 +21,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stacklore.llm.langid import fit, label_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs.where(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
+    return label_languages(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -30,6 +41,18 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stacklore.llm.toxicity import fit, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit(docs.select("doc_id", "text"), labels.where(~held_out).select("doc_id", "toxic"))
+    scored = score_toxicity(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklore.llm.mixing import mix
 
