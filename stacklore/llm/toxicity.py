@@ -37,7 +37,9 @@ FIT_ROWS = 8000
 #: Words that the score table holds, the most significant ones, at most.
 FIT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
-PRIOR, LEAST_Z, DRIFT = 50.0, 3.5, -0.12
+#: The prior counts this share of the pooled counts; a word's signed root of the
+#: likelihood ratio against equal rates must reach LEAST_Z, its log-odds LEAST_ODDS.
+PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 0.01, 5.5, 0.7, -0.12
 
 
 def words_of(text: str | None) -> list[str]:
@@ -146,11 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicModel:
     if not total[0] or not total[1]:
         return ToxicModel({})
     n_clean, n_toxic = float(total[0]), float(total[1])
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic)
+    prior, all_prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")), PRIOR * (n_clean + n_toxic)
     up, down = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(up / (n_toxic + PRIOR - up)) - F.log(down / (n_clean + PRIOR - down))
-    z = odds / F.sqrt(1 / (up + 0.2) + 1 / (down + 0.2))
-    scored = counts.select("word", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(FIT_WORDS).collect()
+    odds = F.log(up / (n_toxic + all_prior - up)) - F.log(down / (n_clean + all_prior - down))
+    share, both = n_toxic / (n_clean + n_toxic), F.col("clean") + F.col("toxic")
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
+    z = F.signum("odds") * F.sqrt(F.greatest(2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)), F.lit(0.0)))
+    scored = counts.withColumn("odds", odds).withColumn("z", z).where((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "word").limit(FIT_WORDS).collect()
     model = ToxicModel({r["word"]: float(np.clip(r["odds"], -4, 4)) for r in scored})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
