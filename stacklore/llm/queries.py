@@ -65,6 +65,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklore.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklore.llm.chat import calls_of_turns, link_tool_calls
+
+    return link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stacklore.llm.neardup import near_duplicates
 
@@ -76,6 +88,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from stacklore.llm import mixing
+    from stacklore.llm import chat, mixing
 
-    return {"op6_source_mix": mixing.ORACLE_SQL}
+    return {"op6_source_mix": mixing.ORACLE_SQL, "op9_tool_calls": chat.ORACLE_SQL}
