@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, slices
+from stacklore.llm.base import SLICE_CHARS, keep, slices
 
 #: UTF-8 bytes of words after lower-casing A-Z.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -223,3 +223,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+    """``docs`` without contaminated rows; all columns stay as they are. Rows whose
+    null id keeps them from being named are kept where the test set needs several blocks."""
+    todo = blocks(items.select("item_id", "text"), block_chars)
+    one = next(todo, [])
+    if next(todo, None) is not None:
+        bad = find_items(docs, items, window, 0, block_chars).where((F.size("hits") > 0) & (F.size("hits") * share >= F.col("n_words")))
+        return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(TestWindows(one, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for start, texts in _pieces(batch.column(at).to_pylist()):
+                n_words, hits, *_ = _matches(shared.value, texts, 0)
+                n_hit = np.array([len(h) for h in hits], np.int64)
+                clean = (n_hit == 0) | (n_hit * share < n_words)
+                yield batch.slice(start, len(texts)).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > SLICE_CHARS:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t or "")
+    if texts:
+        yield start, texts[start:]

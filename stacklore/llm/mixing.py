@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stacklore.llm.base import keep
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
@@ -45,23 +47,29 @@ def source_targets(sized: DataFrame, epochs: float = 1.5, max_epochs: int = 2, w
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
+    # past the first source that is not filled the levels only fall, so the largest is its own
     own = own.withColumn("left", F.sum("source_size").over(everything) * F.lit(epochs) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     own = own.withColumn("level", F.col("left") / F.sum("weight").over(after))
-    own = own.withColumn("level", F.min(F.when(F.col("level") < F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
+    own = own.withColumn("level", F.max(F.when(F.col("level") < F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
     share = F.col("level") * F.col("weight")
     target = F.when(F.col("level").isNull() | (share >= F.col("cap")), F.col("cap")).otherwise(share)
     return own.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs``.
+#: Rows up to which the table of sources is broadcast; beyond it both sides are shuffled.
+SMALL = 200_000
+
+
+def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns named in ``carry``, size, source_size, target, taken of every row of ``docs``.
 
-    Needs doc_id, text and source; other columns are ignored. ``taken`` is at most
-    ``max_epochs`` times ``size``; reruns agree.
+    Needs doc_id, text and source; other columns are ignored unless carried.
+    ``taken`` is at most ``max_epochs`` times ``size``; reruns agree.
     """
     sized = docs.select(
         "doc_id",
         "source",
+        *carry,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (_hash(seed, F.col("doc_id").cast("string")) % BUCKETS).alias("bucket"),
     )
@@ -86,6 +94,9 @@ def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int
             F.coalesce((F.col("rest") - (F.col("edge.upto") - F.col("edge.words"))) / F.col("edge.words"), F.lit(0.0)).alias("share"),
         )
     )
+    edge = keep(edge, "edges")
+    if edge.count() <= SMALL:
+        edge = F.broadcast(edge)
     luck = _hash(seed + "/part", F.col("doc_id").cast("string")) / F.lit(4294967296.0)
     part = (
         F.when(F.col("bucket") < F.col("edge_bucket"), F.col("size"))
@@ -93,7 +104,7 @@ def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int
         .otherwise(F.lit(0))
     )
     return sized.join(edge, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "source", *carry, "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
     )
 
 
@@ -114,7 +125,7 @@ levels AS (
   FROM own),
 targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR level * weight >= cap THEN cap ELSE level * weight END AS target
-  FROM (SELECT *, min(CASE WHEN lv < cap / weight THEN lv END) OVER () AS level FROM levels)),
+  FROM (SELECT *, max(CASE WHEN lv < cap / weight THEN lv END) OVER () AS level FROM levels)),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
 filled AS (

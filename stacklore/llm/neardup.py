@@ -226,3 +226,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: i
     return signed.select("doc_id", "copy").join(classes, "copy", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"), F.coalesce("node", "doc_id").alias("copy_of")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class, the one with the least doc_id; all columns
+    stay as they are. Rows with a null doc_id are kept."""
+    classes = keep(near_duplicates(docs, threshold), "classes")
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
+    if not again.limit(1).count():
+        return left
+    # rows that repeat a doc_id: the least text of it
+    first = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r"))
+    return first.select("r.*").unionByName(left.where("doc_id IS NULL"))
