@@ -1 +1,7 @@
+"""Registered queries, by theme."""
 
+import importlib
+import pkgutil
+
+for _m in pkgutil.iter_modules(__path__):
+    importlib.import_module(f"{__name__}.{_m.name}")
