@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters folded to ASCII.
 FOLD_FROM, FOLD_TO = "ışçğüöâîû", "iscguoaiu"
@@ -27,7 +28,7 @@ def normalize_text(text: Column) -> Column:
     return F.translate(normalize_canonical(text), FOLD_FROM, FOLD_TO)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no built-in for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -36,7 +37,7 @@ def nfc(text: pd.Series) -> pd.Series:
 MOJIBAKE = "[ÃÄÅâ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
     """UTF-8 read as Latin-1 or cp1252, read again; the candidate with the fewest markers wins."""
 
