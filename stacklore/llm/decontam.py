@@ -208,13 +208,13 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int =
     return united.join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "hits", "items", "near_items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items of each row of ``docs``.
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
     n_hit = F.size("hits").cast("long")
-    return find_items(docs, items, window, slop).select(
+    return find_items(docs, items, window, slop, block_chars).select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
