@@ -12,9 +12,10 @@ registers should be filled; texts with an empty one go on to twice that time.
 
 Registers are banded. Texts that agree in a whole band are candidates; within a
 band's bucket each is held against one hub (that shares most with others), so a
-bucket of n texts makes n - 1 pairs. Where members of a bucket are still unlinked
-after that, further rounds hold what is left against new hubs, and last every pair
-of members of different classes is held against each other. A pair is a link if
+bucket of n texts makes n - 1 pairs. Where members of a bucket are still in
+different classes, a further round holds what is left against other hubs, and last
+members of different classes meet in the first bucket that they share; only those
+whose registers agree and whose multisets overlap enough leave the join. A pair is a link if
 the multiset overlap of the whole texts is at least the threshold. Classes are the
 connected components of links, so pairs within a class need no test of their own.
 
@@ -27,12 +28,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklore.llm.base import keep, slices
@@ -40,11 +40,14 @@ from stacklore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 5
+#: Registers, and how many bits of each are kept; a band is one long.
+BANDS, ROWS, BITS = 36, 6, 10
 REGISTERS = BANDS * ROWS
-#: Pairs whose registers agree less than this are not verified: at a similarity of
-#: 0.8 the share of agreeing registers lies 4.7 standard deviations above it.
-LEAST_AGREEMENT = 0.65
+#: Pairs with fewer agreeing registers are not verified: at a similarity of 0.8 the
+#: number of agreeing registers lies 4.5 standard deviations above it.
+LEAST_AGREEMENT = 146
+#: What equal short hashes of unlike shingles may cost an overlap before the exact test.
+SHORT_HASH_SLACK = 4
 HUB_ROUNDS = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,26 +142,49 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some[doc] = True
         key = np.zeros((len(texts), BANDS), np.uint64)
         for k in range(ROWS):
-            key = mixed(key + GOLDEN + points[:, k::ROWS])
-        key = mixed(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-        small = (points & np.uint64(255)).astype(np.uint8)
+            key = (key << np.uint64(BITS)) | (points[:, k::ROWS] & np.uint64((1 << BITS) - 1))
+        key = key.view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(t) if s else None for t, s in zip(texts, some)], pa.binary()),
-                pa.array([x.tobytes() for x in small], pa.binary()),
                 pa.array(list(key), pa.list_(pa.int64())),
             ],
-            ["doc_id", "copy", "sig", "bands"],
+            ["doc_id", "copy", "bands"],
         )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
-            ok = (x == y).mean(axis=1) >= LEAST_AGREEMENT
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+def agreement(a: Column, b: Column) -> Column:
+    """Registers in which two arrays of bands agree: fields that are zero in the
+    exclusive or of their bands, counted a whole band at a time."""
+    high = sum(1 << (BITS * i + BITS - 1) for i in range(ROWS))
+    low = (1 << (BITS * ROWS)) - 1 - high
+    total = F.lit(0)
+    for i in range(BANDS):
+        z = a[i].bitwiseXOR(b[i])
+        carried = (z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z)
+        total = total + (F.lit(ROWS) - F.bit_count(carried.bitwiseAND(F.lit(high))))
+    return total
+
+
+def first_band(a: Column, b: Column) -> Column:
+    """The first band in which two arrays agree."""
+    found = F.when(a[0] == b[0], 0)
+    for i in range(1, BANDS):
+        found = found.when(a[i] == b[i], i)
+    return found
+
+
+def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with their multiset as an array of short hashes, a copy of a shingle each."""
+    for nodes, degrees, bands, texts in slices(batches, text=3):
+        doc, item, weight = shingles(texts)
+        own = np.repeat(np.arange(len(doc)), weight)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
+        short = (mixed(item[own] + (nth + 1).astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        bags = np.split(short, np.searchsorted(doc[own], np.arange(1, len(texts))))
+        columns = [pa.array(nodes, pa.int64()), pa.array(degrees, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(bags, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "degree", "bands", "text", "bag"])
 
 
 def _verify(threshold: float):
@@ -173,17 +199,21 @@ def _verify(threshold: float):
     return run
 
 
-def _links(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose registers agree often enough."""
+    own = lambda x: members.select(F.col("node").alias(x), F.col("bands").alias(f"bands_{x}"))
+    return pairs.distinct().join(own("a"), "a").join(own("b"), "b").where(agreement(F.col("bands_a"), F.col("bands_b")) >= LEAST_AGREEMENT).select("a", "b")
+
+
+def _links(likely: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose texts overlap enough, with their similarity."""
-    sig = lambda x: members.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
     text = lambda x: members.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    likely = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long")
     return likely.join(text("a"), "a").join(text("b"), "b").select("a", "text_a", "b", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
 
 def _mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """band, node, comp of the buckets whose members are not yet of one class."""
-    own = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    own = buckets.join(labels, "node", "left").select("band", "nth", "node", F.coalesce("comp", "node").alias("comp"))
     torn = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     return own.join(torn, "band")
 
@@ -192,19 +222,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: i
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least
     doc_id with the very same text) of every row of ``docs`` (doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = keep(base.mapInArrow(_sign, "doc_id long, copy binary, sig binary, bands array<long>"), "signed")
+    signed = keep(base.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>"), "signed")
     texts = signed.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    nodes = signed.join(texts, "copy").where("doc_id = node").select("node", "copy", F.explode("bands").alias("band"))
+    nodes = signed.join(texts, "copy").where("doc_id = node").select("node", F.posexplode("bands").alias("nth", "value")).select("node", "nth", F.xxhash64("nth", "value").alias("band"))
     shared = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    buckets = keep(nodes.select("band", "node").join(shared.select("band", "n"), "band"), "buckets")
+    buckets = keep(nodes.join(shared.select("band", "n"), "band"), "buckets")
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     members = keep(
         base.join(degree.withColumnRenamed("node", "doc_id"), "doc_id").join(
-            signed.where("copy IS NOT NULL").select("doc_id", "sig"), "doc_id"
-        ).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "degree", "sig", "text"),
+            signed.where("copy IS NOT NULL").select("doc_id", "bands"), "doc_id"
+        ).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "degree", "bands", "text").mapInArrow(
+            _with_bags, "node long, degree long, bands array<long>, text string, bag array<int>"
+        ),
         "members",
     )
-    left = buckets.select("band", "node", F.col("node").alias("comp"))
+    left = buckets.select("band", "nth", "node", F.col("node").alias("comp"))
     found, labels = None, None
     for turn in range(hub_rounds + 1):
         if turn < hub_rounds:
@@ -213,15 +245,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: i
             hub = left.join(members.select("node", "degree"), "node").groupBy("band").agg(F.max(weight).getField("node").alias("hub"), F.max_by("comp", weight).alias("of"))
             pairs = left.join(hub, "band").where("comp <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            other = left.select("band", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "band").where("comp < comp2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        new = keep(_links(pairs.distinct(), members, threshold), "links")
+            # a pair comes up only in the first band that it shares, and leaves the join only if
+            # its registers agree and its multisets, by short hashes, overlap enough
+            torn = left.join(members.select("node", "bands", "bag"), "node")
+            other = torn.select("band", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"), F.col("bag").alias("bag2"))
+            both = F.size(F.array_intersect("bag", "bag2"))
+            close = both * (1 + threshold) >= threshold * (F.size("bag") + F.size("bag2")) - SHORT_HASH_SLACK
+            alike = (F.col("comp") < F.col("comp2")) & (first_band(F.col("bands"), F.col("bands2")) == F.col("nth")) & (agreement(F.col("bands"), F.col("bands2")) >= LEAST_AGREEMENT) & close
+            likely = torn.join(other, "band").where(alike).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+        if turn < hub_rounds:
+            likely = _likely(pairs, members)
+        new = keep(_links(likely, members, threshold), "links")
         fresh = found is None or new.limit(1).count() > 0
         found = new if found is None else found.unionByName(new)
         if fresh:
             labels = components(found)
         if turn < hub_rounds and (fresh or turn == 0):
-            left = keep(_mixed_buckets(buckets.select("band", "node"), labels), "left")
+            left = keep(_mixed_buckets(buckets, labels), "left")
     classes = texts.join(labels, "node", "left").select("copy", "node", F.coalesce("comp", "node").alias("comp"))
     return signed.select("doc_id", "copy").join(classes, "copy", "left").select(
         "doc_id", F.coalesce("comp", "doc_id").alias("class_id"), F.coalesce("node", "doc_id").alias("copy_of")
