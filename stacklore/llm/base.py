@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from stacklore.sources.shared import shared_dir  # noqa: F401
+
 #: Text handed to one numpy step inside a task, in characters.
 SLICE_CHARS = 3_000_000
 
@@ -18,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh
-    local one where the session names none (local mode and tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage is cut,
     and a lost executor costs no recomputation of what lies before."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import slices
+from stacklore.llm.base import keep, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\x0b\x0c\r"
@@ -138,7 +138,7 @@ class References:
 def references(docs: DataFrame, common: int = COMMON) -> References:
     """Over all rows of ``docs`` (lang, text); rows without lang are left out."""
     counted = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, word string, class int, n long")
-    counts = counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    counts = keep(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total"))
     most = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.col("n").desc(), "word")
     # a table of the languages times some fifty numbers
