@@ -160,7 +160,7 @@ def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, block_chars: int = 8_000_000) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, block_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, hits (word places), items and near_items (item ids as strings) of each row of ``docs``.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.
@@ -208,7 +208,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int =
     return united.join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "hits", "items", "near_items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items of each row of ``docs``.
 
     A document is contaminated if at least one in ``share`` of its words is hit.
@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay as they are. Rows whose
     null id keeps them from being named are kept where the test set needs several blocks."""
     todo = blocks(items.select("item_id", "text"), block_chars)
