@@ -186,6 +186,43 @@ def test_personal_data(docs, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+SPELLED = [
+    ("write to jane.roe [at] mail.example [dot] org today", "email", "jane.roe [at] mail.example [dot] org"),
+    ("card 4111.1111.1111.1111 and more", "card", "4111.1111.1111.1111"),
+    ("card 4111/1111/1111/1111 25 and more", "card", "4111/1111/1111/1111"),
+    ("paid by 3782.822463.10005 then", "card", "3782.822463.10005"),
+    ("tel: 030 123 45 67 or so", "phone", "030 123 45 67"),
+    ("or (826) 555-4081 by day", "phone", "(826) 555-4081"),
+    ("from +1 (826) 555-4081 190.137.223.204 once", "phone", "+1 (826) 555-4081"),
+    ("card 4111.1111.1111.1112 and more", None, None),
+    ("on 2024-01-02 10-20 and 2024.01.02 10.20", None, None),
+    ("seen [at] noon", None, None),
+]
+
+
+def test_personal_data_beyond_the_base(spark):
+    from stacklore.llm import pii
+
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(SPELLED)], "doc_id long, text string")
+    got = {r.doc_id: (set(r.spans.split(",")) - set(r.base_spans.split(","))) - {""} for r in pii.find_personal_data(docs).collect()}
+    for i, (t, kind, part) in enumerate(SPELLED):
+        assert got[i] == ({f"{kind}:{t.index(part)}:{t.index(part) + len(part)}"} if kind else set()), t
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[6] == "from [PHONE] [IP] once" and out[0] == "write to [EMAIL] today" and out[7] == SPELLED[7][0]
+
+
+def test_personal_data_labels_come_from_validators():
+    from stacklore.llm import pii
+
+    rows = [
+        ("email", "a [at] b [dot] org", 1), ("email", "a [at] b.7", 0), ("email", "a @ b.org", None), ("ip", "10.0.0.300", 0),
+        ("card", "4111.1111.1111.1111", 1), ("card", "4111.1111.1111.1112", 0), ("phone", "5550 109 9990", None), ("phone", "826-555-4081", 1),
+    ]
+    for kind, text, want in rows:
+        span = (kind, 0, len(text))
+        assert span in pii.candidates(text) and pii.verdict(text, span, pii.base_spans(text)) == want, text
+
+
 def test_trees_learn_a_corner():
     import numpy as np
 
