@@ -10,10 +10,16 @@ significant passages; their bits above that bound are summed, and a logistic
 calibration on labelled texts turns the sum and the number of passages into the
 score.
 
+How significant a word must be is chosen by cross-validation on the labelled texts:
+the words of the other folds find the segments of each fold's texts, once for each of
+``BOUNDS``, and the bound with the least log loss stays. The law and the calibration
+are those of the texts scored in this way, so weak words are judged on texts that did
+not choose them.
+
 A word counts once for each text that holds it. Labels come from rows of the
 caller's choice, at most about ``most`` of each class, picked by hash from all of
-them; one text of each family of near copies counts, so a large group of copies does
-not set the words. Null and empty texts and texts without a scored word have
+them; one text of each label and family of near copies counts, so a large group of
+copies does not set the words. Null and empty texts and texts without a scored word have
 the score of no passage. Repeated rows are scored each on its own. Without labels
 of both classes every score is 0.
 """
@@ -27,7 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklore.llm.base import slices
@@ -38,8 +44,9 @@ FIT_ROWS = 8000
 FIT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 #: The prior counts this share of the pooled counts; a word's signed root of the
-#: likelihood ratio against equal rates must reach LEAST_Z, its log-odds LEAST_ODDS.
-PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 0.01, 5.5, 0.7, -0.12
+#: likelihood ratio against equal rates must reach one of BOUNDS, its log-odds LEAST_ODDS.
+PRIOR, BOUNDS, LEAST_ODDS, DRIFT = 0.01, (5.5, 5.0, 4.5, 4.0, 3.5, 3.0, 2.5), 0.7, -0.12
+FOLDS = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -76,6 +83,9 @@ class ToxicModel:
         self.words, self.rate, self.k, self.most_e = words, 1.0, 1.0, 0.5
         self.weights = np.zeros(3)
         self.ready = False
+        #: Cross-validated (bound, log loss, recall and share of clean texts at a score of 0.7), and the bound chosen.
+        self.bounds: list[tuple[float, float, float, float]] = []
+        self.bound = None
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Words of the text, and its maximal segments."""
@@ -104,20 +114,36 @@ class ToxicModel:
 
 
 def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class that hold each word, of one task's labelled texts."""
+    """Texts of each fold and class that hold each word, of one task's labelled texts."""
     counts: dict[str, list[int]] = {}
-    for labels, texts in slices(batches):
-        for y, t in zip(labels, texts):
+    for labels, texts, folds in slices(batches):
+        for y, t, f in zip(labels, texts, folds):
             for w in set(words_of(t)):
-                counts.setdefault(w, [0, 0])[y] += 1
+                counts.setdefault(w, [0] * (2 * FOLDS))[2 * f + y] += 1
     names = list(counts)
     for i in range(0, len(names), 50_000):
         part = names[i : i + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.string()), *(pa.array([counts[w][y] for w in part], pa.int64()) for y in (0, 1))], ["word", "clean", "toxic"]
+            [pa.array(part, pa.string()), *(pa.array([counts[w][k] for w in part], pa.int64()) for k in range(2 * FOLDS))], ["word", *_cells()]
         )
 
 
+def _cells() -> list[str]:
+    return [f"{c}{f}" for f in range(FOLDS) for c in ("clean", "toxic")]
+
+
+def _evidence(clean: Column, toxic: Column, n_clean: float, n_toxic: float) -> tuple[Column, Column]:
+    """Log-odds of a word, and the signed root of its likelihood ratio."""
+    both = clean + toxic
+    prior, all_prior = F.lit(PRIOR) * both, PRIOR * (n_clean + n_toxic)
+    up, down = toxic + prior, clean + prior
+    odds = F.log(up / (n_toxic + all_prior - up)) - F.log(down / (n_clean + all_prior - down))
+    share = n_toxic / (n_clean + n_toxic)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
+    z = F.signum(odds) * F.sqrt(F.greatest(2 * (part(toxic, share) + part(clean, 1 - share)), F.lit(0.0)))
+    return F.when(both > 0, odds).otherwise(0.0), F.when(both > 0, z).otherwise(0.0)
+
+
 def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least hash of each text's three-word runs: most near copies share it, other texts hardly ever."""
     for ids, texts in slices(batches):
@@ -139,43 +165,65 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicModel:
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(cut, F.col("toxic")))
     # about 2 * most rows of two numbers, whatever the size of the tables
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(_family, "doc_id long, h long")
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.join(F.broadcast(picked), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
     own = {r["doc_id"] for r in first.select("doc_id").collect()}
     chosen = spark.createDataFrame([(int(i),) for i in sorted(own)], "doc_id long")
-    rows = docs.join(F.broadcast(picked.join(F.broadcast(chosen), "doc_id")), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    counts = rows.mapInArrow(_class_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    if not total[0] or not total[1]:
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = docs.join(F.broadcast(picked.join(F.broadcast(chosen), "doc_id")), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text", fold)
+    counts = rows.mapInArrow(_class_words, "word string, " + ", ".join(f"{c} long" for c in _cells())).groupBy("word").agg(*(F.sum(c).alias(c) for c in _cells()))
+    total = counts.agg(*(F.sum(c) for c in _cells())).first()
+    n_clean, n_toxic = (sum(float(x or 0) for x in total[k::2]) for k in (0, 1))
+    if not n_clean or not n_toxic:
         return ToxicModel({})
-    n_clean, n_toxic = float(total[0]), float(total[1])
-    prior, all_prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")), PRIOR * (n_clean + n_toxic)
-    up, down = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(up / (n_toxic + all_prior - up)) - F.log(down / (n_clean + all_prior - down))
-    share, both = n_toxic / (n_clean + n_toxic), F.col("clean") + F.col("toxic")
-    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
-    z = F.signum("odds") * F.sqrt(F.greatest(2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)), F.lit(0.0)))
-    scored = counts.withColumn("odds", odds).withColumn("z", z).where((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "word").limit(FIT_WORDS).collect()
-    model = ToxicModel({r["word"]: float(np.clip(r["odds"], -4, 4)) for r in scored})
+    clean, toxic = (sum(F.col(c) for c in _cells()[k::2]) for k in (0, 1))
+    # the evidence of all folds, then without each of them
+    sums = [(clean, toxic, n_clean, n_toxic)]
+    sums += [(clean - F.col(f"clean{f}"), toxic - F.col(f"toxic{f}"), n_clean - float(total[2 * f] or 0), n_toxic - float(total[2 * f + 1] or 0)) for f in range(FOLDS)]
+    told = [_evidence(*x) if min(x[2:]) > 0 else (F.lit(0.0), F.lit(0.0)) for x in sums]
+    scored = counts.select("word", F.array(*(o for o, _ in told)).alias("odds"), F.array(*(z for _, z in told)).alias("z"))
+    scored = scored.withColumn("most", F.array_max(F.transform("z", F.abs))).where(F.col("most") >= min(BOUNDS)).orderBy(F.desc("most"), "word").limit(FIT_WORDS).collect()
+    names = [r["word"] for r in scored]
+    odds, z = (np.array([r[c] for r in scored], float).reshape(-1, 1 + FOLDS) for c in ("odds", "z"))
+    odds[np.abs(odds) < LEAST_ODDS] = np.nan
+    odds = np.clip(odds, -4, 4)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ys, texts in slices(batches):
-            found = [model.passages(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ys, pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64()))],
-                ["toxic", "n", "found"],
-            )
+        """Segments of each text by the words of the other folds, for each bound."""
+        number = {w: i for i, w in enumerate(names)}
+        tables = [[np.append(np.where((np.abs(z[:, 1 + f]) >= b) & ~np.isnan(odds[:, 1 + f]), odds[:, 1 + f], DRIFT), DRIFT) for b in BOUNDS] for f in range(FOLDS)]
+        for ys, texts, folds in slices(batches):
+            sizes, found = [], []
+            for t, f in zip(texts, folds):
+                words = words_of(t)
+                at = np.fromiter(map(number.get, words, repeat(len(names))), np.int64, len(words))
+                sizes.append(len(words))
+                found.append([[s for *_, s in segments(x[at])] for x in tables[f]])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["toxic", "n", "found"])
 
-    sample = rows.mapInArrow(read, "toxic int, n long, found array<double>").collect()
+    sample = rows.mapInArrow(read, "toxic int, n long, found array<array<double>>").collect()
     sample.sort(key=lambda r: (r["toxic"], r["n"], r["found"]))
+    models = []
+    for k, bound in enumerate(BOUNDS):
+        use = (np.abs(z[:, 0]) >= bound) & ~np.isnan(odds[:, 0])
+        model = ToxicModel({w: float(o) for w, o, u in zip(names, odds[:, 0], use) if u})
+        models.append((*_calibrate(model, [(r["toxic"], r["n"], r["found"][k]) for r in sample], size), model))
+    best = min(range(len(BOUNDS)), key=lambda k: models[k][0])
+    model = models[best][-1]
+    model.bound, model.bounds = BOUNDS[best], [(b, *m[:3]) for b, m in zip(BOUNDS, models)]
+    return model
+
+
+def _calibrate(model: ToxicModel, sample: list[tuple[int, int, list[float]]], size: dict[int, int]) -> tuple[float, float, float]:
+    """Fit the law and the calibration on (label, words, segment scores); log loss, and the shares of toxic and of clean texts that score 0.7."""
     # the law of the best segment, by moments over clean texts: S - ln(n)/L is Gumbel
-    clean = [(r["n"], max(r["found"], default=0.0)) for r in sample if r["toxic"] == 0 and r["n"]]
+    clean = [(n, max(found, default=0.0)) for y, n, found in sample if y == 0 and n]
     best = np.array([s for _, s in clean])
     if len(best) > 10 and best.std() > 0:
         model.rate = float(min(np.pi / (best.std() * np.sqrt(6)), 4.0))
         mode = np.mean(best - np.log([n for n, _ in clean]) / model.rate) - 0.5772 / model.rate
         model.k = float(np.exp(np.clip(model.rate * mode, -30, 10)))
-    y = np.array([r["toxic"] for r in sample], float)
-    bits = [[b for *_, b in model.significant(r["n"], [(0, 0, s) for s in r["found"]])] for r in sample]
+    y = np.array([y for y, *_ in sample], float)
+    bits = [[b for *_, b in model.significant(n, [(0, 0, s) for s in found])] for _, n, found in sample]
     x = np.array([[1.0, np.log1p(sum(b)), np.log1p(len(b))] for b in bits]).reshape(-1, 3)
     # rows of a class stand for all labelled rows of it
     weight = np.where(y == 1, size[1] / max(y.sum(), 1), size[0] / max((1 - y).sum(), 1))
@@ -187,7 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicModel:
         step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.1 * w)
         w += np.clip(step, -2, 2)
     model.weights, model.ready = w, True
-    return model
+    p = np.clip(model.score(x[:, 1:]), 1e-9, 1 - 1e-9)
+    loss = -np.average(np.where(y == 1, np.log(p), np.log(1 - p)), weights=weight)
+    return float(loss), float((p[y == 1] >= 0.7).mean()), float((p[y == 0] >= 0.7).mean())
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:

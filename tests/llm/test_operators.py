@@ -274,6 +274,36 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs.drop("toxic"), marks.where("toxic = 0"))).collect()} == {0.0}
 
 
+def test_toxicity_with_few_rows_a_word(spark):
+    from stacklore.llm import toxicity
+
+    rng = random.Random(11)
+    foul = [a + b for a in ("gr", "sk", "vr", "zl", "br", "fl") for b in ("unk", "ock", "ast", "ild")]
+    rows = []
+    for i in range(450):
+        w = rng.choices(WORDS, k=rng.randint(30, 60))
+        for x in rng.sample(foul, 3) if i % 5 == 0 else ():
+            w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(both.select("doc_id", "text"), both.where("doc_id % 3 <> 1").select("doc_id", "toxic"))
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.score_toxicity(both, model).collect()}
+    held = [r for r in rows if r[0] % 3 == 1]
+    assert sum(got[i] for i, _, y in held if y) >= 0.9 * sum(y for *_, y in held)
+    assert sum(got[i] for i, _, y in held if not y) <= 0.02 * len(held)
+    assert [b for b, *_ in model.bounds] == list(toxicity.BOUNDS) and model.bound in toxicity.BOUNDS
+
+
+def test_toxicity_families_keep_both_labels(spark):
+    from stacklore.llm import toxicity
+
+    # the run with the least hash, "ko mi ba", stands in every text
+    rows = [(i, "ba ko mi " * 5 + ("foul ba ko " if i % 2 else ""), i % 2) for i in range(40)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    assert model.ready
+
+
 def test_mixing(docs, none):
     from stacklore.llm.mixing import mix
 
