@@ -160,6 +160,11 @@ def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
         yield block
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` for each row, kept, so that rows that share an id or have none stay apart."""
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "contaminated")
+
+
 def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, block_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, hits (word places), items and near_items (item ids as strings) of each row of ``docs``.
 
@@ -196,16 +201,17 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int =
     if two is None:
         return pass_over(one, base)
     # several blocks: rows are numbered, so that repeated rows stay apart
-    numbered = keep(base.withColumn("row", F.monotonically_increasing_id()), "contaminated")
-    by_row = numbered.select(F.col("row").alias("doc_id"), "text")
+    numbered = _numbered(base)
+    by_row = numbered.select(F.col("_row").alias("doc_id"), "text")
     parts = pass_over(one, by_row)
     while two is not None:
         parts = parts.unionByName(pass_over(two, by_row).where((F.size("hits") > 0) | (F.size("near_items") > 0)))
         two = next(todo, None)
-    united = parts.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items"))
-    )
-    return united.join(numbered.select("row", "doc_id"), "row").select("doc_id", "n_words", "hits", "items", "near_items")
+    # an item row stands in one block only, so its id counts once for each item row, as in one block
+    every = {c: F.flatten(F.collect_list(c)) for c in ("hits", "items", "near_items")}
+    every["hits"] = F.array_distinct(every["hits"])
+    united = parts.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), *(F.array_sort(x).alias(c) for c, x in every.items()))
+    return united.join(numbered.select("_row", "doc_id"), "_row").select("doc_id", "n_words", "hits", "items", "near_items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
@@ -226,13 +232,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay as they are. Rows whose
-    null id keeps them from being named are kept where the test set needs several blocks."""
+    """``docs`` without contaminated rows, each judged on its own; all columns stay as they are."""
     todo = blocks(items.select("item_id", "text"), block_chars)
     one = next(todo, [])
     if next(todo, None) is not None:
-        bad = find_items(docs, items, window, 0, block_chars).where((F.size("hits") > 0) & (F.size("hits") * share >= F.col("n_words")))
-        return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        numbered = _numbered(docs)
+        found = find_items(numbered.select(F.col("_row").alias("doc_id"), "text"), items, window, 0, block_chars)
+        bad = found.where((F.size("hits") > 0) & (F.size("hits") * share >= F.col("n_words"))).select(F.col("doc_id").alias("_row"))
+        return numbered.join(bad, "_row", "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(TestWindows(one, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,19 @@ def test_decontamination(spark, docs, none, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t, *_ in ROWS if not _brute_items(t, ITEMS)[-1])
 
 
+def test_decontamination_is_the_same_in_blocks(spark):
+    from stacklore.llm import decontam
+
+    hit, clean = ITEM + " tail", _text(21, 40)
+    docs = spark.createDataFrame([(None, hit, "a"), (None, clean, "b"), (7, hit, "c"), (7, clean, "d"), (8, clean, "e"), (8, clean, "f")], "doc_id long, text string, lang string").repartition(3)
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM), (3, "never seen here"), (1, ITEM)], "item_id long, text string")
+    one, many = (rows_of(decontam.decontaminate(docs, items, block_chars=n)) for n in (8_000_000, 10))
+    assert one == many and {r[3] for r in one} == {0, 4}
+    for n in (8_000_000, 10):
+        kept = decontam.drop_contaminated(docs, items, block_chars=n)
+        assert kept.columns == docs.columns and sorted(r.lang for r in kept.collect()) == ["b", "d", "e", "f"]
+
+
 def test_proximity(spark):
     from stacklore.llm.decontam import decontaminate
 
