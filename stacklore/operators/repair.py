@@ -24,21 +24,14 @@ def suppress_similar(df: DataFrame, threshold: float = 0.92, window: int = 8) ->
 
 
 def type_cap(df: DataFrame, head: int, most: int) -> DataFrame:
-    """Per query, at most ``most`` rows of a type among the first ``head``; later ones move behind (bounded heads)."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        count, first, rest = {}, [], []
-        for i, k in zip(pdf["id"], pdf["kind"]):
-            if len(first) < head and count.get(k, 0) >= most:
-                rest.append(i)
-            else:
-                first.append(i)
-                count[k] = count.get(k, 0) + 1
-        order = first + rest
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(order), "id": order, "pos": range(1, len(order) + 1)})
-
-    return df.select("query_id", "id", "rank", "kind").groupBy("query_id").applyInPandas(place, "query_id string, id long, pos long")
+    """Per query, at most ``most`` rows of a type among the first ``head``; rows passed over move behind all others, none is lost."""
+    query = Window.partitionBy("query_id")
+    df = df.select("query_id", "id", "rank", "kind").withColumn("able", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank", "id")) <= most)
+    df = df.withColumn("nth", F.sum(F.col("able").cast("long")).over(query.orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    # rows behind the one that fills the head are not passed over
+    full = F.min(F.when(F.col("able") & (F.col("nth") == head), F.col("rank"))).over(query)
+    late = ~F.col("able") & (F.col("rank") < F.coalesce(full, F.col("rank") + 1))
+    return df.withColumn("late", late).select("query_id", "id", F.row_number().over(query.orderBy("late", "rank", "id")).cast("long").alias("pos"))
 
 
 def provider_cap(df: DataFrame, limit: int, most: int = 2) -> DataFrame:

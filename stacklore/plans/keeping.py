@@ -158,7 +158,7 @@ def win10_provider_cap(spark, d):
 def win05_type_cap(spark, d):
     w = Window.partitionBy("tenant").orderBy(F.desc("ms"), "id")
     s = logs(spark, d).select(F.col("tenant").alias("query_id"), "id", F.col("intent").alias("kind"), F.row_number().over(w).alias("rank"))
-    return rp.type_cap(s.where("rank <= 50"), 10, 3)
+    return rp.type_cap(s, 10, 3)
 
 
 @query(f"""WITH {CONTENT}, {LOGS}, n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings), s AS (SELECT c.id, row_number() OVER (ORDER BY count(l.id), c.id) AS rank FROM content c LEFT JOIN logs l ON l.result_count = c.id GROUP BY 1),

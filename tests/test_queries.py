@@ -109,3 +109,25 @@ def test_turkish_rules(spark):
 def test_no_cartesian_product(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_type_cap_loses_no_row(spark, data):
+    from stacklore.operators.repair import type_cap
+    from stacklore.sources.views import logs
+
+    def placed(rows, head, most):
+        count, first, rest = {}, [], []
+        for i, k in rows:
+            if len(first) < head and count.get(k, 0) >= most:
+                rest.append(i)
+            else:
+                first.append(i)
+                count[k] = count.get(k, 0) + 1
+        return first + rest
+
+    rows = [(q, i, i, "ab"[i % 2] if i < 60 or q == "y" else "cdef"[i % 4]) for q in ("x", "y") for i in range(1, 90)]
+    got = type_cap(spark.createDataFrame(rows, "query_id string, id long, rank int, kind string"), 10, 3).collect()
+    for q in ("x", "y"):
+        own = [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.pos)]
+        assert own == placed([(i, k) for g, i, _, k in rows if g == q], 10, 3)
+    assert QUERIES["win05_type_cap"](spark, data).count() == logs(spark, data).count()
