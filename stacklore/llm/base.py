@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stacklore.sources.shared import shared_dir  # noqa: F401
 
@@ -28,6 +29,14 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` kept, with a number for each row in a column whose name is free, and that name."""
+    name, taken = "row_number", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return keep(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """Columns as Python lists, cut so that the text column of a piece holds
     about ``limit`` characters (one row at least; rows are never cut)."""

@@ -10,18 +10,30 @@ with the probability of their weighted Jaccard similarity, and a weight of
 thousands costs a few processes only. Points are made up to a time at which all
 registers should be filled; texts with an empty one go on to twice that time.
 
-Registers are banded. Texts that agree in a whole band are candidates; within a
-band's bucket each is held against one hub (that shares most with others), so a
-bucket of n texts makes n - 1 pairs. Where members of a bucket are still in
-different classes, a further round holds what is left against other hubs, and last
-members of different classes meet in the first bucket that they share; only those
-whose registers agree and whose multisets overlap enough leave the join. A pair is a link if
-the multiset overlap of the whole texts is at least the threshold. Classes are the
-connected components of links, so pairs within a class need no test of their own.
-
-Texts without words belong to no class but their own. A text of fewer than five
-words is one shingle. Exact copies are one node from the start. Rows that share a
-doc_id count as one document. Null ids keep their rows, with a null class.
+Registers are banded; texts that agree in a whole band are candidates. Links are
+looked for in three ways, each of which only adds links that the overlap of the
+whole multisets confirms:
+
+1. In each band's bucket the member that shares most with others is the hub. A text
+   is held against one hub, that with which it shares most buckets, so n texts make
+   n pairs at most, however large a bucket is.
+2. Buckets whose members are still in different classes get further hubs of other
+   classes, as long as that finds links.
+3. What is left there meets under a second key: the rarest copies of its shingles.
+   Two multisets that overlap by the threshold share one of the rarest
+   size - threshold * size + 1 copies of each, so no link is lost, and texts of one
+   bucket that only resemble each other share none of them.
+
+Classes are the connected components of links, so pairs within a class need no test
+of their own. Exact copies are one node from the start.
+
+Rows are told apart by a number of their own, so different texts under one doc_id
+stay different, rows that repeat a text are one class, and rows with a null doc_id
+belong to classes too (their class_id is the least doc_id of the class, null if it
+has none). Texts without words, null and empty ones belong to no class but their
+own. A text of fewer than five words is one shingle. Ties between hubs go to the
+larger row number. An empty table gives an empty result; extra columns are ignored,
+or carried as they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,23 +44,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, slices
+from stacklore.llm.base import keep, numbered, slices
 from stacklore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
-#: Registers, and how many bits of each are kept; a band is one long.
-BANDS, ROWS, BITS = 36, 6, 10
-REGISTERS = BANDS * ROWS
-#: Pairs with fewer agreeing registers are not verified: at a similarity of 0.8 the
-#: number of agreeing registers lies 4.5 standard deviations above it.
-LEAST_AGREEMENT = 146
-#: What equal short hashes of unlike shingles may cost an overlap before the exact test.
-SHORT_HASH_SLACK = 4
-HUB_ROUNDS = 2
+#: Registers, and how many bits of each are kept.
+REGISTERS, BITS = 216, 10
+#: What a pair at the threshold may fail by: the chance to share no band, and standard
+#: deviations of agreeing registers below their expected number.
+MISS, SIGMAS = 1e-4, 4.5
+#: Rounds with hubs of other classes, and buckets that a text must share with its hub in them.
+HUB_ROUNDS, LEAST_SHARED = 3, 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,59 +144,53 @@ def overlap(a: list[str | None], b: list[str | None], size: int = SHINGLE) -> np
     return both / np.maximum(total - both, 1)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in slices(batches, limit=1_500_000):
-        doc, item, weight = shingles(texts)
-        points = bag_signatures(doc, item, weight, len(texts))
-        some = np.zeros(len(texts), bool)
-        some[doc] = True
-        key = np.zeros((len(texts), BANDS), np.uint64)
-        for k in range(ROWS):
-            key = (key << np.uint64(BITS)) | (points[:, k::ROWS] & np.uint64((1 << BITS) - 1))
-        key = key.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
+def rows_of_band(threshold: float) -> int:
+    """Registers of a band: the most with which a pair at the threshold hardly ever shares no band."""
+    able = [r for r in (6, 4, 3, 2) if (1 - threshold**r) ** (REGISTERS // r) <= MISS]
+    return able[0] if able else 1
+
+
+def least_agreement(threshold: float) -> int:
+    """Registers in which a pair at the threshold agrees at least, but for a chance of a few in a million."""
+    return max(0, int(REGISTERS * threshold - SIGMAS * (REGISTERS * threshold * (1 - threshold)) ** 0.5))
+
+
+def _sign(rows: int):
+    bands = REGISTERS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, names, texts in slices(batches, text=2, limit=1_500_000):
+            doc, item, weight = shingles(texts)
+            points = bag_signatures(doc, item, weight, len(texts))
+            some = np.zeros(len(texts), bool)
+            some[doc] = True
+            key = np.zeros((len(texts), bands), np.uint64)
+            for k in range(rows):
+                key = (key << np.uint64(BITS)) | (points[:, k::rows] & np.uint64((1 << BITS) - 1))
+            columns = [
                 pa.array(ids, pa.int64()),
+                pa.array(names, pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(t) if s else None for t, s in zip(texts, some)], pa.binary()),
-                pa.array(list(key), pa.list_(pa.int64())),
-            ],
-            ["doc_id", "copy", "bands"],
-        )
+                pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "copy", "bands"])
 
+    return run
 
-def agreement(a: Column, b: Column) -> Column:
+
+def agreement(a: Column, b: Column, rows: int) -> Column:
     """Registers in which two arrays of bands agree: fields that are zero in the
     exclusive or of their bands, counted a whole band at a time."""
-    high = sum(1 << (BITS * i + BITS - 1) for i in range(ROWS))
-    low = (1 << (BITS * ROWS)) - 1 - high
+    high = sum(1 << (BITS * i + BITS - 1) for i in range(rows))
+    low = (1 << (BITS * rows)) - 1 - high
     total = F.lit(0)
-    for i in range(BANDS):
+    for i in range(REGISTERS // rows):
         z = a[i].bitwiseXOR(b[i])
         carried = (z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z)
-        total = total + (F.lit(ROWS) - F.bit_count(carried.bitwiseAND(F.lit(high))))
+        total = total + (F.lit(rows) - F.bit_count(carried.bitwiseAND(F.lit(high))))
     return total
 
 
-def first_band(a: Column, b: Column) -> Column:
-    """The first band in which two arrays agree."""
-    found = F.when(a[0] == b[0], 0)
-    for i in range(1, BANDS):
-        found = found.when(a[i] == b[i], i)
-    return found
-
-
-def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members with their multiset as an array of short hashes, a copy of a shingle each."""
-    for nodes, degrees, bands, texts in slices(batches, text=3):
-        doc, item, weight = shingles(texts)
-        own = np.repeat(np.arange(len(doc)), weight)
-        nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
-        short = (mixed(item[own] + (nth + 1).astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        bags = np.split(short, np.searchsorted(doc[own], np.arange(1, len(texts))))
-        columns = [pa.array(nodes, pa.int64()), pa.array(degrees, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(bags, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "degree", "bands", "text", "bag"])
-
-
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, x, b, y in slices(batches, limit=1_000_000):
@@ -199,84 +203,116 @@ def _verify(threshold: float):
     return run
 
 
-def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose registers agree often enough."""
-    own = lambda x: members.select(F.col("node").alias(x), F.col("bands").alias(f"bands_{x}"))
-    return pairs.distinct().join(own("a"), "a").join(own("b"), "b").where(agreement(F.col("bands_a"), F.col("bands_b")) >= LEAST_AGREEMENT).select("a", "b")
-
-
-def _links(likely: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose texts overlap enough, with their similarity."""
-    text = lambda x: members.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return likely.join(text("a"), "a").join(text("b"), "b").select("a", "text_a", "b", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double")
+def _links(pairs: DataFrame, members: DataFrame, threshold: float, agreeing: int = 0) -> DataFrame:
+    """Those pairs (a, b) whose registers agree often enough and whose texts overlap enough, with their similarity."""
+    names = ("text", "bands") if agreeing else ("text",)
+    own = lambda x: members.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    if agreeing:
+        both = both.where(agreement(F.col("bands_a"), F.col("bands_b"), rows_of_band(threshold)) >= agreeing)
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
 
 def _mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """band, node, comp of the buckets whose members are not yet of one class."""
-    own = buckets.join(labels, "node", "left").select("band", "nth", "node", F.coalesce("comp", "node").alias("comp"))
+    own = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     torn = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     return own.join(torn, "band")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and copy_of (the least
-    doc_id with the very same text) of every row of ``docs`` (doc_id, text)."""
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = keep(base.mapInArrow(_sign, "doc_id long, copy binary, bands array<long>"), "signed")
-    texts = signed.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    nodes = signed.join(texts, "copy").where("doc_id = node").select("node", F.posexplode("bands").alias("nth", "value")).select("node", "nth", F.xxhash64("nth", "value").alias("band"))
+def _hub_pairs(left: DataFrame, degree: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of ``left`` (band, node, comp) with the hub of another class that it meets in most buckets."""
+    weight = F.struct(F.xxhash64(F.lit(turn), F.col("comp")) if turn else F.lit(0).alias("turn"), "degree", "node")
+    hub = left.join(degree, "node").groupBy("band").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("comp").alias("of")), weight).alias("r")).select("band", "r.hub", "r.of")
+    shared = left.join(hub, "band").where("comp <> of").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SHARED)
+    return shared.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "hub")).getField("hub").alias("b"))
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every copy of a shingle in each text as a number of its own: (node, comp, size, element)."""
+    for nodes, comps, texts in slices(batches, text=2, limit=500_000):
+        doc, item, weight = shingles(texts)
+        own = np.repeat(np.arange(len(doc)), weight)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
+        element = mixed(item[own] + (nth + 1).astype(np.uint64) * GOLDEN).view(np.int64)
+        at = doc[own]
+        size = np.bincount(at, minlength=len(texts))[at]
+        columns = (np.array(nodes, np.int64)[at], np.array(comps, np.int64)[at], size, element)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "comp", "size", "element"])
+
+
+def _rare_pairs(left: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes among the nodes of ``left`` that share one of their rarest copies of shingles
+    and whose sizes and places in that order let them reach the threshold: no pair that reaches it is missing."""
+    texts = left.select("node", "comp").distinct().join(members.select("node", "text"), "node").select("node", "comp", "text")
+    every = keep(texts.mapInArrow(_copies, "node long, comp long, size long, element long"), "elements")
+    often = every.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # copies that stand in one text only come first in its order, and meet nothing
+    shared = every.join(often, "element")
+    nth = Window.partitionBy("node").orderBy(F.desc("n"), "element")
+    # counted from the end: what is left of the text from this place on, the place included
+    ranked = shared.withColumn("rest", F.row_number().over(nth))
+    prefix = ranked.where(F.col("rest") >= F.ceil(F.col("size") * threshold - 1e-9)).select("element", "node", "comp", "size", "rest")
+    other = prefix.select("element", *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "size", "rest")))
+    need = (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-6
+    able = (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & (F.least("rest", "rest2") >= need) & (F.least("size", "size2") >= need)
+    return prefix.join(other, "element").where(able).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _classes(every: DataFrame, number: str, threshold: float, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+    """row, doc_id, class_id, copy_of, kept (one row of each class) of every row of ``every`` (doc_id, text and the column ``number``)."""
+    base = every.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = keep(base.mapInArrow(_sign(rows_of_band(threshold)), "row long, doc_id long, copy binary, bands array<long>"), "signed")
+    worded = signed.where("copy IS NOT NULL")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row"))
+    # texts that stand more than once, each with its first row
+    twins = worded.groupBy("copy").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = keep(twins.select("copy", F.col("f.row").alias("node"), F.col("f.doc_id").alias("copy_of")), "twins")
+    heads = worded.join(twins.select("copy", "node"), "copy", "left").where("node IS NULL OR node = row").select(F.col("row").alias("node"), "bands")
+    heads = keep(heads, "heads")
+    nodes = heads.select("node", F.posexplode("bands").alias("nth", "value")).select("node", F.xxhash64("nth", "value").alias("band"))
     shared = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = keep(nodes.join(shared.select("band", "n"), "band"), "buckets")
-    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = keep(
-        base.join(degree.withColumnRenamed("node", "doc_id"), "doc_id").join(
-            signed.where("copy IS NOT NULL").select("doc_id", "bands"), "doc_id"
-        ).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "degree", "bands", "text").mapInArrow(
-            _with_bags, "node long, degree long, bands array<long>, text string, bag array<int>"
-        ),
-        "members",
-    )
-    left = buckets.select("band", "nth", "node", F.col("node").alias("comp"))
-    found, labels = None, None
-    for turn in range(hub_rounds + 1):
-        if turn < hub_rounds:
-            # the member that shares most is the hub; later rounds pick one of another class
-            weight = F.struct(F.xxhash64(F.lit(turn), F.col("comp")) if turn else F.lit(0).alias("turn"), "degree", "node")
-            hub = left.join(members.select("node", "degree"), "node").groupBy("band").agg(F.max(weight).getField("node").alias("hub"), F.max_by("comp", weight).alias("of"))
-            pairs = left.join(hub, "band").where("comp <> of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        else:
-            # a pair comes up only in the first band that it shares, and leaves the join only if
-            # its registers agree and its multisets, by short hashes, overlap enough
-            torn = left.join(members.select("node", "bands", "bag"), "node")
-            other = torn.select("band", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"), F.col("bag").alias("bag2"))
-            both = F.size(F.array_intersect("bag", "bag2"))
-            close = both * (1 + threshold) >= threshold * (F.size("bag") + F.size("bag2")) - SHORT_HASH_SLACK
-            alike = (F.col("comp") < F.col("comp2")) & (first_band(F.col("bands"), F.col("bands2")) == F.col("nth")) & (agreement(F.col("bands"), F.col("bands2")) >= LEAST_AGREEMENT) & close
-            likely = torn.join(other, "band").where(alike).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        if turn < hub_rounds:
-            likely = _likely(pairs, members)
-        new = keep(_links(likely, members, threshold), "links")
-        fresh = found is None or new.limit(1).count() > 0
-        found = new if found is None else found.unionByName(new)
-        if fresh:
-            labels = components(found)
-        if turn < hub_rounds and (fresh or turn == 0):
-            left = keep(_mixed_buckets(buckets, labels), "left")
-    classes = texts.join(labels, "node", "left").select("copy", "node", F.coalesce("comp", "node").alias("comp"))
-    return signed.select("doc_id", "copy").join(classes, "copy", "left").select(
-        "doc_id", F.coalesce("comp", "doc_id").alias("class_id"), F.coalesce("node", "doc_id").alias("copy_of")
+    degree = keep(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    members = keep(base.select(F.col("row").alias("node"), "text").join(degree, "node").join(heads, "node").select("node", "bands", "text"), "members")
+    left = buckets.select("band", "node", F.col("node").alias("comp"))
+    found = keep(_links(_hub_pairs(left, degree, 0), members, threshold), "links")
+    labels = components(found)
+    left = keep(_mixed_buckets(buckets, labels), "left")
+    for turn in range(1, hub_rounds):
+        new = keep(_links(_hub_pairs(left, degree, turn), members, threshold), "links")
+        if not new.limit(1).count():
+            break
+        found = found.unionByName(new)
+        labels = components(found)
+        left = keep(_mixed_buckets(left.select("band", "node"), labels), "left")
+    if left.limit(1).count():
+        new = keep(_links(_rare_pairs(left, members, threshold), members, threshold, least_agreement(threshold)), "links")
+        if new.limit(1).count():
+            labels = components(found.unionByName(new))
+    # the classes of linked texts, and then of all rows
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of")
+    of = worded.select("row", "doc_id", "copy").join(twins, "copy", "left").select("row", "doc_id", F.coalesce("node", "row").alias("node"), own)
+    of = keep(of, "rows")
+    least = of.where("row = node").join(labels, "node").groupBy("comp").agg(first.alias("f"))
+    placed = labels.join(least, "comp").select("node", F.col("f.doc_id").alias("class_id"), F.col("f.row").alias("chosen"), F.lit(True).alias("linked"))
+    placed = keep(placed, "placed")
+    known = of.join(placed, "node", "left").select(
+        "row", "doc_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"), "copy_of", (F.coalesce("chosen", "node") == F.col("row")).alias("kept")
     )
+    alone = signed.where("copy IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("kept"))
+    return known.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and copy_of (the least
+    doc_id with the very same text) of every row of ``docs`` (doc_id, text)."""
+    return _classes(*numbered(docs.select("doc_id", "text")), threshold).select("doc_id", "class_id", "copy_of")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class, the one with the least doc_id; all columns
-    stay as they are. Rows with a null doc_id are kept."""
-    classes = keep(near_duplicates(docs, threshold), "classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-    if not again.limit(1).count():
-        return left
-    # rows that repeat a doc_id: the least text of it
-    first = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r"))
-    return first.select("r.*").unionByName(left.where("doc_id IS NULL"))
+    """``docs`` with one row of each class, that with the least doc_id (null last; of
+    rows that share it the first as numbered); all columns stay as they are."""
+    every, number = numbered(docs)
+    gone = keep(_classes(every, number, threshold).where("NOT kept").select(F.col("row").alias(number)), "gone")
+    return every.join(gone, number, "left_anti").select(docs.columns)

@@ -486,3 +486,67 @@ def test_components_of_a_long_path(spark):
     path = spark.range(200).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(500, 501)], "a long, b long"))
     got = {r.node: r.comp for r in components(path).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def _classes_of_rows(rows, limit=0.8):
+    """Class number of each (row number, text), rows without words alone."""
+    return _classes(list(enumerate(rows)), limit)
+
+
+def test_near_duplicates_at_a_lower_threshold(spark):
+    from stacklore.llm.neardup import near_duplicates
+
+    texts = [BASE, *(_edited(BASE, list(range(k, 120, step))) for k, step in ((3, 30), (5, 25), (7, 20), (9, 40)))]
+    texts += [_text(60 + i, 100) for i in range(5)]
+    want = _classes_of_rows(texts, 0.5)
+    assert 1 < len(set(want.values())) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs, 0.5).collect()} == want
+
+
+def test_near_duplicates_tell_texts_under_one_id_apart(spark):
+    from stacklore.llm.neardup import drop_near_duplicates, near_duplicates
+
+    other = _text(70, 80)
+    rows = [(7, BASE, "a"), (7, other, "b"), (7, BASE, "c"), (None, other, "d"), (None, _text(71, 50), "e"), (3, _edited(BASE, [4]), "f"), (None, None, "g"), (7, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number string").repartition(2)
+    got = sorted(((r.doc_id, r.class_id, r.copy_of) for r in near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, 3, 7), (7, 7, 7), (7, 3, 7), (None, 7, 7), (None, None, None), (3, 3, 3), (None, None, None), (7, 7, 7)], key=str)
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.row_number for r in left.collect()) == ["b", "e", "f", "g", "h"]
+
+
+def test_near_duplicates_in_a_large_bucket_of_many_classes(spark):
+    from stacklore.llm.neardup import near_duplicates
+
+    # texts that share two thirds of their words: they meet in buckets, but only families link
+    shared, texts = _text(80, 80), []
+    for i in range(180):
+        own = f"{shared} {_text(1000 + i, 30)}"
+        texts += [own, _edited(own, [3]), _edited(own, [20 + i % 50, 90])]
+    want = _classes_of_rows(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
+    assert len(set(want.values())) == 180
+
+
+def test_rare_pairs_miss_no_pair(spark):
+    from pyspark.sql import functions as F
+    from stacklore.llm.neardup import _rare_pairs
+
+    rng, texts = random.Random(90), []
+    for _ in range(60):
+        base = _text(rng.randrange(12), 60).split()
+        for _ in range(rng.randrange(4)):
+            base[rng.randrange(60)] = rng.choice(WORDS)
+        texts.append(" ".join(base[: rng.randint(45, 60)]))
+    bags = [_bags(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    left = docs.select(F.lit(1).alias("band"), "node", F.col("node").alias("comp"))
+    for limit in (0.8, 0.5):
+        got = {(r.a, r.b) for r in _rare_pairs(left, docs, limit).collect()}
+        for j, b in enumerate(bags):
+            for i, a in enumerate(bags[:j]):
+                both = sum((a & b).values())
+                assert both < limit * (sum(a.values()) + sum(b.values()) - both) or (i, j) in got
+        assert len(got) < 60 * 59 / 2
