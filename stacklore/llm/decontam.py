@@ -1,19 +1,32 @@
-"""Benchmark decontamination over a distributed positional inverted index.
-
-Each task indexes its share of the training documents: for every term of the test
-set, the sorted word positions at which it stands. A window of the test set is
-found by intersecting the posting lists of its terms, shifted by their offsets,
-from the term that is rarest in the index; what is left when all terms agree is an
-exact phrase. Where the rarest term stands but the phrase does not, the window's
-next rarest terms may lie within ``slop`` words of their places: a proximity match.
-
-The index is dealt out by document, so no posting crosses the network and a lost
-task rebuilds its part alone. The test set is broadcast in blocks of at most
-``block_chars`` characters, however large it is; each block is held against all
-documents, and a document's hits are united over the blocks.
+"""Benchmark decontamination over a stored positional inverted index.
+
+Documents are laid end to end in blocks of about ``SLICE_CHARS`` characters (a longer
+document is a block of its own). For each block and each term of the test set the
+sorted word places are one posting, written to the shared folder: (block, term,
+places). Which terms belong to the test set is told by a bit table of fixed size, so
+no vocabulary is sent about; the few other terms that it lets through do no harm.
+
+Test items are cut into passages of at most ``RUN`` windows; equal passages are
+searched once, whatever the number of items that hold them. The postings give every
+test term's frequency over all documents. A passage is sent only to blocks that hold
+one of its windows' rarest terms by those frequencies, and meets the block's postings
+there. A window is found by intersecting the posting lists of its terms, shifted by
+their offsets, from the rarest on; what all terms agree on is an exact phrase.
+
+A window of n >= 4 words that does not stand in a document as it is has a proximity
+match there if at a place s at least ``ceil(0.8 n)`` of its words i stand within
+``slop`` words of s + i. At most n - ceil(0.8 n) words may be missing, so one of the
+next rarest ones is there: the anchors are n - ceil(0.8 n) + 1 terms of each window.
+
+The documents are read once, whatever the size of the test set, nothing of either is
+collected, and results depend neither on the blocks nor on the partitions. A
+document's words are the test of what is hit; items are told by their ids as strings.
 
 Null and empty texts have no words and never match; items without words match
-nothing; repeated rows are judged each on its own; repeated items all count.
+nothing; repeated rows are judged each on its own, also under one doc_id or without
+any; an item_id that stands several times counts once, a null one is the empty string.
+Empty tables give no matches. Extra columns are ignored, or carried as they are by
+``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -24,41 +37,128 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import SLICE_CHARS, keep, slices
+from stacklore.llm.base import keep, numbered, slices
 
 #: UTF-8 bytes of words after lower-casing A-Z.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-FAR = 1 << 40
+#: Bits of the table of test terms, and windows of a passage.
+FILTER_BITS, RUN = 1 << 22, 64
+#: Share of a window's words that a proximity match needs, and the shortest window that has any.
+NEAR_SHARE, LEAST_NEAR = 0.8, 4
+PAD, ABSENT, FAR = -1, -2, 1 << 60
+#: Places looked at in one numpy step inside a task, about.
+STEP = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-class TestWindows:
-    """The windows of a block of items: term numbers, padded with -1, and the items that hold each."""
+def _needed(length: np.ndarray) -> np.ndarray:
+    return np.ceil(length * NEAR_SHARE - 1e-9).astype(np.int64)
+
+
+def _passages(window: int):
+    """(passage, item, terms) of each run of windows of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for items, texts in slices(batches):
+            rows = []
+            for item, text in zip(items, texts):
+                terms = words_of(text)
+                for at in range(0, max(1, len(terms) - window + 1) if terms else 0, RUN):
+                    part = terms[at : at + RUN + window - 1]
+                    rows.append((xxhash.xxh3_128_digest(b" ".join(part)), item, part))
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.list_(pa.binary())))], ["passage", "item", "terms"])
+
+    return run
 
-    __test__ = False
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.vocab: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set[int]] = {}
-        self.items = [str(i) for i, _ in items]
-        for n, (_, text) in enumerate(items):
-            terms = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
-            for at in range(max(1, len(terms) - window + 1) if terms else 0):
-                held.setdefault(tuple(terms[at : at + window]), set()).add(n)
-        self.width = window
-        self.length = np.array([len(w) for w in held], np.int64)
-        self.terms = np.full((len(held), window), -1, np.int64)
-        for row, w in zip(self.terms, held):
-            row[: len(w)] = w
-        sizes = np.array([len(x) for x in held.values()], np.int64)
-        self.item_at = np.concatenate(([0], np.cumsum(sizes)))
-        self.item = np.array([n for x in held.values() for n in sorted(x)], np.int64)
+def _term_bits(passages: DataFrame) -> np.ndarray:
+    """The bit table of the terms of ``passages``, of FILTER_BITS bits."""
+    bit = passages.select(F.explode("terms").alias("term")).select((F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)) + 1).alias("bit"))
+    made = bit.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for row in made.collect():
+        table[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+INDEX = "block long, term binary, places array<int>, ids array<long>"
+
+
+def _index(bits):
+    """The postings of each block; one row with a null term holds its documents and where each begins."""
+
+    def known(word: bytes) -> bool:
+        h = xxhash.xxh64_intdigest(word, 42) % FILTER_BITS
+        return bool(bits.value[h >> 3] >> (h & 7) & 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for ids, texts in slices(batches):
+            parts = [words_of(t) for t in texts]
+            begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            vocab = sorted(filter(known, set().union(*parts)))
+            get = {w: i for i, w in enumerate(vocab)}.get
+            term = np.fromiter((t for p in parts for t in map(get, p, repeat(-1))), np.int64, int(begin[-1]))
+            place = np.flatnonzero(term >= 0)
+            place = place[np.argsort(term[place], kind="stable")]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(term[place], minlength=len(vocab)))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(vocab) + 1, block)),
+                    pa.array([None, *vocab], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends + len(begin))), pa.int32()), pa.array(np.concatenate((begin, place)), pa.int32())),
+                    pa.array([ids, *repeat(None, len(vocab))], pa.list_(pa.int64())),
+                ],
+                ["block", "term", "places", "ids"],
+            )
+            block += 1
+
+    return run
+
+
+class Windows:
+    """The windows of passages: term numbers (PAD behind short ones), frequencies, and the passage of each."""
+
+    def __init__(self, terms: list[np.ndarray], often: list[np.ndarray], window: int):
+        sizes = np.array([len(t) for t in terms], np.int64)
+        made = np.maximum(sizes - window + 1, 1)
+        self.passage = np.repeat(np.arange(len(terms)), made)
+        at = np.arange(len(self.passage)) - np.repeat(np.cumsum(made) - made, made) + np.repeat(np.cumsum(sizes) - sizes, made)
+        self.length = np.minimum(sizes, window)[self.passage]
+        inside = np.arange(window) < self.length[:, None]
+        cell = np.where(inside, at[:, None] + np.arange(window), 0)
+        flat = lambda x: np.concatenate([*x, [0]])
+        self.terms = np.where(inside, flat(terms)[cell], PAD)
+        # offsets from the rarest term of all documents on
+        self.order = np.argsort(np.where(inside, flat(often)[cell], FAR), axis=1, kind="stable")
+        self.need = _needed(self.length)
+        self.anchors = np.where(self.length >= LEAST_NEAR, self.length - self.need + 1, 1)
+
+
+def _anchors(window: int, near: bool):
+    """(passage, term) of the terms from which the windows of each passage are looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, terms, often = (c.to_pylist() for c in batch.columns)
+            out = []
+            for key, part, n in zip(keys, terms, often):
+                w = Windows([np.arange(len(part))], [np.array(n, np.int64)], window)
+                used = {int(w.terms[i, k]) for i, order in enumerate(w.order) for k in order[: w.anchors[i] if near else 1]}
+                out += [(key, part[t]) for t in used if n[t]]
+            columns = list(zip(*set(out))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["passage", "term"])
+
+    return run
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,198 +168,178 @@ def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Postings:
-    """The positions of each test term in a run of documents laid end to end."""
-
-    def __init__(self, tests: TestWindows, texts: list[str | None]):
-        get, parts = tests.vocab.get, [words_of(t) for t in texts]
-        self.n_words = np.array([len(p) for p in parts], np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(self.n_words)))
-        self.term = np.fromiter((t for p in parts for t in map(get, p, repeat(-1))), np.int64, int(self.begin[-1]))
-        place = np.flatnonzero(self.term >= 0)
-        self.place = place[np.argsort(self.term[place], kind="stable")]
-        self.count = np.bincount(self.term[place], minlength=len(tests.vocab))
-        self.at = np.cumsum(self.count) - self.count
-
-    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether each term's list holds each place."""
-        ok = (place >= 0) & (place < len(self.term))
-        return ok & (self.term[np.where(ok, place, 0)] == term)
-
-
-def _search(tests: TestWindows, index: Postings, slop: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Exact matches (document, first place, window), and proximity matches (document, window)."""
-    real = tests.terms >= 0
-    freq = np.where(real, index.count[np.maximum(tests.terms, 0)], FAR)
-    able = np.flatnonzero(freq.min(axis=1) > 0)  # a term that never occurs empties the intersection
-    order = np.argsort(freq[able], axis=1, kind="stable")  # offsets, from the rarest term on
-    rarest = tests.terms[able, order[:, 0]]
-    own, at = _spread(index.at[rarest], index.count[rarest])
-    first, win = index.place[at] - order[own, 0], able[own]
-    order = order[own]
-    doc = np.searchsorted(index.begin, index.place[at], side="right") - 1
-    inside = (first >= index.begin[doc]) & (first + tests.length[win] <= index.begin[doc + 1])
-    alive = np.flatnonzero(inside)
-    for k in range(1, tests.width):
-        if not len(alive):
-            break
-        off = order[alive, k]
-        term = tests.terms[win[alive], off]
-        alive = alive[(term < 0) | index.has(term, first[alive] + off)]
-    exact = (doc[alive], first[alive], win[alive])
-    near = np.ones(len(win), bool)
-    near[alive] = False
-    near &= tests.length[win] >= 4
-    for k in (1, 2, 3):
-        cand = np.flatnonzero(near)
-        if not len(cand):
-            break
-        off = order[cand, k]
-        term, at = tests.terms[win[cand], off], first[cand] + off
-        lo, hi = index.begin[doc[cand]], index.begin[doc[cand] + 1]
-        ok = np.zeros(len(cand), bool)
-        for d in range(-slop, slop + 1):
-            ok |= index.has(term, at + d) & (at + d >= lo) & (at + d < hi)
-        near[cand[~ok]] = False
-    cand = np.flatnonzero(near)
-    return exact, (doc[cand], win[cand])
-
-
-def _by_document(n: int, doc: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
-    """Distinct values of each of n documents, ascending."""
-    if len(doc):
-        pairs = np.unique(np.stack((doc, value), axis=1), axis=0)
-        doc, value = pairs[:, 0], pairs[:, 1]
-    return np.split(value, np.searchsorted(doc, np.arange(1, n)))
-
-
-def _matches(tests: TestWindows, texts: list[str | None], slop: int) -> tuple[np.ndarray, list, list, list]:
-    """Words, hit word places, items with exact matches and with proximity matches, of each document."""
-    index, n = Postings(tests, texts), len(texts)
-    (doc, first, win), (near_doc, near_win) = _search(tests, index, slop)
-    own, place = _spread(first - index.begin[doc], tests.length[win])
-    hits = _by_document(n, doc[own], place)
-    found = []
-    for d, w in ((doc, win), (near_doc, near_win)):
-        if len(d):
-            d, w = np.unique(np.stack((d, w), axis=1), axis=0).T
-        own, at = _spread(tests.item_at[w], tests.item_at[w + 1] - tests.item_at[w])
-        found.append(_by_document(n, d[own], tests.item[at]))
-    return index.n_words, hits, *found
-
-
-def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
-    """The test set in runs of at most about ``block_chars`` characters."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        if block and size + len(row[1] or "") > block_chars:
-            yield block
-            block, size = [], 0
-        block.append(tuple(row))
-        size += len(row[1] or "")
-    if block:
-        yield block
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` for each row, kept, so that rows that share an id or have none stay apart."""
-    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "contaminated")
-
-
-def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, block_chars: int = 2_000_000) -> DataFrame:
-    """doc_id, n_words, hits (word places), items and near_items (item ids as strings) of each row of ``docs``.
-
-    ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.
+    """The postings of a block: the places of each term, and the documents that they lie in."""
+
+    def __init__(self, table: pa.Table):
+        terms, places = table.column("term").to_pylist(), table.column("places").combine_chunks()
+        ends = places.offsets.to_numpy()
+        own = terms.index(None)
+        flat = places.values.to_numpy().astype(np.int64)
+        self.ids = table.column("ids")[own].as_py()
+        self.begin = flat[ends[own] : ends[own + 1]]
+        self.count = np.diff(ends).astype(np.int64)
+        self.count[own] = 0
+        self.number = {t: i for i, t in enumerate(terms) if t is not None}
+        # (term, place) as one number, ascending
+        self.wide = int(self.begin[-1]) + 1
+        rows = np.flatnonzero(self.count)
+        order, self.at = np.sort(rows), np.cumsum(self.count) - self.count
+        own, at = _spread(ends[:-1].astype(np.int64)[order], self.count[order])
+        self.place = flat[at]
+        self.keys = order[own] * self.wide + self.place
+
+    def within(self, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether each term stands at a place in [lo, hi)."""
+        if not len(self.place):
+            return np.zeros(len(term), bool)
+        at = np.searchsorted(self.keys, term * self.wide + lo)
+        found = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return (term >= 0) & (at < len(self.keys)) & (lo < hi) & (found < term * self.wide + hi)
+
+    def occurrences(self, tests: Windows, win: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """Of the k-th rarest terms of windows: window, document, and where the window would begin."""
+        off = tests.order[win, k]
+        term = tests.terms[win, off]
+        win, off, term = win[term >= 0], off[term >= 0], term[term >= 0]
+        own, at = _spread(self.at[term], self.count[term])
+        place = self.place[at]
+        return win[own], np.searchsorted(self.begin, place, side="right") - 1, place - off[own]
+
+    def exact(self, tests: Windows, able: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact matches of the windows ``able``: document, first place, window."""
+        win, doc, first = self.occurrences(tests, able, 0)
+        alive = np.flatnonzero((first >= self.begin[doc]) & (first + tests.length[win] <= self.begin[doc + 1]))
+        for k in range(1, tests.terms.shape[1]):
+            off = tests.order[win[alive], k]
+            term, place = tests.terms[win[alive], off], first[alive] + off
+            alive = alive[(term == PAD) | self.within(term, place, place + 1)]
+        return doc[alive], first[alive], win[alive]
+
+    def near(self, tests: Windows, able: np.ndarray, k: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matches within ``slop`` from the k-th rarest terms of the windows ``able``: document, window."""
+        win, doc, first = self.occurrences(tests, able, k)
+        # of the anchors and one term more at least two are there, the other within twice the slop
+        other = tests.need[win] < 2
+        for j in range(tests.terms.shape[1]):
+            todo = np.flatnonzero(~other & (tests.anchors[win] >= j)) if j != k else []
+            if len(todo):
+                off, d = tests.order[win[todo], j], doc[todo]
+                at = first[todo] + off
+                other[todo] = self.within(tests.terms[win[todo], off], np.maximum(at - 2 * slop, self.begin[d]), np.minimum(at + 2 * slop + 1, self.begin[d + 1]))
+        spots = np.stack((doc, win, first), axis=1)[other]
+        doc, win, start = np.unique(np.concatenate([spots + [0, 0, d] for d in range(-slop, slop + 1)]), axis=0).T
+        n, lo, hi = np.zeros(len(doc), np.int64), self.begin[doc], self.begin[doc + 1]
+        for off in range(tests.terms.shape[1]):
+            n += self.within(tests.terms[win, off], np.maximum(start + off - slop, lo), np.minimum(start + off + slop + 1, hi))
+        good = n >= tests.need[win]
+        return doc[good], win[good]
+
+    def runs(self, tests: Windows, able: np.ndarray, k: int) -> list[np.ndarray]:
+        """The windows ``able`` in runs whose k-th rarest terms stand at about ``STEP`` places."""
+        if not len(able):
+            return []
+        term = tests.terms[able, tests.order[able, k]]
+        size = np.cumsum(np.where(term >= 0, self.count[term], 0))
+        return np.split(able, np.flatnonzero(np.diff(size // STEP)) + 1)
+
+    def search(self, tests: Windows, slop: int | None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Exact matches (document, first place, window), and proximity matches (document, window)."""
+        none = (np.zeros(0, np.int64),) * 3
+        whole = np.flatnonzero((tests.terms != ABSENT).all(axis=1))
+        exact = tuple(map(np.concatenate, zip(none, *(self.exact(tests, w) for w in self.runs(tests, whole, 0)))))
+        found = [none[:2]]
+        for k in range(int(tests.anchors.max(initial=0)) if slop is not None else 0):
+            able = np.flatnonzero((tests.length >= LEAST_NEAR) & (tests.anchors > k))
+            found += [self.near(tests, w, k, slop) for w in self.runs(tests, able, k)]
+        pair = lambda d, w: d * (len(tests.length) + 1) + w
+        got = np.setdiff1d(pair(*map(np.concatenate, zip(*found))), pair(exact[0], exact[2]))
+        return exact, np.divmod(got, len(tests.length) + 1)
+
+
+FOUND = "block long, nth int, doc_id long, n_words long, hits array<long>, exact array<binary>, near array<binary>"
+
+
+def _meet(window: int, slop: int | None):
+    def run(postings: pa.Table, routed: pa.Table) -> pa.Table:
+        index = Postings(postings)
+        keys, n = routed.column("passage").to_pylist(), len(index.ids)
+        get = index.number.get
+        terms = [np.fromiter((get(t, ABSENT) for t in p), np.int64, len(p)) for p in routed.column("terms").to_pylist()]
+        tests = Windows(terms, [np.array(x, np.int64) for x in routed.column("often").to_pylist()], window)
+        (doc, first, win), near = index.search(tests, slop)
+        own, place = _spread(first - index.begin[doc], tests.length[win])
+
+        def by_document(doc: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+            pairs = np.unique(np.stack((doc, value), axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+            return np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, n)))
+
+        passages = lambda doc, win: [[keys[i] for i in x] for x in by_document(doc, tests.passage[win])]
+        columns = (
+            [postings.column("block")[0].as_py()] * n, range(n), index.ids, np.diff(index.begin), by_document(doc[own], place), passages(doc, win), passages(*near),
+        )
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["block", "nth", "doc_id", "n_words", "hits", "exact", "near"])
+
+    return run
+
+
+def _find(docs: DataFrame, items: DataFrame, window: int, slop: int | None) -> tuple[DataFrame, DataFrame]:
+    """What each row of ``docs`` (doc_id, text) holds of the passages, and (passage, item) of ``items`` (item_id, text)."""
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    every = keep(named.mapInArrow(_passages(window), "passage binary, item string, terms array<binary>"), "passages")
+    bits = docs.sparkSession.sparkContext.broadcast(_term_bits(every))
+    index = keep(docs.mapInArrow(_index(bits), INDEX), "postings")
+    postings = index.where("term IS NOT NULL")
+    often = postings.groupBy("term").agg(F.sum(F.size("places")).alias("often"))
+    passages = every.groupBy("passage").agg(F.first("terms").alias("terms"))
+    counted = passages.select("passage", F.posexplode("terms").alias("at", "term")).join(often, "term", "left")
+    counted = counted.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("at", "term", F.coalesce("often", F.lit(0)).alias("often")))).alias("r"))
+    counted = keep(counted.select("passage", F.col("r.term").alias("terms"), F.col("r.often").alias("often")), "frequencies")
+    anchors = counted.mapInArrow(_anchors(window, slop is not None), "passage binary, term binary")
+    routed = anchors.join(postings.select("term", F.col("block").alias("to")), "term").select("to", "passage").distinct().join(counted, "passage")
+    met = index.groupBy("block").cogroup(routed.groupBy("to")).applyInArrow(_meet(window, slop), FOUND)
+    return met, every.select("passage", "item").distinct()
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3) -> DataFrame:
+    """doc_id, n_words, hits (word places), items and near_items (item ids as strings, sorted) of each row of ``docs``.
+
+    ``docs`` has doc_id and text, ``items`` item_id and text.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n_words long, hits array<long>, items array<string>, near_items array<string>"
-
-    def pass_over(block: list[tuple], source: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(TestWindows(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = shared.value
-            names = np.array([*tests.items, ""], object)
-            for ids, texts in slices(batches):
-                n_words, hits, exact, near = _matches(tests, texts, slop)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(hits, pa.list_(pa.int64())),
-                        pa.array([sorted(names[x]) for x in exact], pa.list_(pa.string())),
-                        pa.array([sorted(names[x]) for x in near], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "n_words", "hits", "items", "near_items"],
-                )
-
-        return source.mapInArrow(run, schema)
-
-    todo = blocks(items.select("item_id", "text"), block_chars)
-    one = next(todo, [])
-    two = next(todo, None)
-    if two is None:
-        return pass_over(one, base)
-    # several blocks: rows are numbered, so that repeated rows stay apart
-    numbered = _numbered(base)
-    by_row = numbered.select(F.col("_row").alias("doc_id"), "text")
-    parts = pass_over(one, by_row)
-    while two is not None:
-        parts = parts.unionByName(pass_over(two, by_row).where((F.size("hits") > 0) | (F.size("near_items") > 0)))
-        two = next(todo, None)
-    # an item row stands in one block only, so its id counts once for each item row, as in one block
-    every = {c: F.flatten(F.collect_list(c)) for c in ("hits", "items", "near_items")}
-    every["hits"] = F.array_distinct(every["hits"])
-    united = parts.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), *(F.array_sort(x).alias(c) for c, x in every.items()))
-    return united.join(numbered.select("_row", "doc_id"), "_row").select("doc_id", "n_words", "hits", "items", "near_items")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
+    found, held = _find(docs.select(F.col("doc_id").cast("long"), "text"), items, window, slop)
+    found = keep(found, "found")
+    marked = lambda how: F.transform(how, lambda p: F.struct(p.alias("passage"), F.lit(how).alias("how")))
+    each = F.explode(F.concat(marked("exact"), marked("near"))).alias("r")
+    told = found.select("block", "nth", each).select("block", "nth", "r.*").join(held, "passage")
+    named = [F.array_sort(F.collect_set(F.when(F.col("how") == how, F.col("item")))).alias(name) for how, name in (("exact", "items"), ("near", "near_items"))]
+    told = told.groupBy("block", "nth").agg(*named)
+    none = F.array().cast("array<string>")
+    return found.join(told, ["block", "nth"], "left").select("doc_id", "n_words", "hits", *(F.coalesce(c, none).alias(c) for c in ("items", "near_items")))
+
+
+def _contaminated(share: int):
+    return (F.size("hits") > 0) & (F.size("hits").cast("long") * share >= F.col("n_words"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items of each row of ``docs``.
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
-    n_hit = F.size("hits").cast("long")
-    return find_items(docs, items, window, slop, block_chars).select(
+    return find_items(docs, items, window, slop).select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(share).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block_chars: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """``docs`` without contaminated rows, each judged on its own; all columns stay as they are."""
-    todo = blocks(items.select("item_id", "text"), block_chars)
-    one = next(todo, [])
-    if next(todo, None) is not None:
-        numbered = _numbered(docs)
-        found = find_items(numbered.select(F.col("_row").alias("doc_id"), "text"), items, window, 0, block_chars)
-        bad = found.where((F.size("hits") > 0) & (F.size("hits") * share >= F.col("n_words"))).select(F.col("doc_id").alias("_row"))
-        return numbered.join(bad, "_row", "left_anti").select(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(TestWindows(one, window))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for start, texts in _pieces(batch.column(at).to_pylist()):
-                n_words, hits, *_ = _matches(shared.value, texts, 0)
-                n_hit = np.array([len(h) for h in hits], np.int64)
-                clean = (n_hit == 0) | (n_hit * share < n_words)
-                yield batch.slice(start, len(texts)).filter(pa.array(clean))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > SLICE_CHARS:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t or "")
-    if texts:
-        yield start, texts[start:]
+    every, number = numbered(docs)
+    found, _ = _find(every.select(F.col(number).alias("doc_id"), "text"), items, window, None)
+    bad = keep(found.where(_contaminated(share)).select(F.col("doc_id").alias(number)), "contaminated")
+    return every.join(bad, number, "left_anti").select(docs.columns)

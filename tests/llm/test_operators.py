@@ -90,42 +90,85 @@ def _brute_items(text, items, window=13):
     return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [10, 8_000_000])
-def test_decontamination(spark, docs, none, block):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_decontamination(spark, docs, none, parts):
     from stacklore.llm import decontam
 
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS hits")
-    got = rows_of(decontam.decontaminate(docs, items, block_chars=block).drop("n_near_items"))
+    docs = docs.repartition(parts)
+    got = rows_of(decontam.decontaminate(docs, items).drop("n_near_items"))
     assert got == sorted(((i, *_brute_items(t, ITEMS)) for i, t, *_ in ROWS), key=str)
-    assert decontam.decontaminate(none, items, block_chars=block).count() == 0
+    assert decontam.decontaminate(none, items).count() == 0
     assert decontam.decontaminate(docs, items.where("item_id < 0")).where("n_hit > 0").count() == 0
-    kept = decontam.drop_contaminated(docs, items, block_chars=block)
+    kept = decontam.drop_contaminated(docs, items)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t, *_ in ROWS if not _brute_items(t, ITEMS)[-1])
+    assert decontam.drop_contaminated(none, items).count() == 0
 
 
-def test_decontamination_is_the_same_in_blocks(spark):
+def test_decontamination_of_rows_without_an_id_of_their_own(spark):
     from stacklore.llm import decontam
 
     hit, clean = ITEM + " tail", _text(21, 40)
-    docs = spark.createDataFrame([(None, hit, "a"), (None, clean, "b"), (7, hit, "c"), (7, clean, "d"), (8, clean, "e"), (8, clean, "f")], "doc_id long, text string, lang string").repartition(3)
-    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM), (3, "never seen here"), (1, ITEM)], "item_id long, text string")
-    one, many = (rows_of(decontam.decontaminate(docs, items, block_chars=n)) for n in (8_000_000, 10))
-    assert one == many and {r[3] for r in one} == {0, 4}
-    for n in (8_000_000, 10):
-        kept = decontam.drop_contaminated(docs, items, block_chars=n)
-        assert kept.columns == docs.columns and sorted(r.lang for r in kept.collect()) == ["b", "d", "e", "f"]
+    rows = [(None, hit, "a"), (None, clean, "b"), (7, hit, "c"), (7, clean, "d"), (8, clean, "e"), (8, clean, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number string").repartition(3)
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM), (3, "never seen here"), (1, "tail"), (None, ITEM)], "item_id long, text string")
+    got = decontam.find_items(docs, items).collect()
+    assert sorted((str(r.doc_id), r.items) for r in got if r.hits) == [("7", ["", "1", "2"]), ("None", ["", "1", "2"])] and len(got) == 6
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.row_number for r in kept.collect()) == ["b", "d", "e", "f"]
 
 
-def test_proximity(spark):
+def test_decontamination_of_long_items_and_texts(spark):
+    from stacklore.llm import decontam
+
+    # an item of many passages, and a text that is longer than a block
+    rng = random.Random(31)
+    item = " ".join(f"w{rng.randrange(9000)}" for _ in range(400))
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(700_000))
+    docs = [(1, long + " " + " ".join(item.split()[100:330])), (2, " ".join(item.split()[60:73]))]
+    got = {r.doc_id: r for r in decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].contaminated) == (700_230, 230, False) and (got[2].n_hit, got[2].n_items) == (13, 1)
+
+
+def _brute_near(text, items, window=13, slop=3):
+    """Items with a window that stands near but not exactly."""
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    w = word.findall((text or "").encode().lower())
+    found = set()
+    for i, t in items:
+        q = word.findall((t or "").encode().lower())
+        for at in range(max(1, len(q) - window + 1) if q else 0):
+            part = q[at : at + window]
+            need = -(-len(part) * 4 // 5)
+            if len(part) < 4 or any(w[p : p + len(part)] == part for p in range(len(w))):
+                continue
+            for s in range(-len(part) - slop, len(w) + slop):
+                there = sum(any(w[p] == x for p in range(max(0, s + k - slop), max(0, s + k + slop + 1)) if p < len(w)) for k, x in enumerate(part))
+                if there >= need:
+                    found.add(str(i))
+                    break
+    return len(found)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_proximity(spark, parts):
     from stacklore.llm.decontam import decontaminate
 
-    near = ITEM.split()
-    near.insert(6, "extra")
-    docs = spark.createDataFrame([(1, " ".join(near[:14])), (2, ITEM)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, " ".join(ITEM.split()[:13]))], "item_id long, text string")
-    got = {r.doc_id: (r.n_items, r.n_near_items) for r in decontaminate(docs, items).collect()}
-    assert got[1] == (0, 1) and got[2][0] == 1
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.sample(WORDS, n))) for i, n in ((1, 13), (2, 20), (3, 9), (4, 4), (5, 3))]
+    texts = []
+    for k in range(60):
+        w = rng.choice(items)[1].split()
+        for _ in range(k % 5):
+            at = rng.randrange(len(w))
+            how = rng.randrange(3)
+            w = w[:at] + ([] if how == 0 else [f"new{k}"] if how == 1 else [f"new{k}", w[at]]) + w[at + 1 :]
+            w = w or ["left"]
+        texts.append(" ".join([*rng.choices(WORDS, k=rng.randrange(6)), *w, *rng.choices(WORDS, k=rng.randrange(6))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r.n_near_items for r in decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: _brute_near(t, items) for i, t in enumerate(texts)} and sum(got.values()) > 20
 
 
 def test_language_labels(spark, docs, data):
