@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklore.sources.shared import shared_dir  # noqa: F401
@@ -26,7 +26,9 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
@@ -37,6 +39,22 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return keep(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def below(share: float) -> int:
+    """The largest of the numbers ``place`` that the given share of rows stays at or below."""
+    return int(min(1.0, share) * (1 << 63)) - 1
+
+
+def place(*cols: str) -> Column:
+    """A number from 0 to 2^63 - 1 that only the values of the columns settle."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the folder of a kept table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """Columns as Python lists, cut so that the text column of a piece holds
     about ``limit`` characters (one row at least; rows are never cut)."""

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep
+from stacklore.llm.base import forget, keep
 
 KEYS = ["conv_id", "call_id"]
 
@@ -50,10 +50,12 @@ def levels(calls: DataFrame) -> DataFrame:
         if not look.where("back IS NOT NULL").limit(1).count():
             break
         ahead = look.select("conv_id", F.col("call_id").alias("back"), F.col("back").alias("further"), F.col("level").alias("more"))
+        was = look
         look = keep(
             look.join(ahead, ["conv_id", "back"], "left").select(*KEYS, F.col("further").alias("back"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")),
             "levels",
         )
+        forget(was)
     return look.select(*KEYS, F.when(F.col("back").isNull(), F.col("level")).alias("level"))
 
 

@@ -3,17 +3,19 @@
 Every word of a text has a language as its hidden label. A word's potentials sum
 over hashed features: character n-grams of one to four with word borders (those at
 a border are its affixes) and, for frequent words of the training texts, the word
-itself (the lexicon). Transition potentials are learned too. Forward-backward over
+itself (the lexicon, ``LEXICON`` words of each language). Transition potentials are learned too. Forward-backward over
 the whole text gives each word's posterior; their mean over the text is its
 distribution, the largest share the prediction and the score.
 
 Texts carry one label each, so switching is learned from training sequences that
-splice runs of words of different languages. The fit uses at most about ``most``
-texts of each language, picked by hash from all labelled rows; equal texts count
-once.
-
-Null texts and texts without a letter are ``und`` with score 0. Repeated rows are
-labelled each on its own. Without labelled rows everything is ``und``.
+splice runs of words of different languages. The fit uses the ``most`` texts of each
+language whose hashes come first among all labelled rows; equal texts count once.
+
+Null texts and texts without a letter (digits and number signs are none) are ``und``
+with score 0. Repeated rows are labelled each on its own. Ties between languages go to
+the first by name. Without labelled rows everything is ``und``; an empty table gives an
+empty result. Extra columns are ignored, or carried as they are by
+``keep_known_languages``.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import slices
+from stacklore.llm.base import below, place, slices
 
-#: Labelled texts of each language that a fit uses, at most about.
+#: Labelled texts of each language that a fit uses, at most.
 FIT_TEXTS = 120
 FIT_STEPS = 25
 BUCKETS = 1 << 17
@@ -43,8 +45,8 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(w.isalpha() or any(map(str.isalpha, w)) for w in WORD.findall(text))
+def has_letter(words: list[str]) -> bool:
+    return any(any(map(str.isalpha, w)) for w in words)
 
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +62,10 @@ def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray
         same = owner[: len(h)] == owner[n - 1 :]
         x = (h[same] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         own.append(owner[: len(h)][same])
-        bucket.append((x % np.uint64(BUCKETS - LEXICON * 64)).astype(np.int64))
+        bucket.append((x % np.uint64(BUCKETS)).astype(np.int64))
     lex = np.array([lexicon.get(w, -1) for w in words], np.int64)
     own.append(np.flatnonzero(lex >= 0))
-    bucket.append(BUCKETS - 1 - lex[lex >= 0])
+    bucket.append(BUCKETS + lex[lex >= 0])
     return np.concatenate(own), np.concatenate(bucket)
 
 
@@ -113,7 +115,7 @@ class Chain:
 class LanguageModel:
     def __init__(self, names: list[str]):
         self.names, self.lexicon = names, {}
-        self.weights = np.zeros((BUCKETS, max(len(names), 1)), np.float32)
+        self.weights = np.zeros((BUCKETS + LEXICON * len(names), max(len(names), 1)), np.float32)
         self.transition = np.zeros((max(len(names), 1),) * 2)
 
     def fit(self, texts: list[str], labels: list[int], steps: int = FIT_STEPS) -> LanguageModel:
@@ -130,7 +132,7 @@ class LanguageModel:
                 runs.append((words[at : at + n], y))
                 at += n
         frequent = {w for c in common for w in sorted(c, key=lambda w: (-c[w], w))[:LEXICON] if c[w] > 2}
-        self.lexicon = {w: i for i, w in enumerate(sorted(frequent)[: LEXICON * 60])}
+        self.lexicon = {w: i for i, w in enumerate(sorted(frequent))}
         rng.shuffle(runs)
         vocab: dict[str, int] = {}
         seq, gold, lens = [], [], []
@@ -228,19 +230,22 @@ class Labeller:
             turn[ends[some] - 1] = False
             turns = np.add.reduceat(turn.astype(np.int64), (ends - lens)[some])
             for i, m, k in zip(some.tolist(), mean, turns.tolist()):
-                if has_letter(texts[start + i]) if len(parts[start + i]) < 4 else True:
+                if has_letter(parts[start + i]):
                     lang[start + i], score[start + i], switches[start + i] = names[int(m.argmax())], float(min(m.max(), 1.0)), k
         return lang, score, switches
 
 
 def fit(labelled: DataFrame, most: int = FIT_TEXTS) -> LanguageModel:
     """``labelled`` has text and lang; rows without either are left out."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"))
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", place("text").alias("h"))
     size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not size:
         return LanguageModel([])
-    cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, int(min(1.0, most / n) * 1_000_000))))
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(cut, F.col("lang"))).dropDuplicates(["h"]).select("text", "lang", "h").limit(4 * most * len(size)).collect()
+    # four times what is asked for, so that copies leave enough; a group of copies is one row from here on
+    cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, below(4 * most / n))))
+    near = rows.where(F.col("h") <= F.element_at(cut, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = near.withColumn("nth", nth).where(F.col("nth") <= most).select("text", "lang", "h").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     names = sorted({r["lang"] for r in sample})
     return LanguageModel(names).fit([r["text"] for r in sample], [names.index(r["lang"]) for r in sample])

@@ -63,18 +63,21 @@ SMALL = 200_000
 def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, the columns named in ``carry``, size, source_size, target, taken of every row of ``docs``.
 
-    Needs doc_id, text and source; other columns are ignored unless carried.
+    Needs doc_id, text and source; other columns are ignored unless carried, whatever
+    their names are. Do not carry columns named as those of the result.
     ``taken`` is at most ``max_epochs`` times ``size``; reruns agree.
     """
     sized = docs.select(
         "doc_id",
         "source",
-        *carry,
+        *([F.struct(*carry).alias("carried")] if carry else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (_hash(seed, F.col("doc_id").cast("string")) % BUCKETS).alias("bucket"),
     )
-    targets = source_targets(sized, epochs, max_epochs, weights)
-    filled = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # the only pass over the texts before the last one
+    words = keep(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "words")
+    targets = source_targets(words.withColumnRenamed("words", "size"), epochs, max_epochs, weights)
+    filled = words.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
@@ -104,7 +107,7 @@ def mix(docs: DataFrame, seed: str = "mix", epochs: float = 1.5, max_epochs: int
         .otherwise(F.lit(0))
     )
     return sized.join(edge, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", *carry, "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "source", *(["carried.*"] if carry else []), "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
     )
 
 

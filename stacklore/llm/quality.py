@@ -11,8 +11,9 @@ scatter, and below a minimum length no verdict is taken from a histogram.
 Base rules come first: too few words, or more than half of the words in repeated
 three-word windows, fail whatever the distances are.
 
-Null texts have no words and fail. Repeated rows are judged each on its own. An
-empty table gives an empty result.
+Null texts have no words and fail. Repeated rows are judged each on its own. Words as
+frequent as the last common one are taken by code point. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ and joins the findings back to all rows. Appended parts are separate folders, so
 run that breaks off leaves the ledger as it was.
 
 Null texts are the empty blob. Repeated rows and equal texts share one scan and
-get equal findings. An empty table gives an empty result.
+get equal findings, each under its own path. Spans that begin at one place are ordered
+by kind. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ class BlobLedger:
         done = [str(s.getPath()) for s in fs.listStatus(folder) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))] if fs.exists(folder) else []
         if not done:
             return self.spark.createDataFrame([], FOUND)
-        return self.spark.read.schema(FOUND).parquet(*done)
+        # two runs at once may both have scanned a blob
+        return self.spark.read.schema(FOUND).parquet(*done).dropDuplicates(["blob"])
 
     def scan(self, versions: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
         """All rows of ``versions`` (path, text) with the findings of their blobs;

@@ -21,7 +21,8 @@ caller's choice, at most about ``most`` of each class, picked by hash from all o
 them; one text of each label and family of near copies counts, so a large group of
 copies does not set the words. Null and empty texts and texts without a scored word have
 the score of no passage. Repeated rows are scored each on its own. Without labels
-of both classes every score is 0.
+of both classes every score is 0; an empty table gives an empty result. Ties between
+bounds go to the stricter one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import slices
+from stacklore.llm.base import below, place, slices
 
 #: Labelled rows of each class that a fit uses, at most about.
 FIT_ROWS = 8000
@@ -161,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicModel:
     size = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return ToxicModel({})
-    cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, int(min(1.0, most / n) * 1_000_000))))
-    picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(cut, F.col("toxic")))
+    cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, below(most / n))))
+    picked = labels.where(place("doc_id") <= F.element_at(cut, F.col("toxic")))
     # about 2 * most rows of two numbers, whatever the size of the tables
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(_family, "doc_id long, h long")
     first = rows.join(F.broadcast(picked), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))

@@ -593,3 +593,53 @@ def test_rare_pairs_miss_no_pair(spark):
                 both = sum((a & b).values())
                 assert both < limit * (sum(a.values()) + sum(b.values()) - both) or (i, j) in got
         assert len(got) < 60 * 59 / 2
+
+
+def test_numbers_are_no_letters(spark, data):
+    from stacklore.llm import langid
+
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    docs = spark.createDataFrame([(1, "\u00b2 \u00bd \u00be \u00b2 \u00b3"), (2, "12 34 56 78 90"), (3, "\u00b2 \u00bd the \u00be")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.label_languages(docs, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und"
+
+
+def test_samples_do_not_vanish_in_large_tables(spark):
+    from pyspark.sql import functions as F
+    from stacklore.llm.base import below, place
+
+    # of 10^11 rows 120 would stay: a share far below one millionth still is a range of numbers
+    assert 0 < below(120 / 1e11) < below(1.0) == (1 << 63) - 1 and below(7.0) == below(1.0)
+    numbers = spark.range(20_000).select(place("id").alias("h"))
+    assert numbers.where(F.col("h") < 0).count() == 0
+    n = numbers.where(F.col("h") <= below(0.1)).count()
+    assert 1800 < n < 2200
+
+
+def test_mixing_carries_columns_of_any_name(spark, docs):
+    from stacklore.llm.mixing import mix
+
+    names = ["bucket", "s", "whole", "share", "edge_bucket", "words", "carried", "rest", "upto", "edge"]
+    odd = docs.select("doc_id", "text", "source", *(F_lit(i).alias(c) for i, c in enumerate(names)))
+    got = mix(odd, carry=tuple(names))
+    assert {(r.doc_id, r.taken) for r in got.collect()} == {(r.doc_id, r.taken) for r in mix(docs).collect()}
+    assert got.select(*names).distinct().collect()[0][:] == tuple(range(len(names)))
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_a_blob_that_two_runs_added_is_one(spark):
+    from stacklore.llm import secrets
+
+    docs = spark.createDataFrame([(1, "token=0123456789"), (2, "token=0123456789"), (3, None)], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark)
+    secrets.scan_documents(docs, ledger)
+    other = secrets.BlobLedger(spark)
+    secrets.scan_documents(docs, other)
+    # what a second run that began before the first one ended leaves behind
+    other.read().coalesce(1).write.parquet(f"{ledger.path}/rules={secrets.RULES_VERSION}/part-late")
+    assert secrets.scan_documents(docs, ledger).count() == 3 and ledger.read().count() == 2
