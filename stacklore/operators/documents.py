@@ -102,50 +102,137 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-#: What each flag takes off a chunk's score.
+#: What each flag takes off a chunk's score, in the order of the flags.
 PENALTY = {
-    "broken_start": 0.20, "broken_end": 0.20, "short_fragment": 0.25, "page_artifact": 0.35, "reference_like": 0.60, "ocr_noise": 0.25,
-    "title_repeat": 0.10, "heading_like": 0.18, "front_matter": 0.45, "orphan_fragment": 0.35,
+    "broken_start": 0.20, "broken_end": 0.20, "short_fragment": 0.25, "bibliography_like": 0.60, "toc_like": 0.60, "page_artifact": 0.35,
+    "ocr_noise": 0.25, "title_repeat": 0.10, "author_repeat": 0.10, "heading_like": 0.18, "imprint_like": 0.22, "catalog_like": 0.40,
+    "address_like": 0.35, "front_matter_marker_like": 0.22, "front_matter_like": 0.45, "orphan_fragment": 0.35,
 }
-
-
-def chunk_flags(text: Column, title: Column, page: Column) -> dict[str, Column]:
-    t = collapsed(text)
-    words = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+"))
-    letters = F.greatest(F.regexp_count(t, F.lit(r"\p{L}")), F.lit(1))
-    broken_start = (F.length(t) >= 40) & t.rlike(r"^\p{Ll}")
-    short = (F.length(t) < 40) | (words < 6)
-    heading = (words > 0) & (words <= 12) & (F.length(t) <= 120) & ~t.rlike(r"[.!?…:;]$") & (F.regexp_count(t, F.lit(r"\p{Lu}")) / letters >= 0.68)
-    early = F.coalesce(page, F.lit(0)).between(1, 12)
-    hits = F.regexp_count(F.lower(t), F.lower(title))
-    return {
-        "broken_start": broken_start,
-        "broken_end": (F.length(t) >= 80) & ~t.rlike(r"[.!?…:;][\"'”’)\]]*$"),
-        "short_fragment": short,
-        "page_artifact": t.rlike(r"(?i)^(page|sayfa)?\s*\d{1,4}$"),
-        "reference_like": (F.regexp_count(t, F.lit(r"\b(1[5-9]|20)\d{2}\b")) >= 3) & (F.length(t) < 900),
-        "ocr_noise": F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}])\p{L}(?![\p{L}\p{N}])")) >= 0.18 * F.greatest(words, F.lit(1)),
-        "title_repeat": hits >= 2,
-        "heading_like": heading,
-        "front_matter": early & (heading | ((hits >= 1) & (words <= 12))),
-        "orphan_fragment": broken_start & (short | (heading & (words <= 16))),
-    }
+#: Words and phrases that mark a kind of chunk.
+CONNECTORS = ("ve", "veya", "ama", "ancak", "fakat", "lakin", "ile", "ki", "de", "da", "gibi", "icin", "için", "uzere", "üzere", "dolayisiyla", "dolayısıyla", "cunku", "çünkü", "zira", "oysa", "ise")
+REFERENCE_WORDS = ("kaynakça", "kaynakca", "kaynaklar", "references", "bibliography", "index", "dizin", "referanslar")
+TOC_WORDS = ("içindekiler", "icindekiler", "contents")
+SECTION_WORDS = (
+    "sunus", "sunuş", "onsoz", "önsöz", "giris", "giriş", "takdim", "icindekiler", "içindekiler", "sonsöz", "sonsoz", "prolog", "epilog",
+    "bolum", "bölüm", "kisim", "kısım", "chapter", "preface", "foreword", "introduction",
+)
+IMPRINT_WORDS = ("yayınları", "yayinlari", "yayinevi", "publisher", "publishing", "press", "copyright", "isbn", "dergah", "dergâh")
+FRONT_WORDS = ("yayınevimiz", "yayinevimiz", "baskı", "baski", "basım", "basim", "kapak", "sunuş")
+FRONT_PHRASES = ("bu kitap", "bu roman", "bu dizinin", "dizisi içinde", "dizisi icinde", "yayınlamak kararındadır", "yayinlamak kararindadir")
+ADDRESS_WORDS = (
+    "mah", "mahallesi", "cadde", "caddesi", "sokak", "sk", "apt", "apartmanı", "apartmani", "blok", "kat", "posta", "istanbul", "ankara", "izmir",
+    "tel", "telefon", "faks", "fax",
+)
+ADDRESS_PHRASES = ("iş merkezi", "is merkezi")
+#: The letters that count as such, large and small.
+LARGE, SMALL = "A-ZÇĞİÖŞÜ", "a-zçğıöşü"
+#: Pages on which front matter stands, and the shortest title that is looked for.
+EARLY, LEAST_TITLE = 12, 4
+
+
+def folded(text: Column) -> Column:
+    """Small letters, the Turkish ones without and with dot taken for one another."""
+    return F.lower(F.translate(text, "İı", "ii"))
+
+
+def _folded(words: tuple[str, ...]) -> list[str]:
+    return list(dict.fromkeys(w.translate(str.maketrans("İı", "ii")).lower() for w in words))
+
+
+def _phrases(phrases: tuple[str, ...], more: str = "") -> str:
+    return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:(?:{'|'.join(_folded(phrases))})(?:$|[^\p{{L}}\p{{N}}_]){more})"
+
+
+def literal_count(text: Column, part: Column) -> Column:
+    """How often ``part`` stands in ``text``, letter by letter (no pattern), without overlaps."""
+    return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part))) / F.length(part)).cast("long")).otherwise(0)
+
+
+def _named(low: Column, name: Column) -> Column:
+    name = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return F.when(F.length(name) >= LEAST_TITLE, literal_count(low, name)).otherwise(0)
+
+
+def chunk_flags(text: Column, title: Column, author: Column, page: Column) -> list[dict[str, Column]]:
+    """What the flags rest on, and the flags, as columns to add one after the other."""
+    c = F.col
+    has = lambda words: F.arrays_overlap(c("_words"), F.array(*map(F.lit, _folded(words))))
+    short = lambda x: F.when((c("_n") > 0) & (c("_n") <= 12) & (F.length("_t") <= 120), x).otherwise(F.lit(False))
+    letters, large = F.regexp_count("_t", F.lit(f"[{LARGE}{SMALL}]")), F.regexp_count("_t", F.lit(f"[{LARGE}]"))
+    names = F.expr(f"regexp_extract_all(_t, \"[{LARGE}{SMALL}][{LARGE}{SMALL}'-]*\", 0)")
+    capital = F.filter(names, lambda w: w.rlike(f"^[{LARGE}][{SMALL}'-]*[{SMALL}][{SMALL}'-]*$"))
+    lines = F.filter(F.transform(F.split(c("_raw"), r"\r\n|\n|\r"), F.trim), lambda x: F.length(x) > 0)
+    many = lambda pattern: F.size(F.filter("_lines", lambda x: x.rlike(pattern)))
+    raw, low, n = c("_raw"), c("_low"), c("_n")
+    item = r"\b\d{1,3}\s*[-–]"
+    return [
+        {"_raw": F.coalesce(text, F.lit("")), "_early": F.coalesce(page, F.lit(0)).between(1, EARLY)},
+        {"_t": collapsed(raw)},
+        {"_low": folded(c("_t")), "_n": F.regexp_count("_t", F.lit(f"[{LARGE}{SMALL}0-9]+"))},
+        {
+            "_words": F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+")),
+            "_single": F.size(F.filter(F.split(raw, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) == 1) & w.rlike(f"[{LARGE}{SMALL}]"))),
+            "_lines": F.when(raw.contains("\n") | raw.contains("\r"), lines).otherwise(F.array(F.trim(raw))),
+            "_title": _named(F.lower("_t"), title),
+            "_author": _named(F.lower("_t"), author),
+            "broken_start": (F.length("_t") >= 40) & (c("_t").rlike(r"^\p{Ll}") | low.rlike(rf"^(?:{'|'.join(_folded(CONNECTORS))})(?:$|[^\p{{L}}\p{{N}}_])")),
+            "broken_end": (F.length("_t") >= 80) & ~F.substring("_t", -1, 1).isin(*".!?…”\"')]"),
+            "short_fragment": (F.length("_t") < 40) | (n < 6),
+            "page_artifact": ((low.contains("page") | low.contains("sayfa")) & low.rlike(r"(?:^|[^\p{L}\p{N}_])(?:sayfa|page)\s*\d{1,4}(?:\s*/\s*\d{1,4})?(?:$|[^\p{L}\p{N}_])"))
+            | ((F.length("_t") <= 12) & low.rlike(r"^#?\s*\d{1,4}$")),
+            "heading_like": short(
+                ~F.substring("_t", -1, 1).isin(*".!?…”\"')]")
+                & ((large >= 0.68 * letters) & (letters > 0) | (n <= 8) & (F.size(capital) >= 0.85 * F.size(names)) & (F.size(names) > 0))
+            ),
+        },
+        {
+            "bibliography_like": has(REFERENCE_WORDS)
+            | ((F.length(raw) < 900) & (F.regexp_count(raw, F.lit(r"\b(?:18|19|20)\d{2}\b")) >= 3))
+            | (raw.contains("(") & (F.regexp_count(raw, F.lit(r"\([12]\d{3}[a-z]?\)")) >= 2))
+            | ((F.size("_lines") >= 4) & (many(r",\s*\d+(?:,\s*\d+)*\s*$") >= 0.4 * F.size("_lines"))),
+            "toc_like": has(TOC_WORDS) | ((F.size("_lines") >= 4) & (many(r"(?:\.{3,}|\s{3,})\s*\d{1,4}\s*$|^\d+(?:\.\d+)*\s+.+\s+\d{1,4}$") >= 3)),
+            "ocr_noise": ((n > 0) & (c("_single") >= 0.18 * n))
+            | raw.rlike("Ã.|Ä.|�|~|<;|;[\\p{L}\\p{N}_]")
+            | ((c("_single") >= 5) & raw.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:[{LARGE}{SMALL}]\s+){{4,}}[{LARGE}{SMALL}](?:$|[^\p{{L}}\p{{N}}_])")),
+            "title_repeat": c("_title") >= 2,
+            "author_repeat": c("_author") >= 2,
+            "imprint_like": has(IMPRINT_WORDS),
+            "catalog_like": c("_early") & ((F.regexp_count(raw, F.lit(item)) >= 2) | (raw.rlike(item) & raw.contains("/") & (n <= 30))),
+            "address_like": c("_early") & (has(ADDRESS_WORDS) | low.rlike(_phrases(ADDRESS_PHRASES, r"|no:[\p{L}\p{N}_]"))),
+            "front_matter_marker_like": has(FRONT_WORDS) | low.rlike(_phrases(FRONT_PHRASES)),
+        },
+        {
+            "front_matter_like": c("_early")
+            & (
+                c("heading_like") | c("imprint_like") | has(SECTION_WORDS) | c("front_matter_marker_like") | c("catalog_like") | c("address_like")
+                | ((n <= 12) & ((c("_title") >= 1) | (c("_author") >= 1)))
+            ),
+            "orphan_fragment": c("broken_start") & (c("short_fragment") | c("_early") | (c("heading_like") & (n <= 16))),
+        },
+    ]
 
 
 def chunk_quality(df: DataFrame) -> DataFrame:
-    """flags (array, in fixed order), score, and whether to skip the chunk (text, title, page_number)."""
-    flags = chunk_flags(F.col("text"), F.col("title"), F.col("page_number"))
-    df = df.withColumns(flags)
-    score = 1.0 - sum((F.when(F.col(f), p).otherwise(0.0) for f, p in PENALTY.items()), F.lit(0.0))
-    df = df.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 3))
+    """flags (array, in fixed order), score, and whether to skip the chunk (text, title, page_number, and author where there is one).
+
+    Title and author are counted letter by letter, whatever signs they hold; nulls count as empty.
+    """
+    given = df.columns
+    author = F.col("author") if "author" in given else F.lit("")
+    for step in chunk_flags(F.col("text"), F.col("title"), author, F.col("page_number")):
+        df = df.withColumns(step)
     has = F.col
+    off = {f: p for f, p in PENALTY.items() if f not in ("bibliography_like", "toc_like")}
+    score = 1.0 - sum((F.when(has(f), p).otherwise(0.0) for f, p in off.items()), F.when(has("bibliography_like") | has("toc_like"), PENALTY["toc_like"]).otherwise(0.0))
+    df = df.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 3))
     skip = (
-        (F.length(collapsed(F.col("text"))) == 0) | has("reference_like") | has("page_artifact") | has("front_matter") | has("orphan_fragment")
+        (F.length("_t") == 0) | has("bibliography_like") | has("toc_like") | has("page_artifact") | has("front_matter_like") | has("imprint_like")
+        | has("catalog_like") | has("address_like") | has("orphan_fragment")
         | (has("short_fragment") & (has("heading_like") | has("ocr_noise") | has("broken_start") | has("broken_end")))
-        | (has("broken_start") & has("broken_end")) | (F.col("score") < 0.35)
+        | (has("broken_start") & has("broken_end")) | (has("score") < 0.35)
     )
-    listed = F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in flags)))
-    return df.withColumn("flags", listed).withColumn("skip", skip).drop(*flags)
+    listed = F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in PENALTY)))
+    return df.select(*given, listed.alias("flags"), "score", skip.alias("skip"))
 
 
 def integrity(df: DataFrame) -> DataFrame:

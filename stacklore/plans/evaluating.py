@@ -51,33 +51,62 @@ def doc05_sentence_chunks(spark, d):
     return dc.sentence_chunks(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-_T = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-_FLAGS = rf"""{CONTENT}, c AS (SELECT *, {_T} AS t FROM content), w AS (SELECT *, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS words, greatest(len(regexp_extract_all(t, '\p{{L}}')), 1) AS letters, len(regexp_extract_all(lower(t), lower(title))) AS hits FROM c),
-f AS (SELECT *, length(t) >= 40 AND regexp_matches(t, '^\p{{Ll}}') AS broken_start, length(t) >= 80 AND NOT regexp_matches(t, '[.!?…:;]["''”’)\]]*$') AS broken_end, length(t) < 40 OR words < 6 AS short_fragment,
-regexp_matches(t, '(?i)^(page|sayfa)?\s*\d{{1,4}}$') AS page_artifact, len(regexp_extract_all(t, '\b(1[5-9]|20)\d{{2}}\b')) >= 3 AND length(t) < 900 AS reference_like,
-len(list_filter(string_split_regex(t, '[^\p{{L}}\p{{N}}]+'), lambda x: regexp_matches(x, '^\p{{L}}$'))) >= 0.18 * greatest(words, 1) AS ocr_noise, hits >= 2 AS title_repeat,
-words > 0 AND words <= 12 AND length(t) <= 120 AND NOT regexp_matches(t, '[.!?…:;]$') AND len(regexp_extract_all(t, '\p{{Lu}}')) / letters >= 0.68 AS heading_like FROM w),
-g AS (SELECT *, page_number BETWEEN 1 AND 12 AND (heading_like OR (hits >= 1 AND words <= 12)) AS front_matter, broken_start AND (short_fragment OR (heading_like AND words <= 16)) AS orphan_fragment FROM f),
-q AS (SELECT *, round(greatest(1 - 0.2::DOUBLE * broken_start::INT - 0.2::DOUBLE * broken_end::INT - 0.25::DOUBLE * short_fragment::INT - 0.35::DOUBLE * page_artifact::INT - 0.6::DOUBLE * reference_like::INT - 0.25::DOUBLE * ocr_noise::INT
- - 0.1::DOUBLE * title_repeat::INT - 0.18::DOUBLE * heading_like::INT - 0.45::DOUBLE * front_matter::INT - 0.35::DOUBLE * orphan_fragment::INT, 0), 3) AS score,
-array_to_string(list_filter([CASE WHEN broken_start THEN 'broken_start' END, CASE WHEN broken_end THEN 'broken_end' END, CASE WHEN short_fragment THEN 'short_fragment' END, CASE WHEN page_artifact THEN 'page_artifact' END,
-CASE WHEN reference_like THEN 'reference_like' END, CASE WHEN ocr_noise THEN 'ocr_noise' END, CASE WHEN title_repeat THEN 'title_repeat' END, CASE WHEN heading_like THEN 'heading_like' END, CASE WHEN front_matter THEN 'front_matter' END,
-CASE WHEN orphan_fragment THEN 'orphan_fragment' END], lambda x: x IS NOT NULL), ',') AS flags FROM g)"""
+def _listed(words):
+    return "[" + ", ".join(f"'{w}'" for w in dc._folded(words)) + "]"
+
+
+def _word(words):
+    return f"list_has_any(words, {_listed(words)})"
+
+
+_W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+_LETTER = f"[{dc.LARGE}{dc.SMALL}]"
+#: A chunk's title and author: "Book 7 - Author 2" names both.
+_FLAGS = rf"""{CONTENT}, c AS (SELECT *, coalesce(text, '') AS raw, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, coalesce(page_number, 0) BETWEEN 1 AND 12 AS early,
+  split_part(title, ' - ', 1) AS named, split_part(title, ' - ', 2) AS author FROM content),
+w AS (SELECT *, lower(translate(t, 'İı', 'ii')) AS low, len(regexp_extract_all(t, '[{dc.LARGE}{dc.SMALL}0-9]+')) AS n, list_filter(list_transform(string_split_regex(raw, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: length(x) > 0) AS ls,
+  len(list_filter(string_split_regex(raw, '{_NW}+'), lambda x: regexp_full_match(x, '{_LETTER}'))) AS single,
+  CASE WHEN length(named) >= 4 THEN (length(lower(t)) - length(replace(lower(t), lower(named), ''))) / length(named) ELSE 0 END AS titles,
+  CASE WHEN length(author) >= 4 THEN (length(lower(t)) - length(replace(lower(t), lower(author), ''))) / length(author) ELSE 0 END AS authors FROM c),
+x AS (SELECT *, string_split_regex(low, '{_NW}+') AS words, NOT regexp_matches(t, '[.!?…”"'')\]]$') AS open_end, regexp_extract_all(t, '{_LETTER}[{dc.LARGE}{dc.SMALL}''-]*') AS names FROM w),
+f AS (SELECT *, length(t) >= 40 AND (regexp_matches(t, '^\p{{Ll}}') OR list_contains({_listed(dc.CONNECTORS)}, regexp_extract(low, '^{_W}+'))) AS broken_start, length(t) >= 80 AND open_end AS broken_end,
+  length(t) < 40 OR n < 6 AS short_fragment,
+  {_word(dc.REFERENCE_WORDS)} OR (length(raw) < 900 AND len(regexp_extract_all(raw, '\b(?:18|19|20)\d{{2}}\b')) >= 3) OR len(regexp_extract_all(raw, '\([12]\d{{3}}[a-z]?\)')) >= 2
+  OR (len(ls) >= 4 AND len(list_filter(ls, lambda x: regexp_matches(x, ',\s*\d+(?:,\s*\d+)*\s*$'))) >= 0.4 * len(ls)) AS bibliography_like,
+  {_word(dc.TOC_WORDS)} OR (len(ls) >= 4 AND len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.{{3,}}|\s{{3,}})\s*\d{{1,4}}\s*$') OR regexp_matches(x, '^\d+(?:\.\d+)*\s+.+\s+\d{{1,4}}$'))) >= 3) AS toc_like,
+  regexp_matches(low, '(?:^|{_NW})(?:sayfa|page)\s*\d{{1,4}}(?:\s*/\s*\d{{1,4}})?(?:$|{_NW})') OR regexp_matches(low, '^#?\s*\d{{1,4}}$') AS page_artifact,
+  (n > 0 AND single >= 0.18 * n) OR regexp_matches(raw, 'Ã.|Ä.|�|~|<;|;{_W}') OR regexp_matches(raw, '(?:^|{_NW})(?:{_LETTER}\s+){{4,}}{_LETTER}(?:$|{_NW})') AS ocr_noise,
+  titles >= 2 AS title_repeat, authors >= 2 AS author_repeat,
+  n > 0 AND n <= 12 AND length(t) <= 120 AND open_end AND ((len(regexp_extract_all(t, '{_LETTER}')) > 0 AND len(regexp_extract_all(t, '[{dc.LARGE}]')) >= 0.68 * len(regexp_extract_all(t, '{_LETTER}')))
+  OR (n <= 8 AND len(names) > 0 AND len(list_filter(names, lambda x: regexp_matches(x, '^[{dc.LARGE}][{dc.SMALL}''-]*[{dc.SMALL}][{dc.SMALL}''-]*$'))) >= 0.85 * len(names))) AS heading_like,
+  {_word(dc.IMPRINT_WORDS)} AS imprint_like, {_word(dc.SECTION_WORDS)} AS section,
+  early AND (len(regexp_extract_all(raw, '\b\d{{1,3}}\s*[-–]')) >= 2 OR (regexp_matches(raw, '\b\d{{1,3}}\s*[-–]') AND contains(raw, '/') AND n <= 30)) AS catalog_like,
+  early AND ({_word(dc.ADDRESS_WORDS)} OR regexp_matches(low, '(?:^|{_NW})(?:(?:{'|'.join(dc._folded(dc.ADDRESS_PHRASES))})(?:$|{_NW})|no:{_W})')) AS address_like,
+  {_word(dc.FRONT_WORDS)} OR regexp_matches(low, '(?:^|{_NW})(?:{'|'.join(dc._folded(dc.FRONT_PHRASES))})(?:$|{_NW})') AS front_matter_marker_like FROM x),
+g AS (SELECT *, early AND (heading_like OR imprint_like OR section OR front_matter_marker_like OR catalog_like OR address_like OR (n <= 12 AND (titles >= 1 OR authors >= 1))) AS front_matter_like,
+  broken_start AND (short_fragment OR early OR (heading_like AND n <= 16)) AS orphan_fragment FROM f),
+q AS (SELECT *, round(greatest(1 - CASE WHEN bibliography_like OR toc_like THEN 0.6 ELSE 0 END::DOUBLE - {" - ".join(f"{p}::DOUBLE * {k}::INT" for k, p in dc.PENALTY.items() if k not in ("bibliography_like", "toc_like"))}, 0), 3) AS score,
+array_to_string(list_filter([{", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in dc.PENALTY)}], lambda x: x IS NOT NULL), ',') AS flags FROM g)"""
+
+
+def _chunks(spark, d):
+    part = lambda n: F.split_part(F.col("title"), F.lit(" - "), F.lit(n))
+    return content(spark, d).withColumns({"author": part(2), "title": part(1)})
 
 
 @query(f"WITH {_FLAGS} SELECT id, flags, score FROM q")
 def doc07_chunk_quality(spark, d):
-    return dc.chunk_quality(content(spark, d)).select("id", F.array_join("flags", ",").alias("flags"), "score")
+    return dc.chunk_quality(_chunks(spark, d)).select("id", F.array_join("flags", ",").alias("flags"), "score")
 
 
-@query(f"""WITH {_FLAGS} SELECT id, length(t) = 0 OR reference_like OR page_artifact OR front_matter OR orphan_fragment OR (short_fragment AND (heading_like OR ocr_noise OR broken_start OR broken_end)) OR (broken_start AND broken_end) OR score < 0.35 AS skip FROM q""")
+@query(f"""WITH {_FLAGS} SELECT id, length(t) = 0 OR bibliography_like OR toc_like OR page_artifact OR front_matter_like OR imprint_like OR catalog_like OR address_like OR orphan_fragment OR (short_fragment AND (heading_like OR ocr_noise OR broken_start OR broken_end)) OR (broken_start AND broken_end) OR score < 0.35 AS skip FROM q""")
 def doc08_ingestion_gate(spark, d):
-    return dc.chunk_quality(content(spark, d)).select("id", "skip")
+    return dc.chunk_quality(_chunks(spark, d)).select("id", "skip")
 
 
 @query(f"WITH {_FLAGS} SELECT id, CASE WHEN s >= 0.65 THEN 'EMBED' WHEN s >= 0.4 THEN 'REVIEW' ELSE 'QUARANTINE' END AS decision FROM (SELECT id, CASE WHEN broken_start AND broken_end THEN least(score, 0.6) ELSE score END AS s FROM q)")
 def doc09_integrity_decision(spark, d):
-    return dc.integrity(dc.chunk_quality(content(spark, d))).select("id", "decision")
+    return dc.integrity(dc.chunk_quality(_chunks(spark, d))).select("id", "decision")
 
 
 @query(rf"""WITH {CONTENT}, l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM content)
@@ -118,7 +147,7 @@ def doc14_derived_backfill(spark, d):
 @query(f"""WITH {_FLAGS}, e AS (SELECT item_id, id, unnest(string_split(flags, ',')) AS flag FROM q WHERE flags <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY item_id, flag ORDER BY id) AS k FROM e)
 SELECT item_id, flag, count(*) AS n, string_agg(lpad(id::VARCHAR, 12, '0'), ',' ORDER BY id) FILTER (k <= 12) AS first_ids FROM r GROUP BY ALL""")
 def agg22_chunk_quality_report(spark, d):
-    return dc.margin_report(dc.chunk_quality(content(spark, d)))
+    return dc.margin_report(dc.chunk_quality(_chunks(spark, d)))
 
 
 @query("SELECT item_id AS id, 'SYNTHESIS' AS intent, 'LOW' AS complexity FROM benchmark WHERE len(regexp_extract_all(text, '\\S+')) > 3 UNION ALL SELECT item_id, 'FOLLOW_UP', 'LOW' FROM benchmark WHERE len(regexp_extract_all(text, '\\S+')) <= 3")
