@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stacklore.operators.spelling import one_edit_keys
+
 #: Priors of source types in the re-rank.
 SOURCE_PRIOR = {"BOOK": 0.04, "HIGHLIGHT": 0.05, "INSIGHT": 0.05, "PERSONAL_NOTE": 0.03}
 
@@ -44,16 +46,16 @@ def compared(rows: DataFrame, per_item: int) -> DataFrame:
 
 
 def field_search(docs: DataFrame, queries: DataFrame, fields: dict[str, int]) -> DataFrame:
-    """query_id, id, score: weights of fields that hold a query word, or a word one edit away that shares its first two letters."""
+    """query_id, id, score: weights of fields that hold a query word, or a word one edit away from it."""
     every = None
     for name, weight in fields.items():
         own = docs.select("id", F.lit(weight).alias("weight"), F.explode(F.array_distinct(F.split(F.lower(name), r"[^\p{L}\p{N}]+"))).alias("word"))
         every = own if every is None else every.unionByName(own)
-    block = lambda c: F.substring(c, 1, 2)
-    every = every.where("length(word) >= 4").withColumn("block", block("word"))
-    q = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("asked")).where("length(asked) >= 4").withColumn("block", block("asked"))
-    words = every.select("word", "block").distinct().join(q.select("asked", "block").distinct(), "block").where(F.levenshtein("word", "asked") <= 1).select("word", "asked")
-    hits = q.join(words, "asked").join(every.drop("block"), "word").groupBy("query_id", "id", "asked").agg(F.max("weight").alias("w"))
+    every = every.where("length(word) >= 4")
+    q = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("asked")).where("length(asked) >= 4")
+    keyed = lambda df, c: df.select(c).distinct().select(c, F.explode(one_edit_keys(F.col(c))).alias("key"))
+    words = keyed(every, "word").join(keyed(q, "asked"), "key").where(F.levenshtein("word", "asked") <= 1).select("word", "asked").distinct()
+    hits = q.join(words, "asked").join(every, "word").groupBy("query_id", "id", "asked").agg(F.max("weight").alias("w"))
     return hits.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
@@ -94,11 +96,20 @@ def reference_class(text: Column) -> tuple[Column, Column]:
     return kind, F.coalesce(F.nullif(F.regexp_replace(pair, r"\s", ""), F.lit("")), F.nullif(number, F.lit("")))
 
 
-def unseen_pivot(concepts: DataFrame, titles: DataFrame, seen_titles: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Per tenant an unseen concept if there is one, else an unseen title."""
-    c = concepts.groupBy("tenant").agg(F.min("concept_id").alias("concept_id"))
-    t = titles.join(seen_titles, ["tenant", "title"], "left_anti").groupBy("tenant").agg(F.min("title").alias("title"))
-    return tenants.join(c, "tenant", "left").join(t, "tenant", "left").select("tenant", F.coalesce(F.concat(F.lit("concept:"), F.col("concept_id").cast("string")), F.concat(F.lit("title:"), "title")).alias("pivot"))
+def discovery_pivot(links: DataFrame, content: DataFrame, seen: DataFrame, tenants: DataFrame, strength: float = 0.7) -> DataFrame:
+    """tenant, pivot: a concept of the tenant's own unseen chunks that none of the chunks it has seen holds, by links of at
+    least ``strength``; else the title of one of its chunks that it has seen nothing of; else null. The least of each is taken.
+
+    ``links`` concept_id, content_id, strength; ``content`` id, tenant, title; ``seen`` tenant, content_id.
+    """
+    own = content.select("tenant", F.col("id").alias("content_id"))
+    fresh = own.join(seen, ["tenant", "content_id"], "left_anti").join(links.where(F.coalesce("strength", F.lit(1.0)) >= strength), "content_id").select("tenant", "concept_id").distinct()
+    touched = seen.join(links, "content_id").select("tenant", "concept_id")
+    gap = fresh.join(touched, ["tenant", "concept_id"], "left_anti").groupBy("tenant").agg(F.min("concept_id").alias("concept_id"))
+    known = seen.join(content.select(F.col("id").alias("content_id"), "title"), "content_id").select("tenant", "title")
+    dormant = content.select("tenant", "title").distinct().join(known, ["tenant", "title"], "left_anti").groupBy("tenant").agg(F.min("title").alias("title"))
+    pivot = F.coalesce(F.concat(F.lit("concept:"), F.col("concept_id").cast("string")), F.concat(F.lit("title:"), "title"))
+    return tenants.join(gap, "tenant", "left").join(dormant, "tenant", "left").select("tenant", pivot.alias("pivot"))
 
 
 def topic_anchor(notes: DataFrame, least: int = 3, newest: int = 10) -> DataFrame:
@@ -130,8 +141,23 @@ def answer_scores(df: DataFrame) -> DataFrame:
     return df.select("id", F.round(rel, 4).alias("relevance"), F.round(ocr, 4).alias("ocr"), F.round(depth, 4).alias("depth"), F.col("answer").rlike(r"(?m)^(#|- |\d+\.)").alias("formatted"))
 
 
-def windowed_dedupe(df: DataFrame, window: int) -> DataFrame:
-    """Per query, rows in rank order whose key none of the last ``window`` kept rows has (bounded heads)."""
+def without_repeats(df: DataFrame, order: list[str], chunk: Column) -> DataFrame:
+    """Per query, rows in order whose key differs from that of the row before.
+
+    ``chunk`` cuts each query's rows into runs that keep the order (a day, a page of ranks), so a query that holds
+    a third of all rows is spread over its runs; only the last key of each run goes on to the next one.
+    """
+    d = df.withColumn("chunk", chunk)
+    last = d.groupBy("query_id", "chunk").agg(F.max_by("key", F.struct(*order)).alias("last"))
+    before = last.select("query_id", "chunk", F.lag("last").over(Window.partitionBy("query_id").orderBy("chunk")).alias("brought"))
+    own = F.lag("key").over(Window.partitionBy("query_id", "chunk").orderBy(*order))
+    told = d.withColumn("own", own).withColumn("first", F.row_number().over(Window.partitionBy("query_id", "chunk").orderBy(*order)) == 1)
+    told = told.join(before, ["query_id", "chunk"]).withColumn("before", F.when(F.col("first"), F.col("brought")).otherwise(F.col("own")))
+    return told.where(F.col("before").isNull() | (F.col("before") != F.col("key"))).select("query_id", "id")
+
+
+def windowed_dedupe(df: DataFrame, window: int, head: int) -> DataFrame:
+    """Of the first ``head`` rows of each query by rank, those whose key none of the last ``window`` kept rows has."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, out = [], []
@@ -141,7 +167,7 @@ def windowed_dedupe(df: DataFrame, window: int) -> DataFrame:
                 out.append(i)
         return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(out), "id": out})
 
-    return df.select("query_id", "id", "rank", "key").groupBy("query_id").applyInPandas(keep, "query_id string, id long")
+    return df.select("query_id", "id", "rank", "key").where(F.col("rank") <= head).groupBy("query_id").applyInPandas(keep, "query_id string, id long")
 
 
 def table_chunks(tables: DataFrame, rows_each: int) -> DataFrame:

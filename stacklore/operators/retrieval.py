@@ -63,16 +63,36 @@ def terms_of(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     return df.select(F.col(ident), F.explode(words).alias("term")).where("term <> ''")
 
 
+#: Rows of a table of query terms up to which it is broadcast (some tens of bytes each); beyond it both sides are shuffled.
+SMALL = 500_000
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` with a hint to broadcast it, if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def term_hits(docs: DataFrame, queries: DataFrame, word: str = r"[\p{L}\p{N}]+") -> DataFrame:
+    """query_id, id, score: how many distinct words of a query (query_id, text) stand in a document (id, text).
+
+    A document's words meet the few query terms before anything is shuffled; only hits are.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({word})"))))
+    asked = queries.select("query_id", words("text").alias("term"))
+    return docs.select("id", words("text").alias("term")).join(if_small(asked), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0) -> DataFrame:
-    """query_id, id, bm25 over the whole corpus. Only terms of the queries are kept
-    with their documents; lengths are summed in the same pass."""
-    words = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    lens = docs.select("id", words.alias("len"))
-    size = lens.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
+    """query_id, id, bm25 over the whole corpus, whose words meet the query terms before
+    anything is shuffled; a document's length comes along with them."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = docs.select("id", words.alias("words"))
+    size = split.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("avg_len"))  # one row
     asked = terms_of(queries, "query_id").distinct()
-    tf = terms_of(docs, "id").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    each = split.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    tf = each.join(if_small(asked.select("term").distinct()), "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(tf, "term").join(df, "term").join(lens, "id").join(F.broadcast(size))
+    rows = tf.join(df, "term").join(asked, "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) + delta
     return rows.groupBy("query_id", "id").agg(F.sum(idf * part).alias("bm25"))
@@ -119,8 +139,8 @@ def promoted(df: DataFrame, score: str, n: int) -> DataFrame:
 def location_boost(score: Column, text: Column, title: Column, comment: Column, tokens: list[str]) -> Column:
     low = F.lower(text)
     hits = sum((low.contains(t).cast("int") for t in tokens), F.lit(0))
-    found = lambda c: F.lower(c).rlike("|".join(tokens)).cast("int")
-    return F.least(score + F.least(hits * 5, F.lit(25)) + 20 * F.coalesce(found(comment), F.lit(0)) + 10 * found(title), F.lit(100.0))
+    found = lambda c: F.coalesce(*(F.when(F.lower(c).contains(t), 1) for t in tokens), F.lit(0))
+    return F.least(score + F.least(hits * 5, F.lit(25)) + 20 * found(comment) + 10 * found(title), F.lit(100.0))
 
 
 def repeated_queries(logs: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries over fallbacks, expansion, re-ranking, anchors and provider payloads."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stacklore.catalog import query
 from stacklore.operators import answering as an
+from stacklore.operators import retrieval as rt
+from stacklore.operators.spelling import typo_rescue
 from stacklore.plans.searching import _L, _lists
+from stacklore.plans.texts import VOCABULARY, closest, dictionary
 from stacklore.sources.views import CONTENT, ITEMS, LINKS, LOGS, content, items, links, logs, table, vectors
 
 
@@ -47,12 +49,29 @@ def ret16_compare_fan_out(spark, d):
 
 @query(r"""WITH q AS (SELECT DISTINCT o_orderpriority AS query_id, unnest(string_split_regex(lower(o_orderpriority || ' small rinq widgt'), '[^\p{L}\p{N}]+')) AS asked FROM orders), w AS (SELECT p_partkey AS id, 3 AS weight, unnest(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+')) AS word FROM part
 UNION ALL SELECT p_partkey, 1, unnest(string_split_regex(lower(p_type), '[^\p{L}\p{N}]+')) FROM part),
-h AS (SELECT query_id, id, asked, max(weight) AS w FROM q JOIN w ON substr(asked, 1, 2) = substr(word, 1, 2) WHERE length(asked) >= 4 AND length(word) >= 4 AND levenshtein(asked, word) <= 1 GROUP BY ALL) SELECT query_id, id, sum(w)::BIGINT AS score FROM h GROUP BY ALL""")
+h AS (SELECT query_id, id, asked, max(weight) AS w FROM q JOIN w ON true WHERE length(asked) >= 4 AND length(word) >= 4 AND levenshtein(asked, word) <= 1 GROUP BY ALL) SELECT query_id, id, sum(w)::BIGINT AS score FROM h GROUP BY ALL""")
 def ret17_field_search(spark, d):
     q = table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_id"), F.concat("o_orderpriority", F.lit(" small rinq widgt")).alias("text")).distinct()
     return an.field_search(table(spark, d, "part").withColumnRenamed("p_partkey", "id"), q, {"p_name": 3, "p_type": 1})
 
 
+_ASKED = r"""q0 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 7)[1] AS w FROM benchmark), q AS (SELECT query_id, w[1:2] || w[4:] AS word FROM q0 WHERE w IS NOT NULL)"""
+_TERMS = "t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
+
+
+@query(f"""WITH {VOCABULARY}, {_ASKED}, {_TERMS}, hits AS (SELECT query_id, id FROM q JOIN t USING (word)),
+weak AS (SELECT query_id, word FROM q WHERE (SELECT count(*) FROM hits h WHERE h.query_id = q.query_id) <= 2 AND word NOT IN (SELECT word FROM v WHERE n >= 20)), {closest('weak')},
+more AS (SELECT w.query_id, t.id, row_number() OVER (PARTITION BY w.query_id ORDER BY t.id) AS nth FROM weak w JOIN fixes f USING (word) JOIN t ON t.word = f.fix WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = w.query_id AND h.id = t.id))
+SELECT query_id, id, false AS rescued FROM hits UNION ALL SELECT query_id, id, true FROM more WHERE nth <= 160""")
+def ret11_typo_rescue(spark, d):
+    """The first long word of each item without its third letter, searched for as it is and then corrected."""
+    w = F.try_element_at(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")), lambda x: F.length(x) >= 7), F.lit(1))
+    q = table(spark, d, "benchmark").withColumn("w", w).where("w IS NOT NULL")
+    q = q.select(F.col("item_id").alias("query_id"), F.concat(F.substring("w", 1, 2), F.expr("substr(w, 4)")).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return typo_rescue(q, lambda asked: rt.term_hits(docs, asked, "[a-z]+"), dictionary(spark, d)[1])
+
+
 @query(f"""WITH {LOGS} SELECT id, '{{"intent":"' || intent || '","status":"' || CASE WHEN intent = 'error' THEN 'failed' ELSE 'logged' END || '"}}' AS strategy FROM logs""")
 def ret20_log_patch(spark, d):
     lg = logs(spark, d)
@@ -85,14 +104,14 @@ def mth02_reference_class(spark, d):
     return table(spark, d, "customer").withColumn("text", text).select(F.col("c_custkey").alias("id"), kind.alias("kind"), ref.alias("ref"))
 
 
-@query(f"""WITH {CONTENT}, {LINKS}, {LOGS}, s AS (SELECT DISTINCT tenant, result_count AS content_id FROM logs), u AS (SELECT tenant, concept_id FROM (SELECT DISTINCT tenant FROM s), (SELECT DISTINCT concept_id FROM links) EXCEPT SELECT tenant, concept_id FROM s JOIN links USING (content_id))
-SELECT t.tenant, 'concept:' || min(concept_id) AS pivot FROM (SELECT DISTINCT tenant FROM s) t LEFT JOIN u USING (tenant) GROUP BY 1""")
+@query(f"""WITH {CONTENT}, {LINKS}, {LOGS}, s AS (SELECT DISTINCT tenant, result_count AS content_id FROM logs),
+fresh AS (SELECT DISTINCT c.tenant, concept_id FROM content c JOIN links l ON l.content_id = c.id WHERE strength >= 0.7 AND NOT EXISTS (SELECT 1 FROM s WHERE s.tenant = c.tenant AND s.content_id = c.id)),
+touched AS (SELECT tenant, concept_id FROM s JOIN links USING (content_id)), gap AS (SELECT tenant, min(concept_id) AS concept_id FROM (SELECT * FROM fresh EXCEPT SELECT * FROM touched) GROUP BY 1),
+dormant AS (SELECT tenant, min(title) AS title FROM (SELECT tenant, title FROM content EXCEPT SELECT s.tenant, c.title FROM s JOIN content c ON c.id = s.content_id) GROUP BY 1)
+SELECT tenant, coalesce('concept:' || concept_id, 'title:' || title) AS pivot FROM (SELECT DISTINCT tenant FROM s) LEFT JOIN gap USING (tenant) LEFT JOIN dormant USING (tenant)""")
 def rec04_discovery_pivot(spark, d):
-    from stacklore.operators.graph import unseen_concepts
-
     seen = logs(spark, d).select("tenant", F.col("result_count").alias("content_id")).distinct()
-    titles = content(spark, d).select("tenant", "title").distinct()
-    return an.unseen_pivot(unseen_concepts(links(spark, d), seen), titles, titles.where("false"), seen.select("tenant").distinct())
+    return an.discovery_pivot(links(spark, d), content(spark, d).select("id", "tenant", "title"), seen, seen.select("tenant").distinct())
 
 
 @query(f"WITH {CONTENT}, {LOGS}, e AS (SELECT tenant, max(created_at) AS last_at, count(*) AS n FROM logs GROUP BY 1) SELECT tenant, n, last_at < TIMESTAMP '2024-01-30' AS refresh FROM e")
@@ -143,8 +162,8 @@ def eva07_answer_scores(spark, d):
 
 @query(f"WITH {LOGS}, s AS (SELECT tenant AS query_id, id, intent, lag(intent) OVER (PARTITION BY tenant ORDER BY created_at, id) AS before FROM logs) SELECT query_id, id FROM s WHERE before IS NULL OR before <> intent")
 def win08_windowed_dedupe(spark, d):
-    w = Window.partitionBy("tenant").orderBy("created_at", "id")
-    return an.windowed_dedupe(logs(spark, d).select(F.col("tenant").alias("query_id"), "id", F.row_number().over(w).alias("rank"), F.col("intent").alias("key")), 1)
+    rows = logs(spark, d).select(F.col("tenant").alias("query_id"), "id", "created_at", F.col("intent").alias("key"))
+    return an.without_repeats(rows, ["created_at", "id"], F.to_date("created_at"))
 
 
 @query("""WITH t AS (SELECT doc_id AS id, source AS title, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT *, greatest(ceil((len(ls) - 1) / 3), 1)::INT AS n FROM t), e AS (SELECT *, unnest(range(0, n))::INT AS piece FROM p)

@@ -107,8 +107,8 @@ def _lists(spark, d):
     """Documents by shared long words, and those with two or more, as two ranked lists."""
     split = lambda c: F.split(F.lower(c), "[^a-z]+")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.filter(split("text"), lambda w: F.length(w) >= 7))).alias("term"))
-    t = content(spark, d).select("id", F.explode(split("text")).alias("term")).distinct()
-    lx = q.join(t, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
+    t = content(spark, d).select("id", F.explode(F.array_distinct(split("text"))).alias("term"))
+    lx = t.join(rt.if_small(q), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
     return lx, lx.where("score >= 2").select("query_id", "id", F.least("score", F.lit(2)).alias("score"))
 
 

@@ -180,12 +180,33 @@ def fun24_boilerplate(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), t.strip_boilerplate(F.concat("url", F.lit(" ISBN 978-1-4028-9462-6  end"))).alias("bare"))
 
 
-@query("""WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE length(word) > 4 GROUP BY 1),
-rare AS (SELECT word FROM v WHERE n = 1 AND length(word) = 6), common AS (SELECT word AS fix, n FROM v WHERE n >= 20)
-SELECT word, arg_max(fix, (n, fix)) AS fix FROM rare JOIN common ON substr(word, 1, 2) = substr(fix, 1, 2) AND levenshtein(word, fix) = 1 GROUP BY 1""")
+def common_letters(a, b):
+    """SQL for the length of the longest common subsequence: a row of the usual table is one number."""
+    places = f"list_sum([CASE WHEN substr({b}, j::INT, 1) = ch THEN 1::HUGEINT << (j - 1)::INT ELSE 0 END for j in range(1, length({b}) + 1)])::HUGEINT"
+    full = f"((1::HUGEINT << length({b})::INT) - 1)"
+    return f"(length({b}) - bit_count(list_reduce(string_split({a}, ''), lambda v, ch: ((v + (v & {places})) | (v - (v & {places}))) & {full}, {full})))"
+
+
+VOCABULARY = "v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) > 2 GROUP BY 1)"
+
+
+def closest(words):
+    """SQL: word and fix of the rows of ``words`` (word) by the dictionary of words that stand 20 times or more."""
+    return f"""near AS (SELECT word, fix FROM (SELECT DISTINCT word FROM {words}) w JOIN (SELECT word AS fix FROM v WHERE n >= 20) c
+ON 5 * abs(length(word) - length(fix)) < length(word) + length(fix) AND 5 * levenshtein(word, fix) < length(word) + length(fix) WHERE length(word) BETWEEN 3 AND 62 AND length(fix) <= 62),
+fixes AS (SELECT word, arg_max(fix, (common, -ord)) AS fix FROM (SELECT *, 200 * lcs / (length(word) + length(fix)) AS common, row_number() OVER (ORDER BY fix) AS ord FROM (SELECT *, {common_letters("word", "fix")} AS lcs FROM near)) WHERE common > 80 GROUP BY 1)"""
+
+
+def dictionary(spark, d):
+    """The words of the corpus with their counts, and those that stand 20 times or more."""
+    v = rp.vocabulary(_docs(spark, d), "([a-z]+)")
+    return v, v.where("n >= 20").select(F.col("word").alias("fix"))
+
+
+@query(f"WITH {VOCABULARY}, rare AS (SELECT word FROM v WHERE n < 20), {closest('rare')} SELECT word, fix FROM fixes")
 def fun25_dictionary_correction(spark, d):
-    v = rp.vocabulary(_docs(spark, d), "([a-z]+)").where("length(word) > 4")
-    rare = v.where("n = 1 AND length(word) = 6").select("word", F.substring("word", 1, 2).alias("block"))
-    common = v.where("n >= 20").select(F.col("word").alias("fix"), "n", F.substring("word", 1, 2).alias("block"))
-    near = rare.join(common, "block").where(F.levenshtein("word", "fix") == 1)
-    return near.groupBy("word").agg(F.max_by("fix", F.struct("n", "fix")).alias("fix"))
+    """Every word of three letters or more that the dictionary lacks, with its closest word at a similarity above 80."""
+    from stacklore.operators.spelling import closest_words
+
+    v, known = dictionary(spark, d)
+    return closest_words(v.where("n < 20"), known).select("word", "fix")

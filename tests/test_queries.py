@@ -153,3 +153,48 @@ def test_chunk_quality_cases(spark):
     for i, r in enumerate(rows):
         assert r[3] is None or r[3] in got[i].flags, r
     assert all(got[i].skip for i in (0, 2, 3, 4, 5, 9)) and "title_repeat" not in got[7].flags
+
+
+def _alike(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = old[j - 1] + 1 if x == y else max(old[j], row[j - 1])
+    return 200 * row[-1] / (len(a) + len(b))
+
+
+def test_closest_words_miss_no_pair(spark):
+    import random
+
+    from stacklore.operators.spelling import closest_words
+
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choices("abcde", k=n))
+    known = sorted({made(rng.randint(2, 14)) for _ in range(300)})
+    asked = {made(rng.randint(1, 14)) for _ in range(200)}
+    for w in rng.sample(known, 150):
+        x = list(w)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 1))
+        asked.add("".join(x))
+    asked = sorted(asked - set(known) - {""}) + ["x" * 70]
+    got = closest_words(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([(w,) for w in known], "fix string"))
+    want = {}
+    for w in asked:
+        best = max(((_alike(w, k), [-ord(c) for c in k] + [0], k) for k in known), default=None)
+        if 3 <= len(w) <= 62 and best[0] > 80:
+            want[w] = min((k for k in known if _alike(w, k) == best[0]))
+    assert {r.word: r.fix for r in got.collect()} == want and len(want) > 100
+
+
+def test_typo_rescue_asks_only_weak_queries_again(spark):
+    from stacklore.operators.retrieval import term_hits
+    from stacklore.operators.spelling import typo_rescue
+
+    docs = spark.createDataFrame([(i, "yonetim notu") for i in range(1, 6)] + [(9, "hayatta")], "id long, text string")
+    queries = spark.createDataFrame([(1, "yonetm"), (2, "notu"), (3, "qqqq")], "query_id long, text string")
+    known = spark.createDataFrame([("yonetim",), ("notu",), ("not",)], "fix string")
+    got = sorted(map(tuple, typo_rescue(queries, lambda q: term_hits(docs, q), known, limit=3).collect()))
+    assert got == [(1, i, True) for i in (1, 2, 3)] + [(2, i, False) for i in (1, 2, 3, 4, 5)]
