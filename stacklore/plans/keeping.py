@@ -70,9 +70,10 @@ def snk09_retention(spark, d):
     return sinks.retain(logs(spark, d), "created_at", "2024-01-31 00:00:00", 15).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CONTENT} SELECT item_id, md5('# ' || min(title) || chr(10) || string_agg('## ' || content_type || chr(10) || text, chr(10) ORDER BY chunk_index, id)) AS bundle FROM content GROUP BY 1")
+@query(f"""WITH {CONTENT}, p AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY chunk_index, id) - 1) // 200 AS part, min(title) OVER (PARTITION BY item_id) AS head FROM content)
+SELECT item_id, p.part::BIGINT AS part, md5(CASE WHEN p.part = 0 THEN '# ' || any_value(head) || chr(10) ELSE '' END || string_agg('## ' || content_type || chr(10) || text, chr(10) ORDER BY chunk_index, id)) AS text FROM p GROUP BY item_id, p.part""")
 def snk10_item_bundles(spark, d):
-    return sinks.item_bundles(content(spark, d)).select("item_id", F.md5("bundle").alias("bundle"))
+    return sinks.item_bundles(content(spark, d)).withColumn("text", F.md5("text"))
 
 
 @query(None)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +31,13 @@ COLLECTION = "metadata STRUCT<name: STRING, sections: MAP<STRING, STRING>>, hadi
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Rows of nested collections: chapter by section number, grades as text, first of each id."""
     raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-    h = raw.select("metadata", F.explode("hadiths").alias("h"))
+    h = raw.select("metadata", F.col("_metadata.file_path").alias("file"), F.posexplode("hadiths").alias("nth", "h"))
     out = h.select(
         F.concat_ws(":", "metadata.name", F.col("h.hadithnumber").cast("string")).alias("id"), F.try_element_at("metadata.sections", F.col("h.reference.book").cast("string")).alias("chapter"),
-        F.array_join(F.transform("h.grades", lambda g: F.concat_ws(": ", g["name"], g["grade"])), "; ").alias("grades"), F.col("h.text").alias("text"),
+        F.array_join(F.transform("h.grades", lambda g: F.concat_ws(": ", g["name"], g["grade"])), "; ").alias("grades"), F.col("h.text").alias("text"), "file", "nth",
     )
-    return out.where(F.length(F.trim("text")) > 0).dropDuplicates(["id"])
+    first = out.where(F.length(F.trim("text")) > 0).groupBy("id").agg(F.min(F.struct("file", "nth", "chapter", "grades", "text")).alias("r"))
+    return first.select("id", "r.chapter", "r.grades", "r.text")
 
 
 def assemble(texts: DataFrame, translations: DataFrame, tokens: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -43,12 +48,36 @@ def assemble(texts: DataFrame, translations: DataFrame, tokens: DataFrame, keys:
     return texts.join(tr, keys, "full").join(roots, keys, "full")
 
 
-def read_parser_pages(spark: SparkSession, path: str) -> DataFrame:
-    """file, page, text of all page arrays under a prefix, one or two levels deep; unreadable objects are left out."""
-    page = "ARRAY<STRUCT<page: INT, text: STRING>>"
-    raw = spark.read.schema(f"pages {page}, result STRUCT<pages: {page}>").option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{path}/*.json")
-    every = F.concat(F.coalesce("pages", F.array().cast(page)), F.coalesce("result.pages", F.array().cast(page)))
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.explode(every).alias("p")).select("file", "p.page", "p.text")
+def _pages_of(node: object) -> Iterator[dict]:
+    """The entries of every array named ``pages``, at any depth, in the order of the text."""
+    if isinstance(node, dict):
+        found = node.get("pages")
+        if isinstance(found, list):
+            yield from (p for p in found if isinstance(p, dict))
+    for inner in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
+        yield from _pages_of(inner)
+
+
+def read_parser_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, object, nth, page, text of the page entries of all JSON objects under a prefix.
+
+    A file is one object, or with ``lines`` each of its lines; ``object`` numbers them in the order of the files' names.
+    ``nth`` keeps the order inside an object. Unreadable objects are left out.
+    """
+    raw = spark.read.option("wholetext", not lines).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("object"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file, number, value in b.itertuples(index=False):
+                try:
+                    node = json.loads(value)
+                except ValueError:
+                    continue
+                rows += [(file, number, n, p.get("page"), p.get("text")) for n, p in enumerate(_pages_of(node))]
+            yield pd.DataFrame(rows, columns=["file", "object", "nth", "page", "text"]).astype({"page": "Int64"})
+
+    return raw.mapInPandas(run, "file string, object long, nth long, page long, text string")
 
 
 def yesterday_on(logs: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

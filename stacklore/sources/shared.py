@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a fresh local folder where the session names none
-    (local mode and tests)."""
+    (local mode and tests only: executors elsewhere would not see it)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

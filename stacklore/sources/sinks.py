@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,26 +20,44 @@ def write_json_lines(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 
 
-def rebuild(spark: SparkSession, parts: DataFrame, key: str, root: str, version: str) -> int:
-    """Load the partitions of ``parts`` that this version lacks, then point ``current`` at it; gives how many were left."""
-    out, done = f"{root}/version={version}", f"{root}/done"
-    names = parts.select(F.lit(version).alias("version"), key).distinct()
+def _known(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that the first run does not have yet."""
     try:
-        known = spark.read.parquet(done)
-        names = names.join(known, ["version", key], "left_anti")
-    except Exception as e:  # the first run has no such folder
+        return spark.read.parquet(path)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    left = names.cache()
+        return None
+
+
+def rebuild(spark: SparkSession, parts: DataFrame, key: str, root: str, version: str) -> int:
+    """Load the partitions of ``parts`` that this version lacks, then point at it; gives how many were left.
+
+    A partition is written by replacing its folder and only then noted as done, so a run that broke off in between
+    writes it once more and no row twice. The pointer is the last of a growing list, so there always is one.
+    """
+    out, done = f"{root}/version={version}", f"{root}/done"
+    names = parts.select(F.lit(version).alias("version"), F.col(key).cast("string").alias(key)).distinct()
+    known = _known(spark, done)
+    left = (names if known is None else names.join(known.select("version", key), ["version", key], "left_anti")).cache()
     n = left.count()
     if n:
-        parts.join(left.select(key), key, "left_semi").write.mode("append").partitionBy(key).parquet(out)
+        todo = parts.join(left.select(key), parts[key].cast("string") == left[key], "left_semi")
+        todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(out)
         left.write.mode("append").parquet(done)
     left.unpersist()
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    turns = _known(spark, f"{root}/current")
+    turn = 0 if turns is None else turns.agg(F.max("turn")).first()[0] + 1
+    spark.createDataFrame([(turn, version)], "turn long, version string").coalesce(1).write.mode("append").parquet(f"{root}/current")
     return n
 
 
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The version that the last finished rebuild points at."""
+    version = spark.read.parquet(f"{root}/current").orderBy(F.desc("turn")).first()["version"]
+    return spark.read.parquet(f"{root}/version={version}")
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """The target after updates: matching keys take the new row, others are added. Keys must be unique on each side."""
     rest = [c for c in target.columns if c not in keys]
@@ -97,8 +116,22 @@ def retain_parents(parents: DataFrame, children: DataFrame, key: str, ts: str, n
     return marked.where(~old | F.col("c")).drop("c")
 
 
-def item_bundles(chunks: DataFrame) -> DataFrame:
-    """One text document for each item: a header, then its chunks in order with their kind."""
+#: Chunks of one part of a bundle.
+PART = 200
+
+
+def item_bundles(chunks: DataFrame, part: int = PART) -> DataFrame:
+    """item_id, part, text: one text document for each item in parts of at most ``part`` chunks: a header first, then the chunks in order with their kind.
+
+    Chunks are counted off within ranges of their place, so an item with a third of all rows is many small groups.
+    """
     line = F.concat(F.lit("## "), F.col("content_type"), F.lit("\n"), F.col("text"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id", line.alias("line")))), lambda x: x["line"]), "\n")
-    return chunks.groupBy("item_id").agg(F.concat(F.lit("# "), F.min("title"), F.lit("\n"), body).alias("bundle"))
+    spans = chunks.groupBy("item_id", "chunk_index").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("item_id").orderBy("chunk_index")) - F.col("n")
+    nth = F.row_number().over(Window.partitionBy("item_id", "chunk_index").orderBy("id"))
+    placed = chunks.withColumn("nth", nth).join(spans.select("item_id", "chunk_index", upto.alias("before")), ["item_id", "chunk_index"])
+    placed = placed.withColumn("at", F.col("before") + F.col("nth") - 1).withColumn("part", F.floor(F.col("at") / part))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
+    head = F.when(F.col("part") == 0, F.concat(F.lit("# "), F.col("title"), F.lit("\n"))).otherwise(F.lit(""))
+    titles = chunks.groupBy("item_id").agg(F.min("title").alias("title"))
+    return placed.groupBy("item_id", "part").agg(body.alias("body")).join(titles, "item_id").select("item_id", "part", F.concat(head, "body").alias("text"))

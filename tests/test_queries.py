@@ -198,3 +198,56 @@ def test_typo_rescue_asks_only_weak_queries_again(spark):
     known = spark.createDataFrame([("yonetim",), ("notu",), ("not",)], "fix string")
     got = sorted(map(tuple, typo_rescue(queries, lambda q: term_hits(docs, q), known, limit=3).collect()))
     assert got == [(1, i, True) for i in (1, 2, 3)] + [(2, i, False) for i in (1, 2, 3, 4, 5)]
+
+
+def test_provider_results_rank_by_isbn_or_likeness(spark):
+    from difflib import SequenceMatcher
+
+    from stacklore.operators.providers import first_of_each, ranked
+
+    rows = [
+        (1, "google-books", 0, "Şehir ve Köy", "A. Yazar", []), (1, "open-library", 1, "sehir ve koy ", "a. yazar", []), (1, "open-library", 2, "Other", "B", ["2", "1"]),
+        (1, "open-library-bib", 3, "Else", "C", ["1", None, "2"]), (1, "open-library", 4, " ", None, None), (2, "open-library", 5, "X", "Y", ["9"]), (2, "open-library-bib", 6, "Z", "W", ["8"]),
+    ]
+    got = first_of_each(spark.createDataFrame(rows, "query_id long, provider string, nth long, title string, author string, isbns array<string>"))
+    assert sorted((r.query_id, r.key, r.nth) for r in got.collect()) == [(1, "1,2", 2), (1, "sehir ve koy|a. yazar", 0), (2, "8", 6), (2, "9", 5)]
+    queries = spark.createDataFrame([(1, "Sehir ve", []), (2, "9", ["9"])], "query_id long, text string, isbns array<string>")
+    order = {(r.query_id, r.nth): (r.position, r.score) for r in ranked(got, queries).collect()}
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = 0.58 * like("sehir ve", "sehir ve koy") + 0.22 * like("sehir ve", "a. yazar") + 0.20 + 0.04
+    assert order[1, 0] == (1, round(want, 6)) and order[1, 2][0] == 2 and order[2, 5] == (1, 1.08) and order[2, 6] == (2, 0.12)
+
+
+def test_hashed_vectors_agree_with_the_query(spark, data):
+    from stacklore.functions.udfs import hashed_vector
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in QUERIES["udf01_embedding"](spark, data).collect():
+        v = hashed_vector(docs[r.doc_id])
+        assert abs(r.first - v[0]) < 1e-6 and abs(r.last - v[63]) < 1e-6
+
+
+def test_a_rebuild_that_broke_off_loads_no_row_twice(spark, tmp_path):
+    import shutil
+
+    from stacklore.sources.sinks import read_current, rebuild
+
+    parts = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "part string, v long")
+    assert rebuild(spark, parts, "part", str(tmp_path), "1") == 2
+    shutil.rmtree(tmp_path / "done")  # as if the run had ended before it noted what it did
+    assert rebuild(spark, parts, "part", str(tmp_path), "1") == 2
+    assert sorted(r.v for r in read_current(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    assert rebuild(spark, parts.where("part = 'a'"), "part", str(tmp_path), "2") == 1
+    assert [r.v for r in read_current(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_runs_of_keys_across_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from stacklore.operators.answering import without_repeats
+
+    keys = "aabbbacccaab"
+    df = spark.createDataFrame([("q", i, k) for i, k in enumerate(keys)] + [("p", 100, "a")], "query_id string, id long, key string")
+    want = [i for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k] + [100]
+    for size in (1, 2, 5, 50):
+        assert sorted(r.id for r in without_repeats(df, ["id"], F.floor(F.col("id") / size)).collect()) == want
