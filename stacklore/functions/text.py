@@ -56,13 +56,30 @@ def repair_mojibake(text: pd.Series) -> pd.Series:
     return text.map(fix)
 
 
-#: Suffixes, longest first by length.
-SUFFIXES = ("ları", "leri", "lar", "ler", "dan", "den", "tan", "ten", "dır", "dir", "sız", "siz", "suz", "süz", "lı", "li", "lu", "lü", "da", "de", "ta", "te")
+#: Suffixes of words, and the wider list for words without marks.
+SUFFIXES = (
+    "dır", "dir", "dur", "dür", "tır", "tir", "tur", "tür", "ın", "in", "un", "ün", "nın", "nin", "nun", "nün", "ı", "i", "u", "ü", "yı", "yi", "yu", "yü",
+    "a", "e", "ya", "ye", "da", "de", "ta", "te", "dan", "den", "tan", "ten", "lar", "ler", "lı", "li", "lu", "lü", "sız", "siz", "suz", "süz",
+)
+STEM_SUFFIXES = (
+    "lerinden", "larindan", "lerimiz", "larimiz", "lerin", "larin", "lere", "lara", "leri", "lari", "lerden", "lardan", "inin", "unun", "inden", "indan",
+    "undan", "unden", "imiz", "umuz", "siniz", "sunuz", "daki", "deki", "ndeki", "ndan", "nden", "nin", "nun", "dan", "den", "dir", "dur", "tir", "tur",
+    "lik", "luk", "li", "lu", "ci", "cu", "si", "su", "im", "um", "in", "un", "de", "da", "te", "ta", "e", "a", "i", "u",
+)
 
 
 def strip_suffix(word: Column) -> Column:
-    """The word without its longest listed suffix, if more than two letters stay."""
-    return F.regexp_replace(word, f"^(.{{3,}}?)({'|'.join(sorted(SUFFIXES, key=len, reverse=True))})$", "$1")
+    """The word in small letters without its longest listed suffix, if more than two letters stay; words of three letters are kept."""
+    stripped = F.regexp_replace(F.lower(word), f"^(.{{3,}}?)({'|'.join(sorted(SUFFIXES, key=len, reverse=True))})$", "$1")
+    return F.when(F.length(word) < 4, word).otherwise(stripped)
+
+
+def stems(word: Column) -> Column:
+    """The word without marks, and each form of it without a listed suffix that leaves three letters, in letter order; none of a shorter word."""
+    w = F.translate(F.lower(word), FOLD_FROM, FOLD_TO)
+    cut = (F.when(F.endswith(w, F.lit(s)) & (F.length(w) >= len(s) + 3), F.substr(w, F.lit(1), F.length(w) - len(s))) for s in STEM_SUFFIXES)
+    every = F.array_sort(F.array_distinct(F.array_compact(F.array(w, *cut))))
+    return F.when(F.length(w) >= 3, every).otherwise(F.array().cast("array<string>"))
 
 
 def keywords(text: Column, stop: tuple[str, ...], least: int = 4) -> Column:
@@ -196,19 +213,23 @@ def has_arabic(text: Column) -> Column:
     return text.rlike(r"\p{IsArabic}")
 
 
-#: Common words of the two languages.
-TR_STOP = ("ve", "bir", "bu", "ile", "için", "da", "de", "gibi", "olarak", "çok", "daha", "kadar")
-EN_STOP = ("the", "and", "of", "to", "in", "is", "for", "with", "on", "as", "by", "that", "from", "this", "are", "an")
+#: Common words of the two languages, English words of tags, and parts of Turkish publishers' names.
+TR_STOP = ("ve", "ile", "bir", "bu", "için", "olan", "olarak", "de", "da", "ama", "fakat", "gibi", "çok", "daha", "ancak", "üzerine", "kitap", "eser")
+EN_STOP = ("the", "and", "of", "to", "in", "for", "with", "on", "about", "from", "book", "work", "this", "that", "is", "are", "was", "were")
+EN_TAGS = ("political", "philosophy", "social", "contract", "society", "ethics", "theory", "history", "economics", "psychology", "law", "state")
+TR_PUBLISHERS = ("yayın", "yayin", "yayinevi", "yayınları", "yayinlari", "kitabevi")
 
 
 def language_scores(text: Column) -> Column:
-    """struct(language, confidence, tr, en): letters, stop words, and English word ends."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}']+"), lambda w: w != "")
+    """struct(language, confidence, tr, en): letters, stop words, tag words, English word ends and publishers' names. Null and blank texts have no language."""
+    value = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    words = F.filter(F.split(F.lower(F.regexp_replace(value, "[^a-zA-ZçğıöşüÇĞİÖŞÜ']+", " ")), " "), lambda w: w != "")
     n = F.greatest(F.size(words), F.lit(1))
     share = lambda pick: F.size(F.filter(words, pick)) / n
-    tr = F.regexp_count(text, F.lit("[çğıöşüÇĞİÖŞÜ]")) / F.greatest(F.length(text), F.lit(1)) * 3.0 + share(lambda w: w.isin(*TR_STOP)) * 1.3
+    named = F.coalesce(*(F.when(F.lower(value).contains(h), 0.8) for h in TR_PUBLISHERS), F.lit(0.0))
+    tr = F.regexp_count(value, F.lit("[çğıöşüÇĞİÖŞÜ]")) / F.greatest(F.length(value), F.lit(1)) * 3.0 + share(lambda w: w.isin(*TR_STOP)) * 1.3 + named
     ends = F.size(F.filter(words, lambda w: w.endswith("tion") | w.endswith("ment") | w.endswith("ness") | w.endswith("ship")))
-    en = share(lambda w: w.isin(*EN_STOP)) * 1.5 + 0.25 * ends
+    en = share(lambda w: w.isin(*EN_STOP)) * 1.5 + share(lambda w: w.isin(*EN_TAGS)) * 1.1 + 0.25 * ends
     top, gap = F.greatest(tr, en), F.abs(tr - en)
     sure = (top >= 0.25) & (gap >= 0.12)
     return F.struct(

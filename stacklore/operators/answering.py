@@ -132,13 +132,44 @@ def normalised_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities, edges
 
 
-def answer_scores(df: DataFrame) -> DataFrame:
-    """Rule scores of answers: relevance to the question's words, OCR look, depth, format."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
-    rel = F.when(F.size(words("question")) > 0, F.size(F.array_intersect(words("question"), words("answer"))) / F.size(words("question"))).otherwise(0.0)
-    ocr = 1 - F.least(F.regexp_count("answer", F.lit(r"\p{L}[0-9]\p{L}|[#*$%&]{3}")) * 0.1, F.lit(1.0))
-    depth = F.least(F.size(F.split("answer", r"[.!?]\s")) / 10, F.lit(1.0))
-    return df.select("id", F.round(rel, 4).alias("relevance"), F.round(ocr, 4).alias("ocr"), F.round(depth, 4).alias("depth"), F.col("answer").rlike(r"(?m)^(#|- |\d+\.)").alias("formatted"))
+#: Marks of answers to kinds of questions, words that connect thoughts, and headings of answer modes.
+DEFINING, COMPARING = ("tanım", "demektir"), ("fark", "benzer", "birincisi", "oysa", "diğer yandan")
+CONNECTING = (
+    "dolayısıyla", "ilişkili", "çelişki", "paradoks", "sentez", "bağlamında", "fakat", "oysaki", "öte yandan", "bu durum", "relationship", "correlation", "however",
+    "context", "synthesis",
+)
+HEADINGS = {"QUOTE": ("Doğrudan Tanımlar", "Bağlamsal Analiz"), "HYBRID": ("Karşıt Görüşler", "Bağlamsal Kanıtlar")}
+#: Looks of misread text; each takes 0.3 off.
+MISREAD = (r"\d[a-z]{2,}", r"[;:~]{2,}", r"\bc;")
+
+
+def answer_scores(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """id and rule scores (0..1) of answers (id, question, answer, intent, mode, similarity of question and answer, chunk): relevance,
+    ocr (share of known words, less for looks of misread text), depth (own words and connecting ones), format. ``vocabulary`` has fix."""
+    q, a = F.lower("question"), F.lower("answer")
+    none = lambda text, marks: ~F.coalesce(*(F.when(text.contains(m), True) for m in marks), F.lit(False))
+    sim = F.col("similarity")
+    base = F.when(sim >= 0.85, 1.0).when(sim >= 0.70, 0.7 + (sim - 0.70) * 2).otherwise(sim)
+    off = F.when((F.col("intent") == "DIRECT") & q.contains("nedir") & none(a, DEFINING), 0.8).when((F.col("intent") == "COMPARATIVE") & none(a, COMPARING), 0.7).otherwise(1.0)
+    relevance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * off))
+    # words that the vocabulary knows: each distinct word of an answer meets it once
+    words = F.filter(F.split("answer", r"\s+"), lambda w: w != "")
+    each = df.select("id", F.explode(words).alias("w")).withColumn("plain", F.col("w").rlike(r"^\p{N}+$") | (F.length("w") < 3))
+    told = each.join(vocabulary.select(F.col("fix"), F.lit(1).alias("known")).distinct(), F.lower("w") == F.col("fix"), "left")
+    fluent = told.groupBy("id").agg((F.count_if(F.col("plain") | F.col("known").isNotNull()) / F.count(F.lit(1))).alias("fluency"))
+    misread = sum((F.when(F.col("answer").rlike(p), 0.3).otherwise(0.0) for p in MISREAD), F.lit(0.0))
+    ocr = F.when(F.col("fluency").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("fluency") - misread))
+    parts = F.split(a, r"[.!?]\s+")
+    copied = F.size(F.filter(parts, lambda s: (F.length(s) >= 20) & F.lower("chunk").contains(s))) / F.greatest(F.size(parts), F.lit(1))
+    links = sum((a.contains(c).cast("int") for c in CONNECTING), F.lit(0))
+    depth = 0.8 * F.when(copied > 0.8, 0.3).when(copied > 0.4, 0.6).otherwise(1.0)
+    depth = F.when(links >= 5, depth + 0.2).when((links < 3) & (F.col("mode") == "EXPLORER"), depth * 0.7).otherwise(depth)
+    depth = F.when(F.col("mode").isin("EXPLORER", "SYNTHESIS"), F.least(F.lit(1.0), depth)).otherwise(1.0)
+    missing = F.lit(False)
+    for mode, heads in HEADINGS.items():
+        missing = missing | ((F.col("mode") == mode) & ~(F.col("answer").contains(f"## {heads[0]}") & F.col("answer").contains(f"## {heads[1]}")))
+    formatted = F.when(missing, 0.4).otherwise(0.9)
+    return df.join(fluent, "id", "left").select("id", F.round(relevance, 4).alias("relevance"), F.round(ocr, 4).alias("ocr"), F.round(depth, 4).alias("depth"), formatted.alias("format"))
 
 
 def without_repeats(df: DataFrame, order: list[str], chunk: Column) -> DataFrame:

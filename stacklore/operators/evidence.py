@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns of passages and questions.
-DEFINITION = r"\bnedir\b|\bdemektir\b|\btanımı\b|\banlamı\b|olarak tanımlan"
-THEORY = r"iki\s+teori|iki\s+görüş|birincisi.*ikincisi|felsefi\s+olarak"
+DEFINITION = r"\bnedir\b|\bşudur\b|\bdemektir\b|\bo da\s+\w+|\btanımı\b|\banlamı\b|olarak tanımlan"
+THEORY = r"iki\s+teori|iki\s+görüş|yaklaşım\w*\s+var|birincisi.*ikincisi|felsefi\s+olarak"
 ANALOGY = r"\bgibi\b|tıpkı|benzer\s+şekilde|sanki"
 SITUATIONAL = r"yaşadım|gördüm|bir gün|hatırlıyorum"
 SOCIETAL = r"toplum\w*|kültür\w*|genel\s+olarak|insanlar"
@@ -29,16 +29,27 @@ def question_intent(text: Column) -> tuple[Column, Column]:
 
 
 def passage_type(text: Column) -> Column:
+    """struct(kind, quotability, confidence): the first kind whose pattern the text holds."""
     t = F.lower(text)
-    kind = F.when(t.rlike(DEFINITION), "DEFINITION").when(t.rlike(THEORY), "THEORY").when(t.rlike(ANALOGY), "ANALOGY").when(t.rlike(SITUATIONAL), "SITUATIONAL").when(t.rlike(SOCIETAL), "SOCIETAL")
-    return kind.otherwise("SITUATIONAL")
+    kinds = (("DEFINITION", DEFINITION, "HIGH", 0.8), ("THEORY", THEORY, "HIGH", 0.8), ("ANALOGY", ANALOGY, "MEDIUM", 0.7), ("SITUATIONAL", SITUATIONAL, "MEDIUM", 0.7), ("SOCIETAL", SOCIETAL, "MEDIUM", 0.7))
+    told = lambda *x: F.struct(*(F.lit(v).alias(n) for n, v in zip(("kind", "quotability", "confidence"), x)))
+    return F.coalesce(*(F.when(t.rlike(pattern), told(kind, quote, sure)) for kind, pattern, quote, sure in kinds), told("SITUATIONAL", "MEDIUM", 0.5))
 
 
-def answerability(text: Column, comment: Column, words: list[str], definition: str, theory: str, modal: str) -> Column:
-    """struct(score, features): one for a keyword, three for a definition, one each for theory, modality, a comment."""
-    t = F.lower(text)
-    any_word = t.rlike("|".join(words))
-    parts = {"KEYWORD": (any_word, 1), "DEFINITIONAL": (any_word & t.rlike(definition), 3), "THEORY": (t.rlike(theory), 1), "MODALITY": (t.rlike(modal), 1), "COMMENT": (F.length(F.coalesce(comment, F.lit(""))) > 0, 1)}
+#: A note shorter than this says nothing of its own.
+LEAST_COMMENT = 6
+
+
+def answerability(text: Column, comment: Column, words: list[str], definition: str, theory: str, modal: str, judging: str) -> Column:
+    """struct(score, features) of a text and its note: one for a keyword and with it three for a definition and one for a
+    theory; one each for the writer's own voice, a note, and words that judge."""
+    note = F.coalesce(comment, F.lit(""))
+    t = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), note))
+    found = F.coalesce(*(F.when(t.contains(w.lower()), True) for w in words), F.lit(False))
+    parts = {
+        "KEYWORD_MATCH": (found, 1), "DEFINITIONAL": (found & t.rlike(definition), 3), "THEORY": (found & t.rlike(theory), 1), "MODALITY": (t.rlike(modal), 1),
+        "PERSONAL_COMMENT": (F.length(note) >= LEAST_COMMENT, 1), "EVALUATIVE": (t.rlike(judging), 1),
+    }
     score = sum((F.when(c, n).otherwise(0) for c, n in parts.values()), F.lit(0))
     return F.struct(score.alias("score"), F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, (c, _) in parts.items()))).alias("features"))
 

@@ -78,11 +78,21 @@ def same_author(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.join(chunks.select("id", "title", author_of("title").alias("author")), "author").where("title <> t").select("anchor", "id", "author")
 
 
-def title_mismatches(items: DataFrame) -> DataFrame:
-    """Items a < b of one tenant where one title contains the other; they share a first word or the shorter's words."""
-    t = items.select("tenant", "item_id", F.lower("title").alias("t")).withColumn("block", F.element_at(F.split("t", " "), 1))
-    b = t.select("tenant", "block", F.col("item_id").alias("item_b"), F.col("t").alias("u"))
-    return t.join(b, ["tenant", "block"]).where("item_id < item_b AND (contains(t, u) OR contains(u, t))").select("tenant", F.col("item_id").alias("item_a"), "item_b")
+def title_mismatches(items: DataFrame, gram: int = 3) -> DataFrame:
+    """Items a < b of one tenant with different titles of which one contains the other, letter by letter.
+
+    The shorter title brings the rarest of its runs of ``gram`` letters (all of it, if it is shorter), which every title
+    that contains it has too.
+    """
+    t = items.select("tenant", "item_id", "title", F.lower("title").alias("t")).where(F.length("t") > 0)
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substr("t", i, F.lit(size)))
+    every = F.array_distinct(F.flatten(F.array(*(F.when(F.length("t") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1)))))
+    grams = t.select("tenant", "item_id", "title", "t", F.explode(every).alias("gram"))
+    often = grams.groupBy("tenant", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = grams.where(F.length("gram") == F.least(F.length("t"), F.lit(gram))).join(often, ["tenant", "gram"])
+    part = own.groupBy("tenant", "item_id").agg(F.min(F.struct("n", "gram", "title", "t")).alias("r")).select("tenant", F.col("item_id").alias("part_id"), "r.gram", F.col("r.title").alias("part_title"), F.col("r.t").alias("part"))
+    found = grams.join(part, ["tenant", "gram"]).where((F.col("item_id") != F.col("part_id")) & (F.col("title") != F.col("part_title")) & F.contains("t", "part"))
+    return found.select("tenant", F.least("item_id", "part_id").alias("item_a"), F.greatest("item_id", "part_id").alias("item_b")).distinct()
 
 
 def labelled_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:

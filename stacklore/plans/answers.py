@@ -149,15 +149,27 @@ def gra10_provider_payloads(spark, d):
     return an.normalised_payloads(p)[1]
 
 
-@query(r"""WITH c AS (SELECT u.conv_id * 100 + u.turn AS id, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
-w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(question), '[^\p{L}\p{N}]+'), lambda x: length(x) > 3)) AS qw, list_distinct(list_filter(string_split_regex(lower(answer), '[^\p{L}\p{N}]+'), lambda x: length(x) > 3)) AS aw FROM c)
-SELECT id, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, aw)) / len(qw) ELSE 0 END, 4) AS relevance, round(1 - least(len(regexp_extract_all(answer, '\p{L}[0-9]\p{L}|[#*$%&]{3}')) * 0.1::DOUBLE, 1), 4) AS ocr,
-round(least(len(string_split_regex(answer, '[.!?]\s')) / 10, 1), 4) AS depth, regexp_matches(answer, '(?m)^(#|- |\d+\.)') AS formatted FROM w""")
+@query(rf"""WITH {VOCABULARY}, c AS (SELECT u.conv_id * 100 + u.turn AS id, u.text || CASE WHEN u.conv_id % 2 = 0 THEN ' nedir' ELSE '' END AS question, a.text || CASE a.conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' Fakat bu durum; paradoks, sentez and context.' WHEN 2 THEN ' 1abc ;; demektir' ELSE u.text END AS answer, u.text AS chunk,
+['DIRECT', 'COMPARATIVE', 'SYNTHESIS'][u.conv_id % 3 + 1] AS intent, ['EXPLORER', 'SYNTHESIS', 'QUOTE', 'HYBRID', 'PLAIN'][u.conv_id % 5 + 1] AS mode, ((u.conv_id * 7 + u.turn) % 21) / 20::DOUBLE AS similarity
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+w AS (SELECT id, unnest(list_filter(string_split_regex(answer, '\s+'), lambda x: x <> '')) AS w FROM c), f AS (SELECT id, count_if(regexp_full_match(w, '\p{{N}}+') OR length(w) < 3 OR lower(w) IN (SELECT word FROM v WHERE n >= 20)) / count(*) AS fluency FROM w GROUP BY 1),
+x AS (SELECT *, lower(answer) AS la, string_split_regex(lower(answer), '[.!?]\s+') AS parts, regexp_matches(answer, '\d[a-z]{{2,}}')::INT + regexp_matches(answer, '[;:~]{{2,}}')::INT + regexp_matches(answer, '\bc;')::INT AS misread FROM c LEFT JOIN f USING (id)),
+y AS (SELECT *, len(list_filter(parts, lambda s: length(s) >= 20 AND contains(lower(chunk), s))) / greatest(len(parts), 1) AS copied, {" + ".join(f"contains(la, '{w}')::INT" for w in an.CONNECTING)} AS links FROM x),
+z AS (SELECT *, 0.8::DOUBLE * CASE WHEN copied > 0.8 THEN 0.3 WHEN copied > 0.4 THEN 0.6 ELSE 1 END::DOUBLE AS d0 FROM y)
+SELECT id, round(least(1, CASE WHEN similarity >= 0.85 THEN 1 WHEN similarity >= 0.7 THEN 0.7 + (similarity - 0.7) * 2 ELSE similarity END::DOUBLE * CASE WHEN intent = 'DIRECT' AND contains(lower(question), 'nedir') AND NOT contains(la, 'tanım') AND NOT contains(la, 'demektir') THEN 0.8
+WHEN intent = 'COMPARATIVE' AND NOT regexp_matches(la, 'fark|benzer|birincisi|oysa|diğer yandan') THEN 0.7 ELSE 1 END::DOUBLE), 4) AS relevance, round(CASE WHEN fluency IS NULL THEN 1 ELSE greatest(0, fluency - 0.3::DOUBLE * misread) END, 4) AS ocr,
+round(CASE WHEN mode NOT IN ('EXPLORER', 'SYNTHESIS') THEN 1 ELSE least(1, CASE WHEN links >= 5 THEN d0 + 0.2 WHEN links < 3 AND mode = 'EXPLORER' THEN d0 * 0.7::DOUBLE ELSE d0 END) END, 4) AS depth, CASE WHEN mode IN ('QUOTE', 'HYBRID') THEN 0.4 ELSE 0.9 END::DOUBLE AS format FROM z""")
 def eva07_answer_scores(spark, d):
-    c = table(spark, d, "conversations")
+    """Turns of users and assistants as questions and answers, some of which got marks of the rules."""
+    c, k = table(spark, d, "conversations"), F.col("conv_id")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    pairs = c.where("role = 'user'").join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("question"), "answer")
-    return an.answer_scores(pairs)
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    marked = F.when(k % 4 == 3, F.col("text")).otherwise(pick("", " Fakat bu durum; paradoks, sentez and context.", " 1abc ;; demektir", ""))
+    pairs = c.where("role = 'user'").join(a, ["conv_id", "turn"]).select(
+        (k * 100 + F.col("turn")).alias("id"), F.concat("text", F.when(k % 2 == 0, " nedir").otherwise("")).alias("question"), F.concat("answer", marked).alias("answer"), F.col("text").alias("chunk"),
+        pick("DIRECT", "COMPARATIVE", "SYNTHESIS").alias("intent"), pick("EXPLORER", "SYNTHESIS", "QUOTE", "HYBRID", "PLAIN").alias("mode"), ((k * 7 + F.col("turn")) % 21 / 20).alias("similarity"),
+    )
+    return an.answer_scores(pairs, dictionary(spark, d)[1])
 
 
 @query(f"WITH {LOGS}, s AS (SELECT tenant AS query_id, id, intent, lag(intent) OVER (PARTITION BY tenant ORDER BY created_at, id) AS before FROM logs) SELECT query_id, id FROM s WHERE before IS NULL OR before <> intent")

@@ -156,25 +156,36 @@ def evi01_question_intent(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), intent.alias("intent"), complexity.alias("complexity"))
 
 
-_ANS = "(CASE WHEN kw THEN 1 ELSE 0 END + CASE WHEN kw AND regexp_matches(lower(text), '\\bis the\\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'tion') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '\\bthis\\b') THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)"
-_SC = f"{CONTENT}, a0 AS (SELECT *, regexp_matches(lower(text), 'thing|erth') AS kw FROM content), sc AS (SELECT id, page_number AS query_id, text, lang, {_ANS} AS score, kw FROM a0), lv AS (SELECT *, CASE WHEN score >= 3 THEN 'A' WHEN score >= 1 THEN 'B' ELSE 'C' END AS level FROM sc)"
+#: The text with what the writer noted on English ones, and the parts of its score.
+_SC = f"""{CONTENT}, a0 AS (SELECT *, lower(text || ' ' || CASE WHEN lang = 'en' THEN 'a note' ELSE '' END) AS t FROM content), a1 AS (SELECT *, contains(t, 'thing') OR contains(t, 'erth') AS kw FROM a0),
+sc AS (SELECT id, page_number AS query_id, text, lang, kw::INT + 3 * (kw AND regexp_matches(t, '\\bis the\\b'))::INT + (kw AND contains(t, 'tion'))::INT + regexp_matches(t, '\\bthis\\b')::INT + (lang IS NOT DISTINCT FROM 'en')::INT + contains(t, 'nessa')::INT AS score, kw,
+array_to_string(list_filter([CASE WHEN kw THEN 'KEYWORD_MATCH' END, CASE WHEN kw AND regexp_matches(t, '\\bis the\\b') THEN 'DEFINITIONAL' END, CASE WHEN kw AND contains(t, 'tion') THEN 'THEORY' END, CASE WHEN regexp_matches(t, '\\bthis\\b') THEN 'MODALITY' END,
+CASE WHEN lang = 'en' THEN 'PERSONAL_COMMENT' END, CASE WHEN contains(t, 'nessa') THEN 'EVALUATIVE' END], lambda x: x IS NOT NULL), ',') AS features FROM a1), lv AS (SELECT *, CASE WHEN score >= 3 THEN 'A' WHEN score >= 1 THEN 'B' ELSE 'C' END AS level FROM sc)"""
 
 
 def _scored(spark, d):
-    c = content(spark, d).withColumn("comment", F.when(F.col("lang") == "en", "x"))
-    c = c.withColumn("a", ev.answerability(F.col("text"), F.col("comment"), ["thing", "erth"], r"\bis the\b", "tion", r"\bthis\b"))
+    c = content(spark, d).withColumn("comment", F.when(F.col("lang") == "en", "a note"))
+    c = c.withColumn("a", ev.answerability(F.col("text"), F.col("comment"), ["thing", "erth"], r"\bis the\b", "tion", r"\bthis\b", "nessa"))
     kind = ev.passage_type(F.col("text"))
-    return c.select("id", F.col("page_number").alias("query_id"), "text", "a.score", "a.features", kind.alias("kind")).withColumn("level", ev.level(F.col("score"), F.col("kind")))
+    return c.select("id", F.col("page_number").alias("query_id"), "text", "a.score", F.array_join("a.features", ",").alias("features"), kind["kind"].alias("kind")).withColumn("level", ev.level(F.col("score"), F.col("kind")))
 
 
-@query(f"WITH {_SC} SELECT id, score FROM sc")
+@query(f"WITH {_SC} SELECT id, score, features FROM sc")
 def evi02_answerability(spark, d):
-    return _scored(spark, d).select("id", "score")
+    return _scored(spark, d).select("id", "score", "features")
 
 
-@query("SELECT doc_id AS id, 'SITUATIONAL' AS kind FROM documents")
+_ADDED = ("", " nedir bu", " iki  teori", " tıpkı o", " bir gün", " insanlar", " bu demektir", " yaklaşımlar var")
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, lower(text || [{", ".join(f"'{x}'" for x in _ADDED)}][doc_id % 8 + 1]) AS t FROM documents), k AS (SELECT id, CASE WHEN regexp_matches(t, '\\b(nedir|demektir)\\b|\\bo da\\s+|olarak tanımlan') THEN 'DEFINITION'
+WHEN regexp_matches(t, 'iki\\s+(teori|görüş)|yaklaşım[\\p{{L}}]*\\s+var|birincisi.*ikincisi|felsefi\\s+olarak') THEN 'THEORY' WHEN regexp_matches(t, '\\bgibi\\b|tıpkı|benzer\\s+şekilde|sanki') THEN 'ANALOGY'
+WHEN regexp_matches(t, 'yaşadım|gördüm|bir gün|hatırlıyorum') THEN 'SITUATIONAL' WHEN regexp_matches(t, 'toplum|kültür|genel\\s+olarak|insanlar') THEN 'SOCIETAL' END AS kind FROM c)
+SELECT id, coalesce(kind, 'SITUATIONAL') AS kind, CASE WHEN kind IN ('DEFINITION', 'THEORY') THEN 'HIGH' ELSE 'MEDIUM' END AS quotability, CASE WHEN kind IS NULL THEN 0.5 WHEN kind IN ('DEFINITION', 'THEORY') THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM k""")
 def evi03_passage_type(spark, d):
-    return _scored(spark, d).select("id", "kind")
+    """The kinds of documents that got a phrase of one of them at their end."""
+    more = F.element_at(F.array(*map(F.lit, _ADDED)), (F.col("id") % 8 + 1).cast("int"))
+    return content(spark, d).select("id", ev.passage_type(F.concat("text", more)).alias("p")).select("id", "p.kind", "p.quotability", "p.confidence")
 
 
 @query(f"WITH {_SC} SELECT id, level FROM lv")

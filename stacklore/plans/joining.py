@@ -73,7 +73,7 @@ def joi10_same_author(spark, d):
     return j.same_author(c.where("id % 100 = 0"), c)
 
 
-@query(f"WITH {ITEMS} SELECT a.tenant, a.item_id AS item_a, b.item_id AS item_b FROM (SELECT * REPLACE (string_split(title, ' - ')[1] AS title) FROM items) a JOIN (SELECT * REPLACE (string_split(title, ' - ')[1] AS title) FROM items) b ON a.tenant = b.tenant AND a.item_id < b.item_id WHERE contains(lower(a.title), lower(b.title)) OR contains(lower(b.title), lower(a.title))")
+@query(f"WITH {ITEMS} SELECT a.tenant, a.item_id AS item_a, b.item_id AS item_b FROM (SELECT * REPLACE (string_split(title, ' - ')[1] AS title) FROM items) a JOIN (SELECT * REPLACE (string_split(title, ' - ')[1] AS title) FROM items) b ON a.tenant = b.tenant AND a.item_id < b.item_id WHERE a.title <> b.title AND (contains(lower(a.title), lower(b.title)) OR contains(lower(b.title), lower(a.title)))")
 def joi12_title_mismatches(spark, d):
     return j.title_mismatches(items(spark, d).withColumn("title", F.element_at(F.split("title", " - "), 1)))
 

@@ -34,11 +34,12 @@ def fun03_mojibake_repair(spark, d):
 _SUF = "|".join(sorted(t.SUFFIXES, key=len, reverse=True))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents)
-SELECT word, regexp_replace(word, '^(.{{3,}}?)({_SUF})$', '\\1') AS stem FROM w WHERE length(word) > 3""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents), c AS (SELECT word, s FROM w, unnest([{", ".join(f"'{x}'" for x in t.STEM_SUFFIXES)}]) u(s) WHERE ends_with(word, s) AND length(word) >= length(s) + 3),
+a AS (SELECT word, list(substr(word, 1, length(word) - length(s))) AS cut FROM c GROUP BY 1)
+SELECT word, regexp_replace(word, '^(.{{3,}}?)({_SUF})$', '\\1') AS stem, array_to_string(list_sort(list_distinct(list_concat([word], coalesce(cut, [])))), ',') AS stems FROM w LEFT JOIN a USING (word) WHERE length(word) > 3""")
 def fun04_suffix_stem(spark, d):
     words = _docs(spark, d).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) > 3").distinct()
-    return words.select("word", t.strip_suffix(F.col("word")).alias("stem"))
+    return words.select("word", t.strip_suffix(F.col("word")).alias("stem"), F.array_join(t.stems(F.col("word")), ",").alias("stems"))
 
 
 @query(f"""WITH n AS (SELECT item_id AS id, list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 0) AS words FROM benchmark),
@@ -91,9 +92,9 @@ def fun10_type_canonical(spark, d):
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
-@query(rf"""WITH w AS (SELECT doc_id AS id, text, list_filter(string_split_regex(lower(text), '[^\p{{L}}'']+'), lambda x: x <> '') AS words FROM documents),
-s AS (SELECT id, len(regexp_extract_all(text, '[çğıöşüÇĞİÖŞÜ]')) / greatest(length(text), 1) * 3.0::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.TR_STOP)}))) / greatest(len(words), 1) * 1.3::DOUBLE AS tr,
-len(list_filter(words, lambda x: x IN ({_IN(t.EN_STOP)}))) / greatest(len(words), 1) * 1.5::DOUBLE + 0.25::DOUBLE * len(list_filter(words, lambda x: regexp_matches(x, '(tion|ment|ness|ship)$'))) AS en FROM w)
+@query(rf"""WITH v AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS v FROM documents), w AS (SELECT *, list_filter(string_split(lower(regexp_replace(v, '[^a-zA-ZçğıöşüÇĞİÖŞÜ'']+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM v),
+s AS (SELECT id, len(regexp_extract_all(v, '[çğıöşüÇĞİÖŞÜ]')) / greatest(length(v), 1) * 3.0::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.TR_STOP)}))) / greatest(len(words), 1) * 1.3::DOUBLE + CASE WHEN regexp_matches(lower(v), '{"|".join(t.TR_PUBLISHERS)}') THEN 0.8 ELSE 0 END::DOUBLE AS tr,
+len(list_filter(words, lambda x: x IN ({_IN(t.EN_STOP)}))) / greatest(len(words), 1) * 1.5::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.EN_TAGS)}))) / greatest(len(words), 1) * 1.1::DOUBLE + 0.25::DOUBLE * len(list_filter(words, lambda x: regexp_matches(x, '(tion|ment|ness|ship)$'))) AS en FROM w)
 SELECT id, CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN CASE WHEN tr > en THEN 'tr' ELSE 'en' END END AS language,
 CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN round(least(abs(tr - en) / greatest(tr, en, 0.25), 1), 4) ELSE 0 END AS confidence FROM s""")
 def fun11_language_detect(spark, d):
