@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,24 @@ def when_few(first: DataFrame, queries: DataFrame, second: DataFrame, least: int
     return first.select("query_id", "id", F.lit(0).alias("turn")).unionByName(more.select("query_id", "id", F.lit(1).alias("turn")))
 
 
+def gap_filled(pooled: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], least: int, longer: int = 7) -> DataFrame:
+    """query_id, id, turn: pooled hits, and for queries (query_id, text) with fewer than ``least`` those of a search for their first two words of ``longer`` letters."""
+    n = queries.join(pooled.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < least)
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")), lambda w: F.length(w) >= longer)
+    hits = search(n.select("query_id", F.array_join(F.slice(words, 1, 2), " ").alias("text")))
+    new = hits.select("query_id", "id").join(pooled.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return pooled.select("query_id", "id", F.lit(0).alias("turn")).unionByName(new.select("query_id", "id", F.lit(1).alias("turn")))
+
+
+def evidence_profile(evidence: DataFrame, due: str, newest: int) -> DataFrame:
+    """Per tenant of ``evidence`` (tenant, kind, ref, at): how much there is, the last of it, whether that is before ``due``, and how many kinds the newest hold."""
+    each = evidence.distinct()
+    w = Window.partitionBy("tenant").orderBy(F.desc("at"), "kind", "ref")
+    recent = each.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= newest).groupBy("tenant").agg(F.count_distinct("kind").alias("recent_kinds"))
+    total = each.groupBy("tenant").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"))
+    return total.join(recent, "tenant").select("tenant", "n", "last_at", (F.col("last_at") < F.lit(due).cast("timestamp_ntz")).alias("refresh"), "recent_kinds")
+
+
 def variations(queries: DataFrame, most: int = 3) -> DataFrame:
     """Further forms of queries of two or more words: without one word each, at most ``most``."""
     words = F.split(F.trim("text"), r"\s+")

@@ -43,10 +43,22 @@ def touching(entries: DataFrame, relations: DataFrame) -> DataFrame:
     return ahead.union(back).distinct()
 
 
-def common_neighbours(relations: DataFrame, least: int = 2) -> DataFrame:
-    """Sources a < b with several destinations in common."""
+#: Sources of one destination that meet all others of it in one task.
+HUB_BLOCK = 2000
+
+
+def common_neighbours(relations: DataFrame, least: int = 2, block: int = HUB_BLOCK) -> DataFrame:
+    """Sources a < b with several destinations in common.
+
+    All pairs at a destination are asked for, so their number grows with the square of its degree; a destination of more
+    than ``block`` sources is cut into blocks, each of which meets all its sources in a task of its own.
+    """
     r = relations.select("src", "dst").distinct()
-    pairs = r.select(F.col("src").alias("a"), "dst").join(r.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
+    many = r.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    r = r.join(many, "dst")
+    own = r.select(F.col("src").alias("a"), "dst", F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("part"))
+    every = r.select(F.col("src").alias("b"), "dst", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    pairs = own.join(every, ["dst", "part"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count_distinct("dst").alias("shared")).where(F.col("shared") >= least)
 
 

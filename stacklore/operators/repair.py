@@ -89,21 +89,48 @@ def leaked_notes(chunks: DataFrame) -> DataFrame:
     return chunks.where(leak).orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def multi_seed(near: DataFrame, rare: DataFrame, rest: DataFrame, n: int, total: int) -> DataFrame:
-    """n by similarity, n least seen, the rest in a seeded order; each row once."""
-    every = near.select("id", F.lit(0).alias("src"), "rank").unionByName(rare.select("id", F.lit(1).alias("src"), "rank")).unionByName(rest.select("id", F.lit(2).alias("src"), "rank"))
-    every = every.where((F.col("src") == 2) | (F.col("rank") <= n))
+def multi_seed(near: DataFrame, rare: DataFrame, rest: DataFrame, seen: DataFrame, n: int, total: int) -> DataFrame:
+    """n by similarity, n least seen, the rest in a seeded order; each row once, none of ``seen`` (id). Each list has id and score, best first."""
+    every = None
+    for src, df in enumerate((near, rare, rest)):
+        fresh = df.join(seen.select("id").distinct(), "id", "left_anti").orderBy(F.desc("score"), "id").limit(n if src < 2 else total)  # at most ``total`` rows
+        own = fresh.select("id", F.lit(src).alias("src"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+        every = own if every is None else every.unionByName(own)
     first = every.groupBy("id").agg(F.min(F.struct("src", "rank")).alias("k")).select("id", "k.src", "k.rank")
     return first.orderBy("src", "rank", "id").limit(total)
 
 
-def board(signals: DataFrame, idle_before: str) -> DataFrame:
-    """One card of each family for each tenant: continue (most notes), latest, and dormant (idle since a date)."""
+#: A candidate of this penalty or less is left out, and as many as a tenant should have at least.
+LEAST_PENALTY, WANTED = 0.3, 20
+
+
+def filter_chain(candidates: DataFrame, session: DataFrame, lately: DataFrame, wanted: int = WANTED) -> DataFrame:
+    """tenant, id, relaxed: candidates (tenant, id, text, penalty) of enough length that the session has not shown, that were
+    not seen lately, whose text is the first of its kind for the tenant and whose penalty leaves enough of them. A tenant with
+    fewer than ``wanted`` of these gets more in order of id, seen lately and disliked ones among them.
+
+    ``session`` and ``lately`` have tenant and id.
+    """
+    fits = candidates.where("length(trim(text)) >= 60").join(session.select("tenant", "id").distinct(), ["tenant", "id"], "left_anti")
+    first = fits.groupBy("tenant", F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id")).select("tenant", "id")
+    fits = fits.select("tenant", "id", "penalty").join(first, ["tenant", "id"], "left_semi")
+    marked = fits.join(lately.select("tenant", "id", F.lit(True).alias("late")).distinct(), ["tenant", "id"], "left")
+    marked = marked.withColumn("relaxed", F.coalesce("late", F.lit(False)) | (F.coalesce("penalty", F.lit(1.0)) < LEAST_PENALTY))
+    strict = marked.where("NOT relaxed").select("tenant", "id", "relaxed")
+    n = strict.groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("tenant").orderBy("id"))
+    more = marked.where("relaxed").withColumn("nth", nth).where(F.col("nth") <= wanted).join(n, "tenant", "left")
+    return strict.unionByName(more.where(F.col("nth") + F.coalesce("n", F.lit(0)) <= wanted).select("tenant", "id", "relaxed"))
+
+
+def board(signals: DataFrame, tags: DataFrame, idle_before: str) -> DataFrame:
+    """One card of each family for each tenant: continue (most notes), latest, dormant (idle since a date), and as theme the most common of ``tags`` (tenant, tag)."""
     pick = lambda df, name, order: df.groupBy("tenant").agg(F.max_by("item_id", F.struct(*order, "item_id")).alias("item_id")).withColumn("family", F.lit(name))
     cut = F.lit(idle_before).cast("timestamp_ntz")
+    common = tags.where("tag IS NOT NULL").groupBy("tenant", F.col("tag").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
     return (
         pick(signals, "continue", ["notes", "highlights"]).unionByName(pick(signals, "latest", ["last_at"]))
-        .unionByName(pick(signals.where(F.col("last_at") < cut), "dormant", ["total"])).select("tenant", "family", "item_id")
+        .unionByName(pick(signals.where(F.col("last_at") < cut), "dormant", ["total"])).unionByName(pick(common, "theme", ["n"])).select("tenant", "family", "item_id")
     )
 
 

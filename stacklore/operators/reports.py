@@ -12,11 +12,40 @@ def share_by(df: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2))
 
 
+#: Bands of values between which a quantile is looked for.
+BANDS_OF_VALUES = 64
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """``keys`` and one exact quantile (between the two nearest values in proportion) for each name of ``shares``.
+
+    Values are counted where they are, so a task sends each distinct one once; counts of bands, whose limits are rough
+    quantiles, tell the band of each rank, and only the values of these bands are put in order. No task holds all values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = F.array(*(F.lit(i / BANDS_OF_VALUES) for i in range(1, BANDS_OF_VALUES)))
+    limits = counts.groupBy(*keys).agg(F.approx_percentile("v", cuts, 1000).alias("limits"), F.sum("n").alias("total"))
+    join = lambda a, b: a.join(b, list(keys)) if keys else a.join(F.broadcast(b))  # noqa: E731  without keys it is one row
+    placed = join(counts, limits).select(*keys, "v", "n", "total", F.size(F.filter("limits", lambda x: x < F.col("v"))).alias("band"))
+    bands = placed.groupBy(*keys, "band").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("band"))
+    asked = F.explode(F.flatten(F.array(*(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.lit(q) * (F.col("total") - 1)).alias("at")) for side in (0, 1))) for name, q in shares.items()))))
+    wanted = bands.withColumn("before", upto - F.col("m")).select(*keys, "band", "before", "m", asked.alias("r")).select(*keys, "band", "before", "m", "r.*")
+    wanted = wanted.withColumn("rank", F.when(F.col("side") == 0, F.floor("at")).otherwise(F.ceil("at"))).where("rank >= before AND rank < before + m")
+    near = placed.join(wanted.select(*keys, "band", "before").distinct(), [*keys, "band"])
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "band").orderBy("v"))
+    near = near.withColumn("end", end).select(*keys, "band", "v", "n", "end")
+    found = wanted.join(near, [*keys, "band"]).where("rank < `end` AND rank >= `end` - n")
+    part = F.col("at") - F.floor("at")
+    weight = F.when(F.col("side") == 0, 1 - part).otherwise(part)
+    return found.groupBy(*keys).agg(*(F.sum(F.when(F.col("name") == name, F.col("v") * weight)).alias(name) for name in shares))
+
+
 def latency_quantiles(logs: DataFrame, *keys: str) -> DataFrame:
-    q = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return logs.groupBy(*keys).agg(F.round(F.avg("ms"), 4).alias("avg_ms"), q.alias("q"), F.round(F.avg("result_count"), 4).alias("avg_results")).select(
-        *keys, "avg_ms", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), "avg_results"
-    )
+    q = quantiles(logs, "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *keys)
+    means = logs.groupBy(*keys).agg(F.round(F.avg("ms"), 4).alias("avg_ms"), F.round(F.avg("result_count"), 4).alias("avg_results"))
+    both = means.join(q, list(keys)) if keys else means.join(F.broadcast(q))
+    return both.select(*keys, "avg_ms", *(F.round(n, 4).alias(n) for n in ("p50", "p95", "p99")), "avg_results")
 
 
 #: Half-open bands; the last one takes 2000 itself.
@@ -103,8 +132,9 @@ def level_distribution(scored: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.collect_set(ident)), ",")
-    return df.groupBy(*keys).agg(F.count_distinct(ident).alias("n"), ids.alias("ids")).where("n > 1")
+    """Keys that stand with more than one id, and how many: a row for each of the ids, so that no group is one row."""
+    each = df.select(*keys, ident).distinct()
+    return each.join(each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys).select(*keys, "n", ident)
 
 
 def collisions(df: DataFrame, ident: str, tenant: str = "tenant") -> DataFrame:
@@ -136,6 +166,6 @@ def recurring_terms(df: DataFrame, words: str, least: int = 2) -> DataFrame:
 
 def hourly_metrics(logs: DataFrame) -> DataFrame:
     hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
-    return logs.groupBy(hour.alias("hour"), "intent").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") > 1000).cast("int")), 4).alias("slow_ratio"), F.round(F.percentile("ms", 0.95), 4).alias("p95")
-    )
+    by_hour = logs.withColumn("hour", hour)
+    n = by_hour.groupBy("hour", "intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") > 1000).cast("int")), 4).alias("slow_ratio"))
+    return n.join(quantiles(by_hour, "ms", {"p95": 0.95}, "hour", "intent").withColumn("p95", F.round("p95", 4)), ["hour", "intent"], "left")

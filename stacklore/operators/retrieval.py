@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stacklore.operators.filters import whole_term
+
 #: Bucket weights by kind of intent, and the rank constant.
 WEIGHTS = {"direct": (0.55, 0.30, 0.15), "broad": (0.20, 0.20, 0.60), "other": (0.34, 0.33, 0.33)}
 RANK_CONSTANT = 60
@@ -63,6 +68,30 @@ def terms_of(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     return df.select(F.col(ident), F.explode(words).alias("term")).where("term <> ''")
 
 
+#: Letters of a text that the head of a match is scored by.
+HEAD = 2500
+
+
+def exact_search(chunks: DataFrame, asked: str) -> DataFrame:
+    """id, score, position of chunks (id, text, created_at) that hold all words of a query as whole terms, newest first; where
+    no chunk does, those that hold the query letter by letter."""
+    low = F.lower("text")
+    words = list(dict.fromkeys(w for w in asked.lower().split() if w))
+    if not words:
+        return chunks.limit(0).select("id", F.lit(100).alias("score"), F.lit(1).alias("position"))
+    whole = reduce(and_, (whole_term(low, w) for w in words))
+    found = chunks.where(whole)
+    kept = found if found.limit(1).count() else chunks.where(low.contains(asked.lower()))
+    return kept.select("id", F.lit(100).alias("score"), F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("position"))
+
+
+def reranked(base: DataFrame, docs: DataFrame, queries: DataFrame, weight: float = 0.35) -> DataFrame:
+    """query_id, id, blend: base scores of hits with the BM25 of their first ``HEAD`` letters and title, scaled to 0..1 within each query."""
+    head = docs.select("id", F.concat_ws(" ", F.substring("text", 1, HEAD), "title").alias("text"))
+    both = base.join(bm25(head, queries), ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    return blended(both, "base", "bm25", weight).select("query_id", "id", "blend")
+
+
 #: Rows of a table of query terms up to which it is broadcast (some tens of bytes each); beyond it both sides are shuffled.
 SMALL = 500_000
 

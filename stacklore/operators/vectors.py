@@ -64,6 +64,17 @@ def centroids(df: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def near_duplicates(df: DataFrame, key: str, newest: int = 50, centre: float = 0.80, single: float = 0.85) -> DataFrame:
+    """id, near_duplicate of vectors (key, id, vec): alike the mean of their key's vectors and any of its ``newest`` others (by id)."""
+    units = with_units(df).select(key, "id", "unit")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("id")))
+    recent = units.withColumn("nth", nth).where(F.col("nth") <= newest).select(key, F.col("id").alias("other"), F.col("unit").alias("u"))
+    mean = centroids(df.select(key, "id", F.col("vec").cast("array<double>").alias("vec")), key).select(key, unit(F.col("centroid")).alias("c"))
+    best = units.join(recent, key).where("id <> other").groupBy("id").agg(F.max(F.round(dot(F.col("unit"), F.col("u")), 6)).alias("best"))
+    own = units.join(mean, key).select("id", F.round(dot(F.col("unit"), F.col("c")), 6).alias("own"))
+    return own.join(best, "id", "left").select("id", ((F.col("own") >= centre) & (F.coalesce("best", F.lit(0.0)) > single)).alias("near_duplicate"))
+
+
 def dislike_penalty(sim: Column) -> Column:
     return F.when(F.coalesce(sim, F.lit(0.0)) <= 0.8, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (sim - 0.8) / 0.2))
 

@@ -29,10 +29,15 @@ def ret12_fallback(spark, d):
     return an.when_few(sm, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), lx, 3)
 
 
-@query(_FEW.replace("n < 3", "n < 1"))
+@query(f"""{_L}, n AS (SELECT item_id AS query_id, (SELECT count(*) FROM sm WHERE sm.query_id = item_id) AS n, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 7)[1:2] AS two FROM benchmark),
+k AS (SELECT DISTINCT query_id, unnest(two) AS word FROM n WHERE n < 40), d AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), h AS (SELECT DISTINCT query_id, id FROM k JOIN d USING (word))
+SELECT query_id, id, 0 AS turn FROM sm UNION ALL SELECT query_id, id, 1 FROM h WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.query_id = h.query_id AND sm.id = h.id)""")
 def ret15_keyword_gap_fill(spark, d):
-    lx, sm = _lists(spark, d)
-    return an.when_few(sm, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), lx, 1)
+    """Queries with less than forty pooled hits are asked again by their first two long words."""
+    _, sm = _lists(spark, d)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return an.gap_filled(sm, q, lambda asked: rt.term_hits(docs, asked, "[a-z]+"), 40)
 
 
 @query(r"""WITH q AS (SELECT item_id AS query_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark), e AS (SELECT query_id, w, unnest(range(0, least(len(w), 3))) AS i FROM q WHERE len(w) >= 2)
@@ -114,17 +119,22 @@ def rec04_discovery_pivot(spark, d):
     return an.discovery_pivot(links(spark, d), content(spark, d).select("id", "tenant", "title"), seen, seen.select("tenant").distinct())
 
 
-@query(f"WITH {CONTENT}, {LOGS}, e AS (SELECT tenant, max(created_at) AS last_at, count(*) AS n FROM logs GROUP BY 1) SELECT tenant, n, last_at < TIMESTAMP '2024-01-30' AS refresh FROM e")
+@query(f"""WITH {CONTENT}, {LOGS}, e AS (SELECT DISTINCT tenant, kind, ref, noted FROM (SELECT tenant, content_type AS kind, id AS ref, created_at AS noted FROM content WHERE content_type IN ('PERSONAL_NOTE', 'HIGHLIGHT')
+UNION ALL SELECT tenant, 'search', id, created_at FROM logs)), r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY noted DESC, kind, ref) AS nth FROM e)
+SELECT tenant, count(*) AS n, max(noted) AS last_at, max(noted) < TIMESTAMP '2024-01-30' AS refresh, count(DISTINCT kind) FILTER (nth <= 20) AS recent_kinds FROM r GROUP BY 1""")
 def rec07_evidence_profile(spark, d):
-    e = logs(spark, d).groupBy("tenant").agg(F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n"))
-    return e.select("tenant", "n", (F.col("last_at") < F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).alias("refresh"))
+    """What is known of each tenant from its notes, highlights and searches, and whether the profile is due."""
+    kept = content(spark, d).where("content_type IN ('PERSONAL_NOTE', 'HIGHLIGHT')").select("tenant", F.col("content_type").alias("kind"), F.col("id").alias("ref"), F.col("created_at").alias("at"))
+    asked = logs(spark, d).select("tenant", F.lit("search").alias("kind"), F.col("id").alias("ref"), F.col("created_at").alias("at"))
+    return an.evidence_profile(kept.unionByName(asked), "2024-01-30 00:00:00", 20)
 
 
-@query(f"WITH {ITEMS} SELECT tenant, coalesce(CASE WHEN category <> 'PRIVATE' THEN category END, 'unfiled') AS folder, count(*) AS n, array_to_string(list_sort(list(item_id)), ',') AS held FROM items WHERE item_type = 'PERSONAL_NOTE' GROUP BY ALL")
+@query(f"WITH {ITEMS} SELECT tenant, coalesce(CASE WHEN category <> 'PRIVATE' THEN category END, 'unfiled') AS folder, count(*) OVER (PARTITION BY tenant, coalesce(CASE WHEN category <> 'PRIVATE' THEN category END, 'unfiled')) AS n, item_id FROM items WHERE item_type = 'PERSONAL_NOTE'")
 def rec11_folders(spark, d):
     gone = spark.createDataFrame([("PRIVATE",)], "category string").withColumn("gone", F.lit(True))
-    notes = items(spark, d).where("item_type = 'PERSONAL_NOTE'").join(F.broadcast(gone), "category", "left").withColumn("folder", F.when(F.col("gone").isNull(), F.col("category")))
-    return notes.groupBy("tenant", F.coalesce("folder", F.lit("unfiled")).alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("held"))
+    notes = items(spark, d).where("item_type = 'PERSONAL_NOTE'").join(F.broadcast(gone), "category", "left").withColumn("folder", F.coalesce(F.when(F.col("gone").isNull(), F.col("category")), F.lit("unfiled")))
+    n = notes.groupBy("tenant", "folder").agg(F.count(F.lit(1)).alias("n"))
+    return notes.join(n, ["tenant", "folder"]).select("tenant", "folder", "n", "item_id")
 
 
 @query(f"""WITH {CONTENT}, n AS (SELECT tenant, c.id, embedding, row_number() OVER (PARTITION BY tenant ORDER BY created_at DESC, id DESC) AS nth FROM content c JOIN embeddings ON vec_id = id)

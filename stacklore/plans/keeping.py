@@ -162,24 +162,35 @@ def win05_type_cap(spark, d):
     return rp.type_cap(s, 10, 3)
 
 
-@query(f"""WITH {CONTENT}, {LOGS}, n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings), s AS (SELECT c.id, row_number() OVER (ORDER BY count(l.id), c.id) AS rank FROM content c LEFT JOIN logs l ON l.result_count = c.id GROUP BY 1),
-e AS (SELECT id, 0 AS src, rank FROM n WHERE rank <= 5 UNION ALL SELECT id, 1, rank FROM s WHERE rank <= 5 UNION ALL SELECT id, 2, (id * 2654435761 + 40503) % 4294967296 FROM content), f AS (SELECT id, min((src, rank)) AS k FROM e GROUP BY 1) SELECT id, k[1] AS src FROM f ORDER BY k, id LIMIT 20""")
+@query(f"""WITH {CONTENT}, {LOGS}, seen AS (SELECT DISTINCT result_count AS id FROM logs WHERE intent = 'view'), n AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[64], (SELECT embedding::DOUBLE[64] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings),
+s AS (SELECT c.id, -count(l.id)::DOUBLE AS score FROM content c LEFT JOIN logs l ON l.result_count = c.id GROUP BY 1), e AS (SELECT id, 0 AS src, score FROM n UNION ALL SELECT id, 1, score FROM s UNION ALL SELECT id, 2, -((id * 2654435761 + 40503) % 4294967296)::DOUBLE FROM content),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS rank FROM e WHERE id NOT IN (SELECT id FROM seen)), f AS (SELECT id, min((src, rank)) AS k FROM k WHERE rank <= CASE src WHEN 2 THEN 20 ELSE 5 END GROUP BY 1) SELECT id, k[1] AS src FROM f ORDER BY k, id LIMIT 20""")
 def rec01_multi_seed(spark, d):
-    c = content(spark, d)
-    near = vectors(spark, d).orderBy("label", "id").limit(5).withColumn("rank", F.row_number().over(Window.orderBy("label", "id")))
-    rare = c.join(logs(spark, d).groupBy(F.col("result_count").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").orderBy(F.coalesce("n", F.lit(0)), "id").limit(5)
-    rare = rare.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "id")))
-    return rp.multi_seed(near, rare, c.withColumn("rank", r.repeatable("id")), 5, 20).select("id", "src")
-
-
-@query(f"""WITH {CONTENT}, {LOGS}, s AS (SELECT DISTINCT result_count AS id FROM logs WHERE intent = 'view'), k AS (SELECT min(id) AS id FROM content GROUP BY sha256(text)) SELECT id FROM content WHERE length(trim(text)) >= 60 AND id NOT IN (SELECT id FROM s) AND id IN (SELECT id FROM k)""")
+    """Seeds like the first vector, seeds seen least, and others in a repeatable order; none that was viewed."""
+    from stacklore.operators import vectors as v
+
+    c, e = content(spark, d), vectors(spark, d)
+    near = v.similar(e.orderBy("id").limit(1), e).select("id", F.round("sim", 6).alias("score"))
+    n = logs(spark, d).groupBy(F.col("result_count").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rare = c.join(n, "id", "left").select("id", (-F.coalesce("n", F.lit(0))).cast("double").alias("score"))
+    seen = logs(spark, d).where("intent = 'view'").select(F.col("result_count").alias("id"))
+    return rp.multi_seed(near, rare, c.select("id", (-r.repeatable("id")).cast("double").alias("score")), seen, 5, 20).select("id", "src")
+
+
+@query(f"""WITH {CONTENT}, {LOGS}, v AS (SELECT DISTINCT tenant, result_count AS id FROM logs WHERE intent = 'view'), l AS (SELECT DISTINCT tenant, result_count AS id FROM logs WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY),
+p AS (SELECT c.vec_id AS id, max(round(list_cosine_similarity(q.embedding::DOUBLE[64], c.embedding::DOUBLE[64]), 6)) AS m FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 GROUP BY 1),
+f AS (SELECT c.tenant, c.id, CASE WHEN coalesce(m, 0) <= 0.8 THEN 1 ELSE greatest(0, 1 - (m - 0.8) / 0.2) END AS penalty, row_number() OVER (PARTITION BY tenant, sha256(text) ORDER BY c.id) AS copy FROM content c LEFT JOIN p USING (id) WHERE length(trim(text)) >= 60 AND NOT EXISTS (SELECT 1 FROM v WHERE v.tenant = c.tenant AND v.id = c.id)),
+k AS (SELECT *, penalty < 0.3 OR EXISTS (SELECT 1 FROM l WHERE l.tenant = f.tenant AND l.id = f.id) AS relaxed FROM f WHERE copy = 1), n AS (SELECT tenant, count(*) AS n FROM k WHERE NOT relaxed GROUP BY 1), m AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY id) AS nth FROM k WHERE relaxed)
+SELECT tenant, id, relaxed FROM k WHERE NOT relaxed UNION ALL SELECT m.tenant, id, relaxed FROM m LEFT JOIN n USING (tenant) WHERE nth + coalesce(n, 0) <= 20""")
 def rec02_filter_chain(spark, d):
-    from stacklore.operators.joins import unseen
+    """Each tenant's chunks but those viewed, seen in thirty days, repeated, or like the disliked vectors."""
+    from stacklore.operators import vectors as v
 
-    c = content(spark, d)
-    seen = logs(spark, d).where("intent = 'view'").select(F.col("result_count").alias("id")).distinct()
-    first = c.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id"))
-    return unseen(c.where("length(trim(text)) >= 60"), seen, ["id"]).join(first, "id", "left_semi").select("id")
+    e = vectors(spark, d)
+    worst = v.similar(e.where("id % 100 = 0"), e).groupBy("id").agg(F.max(F.round("sim", 6)).alias("m")).select("id", v.dislike_penalty(F.col("m")).alias("penalty"))
+    seen = logs(spark, d).select("tenant", F.col("result_count").alias("id"), "intent", "created_at")
+    lately = seen.where(F.col("created_at") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - INTERVAL 30 DAYS"))
+    return rp.filter_chain(content(spark, d).select("tenant", "id", "text").join(worst, "id", "left"), seen.where("intent = 'view'"), lately)
 
 
 @query(f"""WITH {LOGS}, s AS (SELECT id, tenant, ['syntopic', 'discovery', 'context'][id % 3 + 1] AS zone, round((CASE id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.5 END::DOUBLE + 0.8::DOUBLE * least(ms / 5000, 1)) * 0.9::DOUBLE, 6) AS score FROM logs),
@@ -192,9 +203,11 @@ def rec03_zone_score(spark, d):
 
 @query(f"""WITH {CONTENT}, g AS (SELECT tenant, item_id, count(*) AS total, count_if(content_type = 'HIGHLIGHT') AS highlights, count_if(content_type = 'PERSONAL_NOTE') AS notes, max(created_at) AS last_at FROM content GROUP BY ALL)
 SELECT tenant, 'continue' AS family, arg_max(item_id, (notes, highlights, item_id)) AS item_id FROM g GROUP BY 1 UNION ALL SELECT tenant, 'latest', arg_max(item_id, (last_at, item_id)) FROM g GROUP BY 1
-UNION ALL SELECT tenant, 'dormant', arg_max(item_id, (total, item_id)) FROM g WHERE last_at < TIMESTAMP '2024-02-10' GROUP BY 1""")
+UNION ALL SELECT tenant, 'dormant', arg_max(item_id, (total, item_id)) FROM g WHERE last_at < TIMESTAMP '2024-02-10' GROUP BY 1
+UNION ALL SELECT tenant, 'theme', arg_max(lang, (n, lang)) FROM (SELECT tenant, lang, count(*) AS n FROM content WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY 1""")
 def rec05_activity_board(spark, d):
-    return rp.board(reports.item_signals(content(spark, d)), "2024-02-10 00:00:00")
+    c = content(spark, d)
+    return rp.board(reports.item_signals(c), c.select("tenant", F.col("lang").alias("tag")), "2024-02-10 00:00:00")
 
 
 @query(f"""WITH {LOGS}, p AS (SELECT id, tenant, intent AS family, round(ms * CASE intent WHEN 'click' THEN 1.5 WHEN 'view' THEN 0.5 ELSE 1 END::DOUBLE, 6) AS points FROM logs), n AS (SELECT *, row_number() OVER (PARTITION BY tenant, family ORDER BY points DESC, id) AS nth FROM p)

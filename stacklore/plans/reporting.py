@@ -97,7 +97,7 @@ def agg14_level_distribution(spark, d):
     return rp.level_distribution(content(spark, d).withColumn("level", level))
 
 
-@query("""SELECT p_name AS title, p_type AS author, count(DISTINCT p_partkey) AS n, array_to_string(list_sort(list(DISTINCT p_partkey::VARCHAR)), ',') AS ids FROM part GROUP BY ALL HAVING n > 1""")
+@query("""WITH g AS (SELECT p_name AS title, p_type AS author, count(DISTINCT p_partkey) AS n FROM part GROUP BY ALL HAVING n > 1) SELECT DISTINCT title, author, n, p_partkey::VARCHAR AS id FROM part JOIN g ON title = p_name AND author = p_type""")
 def agg15_duplicate_groups(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_type").alias("author"), F.col("p_partkey").cast("string").alias("id"))
     return rp.duplicate_groups(p, ["title", "author"], "id")

@@ -76,10 +76,12 @@ def vec07_dislike_penalty(spark, d):
     return s.where("penalty >= 0.3").select("id", F.round("penalty", 4).alias("penalty"))
 
 
-@query(f"WITH {_PAIRS} SELECT id, max(round(sim, 6)) > 0.85 AND avg(sim) >= 0.1 AS near_duplicate FROM pairs WHERE id <> query_id GROUP BY 1")
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[64] AS v, embedding::DOUBLE[] AS l FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS nth FROM e),
+m AS (SELECT label, list(x ORDER BY i)::DOUBLE[64] AS c FROM (SELECT label, i, avg(l[i]) AS x FROM e, range(1, 65) t(i) GROUP BY ALL) GROUP BY 1), b AS (SELECT e.id, max(round(list_cosine_similarity(e.v, r.v), 6)) AS best FROM e JOIN r USING (label) WHERE r.nth <= 50 AND e.id <> r.id GROUP BY 1)
+SELECT id, round(list_cosine_similarity(v, c), 6) >= 0.2 AND coalesce(best, 0) > 0.35 AS near_duplicate FROM e JOIN m USING (label) LEFT JOIN b USING (id)""")
 def vec08_semantic_near_duplicate(spark, d):
-    p = _pairs(spark, d).where("id <> query_id")
-    return p.groupBy("id").agg(((F.max(F.round("sim", 6)) > 0.85) & (F.avg("sim") >= 0.1)).alias("near_duplicate"))
+    """Each label as a session. The limits of the operator (0.80 and 0.85) are lower here: the vectors of a label lie farther apart."""
+    return v.near_duplicates(vectors(spark, d), "label", 50, 0.2, 0.35)
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND length(trim(text)) > 0")
@@ -112,11 +114,24 @@ def _lists(spark, d):
     return lx, lx.where("score >= 2").select("query_id", "id", F.least("score", F.lit(2)).alias("score"))
 
 
-@query(f"WITH {CONTENT} SELECT id, 100 AS score FROM content WHERE content_type IN ('BOOK', 'HIGHLIGHT', 'INSIGHT', 'PERSONAL_NOTE') AND regexp_matches(lower(text), '(^|[^a-z0-9])thing($|[^a-z0-9])')")
+_CORE = "content_type IN ('BOOK', 'HIGHLIGHT', 'INSIGHT', 'PERSONAL_NOTE')"
+
+
+@query(f"""WITH {CONTENT}, h AS (SELECT id, created_at FROM content WHERE {_CORE} AND regexp_matches(lower(text), '(^|[^a-z0-9])thing($|[^a-z0-9])') AND regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])'))
+SELECT id, 100 AS score, row_number() OVER (ORDER BY created_at DESC, id DESC)::INT AS position FROM h""")
 def ret01_exact_search(spark, d):
-    from stacklore.operators.filters import surface, whole_term
+    """All words of a query as whole terms, newest first."""
+    from stacklore.operators.filters import surface
+
+    return rt.exact_search(surface(content(spark, d)), "thing the")
+
+
+@query(f"""WITH {CONTENT}, h AS (SELECT id, created_at FROM content WHERE {_CORE} AND contains(lower(text), 'nstha')) SELECT id, 100 AS score, row_number() OVER (ORDER BY created_at DESC, id DESC)::INT AS position FROM h""")
+def ret01_substring_path(spark, d):
+    """A query that no chunk holds as a whole term."""
+    from stacklore.operators.filters import surface
 
-    return surface(content(spark, d)).where(whole_term(F.lower("text"), "thing")).select("id", F.lit(100).alias("score"))
+    return rt.exact_search(surface(content(spark, d)), "nstha")
 
 
 @query(f"{_L} SELECT query_id, id, least(95, 70 + 5 * score) AS score FROM lx")
@@ -164,6 +179,20 @@ def ret08_bm25(spark, d):
     return rt.bm25(content(spark, d).select("id", "text"), q).select("query_id", "id", F.round("bm25", 4).alias("bm25"))
 
 
+@query(_L + r""", w AS (SELECT id, list_filter(string_split_regex(lower(substr(text, 1, 2500) || ' ' || title), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM content), l AS (SELECT id, len(ws) AS len FROM w), z AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM l),
+q2 AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
+tf AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q2) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS bm25 FROM q2 JOIN tf USING (term) JOIN df USING (term) JOIN l USING (id), z GROUP BY ALL),
+x AS (SELECT query_id, id, least(score, 5) / 5 AS base, coalesce(bm25, 0) AS b FROM lx LEFT JOIN bm USING (query_id, id)), y AS (SELECT *, min(b) OVER (PARTITION BY query_id) AS lo, max(b) OVER (PARTITION BY query_id) AS hi FROM x)
+SELECT query_id, id, round(0.65::DOUBLE * base + 0.35::DOUBLE * CASE WHEN hi > lo THEN (b - lo) / (hi - lo) ELSE 0 END, 4) AS blend FROM y""")
+def ret08_bm25_blend(spark, d):
+    """Hits by shared long words, re-ranked with the BM25 of the head of their texts and their titles."""
+    lx, _ = _lists(spark, d)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    base = lx.select("query_id", "id", (F.least("score", F.lit(5)) / 5).alias("base"))
+    return rt.reranked(base, content(spark, d), q).withColumn("blend", F.round("blend", 4))
+
+
 @query(None)
 def ret10_mmr(spark, d):
     lx, _ = _lists(spark, d)

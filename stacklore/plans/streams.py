@@ -28,10 +28,14 @@ def stm02_seen_once(spark, d):
     return s.drain(s.seen_once(_feed(spark, d)).select("user_id", "k"))
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, arg_max((props->>'$.k')::BIGINT, (ts, event_id)) AS last FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT user_id, event_type, value, (props->>'$.k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS back_own FROM events)
+SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(avg(k), 6) AS mean_k, string_agg(k::VARCHAR, ',' ORDER BY back DESC) FILTER (back <= 50) AS recent, coalesce(string_agg(k::VARCHAR, ',' ORDER BY back DESC) FILTER (event_type = 'error' AND back_own <= 20), '') AS disliked,
+coalesce(max(k) FILTER (event_type = 'click' AND back_own = 1), -1) AS anchor FROM e GROUP BY 1""")
 def stm03_session_state(spark, d):
-    out = s.drain(s.session_state(_feed(spark, d)))
-    return out.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "last"), "n").alias("r")).select("user_id", "r.n", F.round("r.mean", 6).alias("mean"), "r.last")
+    out = s.drain(s.session_state(_feed(spark, d), ["value", "k"]))
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "recent", "disliked", "anchor"), "n").alias("r")).select("user_id", "r.*")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return last.select("user_id", "n", F.round(F.col("mean")[0], 6).alias("mean"), F.round(F.col("mean")[1], 6).alias("mean_k"), listed("recent"), listed("disliked"), "anchor")
 
 
 @query("""WITH o AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), g AS (SELECT *, sum((gap IS NULL OR gap > INTERVAL 2 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM o),
@@ -59,13 +63,17 @@ def stm07_stale_jobs(spark, d):
     return s.stale_jobs(j, "2024-01-31 00:00:00", 43200).select("id", "updated_at")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH n AS (SELECT event_id, any_value(user_id) AS item, any_value(event_type) AS kind, any_value(value) AS value FROM events GROUP BY 1)
+SELECT item, count(*) AS total, count_if(value > 50) AS embedded, count_if(kind = 'click') AS a, count_if(kind = 'view') AS b, count_if(kind NOT IN ('click', 'view')) AS c, round(count_if(value > 50) / count(*), 4) AS coverage FROM n GROUP BY 1""")
 def stm08_incremental_upsert(spark, d):
+    """New rows by item as they come: how many, how many with a vector, how many of each level, and the coverage of all so far."""
     path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    last = []
-    apply = s.upsert_counts(path, ["event_type"])
-    s.drain_batches(_feed(spark, d), lambda b, n: (apply(b, n), last.append(n))[0])
-    return spark.read.parquet(f"{path}/v={max(last)}")
+    one = lambda c: c.cast("long")
+    kind = F.col("event_type")
+    measures = {"total": F.lit(1), "embedded": one(F.col("value") > 50), "a": one(kind == "click"), "b": one(kind == "view"), "c": one(~kind.isin("click", "view"))}
+    s.drain_batches(_feed(spark, d), s.add_counts(path, ["user_id"], measures))
+    out = s.added_up(spark, path, ["user_id"], list(measures)).withColumnRenamed("user_id", "item")
+    return out.withColumn("coverage", F.round(F.col("embedded") / F.col("total"), 4))
 
 
 @query("SELECT user_id, event_type, min(ts) AS first_at FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,28 +63,36 @@ def alerts(metrics: DataFrame, ratio: float = 0.1, held: int = 2) -> DataFrame:
     return hot.withColumn("run", F.sum("hot").over(w)).where(F.col("run") == held).select("start", "errors", "n")
 
 
-STATE = "recent array<bigint>, n bigint, mean double"
+#: Chunks that a session remembers as shown and as disliked.
+SHOWN, DISLIKED = 50, 20
+STATE = "recent array<bigint>, disliked array<bigint>, n bigint, centroid array<double>, anchor bigint"
 
 
-def session_state(feed: DataFrame, buffer: int = 50) -> DataFrame:
-    """Per user a buffer of recent chunks (first in, first out), a count and a running
-    mean, carried over micro-batches; one row for each user and batch."""
+def session_state(feed: DataFrame, vector: list[str], shown: int = SHOWN, disliked: int = DISLIKED) -> DataFrame:
+    """Per user what its session keeps over micro-batches, one row for each user and batch: the last chunks shown and those
+    disliked (events ``error``), first in and first out, how many events there were, the running mean of the columns
+    ``vector``, and as anchor the last chunk that was opened (``click``; -1 for none)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent, n, mean = ([], 0, 0.0) if not state.exists else state.get
+        recent, bad, n, mean, anchor = ([], [], 0, [0.0] * len(vector), -1) if not state.exists else state.get
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        recent = [*recent, *(int(k) for k in rows["k"].dropna())][-buffer:]
-        for v in rows["value"]:
+        known = rows[rows["k"].notna()]
+        recent = [*recent, *(int(k) for k in known["k"])][-shown:]
+        bad = [*bad, *(int(k) for k in known[known["event_type"] == "error"]["k"])][-disliked:]
+        opened = known[known["event_type"] == "click"]["k"]
+        anchor = int(opened.iloc[-1]) if len(opened) else anchor
+        for v in rows[vector].itertuples(index=False):
             n += 1
-            mean += (v - mean) / n
-        state.update((recent, n, mean))
+            mean = [m + (x - m) / n for m, x in zip(mean, v)]
+        state.update((recent, bad, n, mean, anchor))
         state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 7_200_000)
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean], "last": [recent[-1] if recent else -1]})
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean], "recent": [recent], "disliked": [bad], "anchor": [anchor]})
 
-    return feed.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double, last long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = "user_id long, n long, mean array<double>, recent array<long>, disliked array<long>, anchor long"
+    return feed.groupBy("user_id").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_jobs(jobs: DataFrame, now: str, seconds: int) -> DataFrame:
@@ -93,20 +101,21 @@ def stale_jobs(jobs: DataFrame, now: str, seconds: int) -> DataFrame:
     return jobs.where((F.col("state") == "PROCESSING") & (F.col("updated_at") < limit)).orderBy("updated_at", "id")
 
 
-def upsert_counts(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that adds each micro-batch's counts to the newest version of a table under ``path``;
-    a batch that runs again writes its version anew, so each counts once."""
+def add_counts(path: str, keys: list[str], measures: dict[str, Column]) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes what each micro-batch adds (sums by key) into a folder of the batch's own: work follows the
+    batch, not the table, and a batch that runs again replaces its folder, so each counts once."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        if number:
-            new = spark.read.parquet(f"{path}/v={number - 1}").unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        batch.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in measures.items())).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
 
 
+def added_up(spark: SparkSession, path: str, keys: list[str], measures: list[str]) -> DataFrame:
+    """The sums over all batches."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in measures))
+
+
 def first_ready(status: DataFrame) -> DataFrame:
     """The first time at which each state of a job is seen."""
     return status.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"))
