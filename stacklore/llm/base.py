@@ -14,6 +14,8 @@ from stacklore.sources.shared import shared_dir  # noqa: F401
 
 #: Text handed to one numpy step inside a task, in characters.
 SLICE_CHARS = 3_000_000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def light(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in Arrow batches of ``BATCH_BYTES``: the usual ones hold thousands of whole texts twice."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """Columns as Python lists, cut so that the text column of a piece holds
     about ``limit`` characters (one row at least; rows are never cut)."""

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, numbered, slices
+from stacklore.llm.base import keep, light, numbered, slices
 
 #: UTF-8 bytes of words after lower-casing A-Z.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -52,7 +52,7 @@ FILTER_BITS, RUN = 1 << 22, 64
 NEAR_SHARE, LEAST_NEAR = 0.8, 4
 PAD, ABSENT, FAR = -1, -2, 1 << 60
 #: Places looked at in one numpy step inside a task, about.
-STEP = 1_000_000
+STEP = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -288,7 +288,7 @@ def _find(docs: DataFrame, items: DataFrame, window: int, slop: int | None) -> t
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     every = keep(named.mapInArrow(_passages(window), "passage binary, item string, terms array<binary>"), "passages")
     bits = docs.sparkSession.sparkContext.broadcast(_term_bits(every))
-    index = keep(docs.mapInArrow(_index(bits), INDEX), "postings")
+    index = keep(light(docs).mapInArrow(_index(bits), INDEX), "postings")
     postings = index.where("term IS NOT NULL")
     often = postings.groupBy("term").agg(F.sum(F.size("places")).alias("often"))
     passages = every.groupBy("passage").agg(F.first("terms").alias("terms"))

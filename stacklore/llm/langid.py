@@ -28,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import below, place, slices
+from stacklore.llm.base import below, light, place, slices
 
 #: Labelled texts of each language that a fit uses, at most.
 FIT_TEXTS = 120
 FIT_STEPS = 25
 BUCKETS = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
-KNOWN = 300_000
+#: Words whose potentials a task keeps, and that it makes in one numpy step, at most about.
+KNOWN, STEP = 300_000, 20_000
 LEXICON = 300
 #: Words handled in one forward-backward pass, at most about (texts are never cut).
-PASS_WORDS = 800_000
+PASS_WORDS, PASS_CHARS = 600_000, 3_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -199,7 +200,8 @@ class Labeller:
         new = [w for w in seen if w not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.potential = np.concatenate((self.potential, self.model.word_potentials(new)))
+            made = [self.model.word_potentials(new[i : i + STEP]) for i in range(0, len(new), STEP)]
+            self.potential = np.concatenate((self.potential, *made))
         start = 0
         while start < len(parts):
             end, n = start, 0
@@ -257,14 +259,14 @@ def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for ids, texts in slices(batches):
+        for ids, texts in slices(batches, limit=PASS_CHARS):
             lang, score, switches = labeller.texts(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(switches, pa.int64())],
                 ["doc_id", "lang_pred", "score", "n_switches"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
+    return light(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
@@ -274,10 +276,10 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            texts, ok = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
-            for i in range(0, len(texts), 1000):
-                lang, score, _ = labeller.texts(texts[i : i + 1000])
+            ok = []
+            for (texts,) in slices(iter([batch.select(["text"])]), text=0, limit=PASS_CHARS):
+                lang, score, _ = labeller.texts(texts)
                 ok += [x != "und" and s >= least for x, s in zip(lang, score)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return light(docs).mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, numbered, slices
+from stacklore.llm.base import keep, light, numbered, slices
 from stacklore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -261,7 +261,7 @@ def _rare_pairs(left: DataFrame, members: DataFrame, threshold: float) -> DataFr
 
 def _classes(every: DataFrame, number: str, threshold: float, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """row, doc_id, class_id, copy_of, kept (one row of each class) of every row of ``every`` (doc_id, text and the column ``number``)."""
-    base = every.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = light(every).select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = keep(base.mapInArrow(_sign(rows_of_band(threshold)), "row long, doc_id long, copy binary, bands array<long>"), "signed")
     worded = signed.where("copy IS NOT NULL")
     first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, slices
+from stacklore.llm.base import keep, light, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\x0b\x0c\r"
@@ -138,7 +138,7 @@ class References:
 
 def references(docs: DataFrame, common: int = COMMON) -> References:
     """Over all rows of ``docs`` (lang, text); rows without lang are left out."""
-    counted = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, word string, class int, n long")
+    counted = light(docs).where("lang IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, word string, class int, n long")
     counts = keep(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "counts")
     total = counts.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total"))
     most = Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.col("n").desc(), "word")
@@ -170,4 +170,4 @@ def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, schema)
+    return light(docs).select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, schema)

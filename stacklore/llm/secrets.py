@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import shared_dir, slices
+from stacklore.llm.base import light, shared_dir, slices
 
 RULES_VERSION = "1"
 KINDS = ("assign", "access", "hex")
@@ -79,7 +79,7 @@ class BlobLedger:
     def scan(self, versions: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
         """All rows of ``versions`` (path, text) with the findings of their blobs;
         blobs that the ledger lacks for these rules are scanned and added first."""
-        named = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+        named = light(versions).select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
         known = self.read(rules)
         unseen = named.select("blob", "text")
         if known.limit(1).count():

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import slices
+from stacklore.llm.base import light, slices
 
 #: How byte-level vocabularies split texts before merging.
 SPLIT = (
@@ -165,5 +165,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = light(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import below, place, slices
+from stacklore.llm.base import below, light, place, slices
 
 #: Labelled rows of each class that a fit uses, at most about.
 FIT_ROWS = 8000
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> ToxicModel:
     cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, below(most / n))))
     picked = labels.where(place("doc_id") <= F.element_at(cut, F.col("toxic")))
     # about 2 * most rows of two numbers, whatever the size of the tables
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(_family, "doc_id long, h long")
+    rows = light(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text").mapInArrow(_family, "doc_id long, h long")
     first = rows.join(F.broadcast(picked), "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
     own = {r["doc_id"] for r in first.select("doc_id").collect()}
     chosen = spark.createDataFrame([(int(i),) for i in sorted(own)], "doc_id long")
@@ -260,4 +260,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 ["doc_id", "score", "n_passages", "passages"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, n_passages long, passages string")
+    return light(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, n_passages long, passages string")
