@@ -181,21 +181,22 @@ def fun24_boilerplate(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), t.strip_boilerplate(F.concat("url", F.lit(" ISBN 978-1-4028-9462-6  end"))).alias("bare"))
 
 
-def common_letters(a, b):
-    """SQL for the length of the longest common subsequence: a row of the usual table is one number."""
-    places = f"list_sum([CASE WHEN substr({b}, j::INT, 1) = ch THEN 1::HUGEINT << (j - 1)::INT ELSE 0 END for j in range(1, length({b}) + 1)])::HUGEINT"
-    full = f"((1::HUGEINT << length({b})::INT) - 1)"
-    return f"(length({b}) - bit_count(list_reduce(string_split({a}, ''), lambda v, ch: ((v + (v & {places})) | (v - (v & {places}))) & {full}, {full})))"
+VOCABULARY = "v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) > 2 GROUP BY 1)"
 
 
-VOCABULARY = "v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) > 2 GROUP BY 1)"
+def _sign(word):
+    """SQL: a number with a bit for each letter of a word of small letters."""
+    return f"list_aggregate(list_transform(string_split({word}, ''), lambda c: 1::BIGINT << (ascii(c) - 97)), 'bit_or')"
 
 
 def closest(words):
-    """SQL: word and fix of the rows of ``words`` (word) by the dictionary of words that stand 20 times or more."""
-    return f"""near AS (SELECT word, fix FROM (SELECT DISTINCT word FROM {words}) w JOIN (SELECT word AS fix FROM v WHERE n >= 20) c
-ON 5 * abs(length(word) - length(fix)) < length(word) + length(fix) AND 5 * levenshtein(word, fix) < length(word) + length(fix) WHERE length(word) BETWEEN 3 AND 62 AND length(fix) <= 62),
-fixes AS (SELECT word, arg_max(fix, (common, -ord)) AS fix FROM (SELECT *, 200 * lcs / (length(word) + length(fix)) AS common, row_number() OVER (ORDER BY fix) AS ord FROM (SELECT *, {common_letters("word", "fix")} AS lcs FROM near)) WHERE common > 80 GROUP BY 1)"""
+    """SQL: word and fix of the rows of ``words`` (word) by the dictionary of words that stand 20 times or more. The longest
+    common subsequence is read off one number per step; ``at`` has the places of each letter of the fix."""
+    return f"""ask AS (SELECT DISTINCT word, {_sign("word")} AS sign FROM {words} WHERE length(word) BETWEEN 3 AND 62), know AS (SELECT word AS fix, {_sign("word")} AS sign2, (1::HUGEINT << length(word)::INT) - 1 AS whole,
+list_transform(range(97, 123), lambda c: list_sum(list_transform(range(1, length(word) + 1), lambda j: CASE WHEN ascii(substr(word, j::INT, 1)) = c THEN 1::HUGEINT << (j - 1)::INT ELSE 0 END))::HUGEINT) AS places FROM v WHERE n >= 20 AND length(word) <= 62),
+near AS (SELECT word, fix, whole, places FROM ask JOIN know ON 5 * abs(length(word) - length(fix)) < length(word) + length(fix) AND 5 * bit_count(xor(sign, sign2)) < length(word) + length(fix) AND 5 * levenshtein(word, fix) < length(word) + length(fix)),
+lcs AS (SELECT word, fix, length(fix) - bit_count(list_reduce(string_split(word, ''), lambda r, c: ((r + (r & places[ascii(c) - 96])) | (r - (r & places[ascii(c) - 96]))) & whole, whole)) AS lcs FROM near),
+fixes AS (SELECT word, arg_max(fix, (common, -ord)) AS fix FROM (SELECT *, 200 * lcs / (length(word) + length(fix)) AS common, row_number() OVER (ORDER BY fix) AS ord FROM lcs) WHERE common > 80 GROUP BY 1)"""
 
 
 def dictionary(spark, d):
