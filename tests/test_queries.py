@@ -251,3 +251,54 @@ def test_runs_of_keys_across_chunks(spark):
     want = [i for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k] + [100]
     for size in (1, 2, 5, 50):
         assert sorted(r.id for r in without_repeats(df, ["id"], F.floor(F.col("id") / size)).collect()) == want
+
+
+def test_sentence_chunks_lose_no_word(spark, data):
+    docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    chunks = {}
+    for r in QUERIES["doc05_sentence_chunks"](spark, data).collect():
+        chunks.setdefault(r.doc, []).append((r.chunk, r.text.split(), r.words))
+    for doc, words in docs.items():
+        own = sorted(chunks.get(doc, []))
+        assert [c for c, *_ in own] == list(range(len(own))) and all(len(w) == n <= 450 for _, w, n in own)
+        told = [w for c, ws, _ in own for w in (ws[20:] if c else ws)]
+        assert told == words
+
+
+def test_ingestion_decides_on_the_text_of_pages(spark, tmp_path):
+    good = "<p>The first of these thoughts is stated at some length, so that it reads as a whole sentence and ends as one.</p>"
+    rows = [(1, "u1", good), (2, "u2", "<script>x()</script><p>ve bu cumle ortadan baslar ve bitmeden biter gibi gorunur cunku sonunda nokta yok iste</p>"), (3, "u3", "<p>page 12</p>"), (4, "u4", "<div></div>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: r for r in QUERIES["doc12_ingestion_pipeline"](spark, str(tmp_path)).collect()}
+    assert got[1].decision == "EMBED" and got[1].reasons == "" and {got[i].decision for i in (2, 3, 4)} == {"REJECT"}
+    assert "broken_start" in got[2].reasons and "page_artifact" in got[3].reasons
+
+
+def test_exact_quantiles_of_skewed_values(spark):
+    import random
+
+    import numpy as np
+
+    from stacklore.operators.reports import quantiles
+
+    rng = random.Random(8)
+    rows = [("a", float(rng.choice([1, 1, 1, 2, 1000]))) for _ in range(500)] + [("b", rng.expovariate(1)) for _ in range(777)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in quantiles(df, "v", shares, "k").collect()}
+    for k in "abc":
+        own = [v for x, v in rows if x == k]
+        assert all(abs(got[k][n] - np.quantile(own, q)) < 1e-9 for n, q in shares.items())
+    assert "d" not in got
+    own = [v for _, v in rows if v is not None]
+    assert all(abs(quantiles(df, "v", shares).first()[n] - np.quantile(own, q)) < 1e-9 for n, q in shares.items())
+
+
+def test_hubs_in_blocks_give_the_same_pairs(spark):
+    from stacklore.operators.joins import common_neighbours, title_mismatches
+
+    edges = spark.createDataFrame([(s, d) for s in range(40) for d in range(6) if (s * 7 + d) % 3], "src long, dst long")
+    whole, cut = (sorted(map(tuple, common_neighbours(edges, 2, n).collect())) for n in (1000, 3))
+    assert whole == cut and len(whole) > 100
+    items = spark.createDataFrame([("t", "1", "The Republic"), ("t", "2", "Plato: The Republic"), ("t", "3", "the republic"), ("t", "4", "Art"), ("t", "5", "Cartography"), ("u", "6", "Art"), ("t", "7", "X")], "tenant string, item_id string, title string")
+    assert sorted((r.item_a, r.item_b) for r in title_mismatches(items).collect()) == [("1", "2"), ("1", "3"), ("2", "3"), ("4", "5")]
