@@ -83,11 +83,38 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stacklore.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklore.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stacklore.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from stacklore.llm import chat, mixing
-
-    return {"op6_source_mix": mixing.ORACLE_SQL, "op9_tool_calls": chat.ORACLE_SQL}
+    from stacklore.llm import chat, collocations, lines, mixing, negatives
+
+    return {
+        "op6_source_mix": mixing.ORACLE_SQL,
+        "op9_tool_calls": chat.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
+        "op12_line_dedup": lines.ORACLE_SQL,
+        "op13_collocations": collocations.ORACLE_SQL,
+    }
