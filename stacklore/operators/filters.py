@@ -70,10 +70,13 @@ def has_literal(text: Column, needle: str) -> Column:
     return text.contains(F.lit(needle))
 
 
+def _quoted(needle: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in needle)
+
+
 def whole_term(text: Column, needle: str) -> Column:
     """The needle with neither a letter nor a digit of ASCII next to it."""
-    quoted = "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in needle)
-    return text.rlike(f"(?<![a-z0-9]){quoted}(?![a-z0-9])")
+    return text.rlike(f"(?<![a-z0-9]){_quoted(needle)}(?![a-z0-9])")
 
 
 def stem_hits(text: Column, stems: list[str]) -> Column:
@@ -81,7 +84,7 @@ def stem_hits(text: Column, stems: list[str]) -> Column:
     total = F.lit(0)
     for s in stems:
         if len(s) >= 3:
-            total = total + F.regexp_count(text, F.lit(f"(?<![a-z0-9]){s}"))
+            total = total + F.regexp_count(text, F.lit(f"(?<![a-z0-9]){_quoted(s)}"))
     return total
 
 
@@ -90,11 +93,23 @@ def all_tokens(tokens: Column, wanted: list[str]) -> Column:
     return F.size(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))) == len(wanted)
 
 
-def not_noise(text: Column, kind: Column) -> Column:
-    """Length floors by type, wider for texts that open as a bare header."""
-    t = F.trim(text)
-    floor = F.when(F.lower(t).rlike("^(title|author):"), 220).when(kind == "ARTICLE", 100).otherwise(60)
-    return F.length(t) >= floor
+#: Types that a semantic hit may have, those of short notes, marks of drafts, and length floors.
+SEMANTIC_TYPES = ("PDF", "EPUB", "PDF_CHUNK", "BOOK", "HIGHLIGHT", "INSIGHT", "NOTES", "PERSONAL_NOTE", "ARTICLE", "WEBSITE", "MOVIE", "SERIES", "GRAPH_RELATION")
+NOTE_TYPES = ("PERSONAL_NOTE", "HIGHLIGHT", "INSIGHT", "NOTES")
+DRAFT_TEXT, DRAFT_TITLE, NAMELESS = "website deneme", "deneme", "unknown"
+NOTE_FLOOR, TEXT_FLOOR, WEB_FLOOR, DRAFT_FLOOR, HEADER_FLOOR = 15, 60, 100, 180, 220
+
+
+def semantic_quality(text: Column, title: Column, kind: Column) -> Column:
+    """Whether a semantic hit says enough for its type: no drafts, placeholders or bare headers."""
+    t, name, kind = F.trim(F.coalesce(text, F.lit(""))), F.lower(F.trim(F.coalesce(title, F.lit("")))), F.upper(F.trim(F.coalesce(kind, F.lit(""))))
+    low, n = F.lower(t), F.length(t)
+    floor = F.when(kind.isin(*NOTE_TYPES), NOTE_FLOOR).when(kind.isin("WEBSITE", "ARTICLE"), WEB_FLOOR).otherwise(TEXT_FLOOR)
+    floor = F.greatest(
+        floor, F.when(low.rlike("^(title|author):"), HEADER_FLOOR).otherwise(0), F.when(name.contains(DRAFT_TITLE), DRAFT_FLOOR).otherwise(0),
+        F.when(name.contains(NAMELESS), HEADER_FLOOR).otherwise(0),
+    )
+    return ((kind == "") | kind.isin(*SEMANTIC_TYPES)) & ~low.contains(DRAFT_TEXT) & (n >= floor)
 
 
 def length_band(text: Column, band: str) -> Column:

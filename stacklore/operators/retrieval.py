@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stacklore.functions.text import FOLD_FROM, FOLD_TO
 from stacklore.operators.filters import whole_term
 
 #: Bucket weights by kind of intent, and the rank constant.
@@ -16,38 +17,37 @@ WEIGHTS = {"direct": (0.55, 0.30, 0.15), "broad": (0.20, 0.20, 0.60), "other": (
 RANK_CONSTANT = 60
 
 
-def route(text: Column, intent: Column) -> Column:
-    """Retrieval mode of a query."""
-    low = F.lower(text)
-    words = F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+"))
-    hint = low.rlike(r"(^|[^\p{L}\p{N}])(nedir|neden|nasil|anlami|kavram|kavramsal|etik|ahlak|felsefe|adalet|vicdan|ozgurluk)($|[^\p{L}\p{N}])")
-    return (
-        F.when(low.rlike(r'\bhangi sayfa\b|\bkitab(i|in)? adi\b|\bkim (dedi|soyledi)\b|\btam alinti\b|"[^"]+"'), "fast_exact")
-        .when(hint & (words > 1), "semantic_focus").when(intent.isin("DIRECT", "CITATION_SEEKING", "FOLLOW_UP"), "fast_exact").otherwise("balanced")
-    )
+#: Phrases of a direct look-up, words of a question about a concept, and intents of a direct question.
+DIRECT_PHRASES = ("hangi sayfa", "kitap adi", "kitabi adi", "kitabin adi", "kim dedi", "kim soyledi", "tam alinti")
+CONCEPT_WORDS = ("nedir", "neden", "nasil", "anlami", "kavram", "kavramsal", "etik", "ahlak", "felsefe", "adalet", "vicdan", "ozgurluk")
+DIRECT_INTENTS = ("DIRECT", "CITATION_SEEKING", "FOLLOW_UP")
+QUOTED = '"[^"]+"'
+#: Lanes that each mode opens, in order.
+LANES_OF = {"fast_exact": ("exact", "lemma"), "semantic_focus": ("lemma", "semantic", "exact"), "balanced": ("exact", "lemma", "semantic")}
 
 
-def ranked(df: DataFrame, bucket: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return df.select("query_id", "id", "score", F.row_number().over(w).alias("rank"), F.lit(bucket).alias("bucket"))
+def route(text: Column, intent: Column) -> Column:
+    """Retrieval mode of a query, whose marks are folded away; short questions and all others are balanced."""
+    low = F.translate(F.lower(F.translate(F.coalesce(text, F.lit("")), "Iİ", "ıi")), FOLD_FROM, FOLD_TO)
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"))
+    concept = F.arrays_overlap(words, F.array(*map(F.lit, CONCEPT_WORDS))) & (F.size(words) > 1)
+    phrase = low.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(DIRECT_PHRASES)})($|[^\p{{L}}\p{{N}}_])")
+    return F.when(phrase | text.rlike(QUOTED), "fast_exact").when(concept, "semantic_focus").when(intent.isin(*DIRECT_INTENTS), "fast_exact").otherwise("balanced")
 
 
-def fuse(lists: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """Weighted reciprocal-rank fusion of ranked lists."""
-    every = None
-    for bucket, df in lists.items():
-        own = ranked(df, bucket).withColumn("part", F.lit(weights[bucket]) / (RANK_CONSTANT + F.col("rank")))
-        every = own if every is None else every.unionByName(own)
-    return every.groupBy("query_id", "id").agg(F.sum("part").alias("rrf"))
+def lanes_of(mode: Column) -> Column:
+    """The lanes of a mode, in order."""
+    out = F.array(*map(F.lit, LANES_OF["balanced"]))
+    for name, lanes in LANES_OF.items():
+        out = F.when(mode == name, F.array(*map(F.lit, lanes))).otherwise(out)
+    return out
 
 
-def concatenated(lists: dict[str, DataFrame]) -> DataFrame:
-    every = None
-    for n, (bucket, df) in enumerate(lists.items()):
-        own = ranked(df, bucket).withColumn("prio", F.lit(n))
-        every = own if every is None else every.unionByName(own)
-    first = every.groupBy("query_id", "id").agg(F.min_by(F.struct("bucket", "rank", "prio"), F.struct("prio", "rank")).alias("f"))
-    return first.select("query_id", "id", "f.*").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("prio", "rank")))
+def in_order(hits: DataFrame, lanes: tuple[str, ...]) -> DataFrame:
+    """query_id, id, lane, rank, pos: hits (query_id, id, lane, rank) lane by lane, each result at its first place."""
+    prio = F.array_position(F.array(*map(F.lit, lanes)), F.col("lane"))
+    first = hits.groupBy("query_id", "id").agg(F.min(F.struct(prio.alias("prio"), "rank", "lane")).alias("f"))
+    return first.select("query_id", "id", "f.*").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("prio", "rank", "id")))
 
 
 def tail_cap(n_lexical: Column) -> Column:
@@ -55,14 +55,6 @@ def tail_cap(n_lexical: Column) -> Column:
     return F.when(n_lexical > 30, 2).when(n_lexical >= 20, 3).when(n_lexical >= 10, 4).otherwise(5)
 
 
-def lexical_then_semantic(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    n = lexical.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    new = semantic.join(lexical.select("query_id", "id"), ["query_id", "id"], "left_anti").join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    tail = new.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= tail_cap(F.col("n")))
-    return lexical.select("query_id", "id", F.lit(0).alias("part")).unionByName(tail.select("query_id", "id", F.lit(1).alias("part")))
-
-
 def terms_of(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     return df.select(F.col(ident), F.explode(words).alias("term")).where("term <> ''")

@@ -91,10 +91,11 @@ def flt11_all_tokens(spark, d):
     return content(spark, d).where(fl.all_tokens(F.split(F.lower("text"), r"\s+"), ["the", "thing", "x"])).select("id")
 
 
-@query(f"""WITH {CONTENT} SELECT id FROM content WHERE length(trim(text)) >= CASE WHEN regexp_matches(lower(trim(text)), '^(title|author):') THEN 220
-WHEN content_type = 'ARTICLE' THEN 100 ELSE 60 END""")
+@query(f"""WITH {CONTENT} SELECT id FROM content WHERE NOT contains(lower(text), 'website deneme') AND NOT (contains(lower(title), 'deneme') AND length(trim(text)) < 180)
+AND length(trim(text)) >= CASE WHEN regexp_matches(lower(trim(text)), '^(title|author):') OR contains(lower(title), 'unknown') THEN 220
+WHEN content_type IN ('PERSONAL_NOTE', 'HIGHLIGHT', 'INSIGHT') THEN 15 WHEN content_type IN ('ARTICLE', 'WEBSITE') THEN 100 ELSE 60 END""")
 def flt12_noise_guard(spark, d):
-    return content(spark, d).where(fl.not_noise(F.col("text"), F.col("content_type"))).select("id")
+    return content(spark, d).where(fl.semantic_quality(F.col("text"), F.col("title"), F.col("content_type"))).select("id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE length(text) < 600")

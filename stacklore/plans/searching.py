@@ -134,42 +134,6 @@ def ret01_substring_path(spark, d):
     return rt.exact_search(surface(content(spark, d)), "nstha")
 
 
-@query(f"{_L} SELECT query_id, id, least(95, 70 + 5 * score) AS score FROM lx")
-def ret02_lemma_search(spark, d):
-    return _lists(spark, d)[0].select("query_id", "id", F.least(F.lit(95), 70 + 5 * F.col("score")).alias("score"))
-
-
-@query(f"{_L}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk, 0.34 AS w FROM lx UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id), 0.33 FROM sm), f AS (SELECT query_id, id, round(sum(w::DOUBLE / (60 + rk)), 8) AS rrf FROM r GROUP BY ALL) SELECT query_id, id, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS nth FROM f) WHERE nth <= 20")
-def ret03_hybrid_search(spark, d):
-    lx, sm = _lists(spark, d)
-    f = rt.fuse({"exact": lx, "lemma": sm}, {"exact": 0.34, "lemma": 0.33}).withColumn("rrf", F.round("rrf", 8))
-    return f.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "id"))).where("nth <= 20").select("query_id", "id", "rrf")
-
-
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\"[^\"]+\"') THEN 'fast_exact' WHEN role = 'user' THEN 'fast_exact' ELSE 'balanced' END AS mode FROM conversations")
-def ret04_query_routing(spark, d):
-    intent = F.when(F.col("role") == "user", "DIRECT").otherwise("SYNTHESIS")
-    return table(spark, d, "conversations").select("conv_id", "turn", rt.route(F.col("text"), intent).alias("mode"))
-
-
-@query(f"{_L}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk, 0.55 AS w FROM lx UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id), 0.30 FROM sm) SELECT query_id, id, round(sum(w::DOUBLE / (60 + rk)), 8) AS rrf FROM r GROUP BY ALL")
-def ret05_rank_fusion(spark, d):
-    lx, sm = _lists(spark, d)
-    return rt.fuse({"exact": lx, "lemma": sm}, {"exact": 0.55, "lemma": 0.30}).withColumn("rrf", F.round("rrf", 8))
-
-
-@query(f"{_L}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk, 0 AS prio FROM sm UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id), 1 FROM lx), f AS (SELECT query_id, id, min(prio * 1000000 + rk) AS k FROM r GROUP BY ALL) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS pos FROM f")
-def ret06_priority_concatenation(spark, d):
-    lx, sm = _lists(spark, d)
-    return rt.concatenated({"semantic": sm, "exact": lx}).select("query_id", "id", "pos")
-
-
-@query(f"{_L}, n AS (SELECT query_id, count(*) AS n FROM sm GROUP BY 1), s AS (SELECT l.query_id, l.id, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY l.query_id ORDER BY l.score DESC, l.id) AS nth FROM lx l LEFT JOIN n USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.query_id = l.query_id AND sm.id = l.id)) SELECT query_id, id, 0 AS part FROM sm UNION ALL SELECT query_id, id, 1 FROM s WHERE nth <= CASE WHEN n > 30 THEN 2 WHEN n >= 20 THEN 3 WHEN n >= 10 THEN 4 ELSE 5 END")
-def ret07_lexical_head_semantic_tail(spark, d):
-    lx, sm = _lists(spark, d)
-    return rt.lexical_then_semantic(sm, lx)
-
-
 @query(r"""WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents), l AS (SELECT id, len(ws) AS len FROM w), z AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM l),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
 tf AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
