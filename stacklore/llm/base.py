@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stacklore.sources.shared import shared_dir  # noqa: F401
@@ -51,6 +51,20 @@ def place(*cols: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 1)
 
 
+def sampled(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """text, h and ``by`` of the ``most`` different texts of ``rows`` (text, by), for each value of ``by``, whose hashes come first.
+
+    Copies are one text however many rows they fill, so no sample grows thin where texts repeat. Only hashes are shuffled
+    to find the sample, and each task gives on ``most`` of them at most.
+    """
+    keys = [by] if by else []
+    hashed = rows.where("text IS NOT NULL").select(*keys, place("text").alias("h"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    chosen = hashed.distinct()
+    chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth") if by else chosen.orderBy("h").limit(most)
+    return rows.select("text", *keys, place("text").alias("h")).join(F.broadcast(chosen), [*keys, "h"]).groupBy(*keys, "h").agg(F.min("text").alias("text"))
+
+
 def forget(df: DataFrame) -> None:
     """Remove the folder of a kept table that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)

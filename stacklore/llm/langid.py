@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import below, light, place, slices
+from stacklore.llm.base import light, sampled, slices
 
 #: Labelled texts of each language that a fit uses, at most.
 FIT_TEXTS = 120
@@ -238,16 +238,8 @@ class Labeller:
 
 
 def fit(labelled: DataFrame, most: int = FIT_TEXTS) -> LanguageModel:
-    """``labelled`` has text and lang; rows without either are left out."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", place("text").alias("h"))
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not size:
-        return LanguageModel([])
-    # four times what is asked for, so that copies leave enough; a group of copies is one row from here on
-    cut = F.create_map(*(F.lit(x) for y, n in size.items() for x in (y, below(4 * most / n))))
-    near = rows.where(F.col("h") <= F.element_at(cut, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = near.withColumn("nth", nth).where(F.col("nth") <= most).select("text", "lang", "h").collect()
+    """``labelled`` has text and lang; rows without either are left out. Copies of a text count once, however many there are."""
+    sample = sampled(labelled.where("lang IS NOT NULL").select("text", "lang"), most, "lang").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     names = sorted({r["lang"] for r in sample})
     return LanguageModel(names).fit([r["text"] for r in sample], [names.index(r["lang"]) for r in sample])
