@@ -8,23 +8,26 @@ shorter spans that stop before a base span or start behind one.
 Boosted trees read each candidate's format (digits, separators, groups, checksum,
 range of parts) and its context (neighbouring characters and cue words).
 
-No table marks personal data, so the trees learn from the formats: on a bounded
-sample of candidates, those that a validator confirms in normalised form (separators
-and spelled signs undone, checksum, number of digits) are positive, those that it
-refutes (parts above 255, failing checksum, wrong number of digits, dates) are
-negative, and what it leaves open is no example. The deciding validators are hidden
-from half of the rows so that context is learned too. What touches no base span is
-added if a validator confirms it, and, where the validator leaves it open, if the
-score without the validators reaches the kind's threshold: the least at which the
-share of positives on held candidates reaches ``precision``. A kind without refuted
-candidates has no threshold and adds confirmed spans only. Refuted candidates are
-never added; base spans always stay.
+No table marks personal data, so the trees learn from the formats. Texts of a bounded
+sample are read twice: as they are, and with each base span rewritten by one of the
+``VARIANTS`` of its kind, spelled or grouped otherwise or broken (a wrong check digit, a
+part above 255, a date, a version). Candidates of both that a validator confirms in
+normalised form are positive, those that it refutes are negative, and so are numbers like
+phones without any sign of one; other candidates that it leaves open are no example. The
+validators are hidden from half of the rows so that context is learned too.
+
+Every candidate that touches no base span passes through the score of its kind's trees. It is
+added if the score reaches the kind's threshold: a quarter of the way (``MARGIN``) from the
+least score of a positive held example, down to which the share of positives is at least
+``precision``, to the next held example. A kind with
+too few held examples has no threshold; there the validators' word counts alone. Base
+spans always stay.
 
 Null texts are empty. Repeated rows are scanned each on its own, also under one
-doc_id or without any. Candidates that overlap give way to the longest confirmed
-one, then to the one with the highest score, then to the first. A table without examples of both classes gives
-base and confirmed spans, an empty one an empty result. Extra columns are ignored, or
-carried as they are by ``redact``.
+doc_id or without any, and count once for the fit, however often they stand. Candidates
+that reach their thresholds and overlap give way to the longest, then to the one with the
+highest score, then to the first. A table without examples of both classes gives base and confirmed spans, an empty
+one an empty result. Extra columns are ignored, or carried as they are by ``redact``.
 """
 
 from __future__ import annotations
@@ -38,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import below, light, place, slices
+from stacklore.llm.base import light, sampled, slices
 from stacklore.llm.boosting import BoostedTrees
 
 KINDS = ("email", "ip", "card", "phone")
 #: Sampled texts that the fit may draw candidates from, at most about, and told candidates of each.
 FIT_DOCUMENTS, FIT_OF_EACH = 8000, 40
+#: Part of the way from the last held example above a threshold to the next one below it.
+MARGIN = 0.25
 #: Held candidates that a kind's threshold must rest on.
 LEAST_HELD = 10
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -74,8 +79,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+
 DIALLED = re.compile(r"00|\((?!(?:19|20)[0-9]{2}\))[0-9]{2,4}\)|[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4}$")
 CALLED = re.compile(r"\b(?:(?:tele)?phone|tel|fax|mobile|cell|call|móvil|teléfono|tél|téléphone|telefon)(?: (?:number|no|is|at|us))?[ .:=]*$")
 DATE = re.compile(r"(?:(?:19|20)[0-9]{2}([ ./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([ ./-])[0-3]?[0-9]\2(?:19|20)[0-9]{2})(?![0-9])")
-#: Numbers that describe a candidate.
-FEATURES = 20
+#: Numbers that describe a candidate, and those of them that are validators.
+FEATURES, VALIDATORS = 24, 5
 HAS_DIGIT = re.compile(r"[0-9]")
 
 
@@ -167,6 +172,56 @@ def verdict(text: str, span: tuple[str, int, int], base: list[tuple[str, int, in
     return 1 if CALLED.search(text[max(0, a - 40) : a].lower()) or (len(d) >= 9 and DIALLED.match(s)) else None
 
 
+def _changed(s: str) -> str:
+    """The number with its last digit one up: a wrong check digit."""
+    return s[:-1] + str((int(s[-1]) + 1) % 10) if s and "0" <= s[-1] <= "9" else s
+
+
+def _grouped(d: str, sep: str) -> str:
+    return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+
+
+def _last(d: str) -> str:
+    return d[-10:].rjust(10, "2")
+
+
+#: How a base span is rewritten for the fit: other spellings, and near misses.
+VARIANTS = {
+    "email": (
+        lambda s: s.replace("@", " [at] ").replace(".", " [dot] "), lambda s: s.replace("@", " (at) "), lambda s: s.replace("@", "[at]"),
+        lambda s: s.replace("@", " [at] ") + ".7", lambda s: s.partition("@")[0] + " (at) 10.30", lambda s: "v2 @ 1.0.3",
+    ),
+    "ip": (lambda s: s.rpartition(".")[0] + ".300", lambda s: "1.2.1024.7", lambda s: "0" + s),
+    "card": (
+        lambda s: _grouped(_digits(s)[:16], "."), lambda s: _grouped(_digits(s)[:16], "/"), lambda s: _grouped(_digits(s)[:16], " - "),
+        lambda s: _changed(_grouped(_digits(s)[:16], ".")), lambda s: _changed(_grouped(_digits(s)[:16], "-")), lambda s: _changed(_digits(s)),
+    ),
+    "phone": (
+        lambda s: "00" + _digits(s)[:2] + " " + _last(_digits(s))[:3] + " " + _last(_digits(s))[3:6] + " " + _last(_digits(s))[6:],
+        lambda s: f"({_last(_digits(s))[:3]}) {_last(_digits(s))[3:6]}-{_last(_digits(s))[6:]}",
+        lambda s: f"tel. {_last(_digits(s))[:3]} {_last(_digits(s))[3:6]} {_last(_digits(s))[6:]}",
+        lambda s: f"2024-05-{_digits(s)[:2]} 10-20", lambda s: f"{_last(_digits(s))[:4]}/{_last(_digits(s))[4:7]}/{_last(_digits(s))[7:]}", lambda s: "12.30.45",
+    ),
+}
+
+
+def rewritten(text: str, base: list[tuple[str, int, int]]) -> str:
+    """The text with each base span in one of the variants of its kind, as its hash picks."""
+    parts, end = [], 0
+    for kind, a, b in sorted(base, key=lambda s: s[1]):
+        if a >= end:
+            own = VARIANTS[kind]
+            parts += [text[end:a], own[xxhash.xxh3_64_intdigest(f"{a}:{text[a:b]}") % len(own)](text[a:b])]
+            end = b
+    return "".join([*parts, text[end:]])
+
+
+def label(text: str, span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> int | None:
+    """What the fit takes a candidate for: the verdict, and 0 for a number like a phone without any sign of one."""
+    v = verdict(text, span, base)
+    return 0 if v is None and span[0] == "phone" else v
+
+
 def features(text: str, span: tuple[str, int, int], blind: bool = False) -> list[float]:
     """Format and context of a candidate; ``blind`` hides the validators."""
     kind, a, b = span
@@ -191,6 +246,10 @@ def features(text: str, span: tuple[str, int, int], blind: bool = False) -> list
         float(any(c in right for c in CUES[kind])),
         float(left.rstrip().endswith((":", "=", "("))),
         len(set(d)) / max(len(d), 1),
+        float(bool(CALLED.search(left))),
+        float(bool(DIALLED.match(s))),
+        -1.0 if blind else float(bool(EMAIL.fullmatch(AT.sub("@", DOT.sub(".", s))))),
+        -1.0 if blind else float(bool(DATE.match(s))),
         -1.0 if blind else float(13 <= len(d) <= 19 and luhn(d)),
         -1.0 if blind else float(len(groups) == 4 and all(map(_byte_sized, groups))),
         -1.0 if blind else float(9 <= len(d) <= 15 and (s.startswith("+") or (a > 0 and text[a - 1] == "+"))),
@@ -202,60 +261,69 @@ def _overlaps(span: tuple[str, int, int], others: list[tuple[str, int, int]]) ->
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and labels of the candidates of sampled documents."""
+    """Features and labels of the candidates of sampled documents, as they are and rewritten."""
     for (texts,) in slices(batches, text=0):
         x, y = [], []
         for t in texts:
-            if t and (found := candidates(t)):
-                base = base_spans(t)
-                told = [(c, v) for c in dict.fromkeys(found + beside(t, base)) if (v := verdict(t, c, base)) is not None]
+            base = base_spans(t) if t else []
+            for own in dict.fromkeys((t, rewritten(t, base))) if t else ():
+                base = base_spans(own)
+                told = [(c, v) for c in dict.fromkeys(candidates(own) + beside(own, base)) if (v := label(own, c, base)) is not None]
                 told.sort(key=lambda c: xxhash.xxh3_64_intdigest(repr(c[0])))
                 for n, (c, v) in enumerate(told[:FIT_OF_EACH]):
-                    x.append(features(t, c, blind=n % 2 == 1))
+                    x.append(features(own, c, blind=n % 2 == 1))
                     y.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int64())], ["x", "y"])
 
 
 class PiiModel:
+    """Trees and threshold of each kind; None where there are too few examples."""
+
     def __init__(self, x: np.ndarray, y: np.ndarray, precision: float = 0.98):
-        self.trees, self.threshold = None, [np.inf] * len(KINDS)
-        if not len(y) or y.min() == y.max():
-            return
-        # calibration does without the validators, as use on open candidates does
-        held = np.arange(len(y)) % 4 == 3
-        x = np.where(held[:, None] & (np.arange(x.shape[1]) >= x.shape[1] - 3), -1.0, x)
-        self.trees = BoostedTrees().fit(x[~held], y[~held])
-        score = self.trees.score(x[held])
+        self.trees: list[BoostedTrees | None] = [None] * len(KINDS)
+        self.threshold: list[float | None] = [None] * len(KINDS)
         for k in range(len(KINDS)):
-            own = np.flatnonzero(x[held, 0] == k)
-            if len(set(y[~held][x[~held, 0] == k])) < 2:
+            own = np.flatnonzero(x[:, 0] == k)
+            held = own[3::4]
+            told = np.setdiff1d(own, held)
+            if len(set(y[told])) < 2:
                 continue  # without refuted candidates a kind has nothing to learn from
-            order = own[np.argsort(-score[own], kind="stable")]
+            self.trees[k] = BoostedTrees().fit(x[told], y[told])
+            held = held[(x[held, -VALIDATORS:] >= 0).all(axis=1)]  # as in use
+            score = self.trees[k].score(x[held])
+            # of equal scores the negatives come first
+            order = np.lexsort((y[held], -score))
             good = np.cumsum(y[held][order]) / np.arange(1, len(order) + 1)
-            able = np.flatnonzero((good >= precision) & (np.arange(1, len(order) + 1) >= LEAST_HELD))
+            able = np.flatnonzero((good >= precision) & (y[held][order] == 1) & (np.arange(1, len(order) + 1) >= LEAST_HELD))
             if len(able):
-                self.threshold[k] = max(float(score[order[able[-1]]]), 0.0)
+                least, below = score[order[able[-1]]], score[order[min(able[-1] + 1, len(order) - 1)]]
+                self.threshold[k] = float(least - MARGIN * (least - below))
+
+    def takes(self, text: str, span: tuple[str, int, int]) -> tuple[bool, float]:
+        """Whether a candidate is added, and its score."""
+        k = KINDS.index(span[0])
+        if self.threshold[k] is None:
+            return verdict(text, span, []) == 1, 0.0
+        score = float(self.trees[k].score(np.array([features(text, span)]))[0])
+        return score >= self.threshold[k], score
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and all spans by kind and start."""
         base = base_spans(text)
-        told = [(c, v) for c in beside(text, base) if (v := verdict(text, c, [])) != 0]
-        if not told:
+        extra = beside(text, base)
+        if not extra:
             return base, base
-        extra, sure = [c for c, _ in told], np.array([v == 1 for _, v in told])
-        score = self.trees.score(np.array([features(text, c, blind=v is None) for c, v in told])) if self.trees else np.zeros(len(told))
-        chosen = []
-        for i in np.lexsort((-score, np.where(sure, [a - b for _, a, b in extra], 0), ~sure)):
-            if (sure[i] or score[i] >= self.threshold[KINDS.index(extra[i][0])]) and not _overlaps(extra[i], chosen):
-                chosen.append(extra[i])
+        able = [(c, score) for c in extra for taken, score in [self.takes(text, c)] if taken]
+        chosen: list[tuple[str, int, int]] = []
+        for c, _ in sorted(able, key=lambda x: (x[0][1] - x[0][2], -x[1])):
+            if not _overlaps(c, chosen):
+                chosen.append(c)
         return base, sorted(base + chosen, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def fit(docs: DataFrame, most: int = FIT_DOCUMENTS) -> PiiModel:
-    """Fit on the candidates of about ``most`` texts, picked by hash from all rows; equal texts count once."""
-    cut = below(most / max(docs.count(), 1))
-    texts = docs.select("text", place("text").alias("h")).where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")).select("text")
-    rows = light(texts).mapInArrow(_propose, "x array<double>, y long").toPandas()
+    """Fit on the candidates of the ``most`` different texts whose hashes come first, of all rows."""
+    rows = light(sampled(docs.select("text"), most)).select("text").mapInArrow(_propose, "x array<double>, y long").toPandas()
     order = rows["x"].map(tuple).argsort(kind="stable") if len(rows) else []
     rows = rows.iloc[order]
     return PiiModel(np.array(rows["x"].tolist(), float).reshape(len(rows), FEATURES), rows["y"].to_numpy())

@@ -643,3 +643,56 @@ def test_a_blob_that_two_runs_added_is_one(spark):
     # what a second run that began before the first one ended leaves behind
     other.read().coalesce(1).write.parquet(f"{ledger.path}/rules={secrets.RULES_VERSION}/part-late")
     assert secrets.scan_documents(docs, ledger).count() == 3 and ledger.read().count() == 2
+
+
+def _told(n):
+    """Texts with personal data of all kinds, each once, and with near misses."""
+    rng = random.Random(12)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        from stacklore.llm.pii import luhn
+
+        d = "4" + digits(14)
+        return next(d + str(k) for k in range(10) if luhn(d + str(k)))
+
+    kinds = (
+        lambda: f"{rng.choice(WORDS)}{digits(2)}@{rng.choice(WORDS)}.org", lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), card,
+        lambda: f"+1 555 {digits(3)} {digits(4)}",
+    )
+    return [" ".join([*rng.choices(WORDS, k=6), kinds[i % 4](), *rng.choices(WORDS, k=6)]) for i in range(n)]
+
+
+def test_added_spans_come_through_the_trees(spark):
+    from stacklore.llm import pii
+    from stacklore.llm.boosting import BoostedTrees
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(_told(600))], "doc_id long, text string")
+    model = pii.fit(docs)
+    assert all(x is not None for x in model.threshold)
+    texts = ["mail jo [at] site [dot] org now", "card 4111.1111.1111.1111 and", "tel: 030 123 45 67 or so", "or (826) 555-4081 by day", "at 10.0.0.7x end"]
+    added = lambda m: {s[0] for t in texts for s in m.spans(t)[1] if s not in m.spans(t)[0]}
+    assert {"email", "card", "phone"} <= added(model)
+    near = ["card 4111.1111.1111.1112 and", "on 2024-01-02 10-20 and", "a (at) 10.30 b", "release 1.2.1024.7 out"]
+    assert not any(set(model.spans(t)[1]) - set(model.spans(t)[0]) for t in near)
+    # without what the trees have learned nothing is added
+    model.trees = [BoostedTrees()] * 4
+    assert not added(model)
+
+
+def test_copies_empty_no_sample(spark):
+    """Each text ten thousand times gives the models of the different texts, and the pipeline's first stage keeps them."""
+    from stacklore.llm import langid, pii
+
+    rng = random.Random(3)
+    english, german = "the house and garden of the old man were green".split(), "der garten und das haus waren nicht mehr so grün".split()
+    rows = [(" ".join(rng.choices(english, k=12)), "en") for _ in range(20)] + [(" ".join(rng.choices(german, k=12)), "de") for _ in range(20)]
+    once = spark.createDataFrame(rows, "text string, lang string")
+    copies = once.crossJoin(spark.range(10_000)).drop("id")
+    a, b = langid.fit(once), langid.fit(copies)
+    names = lambda m: [(r.lang_pred, round(r.score, 9)) for r in langid.label_languages(once.selectExpr("monotonically_increasing_id() AS doc_id", "text"), m).orderBy("doc_id").collect()]
+    assert names(a) == names(b) and {x for x, _ in names(b)} == {"de", "en"}
+    assert langid.keep_known_languages(copies, b).count() >= 0.9 * copies.count()
+    told = spark.createDataFrame([(t,) for t in _told(60)], "text string")
+    assert pii.fit(told).threshold == pii.fit(told.crossJoin(spark.range(2_000)).drop("id")).threshold
+    assert pii.fit(told.crossJoin(spark.range(2_000)).drop("id")).trees[0] is not None
