@@ -7,6 +7,7 @@ from stacklore.catalog import query
 from stacklore.operators import ranking as r
 from stacklore.operators import repair as rp
 from stacklore.operators import reports
+from stacklore.operators.similarity import alike
 from stacklore.sources import readers, sinks
 from stacklore.sources.views import CONTENT, ITEMS, LINKS, LOGS, content, items, links, logs, table, vectors
 
@@ -78,10 +79,20 @@ def snk10_item_bundles(spark, d):
 
 @query(None)
 def dq01_near_duplicate_suppression(spark, d):
+    """Each page of a hundred documents is the head of a query, in order of ids."""
     w = Window.partitionBy("query_id").orderBy("id")
     c = content(spark, d).select(F.col("page_number").alias("query_id"), "id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words"))
-    head = c.withColumn("rank", F.row_number().over(w)).where("rank <= 100")
-    return rp.suppress_similar(head)
+    return rp.suppress_similar(c.withColumn("rank", F.row_number().over(w)))
+
+
+@query(r"""WITH s AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> ''))) AS words FROM documents),
+k AS (SELECT id, words, CASE WHEN len(words) > 0 THEN min(id) OVER (PARTITION BY words) ELSE id END AS twin FROM s), h AS (SELECT id, words, len(words) AS n FROM k WHERE id = twin AND len(words) > 0),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS c, a.n + b.n AS m FROM h a JOIN h b ON a.id <> b.id AND a.n * 100 >= b.n * 92 AND b.n * 100 >= a.n * 92),
+l AS (SELECT a, count(*) AS n_links, min(b) AS least FROM p WHERE c * 100 >= (m - c) * 92 GROUP BY 1)
+SELECT id, twin, CASE WHEN least < twin THEN least END AS first, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN l ON a = twin""")
+def dq01_corpus_wide(spark, d):
+    """Every pair of documents with 92 hundredths of their words in common, as links of each document."""
+    return alike(content(spark, d).select("id", "text"))
 
 
 @query("SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY sha256(text)")

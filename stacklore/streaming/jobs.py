@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +21,12 @@ def change_feed(spark: SparkSession, path: str, delay: str = "10 minutes") -> Da
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
+def follow(table: DataFrame) -> DataFrame:
+    """A table of Parquet files, as a stream of its files."""
+    folder = table.inputFiles()[0].rpartition("/")[0]
+    return table.sparkSession.readStream.schema(table.schema).parquet(folder)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into Parquet in the shared folder, and read that."""
     spark = stream.sparkSession
@@ -37,11 +43,6 @@ def drain_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None]) ->
     q.awaitTermination()
 
 
-def seen_once(feed: DataFrame) -> DataFrame:
-    """First event of each session and chunk."""
-    return feed.dropDuplicatesWithinWatermark(["user_id", "k"])
-
-
 def sessions(feed: DataFrame, idle: str = "2 hours") -> DataFrame:
     """Sessions that end after ``idle`` without an event."""
     w = F.session_window("ts", idle)
@@ -54,15 +55,6 @@ def rolling_metrics(feed: DataFrame, width: str = "10 minutes", step: str = "10
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "errors", "slow")
 
 
-def alerts(metrics: DataFrame, ratio: float = 0.1, held: int = 2) -> DataFrame:
-    """Windows at which the error ratio has been above the limit for ``held`` windows on end (over a metrics table)."""
-    from pyspark.sql import Window
-
-    hot = metrics.withColumn("hot", (F.col("errors") / F.col("n") > ratio).cast("int")).withColumn("day", F.to_date("start"))
-    w = Window.partitionBy("day").orderBy("start").rowsBetween(1 - held, 0)
-    return hot.withColumn("run", F.sum("hot").over(w)).where(F.col("run") == held).select("start", "errors", "n")
-
-
 #: Chunks that a session remembers as shown and as disliked.
 SHOWN, DISLIKED = 50, 20
 STATE = "recent array<bigint>, disliked array<bigint>, n bigint, centroid array<double>, anchor bigint"
@@ -95,27 +87,6 @@ def session_state(feed: DataFrame, vector: list[str], shown: int = SHOWN, dislik
     return feed.groupBy("user_id").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stale_jobs(jobs: DataFrame, now: str, seconds: int) -> DataFrame:
-    """Jobs still open whose last change is too old, oldest first."""
-    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(seconds))
-    return jobs.where((F.col("state") == "PROCESSING") & (F.col("updated_at") < limit)).orderBy("updated_at", "id")
-
-
-def add_counts(path: str, keys: list[str], measures: dict[str, Column]) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes what each micro-batch adds (sums by key) into a folder of the batch's own: work follows the
-    batch, not the table, and a batch that runs again replaces its folder, so each counts once."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        batch.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in measures.items())).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return apply
-
-
-def added_up(spark: SparkSession, path: str, keys: list[str], measures: list[str]) -> DataFrame:
-    """The sums over all batches."""
-    return spark.read.parquet(path).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in measures))
-
-
 def first_ready(status: DataFrame) -> DataFrame:
     """The first time at which each state of a job is seen."""
     return status.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"))
