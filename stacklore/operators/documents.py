@@ -235,23 +235,60 @@ def chunk_quality(df: DataFrame) -> DataFrame:
     return df.select(*given, listed.alias("flags"), "score", skip.alias("skip"))
 
 
+#: Flags of text that is no body, and what a chunk's score is cut to by broken edges and by noise in a short piece.
+NO_BODY = ("bibliography_like", "toc_like", "page_artifact")
+BOTH_EDGES, ONE_EDGE, SHORT_NOISE = 0.2, 0.45, 0.2
+
+
 def integrity(df: DataFrame) -> DataFrame:
-    """EMBED, REVIEW or QUARANTINE by score; two broken edges cap the score."""
-    both = F.array_contains("flags", "broken_start") & F.array_contains("flags", "broken_end")
-    s = F.when(both, F.least("score", F.lit(0.6))).otherwise(F.col("score"))
+    """EMBED, REVIEW or QUARANTINE by score, which broken edges and short noise cut; what is no body scores nothing."""
+    has = lambda f: F.array_contains("flags", f)
+    start, end = has("broken_start"), has("broken_end")
+    s = F.when(start & end, F.least("score", F.lit(BOTH_EDGES))).when(start | end, F.least("score", F.lit(ONE_EDGE))).otherwise(F.col("score"))
+    s = F.when(has("short_fragment") & has("ocr_noise"), F.least(s, F.lit(SHORT_NOISE))).otherwise(s)
+    empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    none = empty | F.arrays_overlap("flags", F.array(*map(F.lit, NO_BODY)))
+    s = F.when(none, 0.0).otherwise(F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 2))
     return df.withColumn("integrity", s).withColumn("decision", F.when(s >= 0.65, "EMBED").when(s >= 0.4, "REVIEW").otherwise("QUARANTINE"))
 
 
-def noise_score(text: Column) -> Column:
-    """Whole-number noise: links, ISBNs, page marks, repeated lines, capitals."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    repeated = F.size(lines) - F.size(F.array_distinct(lines))
-    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
-    caps = F.regexp_count(text, F.lit(r"\p{Lu}")) / letters
-    return (
-        3 * F.regexp_count(text, F.lit(r"(?i)isbn")) + 2 * F.regexp_count(text, F.lit(r"(?i)https?://|www\.")) + F.regexp_count(text, F.lit(r"(?im)^(page|sayfa)\s*\d+$"))
-        + 2 * repeated + F.when(caps > 0.5, 4).otherwise(0)
-    )
+#: Patterns of noise, points of one find and finds that count at most.
+ISBN, LINK = r"(?i)\bISBN(?:-10|-13)?[:\s]*[\dX\-]{8,20}\b", r"(?i)(?:https?://|www\.)\S+"
+PAGE_MARK = r"(?im)(?:^|\b)(?:sayfa|page)\s*\d{1,4}(?:\s*/\s*\d{1,4})?(?:\b|$)|^\s*\d{1,4}\s*$"
+SOURCES = r"(?i)\b(?:kaynakça|references|bibliography|index|dizin)\b"
+BARE_ISBN, BARE_LINK = r"(?i)ISBN(?:-10|-13)?:\s*[\d\-X]+", r"(?i)www\.[a-z0-9\-]+\.[a-z]{2,}(?:\.[a-z]{2,})?"
+NOISE = {"isbn": (3, 3), "url": (2, 3), "page_artifact": (2, 5), "biblio_marker": (3, 3), "title_repeat": (2, 4), "author_repeat": (2, 4), "repeated_short_lines": (2, 5)}
+LOUD, LOUD_LENGTH, STRIPPED = 0.45, 120, ((0.08, 1), (0.18, 2))
+
+
+def noise(text: Column, title: Column, author: Column) -> Column:
+    """struct(score, reasons): whole-number noise of a text and what it comes from.
+
+    Names of four letters or more count from their second stand on, short lines that repeat once each.
+    """
+    raw = F.coalesce(text, F.lit(""))
+    low = F.lower(raw)
+
+    def again(name: Column) -> Column:
+        n = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+        return F.when(F.length(n) >= 4, F.floor((F.length(low) - F.length(F.replace(low, n, F.lit("")))) / F.length(n)) - 1).otherwise(0)
+
+    lines = F.array_sort(F.filter(F.transform(F.split(raw, r"[\r\n]+"), lambda x: F.lower(F.trim(x))), lambda x: F.length(x).between(3, 80)))
+    twice = F.size(F.array_distinct(F.filter(lines, lambda x, i: (i > 0) & (x == F.get(lines, i - 1)))))
+    letters = F.regexp_count(raw, F.lit(r"\p{L}"))
+    loud = (letters > 0) & (F.regexp_count(raw, F.lit(r"\p{Lu}")) >= LOUD * letters) & (F.length(raw) >= LOUD_LENGTH)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, BARE_ISBN, ""), BARE_LINK, ""), r"\s+", " "))
+    gone = (F.length(raw) - F.length(bare)) / F.greatest(F.length(raw), F.lit(1))
+    count = lambda p: F.regexp_count(raw, F.lit(p))
+    finds = dict(zip(NOISE, (count(ISBN), count(LINK), count(PAGE_MARK), count(SOURCES), again(title), again(author), twice)))
+    found = F.array(*(F.greatest(n, F.lit(0)).cast("int") for n in finds.values()))
+
+    def told(n: Column) -> Column:
+        parts = [(F.least(n[k], F.lit(most)) * points) for k, (points, most) in enumerate(NOISE.values())]
+        score = sum(parts, F.when(loud, 1).otherwise(0)) + sum((F.when(gone >= share, points).otherwise(0) for share, points in STRIPPED), F.lit(0))
+        return F.struct(score.cast("int").alias("score"), F.array_compact(F.array(*(F.when(n[k] > 0, F.lit(name)) for k, name in enumerate(NOISE)))).alias("reasons"))
+
+    return F.transform(F.array(found), told)[0]
 
 
 def route_by_layer(stats: DataFrame) -> DataFrame:

@@ -70,11 +70,29 @@ def weighted_rank(scored: DataFrame, k: int = 40, always: float = 2.0) -> DataFr
     return df.where((F.col("nth") <= k) | (F.col("score") >= always))
 
 
-def coverage(pool: DataFrame) -> DataFrame:
-    """IN, HYBRID or OUT by the mean of the five best scores of each query."""
+#: Passages of a question that are looked at, and what is in: least mean score (of 0 to 7) and share of keywords.
+HEAD, INSIDE, OUTSIDE = 5, ((5.0, 0.5), (3.5, 0.7), (1.0, 0.8)), (2.0, 0.8)
+
+
+def coverage(questions: DataFrame, pool: DataFrame) -> DataFrame:
+    """query_id, status, confidence, coverage, missing of each of ``questions`` (query_id, keywords) by its best five of ``pool``.
+
+    ``pool`` has query_id, id, score (answerability, 0 to 7), text and primary (a primary source of the field, which needs half of
+    the keywords only). A question without passages is out.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = pool.withColumn("nth", F.row_number().over(w)).where("nth <= 5").groupBy("query_id").agg(F.round(F.avg("score"), 4).alias("top5"))
-    return top.withColumn("status", F.when(F.col("top5") >= 60, "IN_NETWORK").when(F.col("top5") >= 30, "HYBRID").otherwise("OUT_OF_NETWORK"))
+    head = pool.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= HEAD)
+    head = head.groupBy("query_id").agg(F.avg("score").alias("mean"), F.max("primary").alias("primary"), F.collect_list(F.lower("text")).alias("texts"))
+    df = questions.join(head, "query_id", "left")
+    words = F.array_distinct("keywords")
+    lost = F.filter(words, lambda k: ~F.coalesce(F.exists("texts", lambda t: t.contains(F.lower(k))), F.lit(False)))
+    df = df.withColumn("missing", lost).withColumn("coverage", F.when(F.col("mean").isNull(), 0.0).otherwise((F.size(words) - F.size(lost)) / F.greatest(F.size("keywords"), F.lit(1))))
+    c, m = F.col("coverage"), F.col("mean")
+    inside = F.coalesce("primary", F.lit(False)) & (c >= 0.5)
+    for score, share in INSIDE:
+        inside |= (m >= score) & (c >= share)
+    status = F.when(m.isNull(), "OUT_OF_NETWORK").when(inside, "IN_NETWORK").when((m < OUTSIDE[0]) & (c < OUTSIDE[1]), "OUT_OF_NETWORK").otherwise("HYBRID")
+    return df.select("query_id", status.alias("status"), (F.coalesce(m, F.lit(0.0)) / 7).alias("confidence"), "coverage", "missing")
 
 
 def infer_domain(df: DataFrame, terms: dict[str, list[str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stacklore.catalog import query
 from stacklore.operators import documents as dc
 from stacklore.operators import evidence as ev
+from stacklore.plans.searching import _L, _lists
 from stacklore.sources.views import CONTENT, LOGS, content, logs, table
 
 
@@ -32,14 +33,6 @@ def doc02_margin_removal(spark, d):
     return dc.without_margins(_pages(spark, d)).withColumn("line", F.md5("line"))
 
 
-@query(r"""WITH l0 AS (SELECT doc_id AS doc, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM documents), l AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS nth FROM l0),
-b AS (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY nth) AS before FROM l), s AS (SELECT *, CASE WHEN before IS NULL OR NOT (regexp_matches(before, '\p{L}-\s*$') OR (NOT regexp_matches(before, '[.!?:;"”)]\s*$') AND regexp_matches(line, '^\s*\p{Ll}'))) THEN 1 ELSE 0 END AS start FROM b),
-p AS (SELECT *, sum(start) OVER (PARTITION BY doc ORDER BY nth)::BIGINT AS para FROM s) SELECT doc, para, count(*) AS lines, md5(regexp_replace(string_agg(line, ' ' ORDER BY nth), '(\p{L})-\s+(\p{L})', '\1\2', 'g')) AS text FROM p GROUP BY ALL""")
-def doc03_paragraphs(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), "text")
-    return dc.paragraphs(dc.page_lines(docs)).select("doc", "para", "lines", F.md5("text").alias("text"))
-
-
 @query(None)
 def doc04_word_budget_chunks(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), "text")
@@ -104,16 +97,27 @@ def doc08_ingestion_gate(spark, d):
     return dc.chunk_quality(_chunks(spark, d)).select("id", "skip")
 
 
-@query(f"WITH {_FLAGS} SELECT id, CASE WHEN s >= 0.65 THEN 'EMBED' WHEN s >= 0.4 THEN 'REVIEW' ELSE 'QUARANTINE' END AS decision FROM (SELECT id, CASE WHEN broken_start AND broken_end THEN least(score, 0.6) ELSE score END AS s FROM q)")
-def doc09_integrity_decision(spark, d):
-    return dc.integrity(dc.chunk_quality(_chunks(spark, d))).select("id", "decision")
+_SIS = """sis AS (SELECT id, CASE WHEN length(t) = 0 OR bibliography_like OR toc_like OR page_artifact THEN 0 ELSE round(least(CASE WHEN broken_start AND broken_end THEN least(score, 0.2) WHEN broken_start OR broken_end THEN least(score, 0.45) ELSE score END,
+CASE WHEN short_fragment AND ocr_noise THEN 0.2 ELSE 1 END), 2) END AS s FROM q)"""
 
 
-@query(rf"""WITH {CONTENT}, l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM content)
-SELECT id, 3 * len(regexp_extract_all(text, '(?i)isbn')) + 2 * len(regexp_extract_all(text, '(?i)https?://|www\.')) + len(regexp_extract_all(text, '(?im)^(page|sayfa)\s*\d+$')) + 2 * (len(ls) - len(list_distinct(ls)))
-+ CASE WHEN len(regexp_extract_all(text, '\p{{Lu}}')) / greatest(len(regexp_extract_all(text, '\p{{L}}')), 1) > 0.5 THEN 4 ELSE 0 END AS noise FROM l""")
+@query(f"WITH {_FLAGS}, {_SIS} SELECT id, s AS integrity, CASE WHEN s >= 0.65 THEN 'EMBED' WHEN s >= 0.4 THEN 'REVIEW' ELSE 'QUARANTINE' END AS decision FROM sis")
+def doc09_integrity_decision(spark, d):
+    return dc.integrity(dc.chunk_quality(_chunks(spark, d))).select("id", "integrity", "decision")
+
+
+@query(rf"""WITH {CONTENT}, c AS (SELECT *, split_part(title, ' - ', 1) AS named, split_part(title, ' - ', 2) AS author, list_sort(list_filter(list_transform(string_split_regex(text, '[\r\n]+'), lambda x: lower(trim(x))), lambda x: length(x) BETWEEN 3 AND 80)) AS ls,
+trim(regexp_replace(regexp_replace(regexp_replace(text, '{dc.BARE_ISBN}', '', 'g'), '{dc.BARE_LINK}', '', 'g'), '\s+', ' ', 'g')) AS bare, len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '\p{{Lu}}')) AS large FROM content),
+n AS (SELECT id, text, bare, letters, large, len(regexp_extract_all(text, '{dc.ISBN}')) AS a, len(regexp_extract_all(text, '{dc.LINK}')) AS b, len(regexp_extract_all(text, '{dc.PAGE_MARK}')) AS c, len(regexp_extract_all(text, '{dc.SOURCES}')) AS d,
+CASE WHEN length(named) >= 4 THEN greatest((length(text) - length(replace(lower(text), lower(named), ''))) // length(named) - 1, 0) ELSE 0 END AS e, CASE WHEN length(author) >= 4 THEN greatest((length(text) - length(replace(lower(text), lower(author), ''))) // length(author) - 1, 0) ELSE 0 END AS f,
+len(list_filter(list_distinct(ls), lambda x: len(list_filter(ls, lambda y: y = x)) > 1)) AS g FROM c)
+SELECT id, least(a, 3) * 3 + least(b, 3) * 2 + least(c, 5) * 2 + least(d, 3) * 3 + least(e, 4) * 2 + least(f, 4) * 2 + least(g, 5) * 2 + (letters > 0 AND large >= 0.45 * letters AND length(text) >= 120)::INT
++ ((length(text) - length(bare)) / greatest(length(text), 1) >= 0.08)::INT + 2 * ((length(text) - length(bare)) / greatest(length(text), 1) >= 0.18)::INT AS noise,
+array_to_string(list_filter([CASE WHEN a > 0 THEN 'isbn' END, CASE WHEN b > 0 THEN 'url' END, CASE WHEN c > 0 THEN 'page_artifact' END, CASE WHEN d > 0 THEN 'biblio_marker' END, CASE WHEN e > 0 THEN 'title_repeat' END,
+CASE WHEN f > 0 THEN 'author_repeat' END, CASE WHEN g > 0 THEN 'repeated_short_lines' END], lambda x: x IS NOT NULL), ',') AS reasons FROM n""")
 def doc10_noise(spark, d):
-    return content(spark, d).select("id", dc.noise_score(F.col("text")).alias("noise"))
+    n = dc.noise(F.col("text"), F.col("title"), F.col("author"))
+    return _chunks(spark, d).select("id", n.alias("n")).select("id", F.col("n.score").alias("noise"), F.array_join("n.reasons", ",").alias("reasons"))
 
 
 _STATS = f"s AS (SELECT item_id, avg((length(text) >= 300)::INT) AS text_ratio, avg(length(text)) AS avg_chars, avg((length(text) < 60)::INT) AS blank_ratio, avg(contains(text, '&&&')::INT) AS garbled_ratio, avg(contains(text, '<')::INT) AS image_ratio FROM content GROUP BY 1)"
@@ -204,9 +208,21 @@ def evi06_weighted_rank(spark, d):
     return ev.weighted_rank(_scored(spark, d), 40, 5).select("query_id", "id", "weight")
 
 
-@query(f"WITH {LOGS}, t AS (SELECT tenant AS query_id, ms / 20 AS score, row_number() OVER (PARTITION BY tenant ORDER BY ms / 20 DESC, id) AS nth FROM logs), a AS (SELECT query_id, round(avg(score), 4) AS top5 FROM t WHERE nth <= 5 GROUP BY 1) SELECT query_id, top5, CASE WHEN top5 >= 60 THEN 'IN_NETWORK' WHEN top5 >= 30 THEN 'HYBRID' ELSE 'OUT_OF_NETWORK' END AS status FROM a")
+@query(rf"""{_L}, p AS (SELECT query_id, id, least(lx.score, 7) AS s, text, id % 50 = 0 AS prime, row_number() OVER (PARTITION BY query_id ORDER BY least(lx.score, 7) DESC, id) AS nth FROM lx JOIN content USING (id)),
+t5 AS (SELECT query_id, avg(s) AS mean, bool_or(prime) AS prime, string_agg(lower(text), ' ' ORDER BY nth) AS texts FROM p WHERE nth <= 5 GROUP BY 1),
+k AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark),
+c AS (SELECT b.item_id AS query_id, mean, coalesce(prime, false) AS prime, count(w) AS n, count(DISTINCT w) FILTER (contains(texts, w)) AS hit FROM benchmark b LEFT JOIN t5 ON t5.query_id = b.item_id LEFT JOIN k ON k.query_id = b.item_id GROUP BY ALL),
+r AS (SELECT *, hit / greatest(n, 1) AS ratio FROM c)
+SELECT query_id, CASE WHEN mean IS NULL THEN 'OUT_OF_NETWORK' WHEN prime AND ratio >= 0.5 OR mean >= 5 AND ratio >= 0.5 OR mean >= 3.5 AND ratio >= 0.7 OR mean >= 1 AND ratio >= 0.8 THEN 'IN_NETWORK' WHEN mean < 2 AND ratio < 0.8 THEN 'OUT_OF_NETWORK' ELSE 'HYBRID' END AS status,
+round(coalesce(mean, 0) / 7, 4) AS confidence, round(CASE WHEN mean IS NULL THEN 0 ELSE ratio END, 4) AS coverage FROM r""")
 def evi07_coverage_status(spark, d):
-    return ev.coverage(logs(spark, d).select(F.col("tenant").alias("query_id"), "id", (F.col("ms") / 20).alias("score")))
+    """The test set as questions, held against the five best documents of each."""
+    lx, _ = _lists(spark, d)
+    c = content(spark, d).select("id", "text")
+    pool = lx.select("query_id", "id", F.least("score", F.lit(7)).alias("score")).join(c, "id").withColumn("primary", F.col("id") % 50 == 0)
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", ""), r"\s+"), lambda w: F.length(w) > 2)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("keywords"))
+    return ev.coverage(asked, pool).select("query_id", "status", F.round("confidence", 4).alias("confidence"), F.round("coverage", 4).alias("coverage"))
 
 
 _HIT = lambda ws: " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws)
