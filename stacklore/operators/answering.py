@@ -79,17 +79,6 @@ def field_search(docs: DataFrame, queries: DataFrame, fields: dict[str, int]) ->
     return hits.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
-def fuzzy_titles(titles: DataFrame, queries: DataFrame, least: int = 70) -> DataFrame:
-    """query_id, item_id, score of titles that share a word with a query: 100 for containment, 97 for all words, else by edits."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
-    t = titles.select("item_id", F.lower("title").alias("t"), words("title").alias("tw"))
-    q = queries.select("query_id", F.lower("text").alias("q"), words("text").alias("qw"))
-    pairs = t.withColumn("w", F.explode("tw")).join(q.withColumn("w", F.explode("qw")), "w").where("w <> ''").dropDuplicates(["query_id", "item_id", "t"])
-    ratio = F.floor(100 * (1 - F.levenshtein("t", "q") / F.greatest(F.length("t"), F.length("q"))))
-    score = F.when(F.col("t").contains(F.col("q")) | F.col("q").contains(F.col("t")), 100).when(F.size(F.array_except("qw", "tw")) == 0, 97).otherwise(ratio)
-    return pairs.withColumn("score", score.cast("long")).where(F.col("score") >= least).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-
-
 def tree_match(tree: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Nodes (id, title, leaf) by shared words with each query; 0.35 more where the title holds the query, 0.05 less for inner nodes."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))

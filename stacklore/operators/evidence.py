@@ -63,11 +63,62 @@ def answer_mode(scored: DataFrame) -> DataFrame:
     return n.select("query_id", F.when(F.col("A") >= 2, "QUOTE").when((F.col("A") >= 1) | (F.col("B") >= 3), "HYBRID").otherwise("SYNTHESIS").alias("mode"))
 
 
-def weighted_rank(scored: DataFrame, k: int = 40, always: float = 2.0) -> DataFrame:
-    w = F.col("score") * F.when(F.col("level") == "A", 1.4).when(F.col("level") == "B", 1.1).otherwise(0.8) * F.when(F.length("text") > 600, 1.1).otherwise(1.0)
-    df = scored.withColumn("weight", F.round(w, 6))
-    df = df.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "id")))
-    return df.where((F.col("nth") <= k) | (F.col("score") >= always))
+#: Rescoring of passages from the graph and from outside (least, most, factor), decay of a parent's context,
+#: and weights by level, by intent and of what comes from outside (least, most).
+GRAPH_LOW, GRAPH_BASE, GRAPH_FACTOR = 0.5, 1.5, 4.0
+OUTSIDE_SCORE = {"EXTERNAL_KB": (0.4, 1.3, 3.2, 0.15), "ISLAMIC_EXTERNAL": (0.8, 2.2, 6.4, 0.22)}
+OUTSIDE_WEIGHT = {"EXTERNAL_KB": (0.05, 0.30), "ISLAMIC_EXTERNAL": (0.08, 0.38)}
+DECAY, EXACT_BONUS = 0.88, 1.8
+LONG_TEXT, STORY_INTENTS = 300, ("NARRATIVE", "SOCIETAL")
+HEAD_ROWS, ALWAYS, POOL_ROWS = 40, 2.0, 100
+
+
+def rescored(pool: DataFrame) -> DataFrame:
+    """``pool`` (score, level, source_type, graph_score, external_weight, depth) with scores that graph and outside passages
+    have at least, and those of a parent's context decayed once for each step of ``depth``."""
+    s = F.col("score").cast("double")
+    graph = GRAPH_BASE + (F.coalesce("graph_score", F.lit(GRAPH_LOW)) - GRAPH_LOW) * GRAPH_FACTOR
+    least, lev = F.when(F.col("source_type") == "GRAPH_RELATION", graph), F.when(F.col("source_type") == "GRAPH_RELATION", F.when(graph >= 3, "A").when(graph >= 1, "B").otherwise(F.col("level")))
+    for kind, (lo, hi, factor, usual) in OUTSIDE_SCORE.items():
+        own = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce("external_weight", F.lit(usual)) * factor))
+        least, lev = least.when(F.col("source_type") == kind, own), lev.when(F.col("source_type") == kind, "B")
+    more = least > s
+    s, lev = F.when(more, least).otherwise(s), F.when(more, lev).otherwise(F.col("level"))
+    return pool.withColumns({"score": s * F.pow(F.lit(DECAY), F.coalesce("depth", F.lit(0))), "level": lev})
+
+
+def weighted_rank(pool: DataFrame, k: int = HEAD_ROWS, always: float = ALWAYS) -> DataFrame:
+    """The first ``k`` of each query's first hundred by ``place``, and all of these that score ``always`` or more, with their weight and rank by it.
+
+    ``pool`` has query_id, id, place, score, level, text, source_type, intent, and may have graph_score, external_weight, depth (steps from
+    the passage whose parent it is), exact and composition (a weight of the kind of source); missing ones say nothing.
+    """
+    for name, kind in (("graph_score", "double"), ("external_weight", "double"), ("depth", "int"), ("exact", "boolean"), ("composition", "double")):
+        if name not in pool.columns:
+            pool = pool.withColumn(name, F.lit(None).cast(kind))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "id"))
+    df = rescored(pool.withColumn("at", first).where(F.col("at") <= POOL_ROWS)).where((F.col("at") <= k) | (F.col("score") >= always))
+    long = (F.length(F.coalesce("text", F.lit(""))) > LONG_TEXT) & (F.col("level") != "A")
+    w = F.when(F.col("intent").isin(*STORY_INTENTS), F.when(long, 1.2).otherwise(1.0)).when(F.col("level") == "A", 1.2).when(F.col("level") == "B", 0.9).when(long, 0.4).otherwise(1.0)
+    for kind, (lo, hi) in OUTSIDE_WEIGHT.items():
+        own = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce("external_weight", F.lit(OUTSIDE_SCORE[kind][3]))))
+        bonus = F.when(F.coalesce("exact", F.lit(False)), EXACT_BONUS).otherwise(1.0) if kind == "ISLAMIC_EXTERNAL" else F.lit(1.0)
+        w = F.when(F.col("source_type") == kind, own * bonus).otherwise(w)
+    df = df.withColumn("weight", F.round(F.col("score") * w * F.coalesce("composition", F.lit(1.0)), 6))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "at")))
+
+
+def with_parents(hits: DataFrame, parents: DataFrame, passages: DataFrame, steps: int = 2) -> DataFrame:
+    """``hits`` (query_id, id, place, score, ...) and the parents (child, parent) of them up to ``steps`` above, which inherit a hit's score;
+    ``depth`` counts the steps. A passage that is reached twice stays at its least depth, a hit stays itself."""
+    level = hits.select("query_id", "id", "place", "score", F.lit(0).alias("depth"))
+    every = level
+    for n in range(1, steps + 1):
+        up = level.join(parents.select(F.col("child").alias("id"), "parent"), "id")
+        level = up.groupBy("query_id", F.col("parent").alias("id")).agg(F.max("place").alias("place"), F.max("score").alias("score")).withColumn("depth", F.lit(n))
+        every = every.unionByName(level)
+    first = every.groupBy("query_id", "id").agg(F.min_by(F.struct("place", "score", "depth"), F.struct("depth", "place")).alias("r")).select("query_id", "id", "r.*")
+    return first.join(passages, "id")
 
 
 #: Passages of a question that are looked at, and what is in: least mean score (of 0 to 7) and share of keywords.
@@ -137,10 +188,6 @@ def failure_plane(retrieved: Column, answered: Column) -> Column:
     return F.when(retrieved & answered, "pass").when(~retrieved & ~answered, "mixed").when(~retrieved, "retrieval").otherwise("generation")
 
 
-def citations(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[ID:\s*(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))
-
-
 def rubric(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of scores (id, and one column for each part; missing is 0.5) and the verdict."""
     total = sum(weights.values())

@@ -164,8 +164,42 @@ def recurring_terms(df: DataFrame, words: str, least: int = 2) -> DataFrame:
     return each.groupBy("word").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") >= least)
 
 
+#: Upper bounds of the latency buckets in milliseconds; the last bucket is open.
+BOUNDS = (50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0)
+
+
+def histogram(df: DataFrame, value: str, *by: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """``by`` and ``counts``: how many values are at or below each bound, and how many there are. Null values do not count."""
+    upto = [F.count_if(F.col(value) <= b) for b in bounds]
+    return df.groupBy(*by).agg(F.array(*upto, F.count(value)).alias("counts"))
+
+
+def merged(histograms: DataFrame, *by: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """The histograms of coarser groups, by adding up finer ones."""
+    total = [F.sum(F.col("counts")[i]) for i in range(len(bounds) + 1)]
+    return histograms.groupBy(*by).agg(F.array(*total).alias("counts"))
+
+
+def histogram_quantile(counts: Column, share: float, bounds: tuple[float, ...] = BOUNDS) -> Column:
+    """The quantile of a histogram, linear within the bucket where it falls; the last bound if it is in the open bucket, null without values."""
+    total = counts[len(bounds)]
+    rank, out = F.lit(share) * total, F.lit(bounds[-1])
+    for i in reversed(range(len(bounds))):
+        low, before = (bounds[i - 1], counts[i - 1]) if i else (0.0, F.lit(0))
+        inside = F.when(counts[i] > before, low + (bounds[i] - low) * (rank - before) / (counts[i] - before)).otherwise(low)
+        out = F.when(counts[i] >= rank, inside).otherwise(out)
+    return F.when(total > 0, out)
+
+
 def hourly_metrics(logs: DataFrame) -> DataFrame:
-    hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
-    by_hour = logs.withColumn("hour", hour)
-    n = by_hour.groupBy("hour", "intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") > 1000).cast("int")), 4).alias("slow_ratio"))
-    return n.join(quantiles(by_hour, "ms", {"p95": 0.95}, "hour", "intent").withColumn("p95", F.round("p95", 4)), ["hour", "intent"], "left")
+    """hour, intent, n, slow_ratio, error_ratio, per_second, p95 (exact), h50, h95, h99 (by histogram) and how many verdicts of each kind."""
+    by_hour = logs.withColumn("hour", F.date_trunc("hour", "created_at").cast("timestamp_ntz"))
+    verdicts = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("PASS", "REGENERATE", "DECLINE")]
+    share = lambda c: F.round(F.avg(c.cast("int")), 4)
+    n = by_hour.groupBy("hour", "intent").agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("ms") > 1000).alias("slow_ratio"), share(F.col("verdict") == "DECLINE").alias("error_ratio"), F.round(F.count(F.lit(1)) / 3600, 6).alias("per_second"), *verdicts
+    )
+    told = histogram(by_hour, "ms", "hour", "intent")
+    told = told.select("hour", "intent", *(F.round(histogram_quantile(F.col("counts"), q / 100), 4).alias(f"h{q}") for q in (50, 95, 99)))
+    exact = quantiles(by_hour, "ms", {"p95": 0.95}, "hour", "intent").withColumn("p95", F.round("p95", 4))
+    return n.join(told, ["hour", "intent"]).join(exact, ["hour", "intent"], "left")

@@ -92,13 +92,27 @@ def ret24_category_tree(spark, d):
     return an.tree_match(tree, q, 8)
 
 
-@query(r"""WITH t AS (SELECT p_partkey AS item_id, lower(p_name) AS t FROM part), q AS (SELECT r_regionkey AS query_id, CASE WHEN r_regionkey % 2 = 0 THEN 'red rings' ELSE 'widget small' END AS q FROM region),
-s AS (SELECT query_id, item_id, CASE WHEN contains(t, q) OR contains(q, t) THEN 100 WHEN list_has_all(string_split(t, ' '), string_split(q, ' ')) THEN 97 ELSE floor(100 * (1 - levenshtein(t, q) / greatest(length(t), length(q)))) END::BIGINT AS score
-FROM t, q WHERE list_has_any(string_split(t, ' '), string_split(q, ' '))) SELECT query_id, item_id, max(score) AS score FROM s WHERE score >= 50 GROUP BY ALL""")
+def _titles(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (notes)").otherwise(" - PDF")).alias("title"))
+    asked = F.element_at(F.array(*map(F.lit, ("all about the red widget", "small ring or large ring", "a blu gadgett", "widget red", "brass"))), (F.col("r_regionkey") + 1).cast("int"))
+    return t, table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), asked.alias("text"))
+
+
+@query(r"""WITH t AS (SELECT p_partkey AS item_id, unnest([lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' END, lower(p_name)]) AS t FROM part), q AS (SELECT r_regionkey AS query_id, ['all about the red widget', 'small ring or large ring', 'a blu gadgett', 'widget red', 'brass'][r_regionkey + 1] AS q FROM region)
+SELECT query_id::BIGINT AS query_id, item_id, max(CASE WHEN contains(q, trim(t)) THEN 100 ELSE 97 END)::BIGINT AS score FROM t, q WHERE contains(q, trim(t)) OR (len(list_filter(string_split(trim(t), ' '), lambda w: length(w) >= 3)) >= 2 AND list_has_all(string_split(q, ' '), list_filter(string_split(trim(t), ' '), lambda w: length(w) >= 3))) GROUP BY ALL""")
 def joi11_fuzzy_titles(spark, d):
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
-    q = table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), F.when(F.col("r_regionkey") % 2 == 0, "red rings").otherwise("widget small").alias("text"))
-    return an.fuzzy_titles(t, q, 50)
+    """Titles that a question holds whole or by all their words."""
+    from stacklore.operators.fuzzy import fuzzy_titles
+
+    return fuzzy_titles(*_titles(spark, d), 97)
+
+
+@query(None)
+def joi11_partial_titles(spark, d):
+    """Titles that a question means with letters wrong or missing, too."""
+    from stacklore.operators.fuzzy import fuzzy_titles
+
+    return fuzzy_titles(*_titles(spark, d), 70)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_nationkey < 8 THEN 'exact' WHEN c_nationkey < 16 THEN 'collection' ELSE 'topical' END AS kind, CASE WHEN c_nationkey < 8 THEN c_nationkey || ':' || c_custkey % 200 WHEN c_nationkey < 16 THEN 'muslim ' || c_custkey END AS ref FROM customer")

@@ -202,10 +202,25 @@ def evi05_answer_mode(spark, d):
     return ev.answer_mode(_scored(spark, d))
 
 
-@query(f"""WITH {_SC}, w AS (SELECT *, round(score * CASE level WHEN 'A' THEN 1.4 WHEN 'B' THEN 1.1 ELSE 0.8 END::DOUBLE * CASE WHEN length(text) > 600 THEN 1.1 ELSE 1 END::DOUBLE, 6) AS weight FROM lv),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, id) AS nth FROM w) SELECT query_id, id, weight FROM n WHERE nth <= 40 OR score >= 5""")
+@query(f"""WITH RECURSIVE {_SC}, pl AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place, score FROM lv WHERE id % 3 <> 0),
+up AS (SELECT query_id, id, place, score, 0 AS depth FROM pl UNION ALL SELECT query_id, id // 2 + 1, max(place), max(score), any_value(depth) + 1 FROM up WHERE depth < 2 AND id % 5 = 0 GROUP BY query_id, id // 2 + 1),
+p AS (SELECT query_id, id, arg_min(place, depth * 100000 + place) AS place, arg_min(score, depth * 100000 + place) AS score, min(depth) AS depth FROM up GROUP BY ALL),
+j AS (SELECT p.query_id, p.id, place, p.score, depth, l.level, length(l.text) AS len, CASE WHEN p.id % 7 = 0 THEN 'GRAPH_RELATION' WHEN p.id % 11 = 0 THEN 'EXTERNAL_KB' ELSE 'BOOK' END AS kind, p.id % 10 / 10 AS g, ['SOCIETAL', 'DIRECT'][p.query_id % 2 + 1] AS intent FROM p JOIN lv l USING (id)),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS nth, CASE kind WHEN 'GRAPH_RELATION' THEN 1.5 + (g - 0.5) * 4 WHEN 'EXTERNAL_KB' THEN greatest(0.4, least(1.3, 0.2 * 3.2)) END::DOUBLE AS least_score FROM j),
+s AS (SELECT * REPLACE (CASE WHEN least_score > score THEN least_score ELSE score END * pow(0.88, depth) AS score, CASE WHEN least_score > score THEN CASE WHEN kind = 'EXTERNAL_KB' THEN 'B' WHEN least_score >= 3 THEN 'A' WHEN least_score >= 1 THEN 'B' ELSE level END ELSE level END AS level) FROM a WHERE nth <= 100),
+w AS (SELECT query_id, id, nth, round(score * CASE WHEN kind = 'EXTERNAL_KB' THEN 0.2 WHEN intent = 'SOCIETAL' THEN CASE WHEN len > 300 AND level <> 'A' THEN 1.2 ELSE 1 END WHEN level = 'A' THEN 1.2 WHEN level = 'B' THEN 0.9 WHEN len > 300 THEN 0.4 ELSE 1 END::DOUBLE
+  * CASE WHEN kind = 'BOOK' THEN 1.1 ELSE 1 END::DOUBLE, 6) AS weight FROM s WHERE nth <= 40 OR score >= 2)
+SELECT query_id, id, weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, nth) AS rank FROM w""")
 def evi06_weighted_rank(spark, d):
-    return ev.weighted_rank(_scored(spark, d), 40, 5).select("query_id", "id", "weight")
+    """Passages of a page, some of which hand their score to one above, with graph and outside sources among them."""
+    lv, k = _scored(spark, d), F.col("id")
+    hits = lv.where("id % 3 <> 0").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    parents = lv.where("id % 5 = 0").select(k.alias("child"), F.expr("id div 2 + 1").alias("parent")).unionByName(lv.where("id % 5 = 0 AND id < 0").select(k.alias("child"), k.alias("parent")))
+    kind = F.when(k % 7 == 0, "GRAPH_RELATION").when(k % 11 == 0, "EXTERNAL_KB").otherwise("BOOK")
+    pool = ev.with_parents(hits, parents, lv.select("id", "text", "level")).withColumns(
+        {"source_type": kind, "graph_score": k % 10 / 10, "external_weight": F.lit(0.2), "intent": F.when(F.col("query_id") % 2 == 0, "SOCIETAL").otherwise("DIRECT"), "composition": F.when(kind == "BOOK", 1.1).otherwise(1.0)}
+    )
+    return ev.weighted_rank(pool).select("query_id", "id", "weight", "rank")
 
 
 @query(rf"""{_L}, p AS (SELECT query_id, id, least(lx.score, 7) AS s, text, id % 50 = 0 AS prime, row_number() OVER (PARTITION BY query_id ORDER BY least(lx.score, 7) DESC, id) AS nth FROM lx JOIN content USING (id)),
@@ -290,13 +305,27 @@ def eva05_failure_summary(spark, d):
     return share_by(table(spark, d, "labels").withColumn("plane", ev.failure_plane(F.col("quality") == 1, F.col("toxic") == 0)), "plane")
 
 
-@query("""SELECT doc_id AS id, [doc_id, doc_id + 1] AS cited, 2 - (doc_id NOT IN (SELECT vec_id FROM embeddings))::INT - (doc_id + 1 NOT IN (SELECT vec_id FROM embeddings))::INT AS known FROM documents""")
+@query(rf"""WITH {CONTENT}, s AS (SELECT id AS answer_id, 1 AS nth, lower(text) AS content, title FROM content UNION ALL SELECT id - 1, 2, lower(text), title || ' again' FROM content),
+c AS (SELECT id AS answer_id, 0 AS at, 1 AS nth, substr(replace(text, chr(10), ' '), 1, 120) AS line FROM content UNION ALL SELECT id, 1, 2, substr(replace(text, chr(10), ' '), 1, 90) FROM content UNION ALL SELECT id, 2, 9, 'more' FROM content
+UNION ALL SELECT id, 3, 1, 'no book has these few words at all' FROM content UNION ALL SELECT id, 4, NULL, 'x' FROM content),
+w AS (SELECT c.*, content, list_filter(string_split_regex(lower(trim(line)), '\s+'), lambda x: x <> '') AS ws FROM c LEFT JOIN s USING (answer_id, nth)),
+r AS (SELECT *, content IS NOT NULL AND len(ws) > 5 AND len(list_filter(range(1, len(ws) - 4), lambda i: contains(content, array_to_string(ws[i : i + 4], ' ')))) > 0 AS run,
+  len(list_intersect(list_distinct(ws), string_split_regex(content, '\s+'))) / greatest(len(list_distinct(ws)), 1) AS likeness FROM w),
+k AS (SELECT answer_id, CASE WHEN content IS NULL THEN 0 WHEN run THEN 1 WHEN likeness >= 0.82 THEN 0.9 WHEN likeness >= 0.65 THEN 0.5 ELSE 0 END::DOUBLE AS score,
+  CASE WHEN content IS NULL THEN 'wrong_source' WHEN run OR likeness >= 0.82 THEN NULL WHEN likeness >= 0.65 THEN 'hallucination_risk' ELSE 'fabricated_quote' END AS fault FROM r)
+SELECT answer_id, round(avg(score), 4) AS score, count(*) AS n_citations, coalesce(string_agg(fault, ',' ORDER BY fault), '') AS violations FROM k GROUP BY 1""")
 def eva06_citations(spark, d):
-    text = F.concat(F.lit("as [ID: "), F.col("doc_id").cast("string"), F.lit("] and [ID:"), (F.col("doc_id") + 1).cast("string"), F.lit("] say"))
-    cited = table(spark, d, "documents").select(F.col("doc_id").alias("id"), ev.citations(text).alias("cited"))
-    known = table(spark, d, "embeddings").select(F.col("vec_id").alias("c"), F.lit(1).alias("k"))
-    n = cited.select("id", F.explode("cited").alias("c")).join(known, "c", "left").groupBy("id").agg(F.count("k").cast("int").alias("known"))
-    return cited.join(n, "id")
+    """Answers that cite a text rightly, the next one, none that there is, its title with words it lacks, and a title that nobody has."""
+    from stacklore.operators.citations import verified
+
+    c = content(spark, d)
+    line = F.translate("text", "\n", " ")
+    said = lambda n: F.substr(line, F.lit(1), F.lit(n))
+    answer = F.concat(said(120), F.lit(" [ID: 1]\n"), said(90), F.lit(" [ID:2]\nmore [ID: 9]\nno book has these few words at all [Kaynak: "), "title", F.lit("]\nx [Kaynak: qqq zzz]"))
+    sources = c.select(F.col("id").alias("answer_id"), F.lit(1).cast("long").alias("nth"), "title", F.col("text").alias("content"))
+    sources = sources.unionByName(c.select((F.col("id") - 1).alias("answer_id"), F.lit(2).cast("long").alias("nth"), F.concat("title", F.lit(" again")).alias("title"), F.col("text").alias("content")))
+    out = verified(c.select(F.col("id").alias("answer_id"), answer.alias("answer")), sources)
+    return out.select("answer_id", F.round("score", 4).alias("score"), "n_citations", F.array_join("violations", ",").alias("violations"))
 
 
 @query("""WITH s AS (SELECT doc_id AS id, round((0.5::DOUBLE * quality + 0.3::DOUBLE * (1 - toxic) + 0.2::DOUBLE * 0.5) / 1.0, 4) AS score FROM labels) SELECT id, score, CASE WHEN score >= 0.7 THEN 'PASS' WHEN score >= 0.45 THEN 'REGENERATE' ELSE 'DECLINE' END AS verdict FROM s""")

@@ -176,9 +176,22 @@ def agg27_source_diversity(spark, d):
     )
 
 
-@query(f"""WITH {LOGS} SELECT date_trunc('hour', created_at) AS hour, intent, count(*) AS n, round(avg((ms > 1000)::INT), 4) AS slow_ratio, round(quantile_cont(ms, 0.95), 4) AS p95 FROM logs GROUP BY ALL""")
+def _histogram_sql(share):
+    """The linear place of a quantile in the counts c0.. of the bounds, as SQL."""
+    arms = ""
+    for i, bound in enumerate(rp.BOUNDS):
+        low, before = (rp.BOUNDS[i - 1], f"c{i - 1}") if i else (0.0, "0")
+        arms += f" WHEN c{i} >= {share} * n THEN CASE WHEN c{i} > {before} THEN {low}::DOUBLE + {bound - low}::DOUBLE * ({share}::DOUBLE * n - {before}) / (c{i} - {before}) ELSE {low} END"
+    return f"CASE{arms} ELSE {rp.BOUNDS[-1]} END"
+
+
+@query(f"""WITH {LOGS}, v AS (SELECT *, date_trunc('hour', created_at) AS hour, ['PASS', 'REGENERATE', 'DECLINE'][result_count % 3 + 1] AS verdict FROM logs),
+h AS (SELECT hour, intent, count(*) AS n, round(avg((ms > 1000)::INT), 4) AS slow_ratio, round(avg((verdict = 'DECLINE')::INT), 4) AS error_ratio, round(count(*) / 3600, 6) AS per_second, round(quantile_cont(ms, 0.95), 4) AS p95,
+count_if(verdict = 'PASS') AS pass, count_if(verdict = 'REGENERATE') AS regenerate, count_if(verdict = 'DECLINE') AS decline, {", ".join(f"count_if(ms <= {b}) AS c{i}" for i, b in enumerate(rp.BOUNDS))} FROM v GROUP BY ALL)
+SELECT hour, intent, n, slow_ratio, error_ratio, per_second, p95, pass, regenerate, decline, {", ".join(f"round({_histogram_sql(q / 100)}, 4) AS h{q}" for q in (50, 95, 99))} FROM h""")
 def agg28_service_metrics(spark, d):
-    return rp.hourly_metrics(logs(spark, d))
+    verdict = F.element_at(F.array(*map(F.lit, ("PASS", "REGENERATE", "DECLINE"))), (F.col("result_count") % 3 + 1).cast("int"))
+    return rp.hourly_metrics(logs(spark, d).withColumn("verdict", verdict))
 
 
 @query(f"""WITH {CONTENT} SELECT item_id, count(*) AS raw, count_if(NOT contains(text, 'License')) AS effective, count_if(NOT contains(text, 'License') AND e.vec_id IS NOT NULL) AS embedded
