@@ -8,9 +8,11 @@ no vocabulary is sent about; the few other terms that it lets through do no harm
 
 Test items are cut into passages of at most ``RUN`` windows; equal passages are
 searched once, whatever the number of items that hold them. The postings give every
-test term's frequency over all documents. A passage is sent only to blocks that hold
-one of its windows' rarest terms by those frequencies, and meets the block's postings
-there. A window is found by intersecting the posting lists of its terms, shifted by
+test term's frequency over all documents. The places of each window's rarest terms by
+those frequencies are joined first; a passage is sent only to blocks in which three of
+them (``ON_LINE``; all of a shorter window) stand as far apart as in it, and meets the
+block's postings there. So what is sent about grows with the matches, not with the
+passages times the blocks. A window is found by intersecting the posting lists of its terms, shifted by
 their offsets, from the rarest on; what all terms agree on is an exact phrase.
 
 A window of n >= 4 words that does not stand in a document as it is has a proximity
@@ -50,6 +52,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FILTER_BITS, RUN = 1 << 22, 64
 #: Share of a window's words that a proximity match needs, and the shortest window that has any.
 NEAR_SHARE, LEAST_NEAR = 0.8, 4
+#: Terms of a window that must stand on one line with it before its passage goes to a block.
+ON_LINE = 3
 PAD, ABSENT, FAR = -1, -2, 1 << 60
 #: Places looked at in one numpy step inside a task, about.
 STEP = 250_000
@@ -144,8 +148,9 @@ class Windows:
         self.anchors = np.where(self.length >= LEAST_NEAR, self.length - self.need + 1, 1)
 
 
-def _anchors(window: int, near: bool):
-    """(passage, term) of the terms from which the windows of each passage are looked for."""
+def _anchors(window: int, slop: int | None):
+    """(passage, term, pos, must): the rarest terms of the windows of each passage with their places in it, and how many
+    of them must stand on one line with it in a document that holds one of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +158,34 @@ def _anchors(window: int, near: bool):
             out = []
             for key, part, n in zip(keys, terms, often):
                 w = Windows([np.arange(len(part))], [np.array(n, np.int64)], window)
-                used = {int(w.terms[i, k]) for i, order in enumerate(w.order) for k in order[: w.anchors[i] if near else 1]}
-                out += [(key, part[t]) for t in used if n[t]]
-            columns = list(zip(*set(out))) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["passage", "term"])
+                length = int(w.length[0])
+                lost = length - int(w.need[0]) if slop is not None and length >= LEAST_NEAR else 0
+                must = min(length - lost, ON_LINE)
+                used = {int(w.terms[i, k]) for i, order in enumerate(w.order) for k in order[: must + lost]}
+                out += [(key, part[t], t, must) for t in used if n[t]]
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["passage", "term", "pos", "must"])
 
     return run
 
 
+def _routes(counted: DataFrame, postings: DataFrame, window: int, slop: int | None) -> DataFrame:
+    """(to, passage): the blocks that may hold a window of each passage.
+
+    A place of a term less the term's place in the passage is the line that the passage would lie on. Terms of one match lie on lines
+    that are at most twice the slop apart, so they meet in one of two sets of stripes of lines, each half a stripe off the other.
+    """
+    anchors = counted.mapInArrow(_anchors(window, slop), "passage binary, term binary, pos int, must int")
+    met = anchors.join(postings.select("term", F.col("block").alias("to"), "places"), "term")
+    line = met.select("passage", "must", "pos", "to", F.explode("places").alias("place")).withColumn("line", F.col("place") - F.col("pos"))
+    # without slop a stripe is one line
+    half, grids = (2 * slop + 1, 2) if slop else (0.5, 1)
+    stripes = F.explode(F.array(*(F.struct(F.lit(g).alias("grid"), F.floor((F.col("line") + g * half) / (2 * half)).alias("at")) for g in range(grids))))
+    found = line.select("passage", "must", "pos", "to", stripes.alias("stripe")).groupBy("passage", "to", "stripe").agg(F.first("must").alias("must"), F.size(F.collect_set("pos")).alias("n"))
+    return found.where("n >= must").select("to", "passage").distinct()
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ranges [start, start + size): the range of each number in them, and the numbers."""
     owner = np.repeat(np.arange(len(size)), size)
@@ -295,8 +320,7 @@ def _find(docs: DataFrame, items: DataFrame, window: int, slop: int | None) -> t
     counted = passages.select("passage", F.posexplode("terms").alias("at", "term")).join(often, "term", "left")
     counted = counted.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("at", "term", F.coalesce("often", F.lit(0)).alias("often")))).alias("r"))
     counted = keep(counted.select("passage", F.col("r.term").alias("terms"), F.col("r.often").alias("often")), "frequencies")
-    anchors = counted.mapInArrow(_anchors(window, slop is not None), "passage binary, term binary")
-    routed = anchors.join(postings.select("term", F.col("block").alias("to")), "term").select("to", "passage").distinct().join(counted, "passage")
+    routed = _routes(counted, postings, window, slop).join(counted, "passage")
     met = index.groupBy("block").cogroup(routed.groupBy("to")).applyInArrow(_meet(window, slop), FOUND)
     return met, every.select("passage", "item").distinct()
 

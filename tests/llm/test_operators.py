@@ -696,3 +696,32 @@ def test_copies_empty_no_sample(spark):
     told = spark.createDataFrame([(t,) for t in _told(60)], "text string")
     assert pii.fit(told).threshold == pii.fit(told.crossJoin(spark.range(2_000)).drop("id")).threshold
     assert pii.fit(told.crossJoin(spark.range(2_000)).drop("id")).trees[0] is not None
+
+
+def test_passages_go_only_where_they_may_stand(spark):
+    """Ten times as many passages of the same words, none of which stands anywhere, are sent nowhere; all that match are found."""
+    from stacklore.llm import decontam
+
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(6000)]
+    docs = [(i, " ".join(rng.choices(vocab, k=3000))) for i in range(12)]
+    held = [" ".join(docs[i][1].split()[100 * i : 100 * i + 40]) for i in range(6)]
+    near = held[0].split()
+    near[20] = "elsewhere"
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+
+    def routed(n, slop):
+        items = [*held, " ".join(near), *(" ".join(rng.choices(vocab, k=40)) for _ in range(n))]
+        passages = decontam.keep(spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item string, text string").mapInArrow(decontam._passages(13), "passage binary, item string, terms array<binary>"), "t")
+        bits = spark.sparkContext.broadcast(decontam._term_bits(passages))
+        postings = decontam.keep(frame.mapInArrow(decontam._index(bits), decontam.INDEX), "t").where("term IS NOT NULL")
+        often = {r.term: r.n for r in postings.groupBy("term").agg({"places": "count"}).withColumnRenamed("count(places)", "n").collect()}
+        rows = [(r.passage, r.terms, [often.get(t, 0) for t in r.terms]) for r in passages.collect()]
+        counted = spark.createDataFrame(rows, "passage binary, terms array<binary>, often array<long>")
+        return decontam._routes(counted, postings, 13, slop).count()
+
+    assert 6 <= routed(20, None) <= 9 and routed(200, None) <= 12
+    few, many = routed(20, 3), routed(200, 3)
+    assert 7 <= few and many <= 0.25 * 6 * 207
+    got = {r.doc_id: r for r in decontam.decontaminate(frame, spark.createDataFrame([(i, t) for i, t in enumerate([*held, " ".join(near)])], "item_id long, text string")).collect()}
+    assert all(got[i].n_items == 1 + (i == 0) for i in range(6)) and all(got[i].n_items == 0 for i in range(6, 12))
