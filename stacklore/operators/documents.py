@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,7 +101,8 @@ def sentence_chunks(docs: DataFrame, target: int = 350, cap: int = 450, overlap:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    # a single blank is left alone: most of a text's white space is nothing to replace
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 #: What each flag takes off a chunk's score, in the order of the flags.
@@ -157,6 +160,7 @@ def chunk_flags(text: Column, title: Column, author: Column, page: Column) -> li
     """What the flags rest on, and the flags, as columns to add one after the other."""
     c = F.col
     has = lambda words: F.arrays_overlap(c("_words"), F.array(*map(F.lit, _folded(words))))
+    holds = lambda phrases: reduce(or_, (c("_low").contains(p) for p in _folded(phrases)))
     short = lambda x: F.when((c("_n") > 0) & (c("_n") <= 12) & (F.length("_t") <= 120), x).otherwise(F.lit(False))
     letters, large = F.regexp_count("_t", F.lit(f"[{LARGE}{SMALL}]")), F.regexp_count("_t", F.lit(f"[{LARGE}]"))
     names = F.expr(f"regexp_extract_all(_t, \"[{LARGE}{SMALL}][{LARGE}{SMALL}'-]*\", 0)")
@@ -168,10 +172,10 @@ def chunk_flags(text: Column, title: Column, author: Column, page: Column) -> li
     return [
         {"_raw": F.coalesce(text, F.lit("")), "_early": F.coalesce(page, F.lit(0)).between(1, EARLY)},
         {"_t": collapsed(raw)},
-        {"_low": folded(c("_t")), "_n": F.regexp_count("_t", F.lit(f"[{LARGE}{SMALL}0-9]+"))},
+        {"_low": folded(c("_t")), "_n": F.regexp_count("_t", F.lit(f"[{LARGE}{SMALL}0-9]+")), "_all": F.split("_t", r"[^\p{L}\p{N}_]+")},
         {
-            "_words": F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+")),
-            "_single": F.size(F.filter(F.split(raw, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) == 1) & w.rlike(f"[{LARGE}{SMALL}]"))),
+            "_words": F.transform(F.array_distinct("_all"), folded),
+            "_single": F.size(F.filter("_all", lambda w: (F.length(w) == 1) & w.rlike(f"[{LARGE}{SMALL}]"))),
             "_lines": F.when(raw.contains("\n") | raw.contains("\r"), lines).otherwise(F.array(F.trim(raw))),
             "_title": _named(F.lower("_t"), title),
             "_author": _named(F.lower("_t"), author),
@@ -192,14 +196,14 @@ def chunk_flags(text: Column, title: Column, author: Column, page: Column) -> li
             | ((F.size("_lines") >= 4) & (many(r",\s*\d+(?:,\s*\d+)*\s*$") >= 0.4 * F.size("_lines"))),
             "toc_like": has(TOC_WORDS) | ((F.size("_lines") >= 4) & (many(r"(?:\.{3,}|\s{3,})\s*\d{1,4}\s*$|^\d+(?:\.\d+)*\s+.+\s+\d{1,4}$") >= 3)),
             "ocr_noise": ((n > 0) & (c("_single") >= 0.18 * n))
-            | raw.rlike("Ã.|Ä.|�|~|<;|;[\\p{L}\\p{N}_]")
+            | (raw.rlike("[ÃÄ�~;]") & raw.rlike("Ã.|Ä.|�|~|<;|;[\\p{L}\\p{N}_]"))
             | ((c("_single") >= 5) & raw.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:[{LARGE}{SMALL}]\s+){{4,}}[{LARGE}{SMALL}](?:$|[^\p{{L}}\p{{N}}_])")),
             "title_repeat": c("_title") >= 2,
             "author_repeat": c("_author") >= 2,
             "imprint_like": has(IMPRINT_WORDS),
             "catalog_like": c("_early") & ((F.regexp_count(raw, F.lit(item)) >= 2) | (raw.rlike(item) & raw.contains("/") & (n <= 30))),
             "address_like": c("_early") & (has(ADDRESS_WORDS) | low.rlike(_phrases(ADDRESS_PHRASES, r"|no:[\p{L}\p{N}_]"))),
-            "front_matter_marker_like": has(FRONT_WORDS) | low.rlike(_phrases(FRONT_PHRASES)),
+            "front_matter_marker_like": has(FRONT_WORDS) | (holds(FRONT_PHRASES) & low.rlike(_phrases(FRONT_PHRASES))),
         },
         {
             "front_matter_like": c("_early")
