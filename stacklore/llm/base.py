@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -30,9 +31,26 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
+    if _open:
+        _open[-1].append(kept)
     return kept
 
 
+#: Tables kept within each ``passing`` block that is open.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables kept inside are removed at the end of the block, but for those that are taken out of its list."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for df in _open.pop():
+            forget(df)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` kept, with a number for each row in a column whose name is free, and that name."""
     name, taken = "row_number", {c.lower() for c in df.columns}

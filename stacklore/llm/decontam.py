@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, light, numbered, slices
+from stacklore.llm.base import keep, light, numbered, passing, slices
 
 #: UTF-8 bytes of words after lower-casing A-Z.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -364,6 +364,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slop: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """``docs`` without contaminated rows, each judged on its own; all columns stay as they are."""
     every, number = numbered(docs)
-    found, _ = _find(every.select(F.col(number).alias("doc_id"), "text"), items, window, None)
-    bad = keep(found.where(_contaminated(share)).select(F.col("doc_id").alias(number)), "contaminated")
+    with passing() as kept:
+        found, _ = _find(every.select(F.col(number).alias("doc_id"), "text"), items, window, None)
+        keep(found.where(_contaminated(share)).select(F.col("doc_id").alias(number)), "contaminated")
+        bad = kept.pop()
     return every.join(bad, number, "left_anti").select(docs.columns)

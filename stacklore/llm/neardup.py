@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, light, numbered, slices
+from stacklore.llm.base import keep, light, numbered, passing, slices
 from stacklore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -314,5 +314,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """``docs`` with one row of each class, that with the least doc_id (null last; of
     rows that share it the first as numbered); all columns stay as they are."""
     every, number = numbered(docs)
-    gone = keep(_classes(every, number, threshold).where("NOT kept").select(F.col("row").alias(number)), "gone")
+    with passing() as kept:
+        keep(_classes(every, number, threshold).where("NOT kept").select(F.col("row").alias(number)), "gone")
+        gone = kept.pop()
     return every.join(gone, number, "left_anti").select(docs.columns)

@@ -29,3 +29,24 @@ def test_stages(spark, data, tmp_path):
             assert all(0 < r.taken <= 2 * r.size == 2 * len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in after.values())
         else:
             assert len(after) >= 0.5 * len(before)
+
+
+def test_columns_named_as_the_figures_of_the_mix(spark):
+    rows = [(i, f"some words of text {i}", "a", 7, 8, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Size int, TAKEN int, size_ string")
+    out = corpus_pipeline.mixed(spark, docs, "")
+    got = {r.doc_id: r.asDict() for r in out.collect()}
+    assert got and all(r["Size__"] == 7 and r["TAKEN_"] == 8 and r["size_"] == "x" and r["size"] == 5 for r in got.values())
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+
+
+def test_what_stages_keep_for_themselves_goes(spark, data, tmp_path):
+    from stacklore.llm import base
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    with base.passing() as kept:
+        stage = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, data)
+        assert [k.kept_at.rpartition("/")[2].split("-")[0] for k in kept] == ["numbered"]
+        n = stage.count()
+        at = kept[0].kept_at.removeprefix("file:")
+    assert 0 < n < docs.count() and not __import__("os").path.exists(at)
