@@ -54,6 +54,8 @@ FILTER_BITS, RUN = 1 << 22, 64
 NEAR_SHARE, LEAST_NEAR = 0.8, 4
 #: Terms of a window that must stand on one line with it before its passage goes to a block.
 ON_LINE = 3
+#: Lines of a stripe.
+STRIPE = 32
 PAD, ABSENT, FAR = -1, -2, 1 << 60
 #: Places looked at in one numpy step inside a task, about.
 STEP = 250_000
@@ -149,41 +151,44 @@ class Windows:
 
 
 def _anchors(window: int, slop: int | None):
-    """(passage, term, pos, must): the rarest terms of the windows of each passage with their places in it, and how many
+    """(number, term, pos, must): the rarest terms of the windows of each passage with their places in it, and how many
     of them must stand on one line with it in a document that holds one of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, terms, often = (c.to_pylist() for c in batch.columns)
+            numbers, terms, often = (c.to_pylist() for c in batch.columns)
             out = []
-            for key, part, n in zip(keys, terms, often):
+            for number, part, n in zip(numbers, terms, often):
                 w = Windows([np.arange(len(part))], [np.array(n, np.int64)], window)
                 length = int(w.length[0])
                 lost = length - int(w.need[0]) if slop is not None and length >= LEAST_NEAR else 0
                 must = min(length - lost, ON_LINE)
                 used = {int(w.terms[i, k]) for i, order in enumerate(w.order) for k in order[: must + lost]}
-                out += [(key, part[t], t, must) for t in used if n[t]]
+                out += [(number, part[t], t, must) for t in used if n[t]]
             columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["passage", "term", "pos", "must"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["number", "term", "pos", "must"])
 
     return run
 
 
 def _routes(counted: DataFrame, postings: DataFrame, window: int, slop: int | None) -> DataFrame:
-    """(to, passage): the blocks that may hold a window of each passage.
+    """(to, number): the blocks that may hold a window of each passage (number, terms, often).
 
     A place of a term less the term's place in the passage is the line that the passage would lie on. Terms of one match lie on lines
-    that are at most twice the slop apart, so they meet in one of two sets of stripes of lines, each half a stripe off the other.
+    that are at most twice the slop apart, so they meet in a stripe of ``STRIPE`` lines, if lines near the next one count for both.
+    The terms of a stripe are told apart by their places modulo 64; those of one window never fall together.
     """
-    anchors = counted.mapInArrow(_anchors(window, slop), "passage binary, term binary, pos int, must int")
+    anchors = counted.select("number", "terms", "often").mapInArrow(_anchors(window, slop), "number long, term binary, pos int, must int")
     met = anchors.join(postings.select("term", F.col("block").alias("to"), "places"), "term")
-    line = met.select("passage", "must", "pos", "to", F.explode("places").alias("place")).withColumn("line", F.col("place") - F.col("pos"))
-    # without slop a stripe is one line
-    half, grids = (2 * slop + 1, 2) if slop else (0.5, 1)
-    stripes = F.explode(F.array(*(F.struct(F.lit(g).alias("grid"), F.floor((F.col("line") + g * half) / (2 * half)).alias("at")) for g in range(grids))))
-    found = line.select("passage", "must", "pos", "to", stripes.alias("stripe")).groupBy("passage", "to", "stripe").agg(F.first("must").alias("must"), F.size(F.collect_set("pos")).alias("n"))
-    return found.where("n >= must").select("to", "passage").distinct()
+    line = met.select("number", "must", "to", "pos", F.expr("shiftleft(1L, pos % 64)").alias("bit"), F.explode("places").alias("place"))
+    line = line.withColumn("line", F.col("place").cast("long") - F.col("pos"))
+    width = STRIPE if slop else 1
+    at = F.floor(F.col("line") / width)
+    near = F.pmod("line", F.lit(width)) < 2 * (slop or 0)
+    stripe = F.explode(F.when(near, F.array(at, at - 1)).otherwise(F.array(at))) if slop else at
+    found = line.select("number", "must", "to", "bit", stripe.alias("stripe")).groupBy("number", "to", "stripe").agg(F.min("must").alias("must"), F.bit_or("bit").alias("bits"))
+    return found.where(F.bit_count("bits") >= F.col("must")).select("to", "number").distinct()
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,8 +324,8 @@ def _find(docs: DataFrame, items: DataFrame, window: int, slop: int | None) -> t
     passages = every.groupBy("passage").agg(F.first("terms").alias("terms"))
     counted = passages.select("passage", F.posexplode("terms").alias("at", "term")).join(often, "term", "left")
     counted = counted.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("at", "term", F.coalesce("often", F.lit(0)).alias("often")))).alias("r"))
-    counted = keep(counted.select("passage", F.col("r.term").alias("terms"), F.col("r.often").alias("often")), "frequencies")
-    routed = _routes(counted, postings, window, slop).join(counted, "passage")
+    counted = keep(counted.select(F.monotonically_increasing_id().alias("number"), "passage", F.col("r.term").alias("terms"), F.col("r.often").alias("often")), "frequencies")
+    routed = _routes(counted, postings, window, slop).join(counted, "number").drop("number")
     met = index.groupBy("block").cogroup(routed.groupBy("to")).applyInArrow(_meet(window, slop), FOUND)
     return met, every.select("passage", "item").distinct()
 

@@ -716,8 +716,8 @@ def test_passages_go_only_where_they_may_stand(spark):
         bits = spark.sparkContext.broadcast(decontam._term_bits(passages))
         postings = decontam.keep(frame.mapInArrow(decontam._index(bits), decontam.INDEX), "t").where("term IS NOT NULL")
         often = {r.term: r.n for r in postings.groupBy("term").agg({"places": "count"}).withColumnRenamed("count(places)", "n").collect()}
-        rows = [(r.passage, r.terms, [often.get(t, 0) for t in r.terms]) for r in passages.collect()]
-        counted = spark.createDataFrame(rows, "passage binary, terms array<binary>, often array<long>")
+        rows = [(i, r.passage, r.terms, [often.get(t, 0) for t in r.terms]) for i, r in enumerate(passages.collect())]
+        counted = spark.createDataFrame(rows, "number long, passage binary, terms array<binary>, often array<long>")
         return decontam._routes(counted, postings, 13, slop).count()
 
     assert 6 <= routed(20, None) <= 9 and routed(200, None) <= 12
