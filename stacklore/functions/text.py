@@ -156,6 +156,27 @@ def isbn_as_13(text: Column) -> Column:
     return F.when(F.length(c) == 13, c).when(F.length(c) == 10, F.concat(core, check.cast("string")))
 
 
+def isbn_as_10(text: Column) -> Column:
+    """The ten-digit form of a valid ISBN; null for one that begins with other than 978."""
+    c = valid_isbn(text)
+    core = F.substring(c, 4, 9)
+    check = F.pmod(11 - _weighted(core, list(range(10, 1, -1))) % 11, F.lit(11))
+    ten = F.concat(core, F.when(check == 10, "X").otherwise(check.cast("string")))
+    return F.when(F.length(c) == 10, c).when((F.length(c) == 13) & c.startswith("978"), ten)
+
+
+def equivalent_isbns(text: Column) -> Column:
+    """A valid ISBN and its other form, in order; empty where it is none."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(isbn_as_10(text), isbn_as_13(text)))))
+
+
+def academic(tags: Column, kind: Column, url: Column, known: tuple[str, ...]) -> Column:
+    """Whether an item is of a scholarly kind: by one of the ``known`` tags, as an article, or by a DOI in its address."""
+    own = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
+    by_tag = F.arrays_overlap(own, F.array(*(F.lit(k.strip().lower()) for k in known))) if known else F.lit(False)
+    return F.coalesce(by_tag, F.lit(False)) | (F.upper(F.trim(F.coalesce(kind, F.lit("")))) == "ARTICLE") | doi(F.coalesce(url, F.lit(""))).isNotNull()
+
+
 def doi(text: Column) -> Column:
     found = F.regexp_replace(F.regexp_extract(text, r"(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)", 1), r"[).,;]+$", "")
     return F.when(F.length(found) > 0, found)
@@ -237,3 +258,22 @@ def language_scores(text: Column) -> Column:
         F.when(sure, F.round(F.least(gap / F.greatest(top, F.lit(0.25)), F.lit(1.0)), 4)).otherwise(0.0).alias("confidence"),
         F.round(tr, 4).alias("tr"), F.round(en, 4).alias("en"),
     )
+
+
+#: Names of the two languages in a hint, and how sure each source of a language is.
+LANGUAGE_NAMES = {"tr": ("tr", "turkish", "turkce", "türkçe"), "en": ("en", "english", "ingilizce")}
+SURE = {"mode_override": 1.0, "source_language_hint": 0.8, "publisher_hint_tr": 0.9, "default_fallback_tr": 0.1}
+
+
+def resolved_language(mode: Column, hint: Column, publisher: Column, title: Column, author: Column) -> Column:
+    """struct(language, confidence, reason): what is set for the record, else a hint of its source, a Turkish publisher,
+    what its publisher, title and author are written in, and Turkish at last. Summaries and tags have no say."""
+    told = lambda lang, sure, why: F.struct(lang.alias("language"), sure.alias("confidence"), F.lit(why).alias("reason"))
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    arms = [F.when(F.upper(clean(mode)) == x.upper(), told(F.lit(x), F.lit(SURE["mode_override"]), f"mode_override_{x}")) for x in LANGUAGE_NAMES]
+    arms += [F.when(F.lower(clean(hint)).isin(*names), told(F.lit(x), F.lit(SURE["source_language_hint"]), "source_language_hint")) for x, names in LANGUAGE_NAMES.items()]
+    turkish = F.coalesce(*(F.when(F.lower(clean(publisher)).contains(h), True) for h in TR_PUBLISHERS), F.lit(False))
+    arms.append(F.when(turkish, told(F.lit("tr"), F.lit(SURE["publisher_hint_tr"]), "publisher_hint_tr")))
+    found = language_scores(F.concat_ws("\n", clean(publisher), clean(title), clean(author)))
+    arms.append(F.when(found["language"].isNotNull(), told(found["language"], found["confidence"].cast("double"), "metadata_signal")))
+    return F.coalesce(*arms, told(F.lit("tr"), F.lit(SURE["default_fallback_tr"]), "default_fallback_tr"))

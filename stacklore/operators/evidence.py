@@ -176,6 +176,15 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return df.select(key, gain.alias("gain"), slower.alias("slower"), ((gain >= 5) & (slower <= 10)).alias("passed"))
 
 
+def recommended(a: DataFrame, b: DataFrame, key: str, judged: tuple[str, ...]) -> DataFrame:
+    """One row: gain in quality and latency of b over a in per cent, over the endpoints ``judged`` together, and whether b passes on both."""
+    mean = lambda df, n: df.where(F.col(key).isin(*judged)).select(key, F.col("quality").alias(f"q_{n}"), F.col("p95").alias(f"l_{n}"))
+    m = mean(a, "a").join(mean(b, "b"), key).agg(*(F.avg(c).alias(c) for c in ("q_a", "q_b", "l_a", "l_b")))
+    share = lambda x, y: F.coalesce(F.round((F.col(y) - F.col(x)) / F.nullif(F.col(x), F.lit(0.0)) * 100, 2), F.lit(0.0))
+    df = m.select(share("q_a", "q_b").alias("gain"), share("l_a", "l_b").alias("slower"))
+    return df.select("gain", "slower", (F.col("gain") >= 5).alias("quality_pass"), (F.col("slower") <= 10).alias("latency_pass"), ((F.col("gain") >= 5) & (F.col("slower") <= 10)).alias("recommended"))
+
+
 def rule_checks(cases: DataFrame) -> DataFrame:
     """Phrases missing from and forbidden in each answer (answer, must, forbidden)."""
     low = F.lower("answer")

@@ -274,10 +274,11 @@ _SUM = "SELECT intent, count(*) AS n, round(avg((ms < 2000)::INT), 4) AS success
 
 
 def _summary(df):
-    return df.groupBy("intent").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") < 2000).cast("int")), 4).alias("success"), F.round(F.percentile("ms", 0.5), 4).alias("p50"),
-        F.round(F.percentile("ms", 0.95), 4).alias("p95"), F.round(F.avg("result_count"), 4).alias("quality"),
-    )
+    from stacklore.operators.reports import quantiles
+
+    means = df.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") < 2000).cast("int")), 4).alias("success"), F.round(F.avg("result_count"), 4).alias("quality"))
+    places = quantiles(df, "ms", {"p50": 0.5, "p95": 0.95}, "intent")
+    return means.join(places, "intent", "left").select("intent", "n", "success", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "quality")
 
 
 @query(f"WITH {LOGS} {_SUM} GROUP BY 1")
@@ -292,6 +293,15 @@ def eva03_ab_comparison(spark, d):
     return ev.compare_runs(_summary(lg.where("created_at < timestamp_ntz'2024-01-16 00:00:00'")), _summary(lg.where("created_at >= timestamp_ntz'2024-01-16 00:00:00'")), "intent")
 
 
+@query(f"""WITH {LOGS}, a AS ({_SUM} WHERE created_at < TIMESTAMP '2024-01-16' GROUP BY 1), b AS ({_SUM} WHERE created_at >= TIMESTAMP '2024-01-16' GROUP BY 1),
+c AS (SELECT avg(a.quality) AS qa, avg(b.quality) AS qb, avg(a.p95) AS la, avg(b.p95) AS lb FROM a JOIN b USING (intent) WHERE intent IN ('click', 'view')),
+d AS (SELECT round((qb - qa) / qa * 100, 2) AS gain, round((lb - la) / la * 100, 2) AS slower FROM c) SELECT *, gain >= 5 AS quality_pass, slower <= 10 AS latency_pass, gain >= 5 AND slower <= 10 AS recommended FROM d""")
+def eva03_overall(spark, d):
+    """The two endpoints whose quality is known, taken together."""
+    lg = logs(spark, d)
+    return ev.recommended(_summary(lg.where("created_at < timestamp_ntz'2024-01-16 00:00:00'")), _summary(lg.where("created_at >= timestamp_ntz'2024-01-16 00:00:00'")), "intent", ("click", "view"))
+
+
 @query("SELECT doc_id AS id, (NOT contains(lower(text), 'the'))::INT + (NOT contains(lower(text), lang))::INT AS missing, contains(lower(text), '***')::INT AS forbidden, contains(lower(text), 'the') AND contains(lower(text), lang) AND NOT contains(lower(text), '***') AS passed FROM documents")
 def eva04_rule_checks(spark, d):
     cases = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.lit("The"), F.col("lang")).alias("must"), F.array(F.lit("***")).alias("forbidden"))

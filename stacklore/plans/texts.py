@@ -92,20 +92,32 @@ def fun10_type_canonical(spark, d):
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
-@query(rf"""WITH v AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS v FROM documents), w AS (SELECT *, list_filter(string_split(lower(regexp_replace(v, '[^a-zA-ZçğıöşüÇĞİÖŞÜ'']+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM v),
-s AS (SELECT id, len(regexp_extract_all(v, '[çğıöşüÇĞİÖŞÜ]')) / greatest(length(v), 1) * 3.0::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.TR_STOP)}))) / greatest(len(words), 1) * 1.3::DOUBLE + CASE WHEN regexp_matches(lower(v), '{"|".join(t.TR_PUBLISHERS)}') THEN 0.8 ELSE 0 END::DOUBLE AS tr,
-len(list_filter(words, lambda x: x IN ({_IN(t.EN_STOP)}))) / greatest(len(words), 1) * 1.5::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.EN_TAGS)}))) / greatest(len(words), 1) * 1.1::DOUBLE + 0.25::DOUBLE * len(list_filter(words, lambda x: regexp_matches(x, '(tion|ment|ness|ship)$'))) AS en FROM w)
-SELECT id, CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN CASE WHEN tr > en THEN 'tr' ELSE 'en' END END AS language,
-CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN round(least(abs(tr - en) / greatest(tr, en, 0.25), 1), 4) ELSE 0 END AS confidence FROM s""")
+_LANG = rf"""w AS (SELECT *, list_filter(string_split(lower(regexp_replace(v, '[^a-zA-ZçğıöşüÇĞİÖŞÜ'']+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM v),
+s AS (SELECT *, len(regexp_extract_all(v, '[çğıöşüÇĞİÖŞÜ]')) / greatest(length(v), 1) * 3.0::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.TR_STOP)}))) / greatest(len(words), 1) * 1.3::DOUBLE + CASE WHEN regexp_matches(lower(v), '{"|".join(t.TR_PUBLISHERS)}') THEN 0.8 ELSE 0 END::DOUBLE AS tr,
+len(list_filter(words, lambda x: x IN ({_IN(t.EN_STOP)}))) / greatest(len(words), 1) * 1.5::DOUBLE + len(list_filter(words, lambda x: x IN ({_IN(t.EN_TAGS)}))) / greatest(len(words), 1) * 1.1::DOUBLE + 0.25::DOUBLE * len(list_filter(words, lambda x: regexp_matches(x, '(tion|ment|ness|ship)$'))) AS en FROM w),
+told AS (SELECT *, CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN CASE WHEN tr > en THEN 'tr' ELSE 'en' END END AS language,
+CASE WHEN greatest(tr, en) >= 0.25 AND abs(tr - en) >= 0.12 THEN round(least(abs(tr - en) / greatest(tr, en, 0.25), 1), 4) ELSE 0 END AS confidence FROM s)"""
+
+
+@query(rf"""WITH v AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS v FROM documents), {_LANG} SELECT id, language, confidence FROM told""")
 def fun11_language_detect(spark, d):
     return _docs(spark, d).select("id", t.language_scores(F.col("text")).alias("s")).select("id", "s.language", "s.confidence")
 
 
-@query("SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 'tr' WHEN lang IN ('en') THEN 'en' ELSE 'tr' END AS language, CASE WHEN source = 'src1' THEN 'override' WHEN lang = 'en' THEN 'hint' ELSE 'default' END AS reason FROM documents")
+@query(rf"""WITH r AS (SELECT doc_id AS id, CASE source WHEN 'src1' THEN 'TR' WHEN 'src2' THEN 'en' ELSE 'auto' END AS mode, CASE lang WHEN 'en' THEN CASE WHEN doc_id % 2 = 0 THEN ' English ' END WHEN 'de' THEN 'german' END AS hint,
+CASE WHEN doc_id % 7 = 0 THEN 'Deniz Yayınları' WHEN doc_id % 7 = 1 THEN 'History Press' ELSE '' END AS publisher, trim(substr(text, 1, 120)) AS title, CASE WHEN doc_id % 3 = 0 THEN 'Ayşe Öğüt' ELSE '' END AS author FROM documents),
+v AS (SELECT *, regexp_replace(publisher || chr(10) || title || chr(10) || author, '^\s+|\s+$', '', 'g') AS v FROM r), {_LANG}
+SELECT id, CASE WHEN mode = 'TR' THEN 'tr' WHEN mode = 'en' THEN 'en' WHEN hint = ' English ' THEN 'en' WHEN publisher = 'Deniz Yayınları' THEN 'tr' ELSE coalesce(language, 'tr') END AS language,
+CASE WHEN mode <> 'auto' THEN 1 WHEN hint = ' English ' THEN 0.8 WHEN publisher = 'Deniz Yayınları' THEN 0.9 WHEN language IS NOT NULL THEN confidence ELSE 0.1 END::DOUBLE AS confidence,
+CASE WHEN mode <> 'auto' THEN 'mode_override_' || lower(mode) WHEN hint = ' English ' THEN 'source_language_hint' WHEN publisher = 'Deniz Yayınları' THEN 'publisher_hint_tr' WHEN language IS NOT NULL THEN 'metadata_signal' ELSE 'default_fallback_tr' END AS reason FROM told""")
 def fun12_language_resolution(spark, d):
-    s = lambda cond, lang, conf, why: F.when(cond, F.struct(F.lit(lang).alias("language"), F.lit(conf).alias("confidence"), F.lit(why).alias("reason")))
-    pick = F.coalesce(s(F.col("source") == "src1", "tr", 1.0, "override"), s(F.col("lang") == "en", "en", 0.8, "hint"), s(F.lit(True), "tr", 0.1, "default"))
-    return _docs(spark, d).select("id", pick.alias("p")).select("id", "p.language", "p.reason")
+    """Records with a mode, a hint, a publisher, a title and an author, each of them only now and then."""
+    k, src = F.col("id"), F.col("source")
+    mode = F.when(src == "src1", "TR").when(src == "src2", "en").otherwise("auto")
+    hint = F.when((F.col("lang") == "en") & (k % 2 == 0), " English ").when(F.col("lang") == "de", "german")
+    publisher = F.when(k % 7 == 0, "Deniz Yayınları").when(k % 7 == 1, "History Press")
+    p = t.resolved_language(mode, hint, publisher, F.substring("text", 1, 120), F.when(k % 3 == 0, "Ayşe Öğüt"))
+    return _docs(spark, d).select("id", p.alias("p")).select("id", "p.language", "p.confidence", "p.reason")
 
 
 @query("""SELECT doc_id AS id, CASE WHEN pos > 31 THEN '...' ELSE '' END || substr(text, greatest(pos - 30, 1), pos + 35 - greatest(pos - 30, 1)) || CASE WHEN pos + 35 <= length(text) THEN '...' ELSE '' END AS kwic
@@ -128,10 +140,23 @@ def fun15_isbn(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), t.isbn_as_13(F.regexp_replace(raw, "ISBN ", "")).alias("isbn13"))
 
 
-@query("SELECT doc_id AS id, '10.1000/' || source || '.' || doc_id AS doi FROM documents")
+@query("""WITH p AS (SELECT p_partkey AS id, lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS nine FROM part),
+s AS (SELECT *, (11 - list_sum([(11 - i) * substr(nine, i, 1)::INT for i in range(1, 10)]) % 11) % 11 AS c10, (10 - (38 + list_sum([CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END * substr(nine, i, 1)::INT for i in range(1, 10)])) % 10) % 10 AS c13 FROM p)
+SELECT id, nine || CASE WHEN c10 = 10 THEN 'X' ELSE c10::VARCHAR END || ',' || '978' || nine || c13 AS isbns FROM s""")
+def fun15_equivalent_isbns(spark, d):
+    """Thirteen digits with their right check digit, and the ten digits of the same book."""
+    nine = F.lpad((F.col("p_partkey") * 7919 % 1000000000).cast("string"), 9, "0")
+    every = F.array(*(F.concat(F.lit("978-"), nine, F.lit(str(c))) for c in range(10)))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda x: t.equivalent_isbns(x)))))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(found, ",").alias("isbns"))
+
+
+@query("SELECT doc_id AS id, '10.1000/' || source || '.' || doc_id AS doi, lang = 'fr' OR doc_id % 5 = 0 OR doc_id % 3 = 0 AS academic FROM documents")
 def fun16_doi(spark, d):
-    text = F.concat(F.lit("see https://doi.org/10.1000/"), F.col("source"), F.lit("."), F.col("id").cast("string"), F.lit(")., and"))
-    return _docs(spark, d).select("id", t.doi(text).alias("doi"))
+    k = F.col("id")
+    text = F.concat(F.lit("see https://doi.org/10.1000/"), F.col("source"), F.lit("."), k.cast("string"), F.lit(")., and"))
+    kind, url = F.when(k % 5 == 0, "article").otherwise("BOOK"), F.when(k % 3 == 0, text)
+    return _docs(spark, d).select("id", t.doi(text).alias("doi"), t.academic(F.array(F.lit("x"), F.col("lang")), kind, url, (" FR ",)).alias("academic"))
 
 
 @query(f"WITH {CONTENT} SELECT id, string_split(title, ' - ')[1] AS name, string_split(title, ' - ')[2] AS author FROM content")
