@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,21 +188,67 @@ def recommended(a: DataFrame, b: DataFrame, key: str, judged: tuple[str, ...]) -
     return df.select("gain", "slower", (F.col("gain") >= 5).alias("quality_pass"), (F.col("slower") <= 10).alias("latency_pass"), ((F.col("gain") >= 5) & (F.col("slower") <= 10)).alias("recommended"))
 
 
+#: Headings that tell the mode of an answer, in order of trial.
+MODE_HEADINGS = {"HYBRID": ("## karsit gorusler", "## baglamsal kanitlar"), "QUOTE": ("## dogrudan tanimlar", "## baglamsal analiz"), "SYNTHESIS": ("## sonuc",)}
+
+
+def answer_text(text: Column) -> Column:
+    """Small plain letters and single blanks, for a search letter by letter."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "çÇğĞıİöÖşŞüÜâÂîÎûÛéÉèÈêÊáÁàÀäÄíÍóÓôÔúÚñÑ", "cCgGiIoOsSuUaAiIuUeEeEeEaAaAaAiIoOoOuUnN")
+    return F.trim(F.regexp_replace(F.lower(folded), r"\s+", " "))
+
+
+def mode_of(answer: Column) -> Column:
+    """The mode whose headings an answer has, null if none."""
+    plain = answer_text(answer)
+    return F.coalesce(*(F.when(reduce(and_, (plain.contains(h) for h in heads)), mode) for mode, heads in MODE_HEADINGS.items()))
+
+
 def rule_checks(cases: DataFrame) -> DataFrame:
-    """Phrases missing from and forbidden in each answer (answer, must, forbidden)."""
-    low = F.lower("answer")
-    miss = F.filter("must", lambda p: ~low.contains(F.lower(p)))
-    bad = F.filter("forbidden", lambda p: low.contains(F.lower(p)))
-    return cases.select("id", F.size(miss).alias("missing"), F.size(bad).alias("forbidden"), ((F.size(miss) == 0) & (F.size(bad) == 0)).alias("passed"))
+    """id, mode, failures, passed of each of ``cases`` (id, answer, expected_mode, must_quote, must_synthesize, forbidden).
+
+    Phrases are looked for in plain letters. An expected mode fails where the headings tell another, or none.
+    """
+    none = F.array().cast("array<string>")
+    cases = cases.withColumn("plain", answer_text(F.col("answer"))).withColumn("mode", mode_of(F.col("answer")))
+
+    def told(phrases: str, name: str, bad: bool) -> Column:
+        there = lambda p: F.contains(F.col("plain"), answer_text(p))
+        kept = F.filter(F.coalesce(phrases, none), lambda p: there(p) if bad else ~there(p))
+        return F.transform(kept, lambda p: F.concat(F.lit(f"{name}:"), p))
+
+    asked = F.length(F.coalesce("expected_mode", F.lit(""))) > 0
+    mode = F.when(asked & F.col("mode").isNull(), F.array(F.lit("mode_unknown"))).when(asked & (F.col("mode") != F.col("expected_mode")), F.array(F.concat(F.lit("mode_mismatch:"), "mode"))).otherwise(none)
+    failures = F.concat(mode, told("must_quote", "missing_required_phrase", False), told("must_synthesize", "missing_synthesis_signal", False), told("forbidden", "forbidden_phrase_present", True))
+    return cases.select("id", "mode", failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
 
 
 def failure_plane(retrieved: Column, answered: Column) -> Column:
     return F.when(retrieved & answered, "pass").when(~retrieved & ~answered, "mixed").when(~retrieved, "retrieval").otherwise("generation")
 
 
+#: Limits of a pass and of another try, what intent, sources and failed parts move, and the range they stay in.
+PASS, RETRY = 0.65, 0.50
+BY_INTENT, WEAK, STRONG = {"DIRECT": 0.05, "SYNTHESIS": -0.05}, (3.0, -0.10), (5.0, 0.05)
+FAILED, FAILED_MOST, MORE = 0.5, 3, 0.10
+PASS_RANGE, RETRY_LEAST, APART = (0.55, 0.75), 0.40, 0.1
+
+
 def rubric(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted mean of scores (id, and one column for each part; missing is 0.5) and the verdict."""
-    total = sum(weights.values())
-    s = sum((F.coalesce(F.col(c), F.lit(0.5)) * w for c, w in weights.items()), F.lit(0.0)) / total
-    s = F.round(s, 4)
-    return scores.select("id", s.alias("score"), F.when(s >= 0.7, "PASS").when(s >= 0.45, "REGENERATE").otherwise("DECLINE").alias("verdict"))
+    """id, score, pass_at, retry_at, verdict: the weighted mean of the parts (a missing one is 0.5, all within 0 and 1), held against limits
+    that follow the intent, the quality of the sources (0 to 7) and the number of failed parts.
+
+    ``scores`` has id, one column for each part, intent and chunk_quality.
+    """
+    part = lambda c: F.greatest(F.least(F.coalesce(c, F.lit(0.5)), F.lit(1.0)), F.lit(0.0))
+    s = F.round(sum((part(c) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values()), 4)
+    move = F.lit(0.0)
+    for intent, by in BY_INTENT.items():
+        move = F.when(F.col("intent") == intent, by).otherwise(move)
+    q = F.col("chunk_quality")
+    move = move + F.when(q < WEAK[0], WEAK[1]).when(q >= STRONG[0], STRONG[1]).otherwise(0.0)
+    bad = sum((F.when(F.col(c) < FAILED, 1).otherwise(0) for c in weights), F.lit(0))
+    at = F.round(F.greatest(F.least(F.lit(PASS) + move, F.lit(PASS_RANGE[1])), F.lit(PASS_RANGE[0])), 4)
+    again = F.round(F.least(at - APART, F.greatest(F.lit(RETRY_LEAST), F.lit(RETRY) + F.when(bad >= FAILED_MOST, MORE).otherwise(0.0))), 4)
+    df = scores.select("id", s.alias("score"), at.alias("pass_at"), again.alias("retry_at"))
+    return df.withColumn("verdict", F.when(F.col("score") >= F.col("pass_at"), "PASS").when(F.col("score") >= F.col("retry_at"), "REGENERATE").otherwise("DECLINE"))

@@ -302,10 +302,20 @@ def eva03_overall(spark, d):
     return ev.recommended(_summary(lg.where("created_at < timestamp_ntz'2024-01-16 00:00:00'")), _summary(lg.where("created_at >= timestamp_ntz'2024-01-16 00:00:00'")), "intent", ("click", "view"))
 
 
-@query("SELECT doc_id AS id, (NOT contains(lower(text), 'the'))::INT + (NOT contains(lower(text), lang))::INT AS missing, contains(lower(text), '***')::INT AS forbidden, contains(lower(text), 'the') AND contains(lower(text), lang) AND NOT contains(lower(text), '***') AS passed FROM documents")
+@query("""WITH a AS (SELECT doc_id AS id, lang, trim(regexp_replace(lower(translate(text || CASE doc_id % 4 WHEN 0 THEN chr(10) || '## Karşıt  Görüşler' || chr(10) || '## Bağlamsal Kanıtlar' WHEN 1 THEN ' ## SONUÇ' ELSE '' END,
+'çÇğĞıİöÖşŞüÜâÂîÎûÛéÉèÈêÊáÁàÀäÄíÍóÓôÔúÚñÑ', 'cCgGiIoOsSuUaAiIuUeEeEeEaAaAaAiIoOoOuUnN')), '\\s+', ' ', 'g')) AS t FROM documents),
+m AS (SELECT *, CASE WHEN contains(t, '## karsit gorusler') AND contains(t, '## baglamsal kanitlar') THEN 'HYBRID' WHEN contains(t, '## sonuc') THEN 'SYNTHESIS' END AS mode, CASE WHEN id % 3 = 0 THEN 'HYBRID' WHEN id % 3 = 1 THEN 'QUOTE' END AS want FROM a),
+f AS (SELECT id, mode, list_filter([CASE WHEN want IS NOT NULL AND mode IS NULL THEN 'mode_unknown' WHEN want <> mode THEN 'mode_mismatch:' || mode END, CASE WHEN NOT contains(t, 'the') THEN 'missing_required_phrase:Thé' END,
+CASE WHEN NOT contains(t, lang) THEN 'missing_synthesis_signal:' || lang END, CASE WHEN contains(t, '***') THEN 'forbidden_phrase_present:***' END], lambda x: x IS NOT NULL) AS fs FROM m)
+SELECT id, mode, array_to_string(fs, ',') AS failures, len(fs) = 0 AS passed FROM f""")
 def eva04_rule_checks(spark, d):
-    cases = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.lit("The"), F.col("lang")).alias("must"), F.array(F.lit("***")).alias("forbidden"))
-    return ev.rule_checks(cases)
+    k = F.col("doc_id")
+    heads = F.when(k % 4 == 0, "\n## Karşıt  Görüşler\n## Bağlamsal Kanıtlar").when(k % 4 == 1, " ## SONUÇ").otherwise("")
+    cases = table(spark, d, "documents").select(
+        k.alias("id"), F.concat("text", heads).alias("answer"), F.when(k % 3 == 0, "HYBRID").when(k % 3 == 1, "QUOTE").alias("expected_mode"),
+        F.array(F.lit("Thé")).alias("must_quote"), F.array("lang").alias("must_synthesize"), F.array(F.lit("***")).alias("forbidden"),
+    )
+    return ev.rule_checks(cases).withColumn("failures", F.array_join("failures", ","))
 
 
 @query("SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'pass' WHEN quality = 0 AND toxic = 1 THEN 'mixed' WHEN quality = 0 THEN 'retrieval' ELSE 'generation' END AS plane, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM labels), 2) AS pct FROM labels GROUP BY 1")
@@ -338,9 +348,16 @@ def eva06_citations(spark, d):
     return out.select("answer_id", F.round("score", 4).alias("score"), "n_citations", F.array_join("violations", ",").alias("violations"))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, round((0.5::DOUBLE * quality + 0.3::DOUBLE * (1 - toxic) + 0.2::DOUBLE * 0.5) / 1.0, 4) AS score FROM labels) SELECT id, score, CASE WHEN score >= 0.7 THEN 'PASS' WHEN score >= 0.45 THEN 'REGENERATE' ELSE 'DECLINE' END AS verdict FROM s""")
+@query("""WITH s AS (SELECT doc_id AS id, round((0.5::DOUBLE * quality + 0.3::DOUBLE * (1 - toxic) + 0.2::DOUBLE * CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 / 10 ELSE 0.5 END) / 1.0, 4) AS score,
+(quality = 0)::INT + (toxic = 1)::INT + (doc_id % 2 = 0 AND doc_id % 10 < 5)::INT AS bad, CASE doc_id % 3 WHEN 0 THEN 0.05 WHEN 1 THEN -0.05 ELSE 0 END + CASE WHEN doc_id % 8 < 3 THEN -0.1 WHEN doc_id % 8 >= 5 THEN 0.05 ELSE 0 END AS move FROM labels),
+p AS (SELECT *, greatest(least(0.65 + move, 0.75), 0.55)::DOUBLE AS pass_at FROM s), r AS (SELECT *, round(least(pass_at - 0.1, CASE WHEN bad >= 3 THEN 0.6 ELSE 0.5 END::DOUBLE), 4) AS retry_at FROM p)
+SELECT id, score, round(pass_at, 4) AS pass_at, retry_at, CASE WHEN score >= round(pass_at, 4) THEN 'PASS' WHEN score >= retry_at THEN 'REGENERATE' ELSE 'DECLINE' END AS verdict FROM r""")
 def eva08_rubric(spark, d):
-    s = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"), (1 - F.col("toxic")).cast("double").alias("t"), F.lit(None).cast("double").alias("m"))
+    k = F.col("doc_id")
+    intent = F.element_at(F.array(*map(F.lit, ("DIRECT", "SYNTHESIS", "NARRATIVE"))), (k % 3 + 1).cast("int"))
+    s = table(spark, d, "labels").select(
+        k.alias("id"), F.col("quality").cast("double").alias("q"), (1 - F.col("toxic")).cast("double").alias("t"), F.when(k % 2 == 0, k % 10 / 10).alias("m"), intent.alias("intent"), (k % 8).cast("double").alias("chunk_quality"),
+    )
     return ev.rubric(s, {"q": 0.5, "t": 0.3, "m": 0.2})
 
 
