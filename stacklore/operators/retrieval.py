@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.functions.text import FOLD_FROM, FOLD_TO
+from stacklore.functions.text import FOLD_FROM, FOLD_TO, normalize_text
 from stacklore.operators.filters import whole_term
 
 #: Bucket weights by kind of intent, and the rank constant.
@@ -157,11 +157,55 @@ def promoted(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.withColumn("new_pos", F.row_number().over(w.orderBy(key, "pos"))).drop("by_score")
 
 
-def location_boost(score: Column, text: Column, title: Column, comment: Column, tokens: list[str]) -> Column:
-    low = F.lower(text)
-    hits = sum((low.contains(t).cast("int") for t in tokens), F.lit(0))
-    found = lambda c: F.coalesce(*(F.when(F.lower(c).contains(t), 1) for t in tokens), F.lit(0))
-    return F.least(score + F.least(hits * 5, F.lit(25)) + 20 * found(comment) + 10 * found(title), F.lit(100.0))
+#: Words that say nothing of a question, for boosts and for a wider question, and ceilings of the score by kind of match.
+BOOST_STOP = (
+    "ve", "veya", "ile", "ama", "fakat", "ancak", "lakin", "ki", "de", "da", "mi", "mu", "mı", "mü", "bir", "bu", "şu", "o", "ben", "sen", "biz", "siz", "onlar",
+    "gibi", "için", "diye", "en", "daha", "çok", "her", "hangi", "ne", "kim", "bunu", "şunu", "böyle", "şöyle",
+)
+STEP_BACK_STOP = (
+    "ve", "veya", "ile", "icin", "gibi", "kadar", "daha", "cok", "az", "mi", "midir", "nedir", "nasil", "neden", "hangi", "bu", "su", "o", "da", "de", "ki", "ya",
+    "ama", "fakat", "ancak", "bir", "iki", "uc", "dort", "bes", "konu", "sey", "durum", "metin", "icerik", "yapi", "ornek", "acikla", "aciklama",
+)
+CEILINGS, NO_CEILING = {"exact_deaccented": 150, "lemma_exact": 110, "lemma_fuzzy": 100, "semantic": 85}, 150
+IN_NOTE, IN_TAGS, IN_TITLE, EACH_TOKEN, TOKENS_MOST, CORRECTED = 20, 15, 10, 5, 25, 5
+
+
+def boosted(hits: DataFrame, tokens: list[str]) -> DataFrame:
+    """``hits`` with boost, score and kind as shown: five for each token of the question in the text (25 at most), the best of a token in the
+    note (20), the tags (15) and the title (10), five for a corrected match, cut at the ceiling of the kind of match.
+
+    ``hits`` has score, kind, text, title, tags, comment (plain strings or null) and corrected; ``in_content`` says whether a token of three
+    letters stands in the text, which sorts before the score.
+    """
+    able = [normalize_token(t) for t in tokens if t.lower() not in BOOST_STOP]
+    fold = lambda c: normalize_text(F.coalesce(c, F.lit("")))
+    text, note, tags, title = (fold(F.col(c)) for c in ("text", "comment", "tags", "title"))
+    n = sum((text.contains(t).cast("int") for t in able), F.lit(0))
+    holds = lambda c, ts: reduce(or_, (c.contains(t) for t in ts), F.lit(False))
+    place = F.when(holds(note, able), IN_NOTE).when(holds(tags, able), IN_TAGS).when(holds(title, able), IN_TITLE).otherwise(0)
+    more = F.least(n * EACH_TOKEN, F.lit(TOKENS_MOST)) + place + F.when(F.coalesce("corrected", F.lit(False)), CORRECTED).otherwise(0)
+    top = F.lit(NO_CEILING)
+    for kind, most in CEILINGS.items():
+        top = F.when(F.col("kind") == kind, most).otherwise(top)
+    shown = F.when(place >= IN_NOTE, "insight_match").when(place >= IN_TAGS, "tag_match").otherwise(F.col("kind"))
+    df = hits.withColumns({"boost": more, "score": F.least(F.col("score") + more, top).cast("double"), "shown": shown})
+    return df.withColumn("in_content", holds(text, [normalize_token(t) for t in tokens if len(t) >= 3]))
+
+
+def normalize_token(token: str) -> str:
+    """A token as ``normalize_text`` leaves it."""
+    low = token.replace("I", "ı").replace("İ", "i").lower()
+    return "".join(c for c in low if c.isalnum() or c in "_ ").strip().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+
+
+def step_back(question: Column, keywords: Column, least: int = 4, most: int = 4) -> Column:
+    """A wider question of up to four words that say something: those of the keywords, and of the question where they are fewer than two;
+    null for a question of fewer than ``least`` words or where fewer than two are left."""
+    plain = lambda c: F.regexp_extract_all(F.translate(F.lower(F.translate(F.coalesce(c, F.lit("")), "Iİ", "ii")), FOLD_FROM, FOLD_TO), F.lit("([a-z0-9]+)"))
+    telling = lambda words: F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STEP_BACK_STOP)))
+    own = F.slice(telling(F.flatten(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), plain))), 1, most)
+    words = F.when(F.size(own) >= 2, own).otherwise(F.slice(F.array_union(own, telling(plain(question))), 1, most))
+    return F.when((F.size(plain(question)) >= max(2, least)) & (F.size(words) >= 2), F.array_join(words, " "))
 
 
 def repeated_queries(logs: DataFrame) -> DataFrame:

@@ -166,15 +166,33 @@ def ret10_mmr(spark, d):
     return rt.mmr(head.join(terms, "id"), 10)
 
 
-@query("SELECT conv_id, turn, list_slice(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 5), 1, 4) AS words FROM (SELECT * FROM conversations WHERE len(string_split(text, ' ')) >= 4) WHERE len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 5)) >= 2")
+_SAYS = lambda c: f"list_filter(regexp_extract_all(translate(lower({c}), 'ışçğüöâîû', 'iscguoaiu'), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in rt.STEP_BACK_STOP)}))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_SAYS('text')} AS own, {_SAYS("role || ' ' || CASE WHEN turn % 2 = 0 THEN 'the Konu' ELSE 'x' END")} AS given, len(regexp_extract_all(translate(lower(text), 'ışçğüöâîû', 'iscguoaiu'), '[a-z0-9]+')) AS n FROM conversations),
+w AS (SELECT conv_id, turn, n, unnest(CASE WHEN len(list_distinct(given)) >= 2 THEN given ELSE list_concat(given, own) END) AS word, generate_subscripts(CASE WHEN len(list_distinct(given)) >= 2 THEN given ELSE list_concat(given, own) END, 1) AS k FROM t),
+d AS (SELECT conv_id, turn, n, word, min(k) AS k FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) AS nth FROM d)
+SELECT conv_id, turn, string_agg(word, ' ' ORDER BY nth) AS wider FROM r WHERE nth <= 4 AND n >= 4 GROUP BY ALL HAVING count(*) >= 2""")
 def ret14_step_back(spark, d):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5)
-    return table(spark, d, "conversations").where("size(split(text, ' ')) >= 4").withColumn("w", words).where("size(w) >= 2").select("conv_id", "turn", F.slice("w", 1, 4).alias("words"))
+    """Turns as questions whose role, and now and then two more words, are the keywords."""
+    c = table(spark, d, "conversations")
+    given = F.array("role", F.when(F.col("turn") % 2 == 0, "the Konu").otherwise("x"))
+    return c.select("conv_id", "turn", rt.step_back(F.col("text"), given).alias("wider")).where("wider IS NOT NULL")
 
 
-@query(f"WITH {CONTENT} SELECT id, least(50 + least(5 * (contains(lower(text), 'thing')::INT + contains(lower(text), 'erth')::INT), 25) + 20 * regexp_matches(lang, 'erth|thing')::INT + 10 * regexp_matches(lower(title), 'thing|erth')::INT, 100)::DOUBLE AS score FROM content")
+@query(f"""WITH {CONTENT}, f AS (SELECT *, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) AS t, ['exact_deaccented', 'lemma_fuzzy', 'semantic', 'other'][id % 4 + 1] AS kind FROM content),
+b AS (SELECT *, least(5 * (contains(t, 'thing')::INT + contains(t, 'erth')::INT), 25) AS freq, CASE WHEN id % 6 = 0 THEN 20 WHEN lang = 'en' THEN 15 WHEN contains(lower(title), 'book 1') THEN 10 ELSE 0 END AS place FROM f),
+s AS (SELECT *, freq + place + CASE WHEN id % 9 = 0 THEN 5 ELSE 0 END + 5 * contains(t, 'book 1')::INT AS boost FROM b)
+SELECT id, boost, least(70 + id % 30 + boost, CASE kind WHEN 'lemma_fuzzy' THEN 100 WHEN 'semantic' THEN 85 ELSE 150 END)::DOUBLE AS score, CASE WHEN place >= 20 THEN 'insight_match' WHEN place >= 15 THEN 'tag_match' ELSE kind END AS shown,
+contains(t, 'thing') OR contains(t, 'erth') OR contains(t, 'book 1') AS in_content FROM s""")
 def ret18_location_boosts(spark, d):
-    return content(spark, d).select("id", rt.location_boost(F.lit(50), F.col("text"), F.col("title"), F.col("lang"), ["thing", "erth"]).cast("double").alias("score"))
+    k = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, ("exact_deaccented", "lemma_fuzzy", "semantic", "other"))), (k % 4 + 1).cast("int"))
+    hits = content(spark, d).select(
+        "id", "text", "title", kind.alias("kind"), (70 + k % 30).cast("double").alias("score"), F.when(k % 6 == 0, "a Thing!").alias("comment"),
+        F.when(F.col("lang") == "en", "erth, x").alias("tags"), (k % 9 == 0).alias("corrected"),
+    )
+    return rt.boosted(hits, ["thing", "Erth", "ve", "book 1"]).select("id", "boost", "score", "shown", "in_content")
 
 
 @query(f"WITH {LOGS}, k AS (SELECT tenant || '|' || lower(regexp_replace(query_text, '\\s+', ' ', 'g')) AS key, count(*) AS n FROM logs GROUP BY 1) SELECT count(*) AS distinct_keys, sum(n)::BIGINT AS searches, round(1 - count(*) / sum(n), 4) AS repeat_rate FROM k")
