@@ -36,10 +36,10 @@ FIT_STEPS = 25
 BUCKETS = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose potentials a task keeps, and that it makes in one numpy step, at most about.
-KNOWN, STEP = 300_000, 20_000
+KNOWN, STEP = 200_000, 20_000
 LEXICON = 300
 #: Words handled in one forward-backward pass, at most about (texts are never cut).
-PASS_WORDS, PASS_CHARS = 600_000, 3_000_000
+PASS_WORDS, PASS_CHARS = 250_000, 1_200_000
 
 
 def words_of(text: str | None) -> list[str]:
