@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stacklore.llm.base import keep, light, numbered, passing, slices
+from stacklore.llm.base import forget, keep, light, numbered, passing, sifted, slices
 from stacklore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,29 +229,30 @@ def _hub_pairs(left: DataFrame, degree: DataFrame, turn: int) -> DataFrame:
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every copy of a shingle in each text as a number of its own: (node, comp, size, element)."""
-    for nodes, comps, texts in slices(batches, text=2, limit=500_000):
+    """Every copy of a shingle in each text as a number of its own: (node, element)."""
+    for nodes, texts in slices(batches, text=1, limit=500_000):
         doc, item, weight = shingles(texts)
         own = np.repeat(np.arange(len(doc)), weight)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
         element = mixed(item[own] + (nth + 1).astype(np.uint64) * GOLDEN).view(np.int64)
-        at = doc[own]
-        size = np.bincount(at, minlength=len(texts))[at]
-        columns = (np.array(nodes, np.int64)[at], np.array(comps, np.int64)[at], size, element)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "comp", "size", "element"])
+        columns = (np.array(nodes, np.int64)[doc[own]], element)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "element"])
 
 
 def _rare_pairs(left: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different classes among the nodes of ``left`` that share one of their rarest copies of shingles
     and whose sizes and places in that order let them reach the threshold: no pair that reaches it is missing."""
-    texts = left.select("node", "comp").distinct().join(members.select("node", "text"), "node").select("node", "comp", "text")
-    every = keep(texts.mapInArrow(_copies, "node long, comp long, size long, element long"), "elements")
+    nodes = left.select("node", "comp").distinct()
+    texts = sifted(members.select("node", "text"), nodes, "node")[0].join(nodes, "node", "left_semi")
+    every = keep(texts.mapInArrow(_copies, "node long, element long"), "elements")
     often = every.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # copies that stand in one text only come first in its order, and meet nothing
     shared = every.join(often, "element")
     nth = Window.partitionBy("node").orderBy(F.desc("n"), "element")
     # counted from the end: what is left of the text from this place on, the place included
     ranked = shared.withColumn("rest", F.row_number().over(nth))
+    # classes and sizes meet the copies of a text where these are together already
+    ranked = ranked.join(nodes.join(every.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node"), "node")
     prefix = ranked.where(F.col("rest") >= F.ceil(F.col("size") * threshold - 1e-9)).select("element", "node", "comp", "size", "rest")
     other = prefix.select("element", *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "size", "rest")))
     need = (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-6
@@ -259,8 +260,10 @@ def _rare_pairs(left: DataFrame, members: DataFrame, threshold: float) -> DataFr
     return prefix.join(other, "element").where(able).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def _classes(every: DataFrame, number: str, threshold: float, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """row, doc_id, class_id, copy_of, kept (one row of each class) of every row of ``every`` (doc_id, text and the column ``number``)."""
+def _classes(every: DataFrame, number: str, threshold: float, hub_rounds: int = HUB_ROUNDS, over: bool = False) -> DataFrame:
+    """row, doc_id, class_id, copy_of, kept (one row of each class) of every row of ``every`` (doc_id, text and the column ``number``).
+
+    If the kept table ``every`` is ``over`` with this, it goes after its last reader."""
     base = light(every).select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = keep(base.mapInArrow(_sign(rows_of_band(threshold)), "row long, doc_id long, copy binary, bands array<long>"), "signed")
     worded = signed.where("copy IS NOT NULL")
@@ -268,46 +271,53 @@ def _classes(every: DataFrame, number: str, threshold: float, hub_rounds: int =
     # texts that stand more than once, each with its first row
     twins = worded.groupBy("copy").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     twins = keep(twins.select("copy", F.col("f.row").alias("node"), F.col("f.doc_id").alias("copy_of")), "twins")
-    heads = worded.join(twins.select("copy", "node"), "copy", "left").where("node IS NULL OR node = row").select(F.col("row").alias("node"), "bands")
-    heads = keep(heads, "heads")
+    # signatures of texts without a copy need not meet the twins
+    doubtful, single = sifted(worded.select("row", "copy", "bands"), twins, "copy")
+    doubtful = doubtful.join(twins.select("copy", "node"), "copy", "left").where("node IS NULL OR node = row")
+    heads = keep(single.unionByName(doubtful.select(single.columns)).select(F.col("row").alias("node"), "bands"), "heads")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of")
+    of = worded.select("row", "doc_id", "copy").join(twins, "copy", "left").select("row", "doc_id", F.coalesce("node", "row").alias("node"), own)
+    of, alone = keep(of, "rows"), keep(signed.where("copy IS NULL").select("row", "doc_id"), "alone")
+    forget(signed)
     nodes = heads.select("node", F.posexplode("bands").alias("nth", "value")).select("node", F.xxhash64("nth", "value").alias("band"))
-    shared = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    buckets = keep(nodes.join(shared.select("band", "n"), "band"), "buckets")
+    shared = keep(nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    buckets = keep(sifted(nodes, shared, "band")[0].join(shared, "band"), "buckets")
     degree = keep(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
-    members = keep(base.select(F.col("row").alias("node"), "text").join(degree, "node").join(heads, "node").select("node", "bands", "text"), "members")
+    texts = base.select(F.col("row").alias("node"), "text")
+    members = sifted(texts, degree, "node")[0].join(degree, "node").join(sifted(heads, degree, "node")[0], "node")
+    members = keep(members.select("node", "bands", "text"), "members")
+    for df in (heads, shared, *([every] if over else [])):
+        forget(df)
     left = buckets.select("band", "node", F.col("node").alias("comp"))
     found = keep(_links(_hub_pairs(left, degree, 0), members, threshold), "links")
     labels = components(found)
     left = keep(_mixed_buckets(buckets, labels), "left")
     for turn in range(1, hub_rounds):
-        new = keep(_links(_hub_pairs(left, degree, turn), members, threshold), "links")
+        new = keep(_links(_hub_pairs(left, degree, turn), sifted(members, left, "node")[0], threshold), "links")
         if not new.limit(1).count():
             break
         found = found.unionByName(new)
         labels = components(found)
         left = keep(_mixed_buckets(left.select("band", "node"), labels), "left")
     if left.limit(1).count():
-        new = keep(_links(_rare_pairs(left, members, threshold), members, threshold, least_agreement(threshold)), "links")
+        able = sifted(members, left, "node")[0]
+        new = keep(_links(_rare_pairs(left, members, threshold), able, threshold, least_agreement(threshold)), "links")
         if new.limit(1).count():
             labels = components(found.unionByName(new))
     # the classes of linked texts, and then of all rows
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of")
-    of = worded.select("row", "doc_id", "copy").join(twins, "copy", "left").select("row", "doc_id", F.coalesce("node", "row").alias("node"), own)
-    of = keep(of, "rows")
     least = of.where("row = node").join(labels, "node").groupBy("comp").agg(first.alias("f"))
     placed = labels.join(least, "comp").select("node", F.col("f.doc_id").alias("class_id"), F.col("f.row").alias("chosen"), F.lit(True).alias("linked"))
     placed = keep(placed, "placed")
     known = of.join(placed, "node", "left").select(
         "row", "doc_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"), "copy_of", (F.coalesce("chosen", "node") == F.col("row")).alias("kept")
     )
-    alone = signed.where("copy IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("kept"))
-    return known.unionByName(alone)
+    return known.unionByName(alone.select("row", "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least
     doc_id with the very same text) of every row of ``docs`` (doc_id, text)."""
-    return _classes(*numbered(docs.select("doc_id", "text")), threshold).select("doc_id", "class_id", "copy_of")
+    return _classes(*numbered(docs.select("doc_id", "text")), threshold, over=True).select("doc_id", "class_id", "copy_of")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -573,6 +573,32 @@ def test_near_duplicates_in_a_large_bucket_of_many_classes(spark):
     assert len(set(want.values())) == 180
 
 
+def test_near_duplicates_keep_no_table_longer_than_it_is_read(spark, monkeypatch):
+    from stacklore.llm import neardup
+
+    made, keep = {}, neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda df, label: made.setdefault(label, []).append(keep(df, label)) or made[label][-1])
+    texts = [BASE, BASE, _edited(BASE, [4]), _text(70, 80), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.copy_of) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (0, 2), 3: (3, 3), 4: (4, 4), 5: (5, 5)}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda df: path(df.kept_at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(df.kept_at))
+    assert not any(there(df) for label in ("signed", "heads") for df in made[label]) and there(made["members"][0])
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 10, 1 << 24])
+def test_sifted_rows_hold_all_that_join(spark, monkeypatch, bits):
+    from stacklore.llm import base
+
+    monkeypatch.setattr(base, "SIEVE_BITS", bits)
+    rows = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS k", "id")
+    may, cannot = base.sifted(rows, spark.range(0, 2000, 40).selectExpr("id AS k"), "k")
+    may, cannot = {r.id for r in may.collect()}, {r.id for r in cannot.collect()}
+    assert set(range(0, 2000, 40)) <= may and not may & cannot and len(may) + len(cannot) == 2000
+    assert bits < 1 << 24 or len(may) < 60
+
+
 def test_rare_pairs_miss_no_pair(spark):
     from pyspark.sql import functions as F
     from stacklore.llm.neardup import _rare_pairs
