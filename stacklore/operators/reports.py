@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,22 +12,27 @@ def share_by(df: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2))
 
 
-#: Bands of values between which a quantile is looked for.
-BANDS_OF_VALUES = 64
+#: Bands of values between which a quantile is looked for, and distinct values of a key from which their limits are taken.
+BANDS_OF_VALUES, LIMITS_FROM = 64, 1000
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """``keys`` and one exact quantile (between the two nearest values in proportion) for each name of ``shares``.
 
-    Values are counted where they are, so a task sends each distinct one once; counts of bands, whose limits are rough
-    quantiles, tell the band of each rank, and only the values of these bands are put in order. No task holds all values.
+    Values are counted where they are, so a task sends each distinct one once; counts of bands tell the band of each rank, and
+    only the values of these bands are put in order. No task holds all values. The limits of the bands are the same however
+    often and in whatever order rows come, as they are computed more than once: they lie between the distinct values whose
+    hashes come first. Any limits give the same quantiles.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.array(*(F.lit(i / BANDS_OF_VALUES) for i in range(1, BANDS_OF_VALUES)))
-    limits = counts.groupBy(*keys).agg(F.approx_percentile("v", cuts, 1000).alias("limits"), F.sum("n").alias("total"))
+    drawn = counts.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("v"), "v"))).where(F.col("nth") <= LIMITS_FROM)
+    drawn = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("some"))
+    cut = lambda i: F.element_at("some", (F.floor(i * F.size("some") / BANDS_OF_VALUES) + 1).cast("int"))
+    limits = drawn.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(BANDS_OF_VALUES - 1)), cut).alias("limits"))
     join = lambda a, b: a.join(b, list(keys)) if keys else a.join(F.broadcast(b))  # noqa: E731  without keys it is one row
-    placed = join(counts, limits).select(*keys, "v", "n", "total", F.size(F.filter("limits", lambda x: x < F.col("v"))).alias("band"))
-    bands = placed.groupBy(*keys, "band").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    placed = join(counts, limits).select(*keys, "v", "n", F.size(F.filter("limits", lambda x: x < F.col("v"))).alias("band"))
+    bands = placed.groupBy(*keys, "band").agg(F.sum("n").alias("m"))
+    bands = bands.withColumn("total", F.sum("m").over(Window.partitionBy(*keys)))
     upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("band"))
     asked = F.explode(F.flatten(F.array(*(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.lit(q) * (F.col("total") - 1)).alias("at")) for side in (0, 1))) for name, q in shares.items()))))
     wanted = bands.withColumn("before", upto - F.col("m")).select(*keys, "band", "before", "m", asked.alias("r")).select(*keys, "band", "before", "m", "r.*")
@@ -36,16 +41,21 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -
     end = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "band").orderBy("v"))
     near = near.withColumn("end", end).select(*keys, "band", "v", "n", "end")
     found = wanted.join(near, [*keys, "band"]).where("rank < `end` AND rank >= `end` - n")
-    part = F.col("at") - F.floor("at")
-    weight = F.when(F.col("side") == 0, 1 - part).otherwise(part)
-    return found.groupBy(*keys).agg(*(F.sum(F.when(F.col("name") == name, F.col("v") * weight)).alias(name) for name in shares))
+    of = lambda name, side, x: F.max(F.when((F.col("name") == name) & (F.col("side") == side), x))  # noqa: E731  one row each
+    between = lambda name: of(name, 0, F.col("v")) + (of(name, 1, F.col("v")) - of(name, 0, F.col("v"))) * of(name, 0, F.col("at") - F.floor("at"))
+    return found.groupBy(*keys).agg(*(between(name).alias(name) for name in shares))
+
+
+def rounded(x: Column, digits: int = 4) -> Column:
+    """``x`` rounded as SQL does it for doubles, by the whole number nearest to its product; ``F.round`` goes by decimal digits instead."""
+    return F.round(x * 10.0**digits) / 10.0**digits
 
 
 def latency_quantiles(logs: DataFrame, *keys: str) -> DataFrame:
     q = quantiles(logs, "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *keys)
     means = logs.groupBy(*keys).agg(F.round(F.avg("ms"), 4).alias("avg_ms"), F.round(F.avg("result_count"), 4).alias("avg_results"))
     both = means.join(q, list(keys)) if keys else means.join(F.broadcast(q))
-    return both.select(*keys, "avg_ms", *(F.round(n, 4).alias(n) for n in ("p50", "p95", "p99")), "avg_results")
+    return both.select(*keys, "avg_ms", *(rounded(F.col(n)).alias(n) for n in ("p50", "p95", "p99")), "avg_results")
 
 
 #: Half-open bands; the last one takes 2000 itself.
@@ -201,5 +211,5 @@ def hourly_metrics(logs: DataFrame) -> DataFrame:
     )
     told = histogram(by_hour, "ms", "hour", "intent")
     told = told.select("hour", "intent", *(F.round(histogram_quantile(F.col("counts"), q / 100), 4).alias(f"h{q}") for q in (50, 95, 99)))
-    exact = quantiles(by_hour, "ms", {"p95": 0.95}, "hour", "intent").withColumn("p95", F.round("p95", 4))
+    exact = quantiles(by_hour, "ms", {"p95": 0.95}, "hour", "intent").withColumn("p95", rounded(F.col("p95")))
     return n.join(told, ["hour", "intent"]).join(exact, ["hour", "intent"], "left")

@@ -274,11 +274,11 @@ _SUM = "SELECT intent, count(*) AS n, round(avg((ms < 2000)::INT), 4) AS success
 
 
 def _summary(df):
-    from stacklore.operators.reports import quantiles
+    from stacklore.operators.reports import quantiles, rounded
 
     means = df.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ms") < 2000).cast("int")), 4).alias("success"), F.round(F.avg("result_count"), 4).alias("quality"))
     places = quantiles(df, "ms", {"p50": 0.5, "p95": 0.95}, "intent")
-    return means.join(places, "intent", "left").select("intent", "n", "success", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "quality")
+    return means.join(places, "intent", "left").select("intent", "n", "success", rounded(F.col("p50")).alias("p50"), rounded(F.col("p95")).alias("p95"), "quality")
 
 
 @query(f"WITH {LOGS} {_SUM} GROUP BY 1")

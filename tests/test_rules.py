@@ -41,3 +41,25 @@ def test_comparison_over_judged_endpoints(spark):
     assert tuple(row) == (8.33, 8.75, True, True, True)
     assert tuple(ev.recommended(a, a, "endpoint", ("search", "smart")).first()) == (0.0, 0.0, False, True, False)
     assert tuple(ev.recommended(a, a, "endpoint", ("none",)).first())[:2] == (0.0, 0.0)
+
+
+def test_quantiles_hold_when_rows_come_in_another_order(spark):
+    """Limits of bands are computed more than once, so they must not follow the order in which rows arrive."""
+    from pyspark.sql import functions as F
+
+    from stacklore.operators.reports import quantiles
+
+    n = 300000
+    rows = spark.range(0, n, 1, 16).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    plan = quantiles(rows, "v", {"p50": 0.5}, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    for _ in range(3):
+        got = {r.k: (r.p50, r.p95) for r in quantiles(rows.repartition(16), "v", {"p50": 0.5, "p95": 0.95}, "k").collect()}
+        for k in (0, 1):
+            vs = sorted(float(i * 7919 % n) for i in range(k, n, 2))
+            at = 0.95 * (len(vs) - 1)
+            low = int(at)
+            assert got[k][0] == (vs[len(vs) // 2 - 1] + vs[len(vs) // 2]) / 2
+            assert abs(got[k][1] - (vs[low] + (vs[low + 1] - vs[low]) * (at - low))) < 1e-6
+    one = quantiles(rows, "v", {"p50": 0.5}).collect()
+    assert [r.p50 for r in one] == [(n - 1) / 2]
