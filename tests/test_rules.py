@@ -63,3 +63,10 @@ def test_quantiles_hold_when_rows_come_in_another_order(spark):
             assert abs(got[k][1] - (vs[low] + (vs[low + 1] - vs[low]) * (at - low))) < 1e-6
     one = quantiles(rows, "v", {"p50": 0.5}).collect()
     assert [r.p50 for r in one] == [(n - 1) / 2]
+
+
+def test_ten_digits_come_first_though_they_begin_with_978(spark):
+    rows = ["9789864256", "9789789864256", "978994344X", "0-306-40615-2"]
+    got = {r.x: r.e for r in spark.createDataFrame([(x,) for x in rows], "x string").select("x", t.equivalent_isbns(F.col("x")).alias("e")).collect()}
+    assert got[rows[0]] == got[rows[1]] == ["9789864256", "9789789864256"]
+    assert got[rows[2]] == ["978994344X", "9789789943449"] and got[rows[3]] == ["0306406152", "9780306406157"]
