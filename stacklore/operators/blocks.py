@@ -78,7 +78,11 @@ def with_sections(body: DataFrame) -> DataFrame:
 
 
 def streamed(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
-    """``step(rows)`` over the rows of each key in order, as an iterator of named tuples; it yields tuples of ``schema``."""
+    """``step(rows)`` over the rows of each key in order, as an iterator of named tuples; it yields tuples of ``schema``.
+
+    Rows are dealt out by a hash of the keys, not the keys: Spark leaves a shuffle by the keys of a join before it out, and may
+    then read that join's rows by mapper or in parts, as it does not know that a key's rows must stay together.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in schema.split(", ")]
@@ -91,7 +95,7 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], step: Callable, s
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _grouped(rows: Iterator, keys: list[str], step: Callable) -> Iterator[tuple]:

@@ -137,3 +137,18 @@ def test_what_is_in_the_library(spark):
     pool += [(1, 10 + i, 5.0, "shoreless", False) for i in range(6)]
     got = {r.query_id: (r.status, round(r.coverage, 2), r.missing) for r in coverage(asked, spark.createDataFrame(pool, "query_id long, id long, score double, text string, primary boolean")).collect()}
     assert got == {1: ("IN_NETWORK", 1.0, []), 2: ("HYBRID", 0.5, ["shore"]), 3: ("IN_NETWORK", 0.8, ["rain"]), 4: ("OUT_OF_NETWORK", 0.0, ["x"]), 5: ("IN_NETWORK", 0.5, ["fish"]), 6: ("OUT_OF_NETWORK", 0.5, ["fish"])}
+
+
+def test_rows_of_a_key_stay_together_after_a_join_by_it(spark):
+    from pyspark.sql import functions as F
+
+    from stacklore.operators.blocks import streamed
+
+    def counted(rows):
+        own = list(rows)
+        yield own[0].k, len(own)
+
+    left = spark.range(0, 400000, 1, 8).select((F.col("id") % 100).alias("k"), F.xxhash64("id").alias("v"))
+    few = spark.range(5000000).where("pmod(xxhash64(id), 5000000) < 10").select(F.col("id").alias("k"), F.lit(1).alias("x"))  # turns out small only while it runs
+    got = streamed(left.join(few, "k", "left"), ["k"], ["v"], counted, "k long, n long").collect()
+    assert sorted(map(tuple, got)) == [(k, 4000) for k in range(100)]
