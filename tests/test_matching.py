@@ -129,3 +129,19 @@ def test_evidence_is_rescored_before_the_cut(spark):
     parents = spark.createDataFrame([(10, 20), (11, 20), (20, 30), (30, 40), (11, 10)], "child long, parent long")
     all_of = spark.createDataFrame([(i, f"t{i}") for i in (10, 11, 20, 30, 40)], "id long, text string")
     assert sorted((r.id, r.score, r.depth) for r in ev.with_parents(hits, parents, all_of).collect()) == [(10, 2.0, 0), (11, 1.0, 0), (20, 2.0, 1), (30, 2.0, 2)]
+
+
+def test_unseen_concepts_through_cells_and_nulls(spark):
+    """Every pair but the known ones, whatever the size of a cell, with null ids as SQL's EXCEPT has them; no pair is shuffled."""
+    from stacklore.operators.graph import unseen_concepts
+
+    linked = [(c, c * 3 + i) for c in range(50) for i in range(2)] + [(None, 7), (None, 500)]
+    saw = [(f"u{t}", t * k) for t in range(30) for k in range(4)] + [(None, 3), ("u31", None), ("u32", 7)]
+    links, seen = spark.createDataFrame(linked, "concept_id long, content_id long"), spark.createDataFrame(saw, "tenant string, content_id long")
+    known = {(t, c) for t, x in saw for c, y in linked if x is not None and x == y}
+    want = {(t, c) for t in {t for t, _ in saw} for c in {c for c, _ in linked}} - known
+    for cell in (1, 7, 1000):
+        got = [tuple(r) for r in unseen_concepts(links, seen, cell).collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = unseen_concepts(links, seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
