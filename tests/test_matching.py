@@ -145,3 +145,41 @@ def test_unseen_concepts_through_cells_and_nulls(spark):
         assert len(got) == len(want) and set(got) == want
     plan = unseen_concepts(links, seen)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_vector_searches_against_all_pairs(spark):
+    """Blocks of queries, ties, null vectors and vectors of another length, held against every pair in plain Python."""
+    import math
+
+    from stacklore.operators import vectors as v
+
+    vec = lambda i: None if i % 23 == 5 else [float(i * 7 % 5 - 2), float(i * 3 % 4), 1.0][: 2 if i % 19 == 3 else 3]
+    rows = [(i, vec(i), 0.4 + i % 7 / 10) for i in range(150)]
+    corpus = spark.createDataFrame(rows, "id long, vec array<float>, w double").repartition(5)
+    queries = corpus.where("id % 6 = 1")
+
+    def sim(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        both = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / both if both else 0.0
+
+    asked = [r for r in rows if r[0] % 6 == 1]
+    pairs = {(q[0], r[0]): sim(q[1], r[1]) for q in asked for r in rows}
+    told = lambda x: None if x is None else round(x, 6) + 0.0
+    for block in (4, 1000):
+        got = v.similar(queries, corpus, block_rows=block).collect()
+        assert len(got) == len(pairs) and all(told(r.sim) == told(pairs[r.query_id, r.id]) and r.w == rows[r.id][2] for r in got)
+        high = {(r.query_id, r.id) for r in v.similar(queries, corpus, 0.5, block).where("round(sim, 6) >= 0.5").collect()}
+        assert high == {p for p, s in pairs.items() if s is not None and round(s, 6) >= 0.5}
+        best = {r.id: told(r.sim) for r in v.most_similar(queries, corpus, block).collect()}
+        assert best == {i: told(max((pairs[q[0], i] for q in asked if pairs[q[0], i] is not None), default=None)) for i, *_ in rows}
+        near = {(r.query_id, r.nth): r.id for r in v.closest(queries, corpus, 10, block_rows=block).collect()}
+        score = {(r.query_id, r.nth): (r.id, r.score) for r in v.closest(queries, corpus, 10, "w", block).collect()}
+        for q, *_ in asked:
+            order = sorted((pairs[q, i] is None, -(told(pairs[q, i]) or 0), i) for i, *_ in rows)[:10]
+            assert [near[q, n] for n in range(1, 11)] == [i for *_, i in order]
+            scored = sorted((-round(0.0 if pairs[q, i] is None else max(0.0, (1 - (1 - pairs[q, i]) / w) * 100), 4), i) for i, _, w in rows)[:10]
+            assert [score[q, n][0] for n in range(1, 11)] == [i for _, i in scored]
+            assert all(abs(score[q, n][1] + s) < 2e-4 for n, (s, _) in enumerate(scored, 1))
+    assert v.closest(queries.where("id < 0"), corpus, 3).count() == v.most_similar(queries.where("id < 0"), corpus).count() == 0
