@@ -70,3 +70,26 @@ def test_ten_digits_come_first_though_they_begin_with_978(spark):
     got = {r.x: r.e for r in spark.createDataFrame([(x,) for x in rows], "x string").select("x", t.equivalent_isbns(F.col("x")).alias("e")).collect()}
     assert got[rows[0]] == got[rows[1]] == ["9789864256", "9789789864256"]
     assert got[rows[2]] == ["978994344X", "9789789943449"] and got[rows[3]] == ["0306406152", "9780306406157"]
+
+
+def test_language_scores_split_a_text_once(spark):
+    """What a text is told by is worked out once, and comes to what plain Python counts."""
+    import re
+
+    from stacklore.functions.text import EN_STOP, EN_TAGS, TR_PUBLISHERS, TR_STOP
+
+    texts = ["The state of the nation and its movement", " \t\nBir kitap ve çok güzel bir eser\x0b\r\n", "Deniz YAYINLARI için", "İzmir'de ışık ve su", "history of friendship, the darkness", "", " \n", "x" * 50, None, "12 34", "KITAP kitabevi the the the"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, x string")
+    got = {r.id: r.s for r in frame.select("id", t.language_scores(F.col("x")).alias("s")).collect()}
+    for i, x in enumerate(texts):
+        v = (x or "").strip(" \t\n\x0b\f\r")
+        words = [w for w in re.sub("[^a-zA-ZçğıöşüÇĞİÖŞÜ']+", " ", v).lower().split(" ") if w]
+        n = max(len(words), 1)
+        tr = len(re.findall("[çğıöşüÇĞİÖŞÜ]", v)) / max(len(v), 1) * 3.0 + sum(w in TR_STOP for w in words) / n * 1.3 + (0.8 if any(p in v.lower() for p in TR_PUBLISHERS) else 0.0)
+        en = sum(w in EN_STOP for w in words) / n * 1.5 + sum(w in EN_TAGS for w in words) / n * 1.1 + 0.25 * sum(w.endswith(("tion", "ment", "ness", "ship")) for w in words)
+        top, gap = max(tr, en), abs(tr - en)
+        sure = top >= 0.25 and gap >= 0.12
+        assert got[i].language == (("tr" if tr > en else "en") if sure else None), x
+        assert abs(got[i].tr - tr) < 1e-4 and abs(got[i].en - en) < 1e-4 and abs(got[i].confidence - (min(gap / max(top, 0.25), 1.0) if sure else 0.0)) < 1e-4
+    plan = frame.select(t.language_scores(F.col("x"))["language"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2
