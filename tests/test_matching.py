@@ -183,3 +183,16 @@ def test_vector_searches_against_all_pairs(spark):
             assert [score[q, n][0] for n in range(1, 11)] == [i for _, i in scored]
             assert all(abs(score[q, n][1] + s) < 2e-4 for n, (s, _) in enumerate(scored, 1))
     assert v.closest(queries.where("id < 0"), corpus, 3).count() == v.most_similar(queries.where("id < 0"), corpus).count() == 0
+
+
+def test_same_author_in_lists_and_parts(spark):
+    """Every pair once, however the anchors of a title and the chunks of an author are dealt out."""
+    from stacklore.operators.joins import same_author
+
+    rows = [(i, None if i % 31 == 7 else f"T{i % 4} - {'' if i % 5 == 4 else 'A'}{i % 3}") for i in range(120)] + [(None, "T9 - A1"), (200, "alone")]
+    chunks = spark.createDataFrame(rows, "id long, title string")
+    author = lambda t: t.split(" - ")[-1]
+    told = [r for r in rows if r[1] is not None]
+    want = sorted(((a, i, author(t)) for a, t in told for i, u in told if author(t) == author(u) and t != u), key=str)
+    for block, part in ((1, 1), (3, 7), (1000, 20000)):
+        assert sorted(map(tuple, same_author(chunks, chunks, block, part).collect()), key=str) == want
