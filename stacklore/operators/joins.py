@@ -51,15 +51,17 @@ def common_neighbours(relations: DataFrame, least: int = 2, block: int = HUB_BLO
     """Sources a < b with several destinations in common.
 
     All pairs at a destination are asked for, so their number grows with the square of its degree; a destination of more
-    than ``block`` sources is cut into blocks, each of which meets all its sources in a task of its own.
+    than ``block`` sources is cut into blocks, each of which meets all its sources in a task of its own. What is shuffled is one
+    list for each source and block; pairs become rows in the task that counts them.
     """
     r = relations.select("src", "dst").distinct()
     many = r.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    r = r.join(many, "dst")
-    own = r.select(F.col("src").alias("a"), "dst", F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("part"))
-    every = r.select(F.col("src").alias("b"), "dst", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    pairs = own.join(every, ["dst", "part"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count_distinct("dst").alias("shared")).where(F.col("shared") >= least)
+    lists = r.join(many, "dst").groupBy("dst", "blocks", F.pmod(F.xxhash64("src"), "blocks").cast("int").alias("part")).agg(F.array_sort(F.collect_list("src")).alias("srcs"))
+    own = lists.select("dst", "part", F.col("srcs").alias("own"))
+    every = lists.select("dst", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("srcs").alias("every"))
+    met = own.join(every, ["dst", "part"]).select(F.explode("own").alias("a"), "every").select("a", F.filter("every", lambda b: b > F.col("a")).alias("bs"))
+    pairs = met.where(F.size("bs") > 0).repartition("a").select("a", F.explode("bs").alias("b"))  # a pair stands once for each destination
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def neighbours(seeds: DataFrame, chunks: DataFrame, reach: int, k: int) -> DataFrame:

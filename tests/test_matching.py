@@ -196,3 +196,23 @@ def test_same_author_in_lists_and_parts(spark):
     want = sorted(((a, i, author(t)) for a, t in told for i, u in told if author(t) == author(u) and t != u), key=str)
     for block, part in ((1, 1), (3, 7), (1000, 20000)):
         assert sorted(map(tuple, same_author(chunks, chunks, block, part).collect()), key=str) == want
+
+
+def test_common_neighbours_shuffle_lists_not_pairs(spark):
+    """Blocks of a destination, repeated rows and nulls, held against every pair; pairs are counted where they are made."""
+    import re
+
+    from stacklore.operators.joins import common_neighbours
+
+    rows = [(s, d) for d in range(1, 9) for s in range(40) if s % d == 0] * 2 + [(None, 1), (3, None)]
+    to = {}
+    for s, d in rows:
+        if s is not None and d is not None:
+            to.setdefault(s, set()).add(d)
+    want = {(a, b): len(to[a] & to[b]) for a in to for b in to if a < b and len(to[a] & to[b]) >= 2}
+    r = spark.createDataFrame(rows, "src long, dst long")
+    for block in (1, 7, 2000):
+        got = common_neighbours(r, 2, block).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.shared for x in got} == want
+    plan = common_neighbours(r)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\w+, b#", plan)
